@@ -139,11 +139,11 @@ def _(c):
                          w.relative_to_mean("volume", 20).alias("rel20"))
 
 
-@query("w17_until_weight", sql("weights", """SELECT etf, ticker, weight, round(cum, 4) AS cum_weight FROM (
+@query("w17_until_weight", sql("weights", """SELECT etf, ticker, weight, round(cum, 6) AS cum_weight FROM (
   SELECT *, sum(weight) OVER (PARTITION BY etf ORDER BY weight DESC, ticker ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
   FROM weights) WHERE cum - weight < 60"""))
 def _(c):
-    return w.until_weight(c.weights, 60.0).withColumn("cum_weight", F.round("cum_weight", 4))
+    return w.until_weight(c.weights, 60.0)
 
 
 @query("w18_min_max_scale", sql("panel", """, x AS (SELECT sector, ticker, avg(close) AS liq, stddev_samp(close) AS vol FROM panel GROUP BY 1, 2)
