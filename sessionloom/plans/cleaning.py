@@ -140,9 +140,9 @@ def _(c):
 
 
 @query("p15_display", sql("ledger", """SELECT persona, strftime(date, '%Y-%m-%d') AS date, CASE WHEN cash < 0 THEN '-' ELSE '' END || '$' || format('{:,.2f}', abs(cash)) AS cash,
-  '$' || format('{:,.2f}', total_equity) AS total_equity, CASE WHEN intraday_status = 'SETTLED' THEN '☑' ELSE '☐' END AS settled FROM ledger WHERE total_equity >= 0"""))
+  CASE WHEN total_equity < 0 THEN '-' ELSE '' END || '$' || format('{:,.2f}', abs(total_equity)) AS total_equity, CASE WHEN intraday_status = 'SETTLED' THEN '☑' ELSE '☐' END AS settled FROM ledger"""))
 def _(c):
-    d = c.ledger.filter("total_equity >= 0").select(
+    d = c.ledger.select(
         "persona", "date", "cash", "total_equity", (F.col("intraday_status") == "SETTLED").alias("settled"))
     return p.display(d)
 
