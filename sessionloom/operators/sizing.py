@@ -81,7 +81,7 @@ def hit_label(rec: Column, actual: Column) -> Column:
 def override_note(rec: Column, vix: Column, stake: Column, prob: Column) -> Column:
     """Why a Buy was vetoed: market panic first, then a zero stake."""
     return (F.when((rec == "Buy") & (vix > 30), F.lit("VETO: volatility index above 30"))
-            .when((rec == "Buy") & (stake == 0), F.format_string("VETO: zero stake at P(UP)=%.1f%%", prob * 100))
+            .when((rec == "Buy") & (stake == 0), F.format_string("VETO: zero stake at P(UP)=%.1f%%", F.round(prob * 100, 1)))
             .otherwise(""))
 
 

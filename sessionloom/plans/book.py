@@ -47,7 +47,7 @@ def _(c):
 
 @query("k4_override_note", sql("pred macro", f""", x AS (SELECT ticker, p.date, {_REC} AS rec, p_up, {KG} AS k, vix_close FROM pred p LEFT JOIN macro m ON p.date = m.date)
 SELECT ticker, date, CASE WHEN rec = 'Buy' AND vix_close > 30 THEN 'VETO: volatility index above 30' WHEN rec = 'Buy' AND k = 0
-  THEN 'VETO: zero stake at P(UP)=' || format('{{:.1f}}', p_up * 100) || '%' ELSE '' END AS note FROM x"""))
+  THEN 'VETO: zero stake at P(UP)=' || format('{{:.1f}}', round(p_up * 100, 1)) || '%' ELSE '' END AS note FROM x"""))
 def _(c):
     d = c.pred.join(c.macro.select("date", "vix_close"), "date", "left")
     return d.select("ticker", "date", sizing.override_note(
@@ -148,9 +148,9 @@ def _(c):
 
 
 @query("k11_target_state", sql("positions", """, t AS (SELECT persona, date, round(sum(dollars), 2) AS held FROM positions GROUP BY 1, 2)
-SELECT p.persona, p.date, p.ticker, round(dollars, 2) AS dollars, round(units, 2) AS units, round(price, 2) AS price, held FROM positions p JOIN t ON p.persona = t.persona AND p.date = t.date"""))
+SELECT p.persona, p.date, p.ticker, round(dollars, 2) AS dollars, round(units, 2) AS units, round(price * 1.0007, 2) AS price, held FROM positions p JOIN t ON p.persona = t.persona AND p.date = t.date"""))
 def _(c):
-    d = settle.target_state(c.positions)
+    d = settle.target_state(c.positions.withColumn("price", F.col("price") * 1.0007))
     return d.select("persona", "date", "held", F.explode("target_holdings").alias("ticker", "h")).select(
         "persona", "date", "ticker", "h.dollars", "h.units", "h.price", "held")
 
@@ -205,7 +205,7 @@ def _(c):
     return settle.executed_ledger(_merged(c), orders)
 
 
-_GATE = f""", gx AS (SELECT ticker, b.date, open AS live, lag(close) OVER ({W}) AS pc, lag((high + low + close) / 3) OVER ({W}) AS vw, volume,
+_GATE = f""", gx AS (SELECT ticker, b.date, open AS live, lag(close) OVER (PARTITION BY ticker ORDER BY b.date) AS pc, lag((high + low + close) / 3) OVER (PARTITION BY ticker ORDER BY b.date) AS vw, volume,
   avg(volume) OVER (PARTITION BY ticker ORDER BY b.date ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) AS av, vix_close FROM bars b LEFT JOIN macro m ON b.date = m.date),
 gp AS (SELECT gx.*, u.persona FROM gx, (SELECT unnest(['conservative', 'neutral', 'aggressive']) AS persona) u)
 """
@@ -264,11 +264,11 @@ def _bt(c, **kw):
     return bt.backtest_positions(s, **kw)
 
 
-@query("k18_backtest", sql("pred macro", BT + """SELECT date, round(ret, 6) + 0 AS ret, held, round(10000 * exp(sum(ln(1 + ret)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)), 4) AS equity FROM be"""))
+@query("k18_backtest", sql("pred macro", BT + """SELECT date, round(ret, 6) + 0 AS ret, held, round(ln(10000) + sum(ln(1 + ret)) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS log_equity FROM be"""))
 def _(c):
     p = _bt(c).withColumn("share", F.when(F.col("share") > 1e-12, F.col("share")).otherwise(0.0))
     d = bt.equity_curve(p, c.pred)
-    return d.withColumn("equity", F.round("equity", 4))
+    return d.select("date", "ret", "held", F.ln("equity").alias("log_equity"))
 
 
 @query("k19_strategy_race", sql("ledger", """SELECT a.date, a.total_equity AS one, b.total_equity AS two FROM ledger a JOIN ledger b ON a.date = b.date AND b.persona = 'dynamic' WHERE a.persona = 'neutral' AND a.date > DATE '1998-01-01'
