@@ -137,7 +137,8 @@ def _(c):
 @query("s13_replace_latest_orders", sql("ledger", "SELECT persona, max(date) AS date, arg_max(cash, date) AS target_cash FROM ledger GROUP BY 1"))
 def _(c):
     o = c.ledger.select("persona", "date", F.col("cash").alias("target_cash"))
-    return m.upsert(o.filter("date < DATE'1996-01-01'").limit(0).unionByName(m.last_per(o.filter("date < DATE'1998-01-01'"), "persona", "date")), o, "persona", "date")
+    stored = m.last_per(o.filter("date < DATE'1998-01-01'"), "persona", "date")
+    return m.upsert(stored, o, "persona", "date")
 
 
 @query("s14_watermark", sql("ledger", "SELECT persona AS pipeline_name, max(date) AS last_completed_date FROM ledger WHERE persona <> 'neutral' GROUP BY 1 UNION ALL SELECT 'neutral', DATE '2030-01-01'"))
@@ -159,8 +160,10 @@ def _(c):
     s = scores(c)
     one = s.filter("ticker < 'S5'").select("ticker", "date", "p_up", "kelly")
     two = s.filter("ticker >= 'S5'").select("ticker", "date", "p_up")
-    path = _stored(c, m.compile_scorecards([one, two]), "scorecards", partition_by=["ticker"], files_by=["ticker"])
-    return c.spark.read.schema(one.schema).parquet(path)
+    # a bounded number of hashed directories, so tickers do not become tiny files
+    both = m.compile_scorecards([one, two]).withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.lit(16)).cast("int"))
+    path = _stored(c, both, "scorecards", partition_by=["bucket"], files_by=["bucket"])
+    return c.spark.read.schema(both.schema).parquet(path).drop("bucket")
 
 
 @query("s17_prediction_maps", sql("pred", "SELECT ticker, p_up AS prob, exp_ret, exp_vol FROM pred WHERE p_up IS NOT NULL AND exp_ret IS NOT NULL AND exp_vol IS NOT NULL"))

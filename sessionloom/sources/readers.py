@@ -18,8 +18,11 @@ def read_panel(spark: SparkSession, path: str, schema: T.StructType = schemas.PA
 
 
 def write_panel(df: DataFrame, path: str, partition_by: Sequence[str] = (), fmt: str = "parquet", files_by: Sequence[str] = ()) -> None:
-    """Full rewrite; ``files_by`` clusters rows so each partition directory gets few files."""
-    w = (df.repartition(*files_by) if files_by else df).write.mode("overwrite")
+    """Full rewrite; ``files_by`` clusters rows so each partition directory gets few files.
+
+    The rebalance hint lets AQE split a directory that holds most of the rows.
+    """
+    w = (df.hint("rebalance", *files_by) if files_by else df).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     (w.option("header", True) if fmt == "csv" else w).format(fmt).save(path)
