@@ -96,11 +96,11 @@ def _(c):
     return q.pending_wipeout(d)
 
 
-@query("q12_holdings_without_scores", sql("positions", v("no_score", "persona", "ticker", "FROM (SELECT DISTINCT persona, ticker FROM positions WHERE date = (SELECT max(date) FROM positions) AND ticker NOT IN (SELECT c_mktsegment FROM customer WHERE c_mktsegment > 'F'))")))
+@query("q12_holdings_without_scores", sql("positions", v("no_score", "persona", "ticker", "FROM (SELECT DISTINCT persona, ticker FROM positions WHERE date = (SELECT max(date) FROM positions) AND ticker NOT IN (SELECT c_mktsegment FROM customer WHERE c_mktsegment > 'M'))")))
 def _(c):
     top = c.positions.agg(F.max("date").alias("date"))
     held = c.positions.join(F.broadcast(top), "date", "left_semi")  # one row
-    return q.orphans(held, c.table("customer").filter("c_mktsegment > 'F'").select(F.col("c_mktsegment").alias("ticker")), "no_score")
+    return q.orphans(held, c.table("customer").filter("c_mktsegment > 'M'").select(F.col("c_mktsegment").alias("ticker")), "no_score")
 
 
 @query("q13_stale_personas", sql("ledger", """, w AS (SELECT unnest(['neutral', 'dynamic', 'etf_dynamic']) AS persona), l AS (SELECT persona, max(date) AS l FROM ledger WHERE NOT (persona = 'dynamic' AND date > DATE '2000-01-01') GROUP BY 1)

@@ -172,3 +172,12 @@ def weights(spark, root) -> DataFrame:
     total = rev.groupBy("etf").agg(F.sum("rev").alias("total"))
     return rev.join(total, "etf").select(
         "etf", "ticker", F.round(100 * F.col("rev") / F.col("total"), 6).alias("weight"))
+
+
+def features(spark, root) -> DataFrame:
+    """Long feature table: date, ticker, feature, value (six indicators per bar)."""
+    from ..operators.indicators import trend_set
+    d = trend_set(bars(spark, root)).withColumn("ret", F.try_divide("close", F.lag("close").over(by())) - 1)
+    names = {"RET": "ret", "RSI": "rsi", "ADX": "adx", "ATR": "atr", "PLUS_DI": "plus_di", "MINUS_DI": "minus_di"}
+    rows = F.array(*[F.struct(F.lit(k).alias("feature"), F.col(v).alias("value")) for k, v in names.items()])
+    return d.select("date", "ticker", F.inline(rows))
