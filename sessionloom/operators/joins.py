@@ -101,8 +101,8 @@ def lookup(df: DataFrame, table: DataFrame, on) -> DataFrame:
 
 def combinations(df: DataFrame, group="target", item="feature", rank="rank") -> DataFrame:
     """Unordered pairs of a pre-ranked short list (k items give k(k-1)/2 pairs per group)."""
-    a = df.select(group, F.col(item).alias("first"), F.col(rank).alias("_ra"))
-    b = df.select(group, F.col(item).alias("second"), F.col(rank).alias("_rb"))
+    a = df.select(F.col(group).alias(group), F.col(item).alias("first"), F.col(rank).alias("_ra"))
+    b = df.select(F.col(group).alias(group), F.col(item).alias("second"), F.col(rank).alias("_rb"))
     return a.join(b, group).filter("_ra < _rb").select(group, "first", "second")
 
 

@@ -356,9 +356,10 @@ def lag_grid(df: DataFrame, lags=(1, 2, 3), value="ret", keys=("ticker",)) -> Da
     k = cols(keys)
     w = by(k)
     v = F.col(value)
-    rows = F.array(*[F.struct(F.lit(t).alias("target_kind"), F.lit(lag).alias("lag"), y.alias("_y"), F.lag(v, lag).over(w).alias("_x"))
-                     for t, y in (("return", v), ("size", F.abs(v))) for lag in lags])
-    d = df.select(*k, F.inline(rows)).filter("_x is not null and _y is not null")
+    d = df.select(*k, v.alias("_v"), *[F.lag(v, lag).over(w).alias(f"_x{lag}") for lag in lags])
+    rows = F.array(*[F.struct(F.lit(t).alias("target_kind"), F.lit(lag).alias("lag"), y.alias("_y"), F.col(f"_x{lag}").alias("_x"))
+                     for t, y in (("return", F.col("_v")), ("size", F.abs("_v"))) for lag in lags])
+    d = d.select(*k, F.inline(rows)).filter("_x is not null and _y is not null")
     return d.groupBy(*k, "target_kind", "lag").agg(
         F.count(F.lit(1)).alias("n"), F.regr_r2("_y", "_x").alias("r2"),
         F.avg((F.signum("_y") == F.signum("_x")).cast("double")).alias("direction_accuracy"))

@@ -42,11 +42,16 @@ def _strongest(corr: DataFrame, k: int, rank: str | None = "rank") -> DataFrame:
 def top_k_features(targets: DataFrame, features: DataFrame, k: int, *, lag: int = 1, train_share: float | None = 0.8,
                    blocks: int = 4, min_obs: int = 2) -> DataFrame:
     """Strongest lagged features of every target by |correlation|, on train sessions only, in one job."""
-    t = targets.select(F.col("ticker").alias("series"), "date", F.col("value"))
+    return top_k_series(targets.select(F.col("ticker").alias("series"), "date", "value"), lag_series(features, lag), k,
+                        train_share=train_share, blocks=blocks, min_obs=min_obs)
+
+
+def top_k_series(targets: DataFrame, lagged: DataFrame, k: int, *, train_share: float | None = None, blocks: int = 4,
+                 min_obs: int = 2) -> DataFrame:
+    """Same on prepared (series, date, value) frames, e.g. one series per target and fold."""
     if train_share is not None:
-        t = t.join(train_dates(t, train_share), "date", "left_semi")
-    c = block_correlation(t, lag_series(features, lag), blocks=blocks, top=k, min_obs=min_obs)
-    return _strongest(c, k)
+        targets = targets.join(train_dates(targets, train_share), "date", "left_semi")
+    return _strongest(block_correlation(targets, lagged, blocks=blocks, top=k, min_obs=min_obs), k)
 
 
 def lagged_r2(df: DataFrame, lag: int = 1, *, mode: str = "returns", blocks: int = 4) -> DataFrame:
@@ -110,16 +115,18 @@ def chain_long(chain: DataFrame, depth: int) -> DataFrame:
         F.struct(F.lit(d).alias("depth"), F.col(f"lag{d}").alias("leader")) for d in range(1, depth + 1)]))).filter("leader is not null")
 
 
-def _leader_values(returns: DataFrame, chain: DataFrame, depth: int) -> DataFrame:
+def leader_values(returns: DataFrame, chain: DataFrame, depth: int) -> DataFrame:
     w = by()
-    shifted = returns.select(F.col("ticker").alias("leader"), "date", F.inline(F.array(*[
-        F.struct(F.lit(d).alias("depth"), F.lag("value", d).over(w).alias("x")) for d in range(1, depth + 1)])))
+    lags = returns.select(F.col("ticker").alias("leader"), "date",
+                          *[F.lag("value", d).over(w).alias(f"_x{d}") for d in range(1, depth + 1)])
+    shifted = lags.select("leader", "date", F.inline(F.array(*[
+        F.struct(F.lit(d).alias("depth"), F.col(f"_x{d}").alias("x")) for d in range(1, depth + 1)])))
     return chain_long(chain, depth).join(shifted, ["leader", "depth"])
 
 
 def chain_features(returns: DataFrame, chain: DataFrame, depth: int = 3, extra: DataFrame | None = None) -> DataFrame:
     """Per ticker and date: leader returns at their lags, previous-session sector features, filled forward."""
-    v = _leader_values(returns, chain, depth)
+    v = leader_values(returns, chain, depth)
     wide = v.groupBy("ticker", "date").agg(*[F.max(F.when(F.col("depth") == d, F.col("x"))).alias(f"chain{d}") for d in range(1, depth + 1)])
     d = returns.select("ticker", "date", F.col("value").alias("target")).join(wide, ["ticker", "date"], "left")
     names = [f"chain{i}" for i in range(1, depth + 1)]
@@ -134,6 +141,6 @@ def chain_features(returns: DataFrame, chain: DataFrame, depth: int = 3, extra:
 def verify_chain(returns: DataFrame, chain: DataFrame, depth: int = 3) -> DataFrame:
     """Correlation of the ticker with each leader at its depth."""
     from .aggregates import correlate
-    v = _leader_values(returns, chain, depth)
+    v = leader_values(returns, chain, depth)
     j = v.join(returns.select("ticker", "date", F.col("value").alias("y")), ["ticker", "date"])
     return correlate(j, "y", "x", ["ticker", "depth", "leader"])

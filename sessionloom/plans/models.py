@@ -9,7 +9,9 @@ from ..operators import windows
 from ..operators.cleaning import exclude_features
 from ..operators.indicators import sector_regime
 from ..operators.joins import combine_pairs, fold_rows
+from ..operators.report import fold_summary
 from ..operators.windows import top_k
+from ..session import pin
 from .registry import query
 from .selection import FEATURES, returns
 from .sqltext import sql
@@ -20,19 +22,26 @@ def _targets(c, name="ticker"):
     return c.pred.select(F.col("ticker").alias(name), "date", F.col("ret").alias("y"))
 
 
+def _stage(c):
+    """Technical features and their lagged series, the latter kept as a stage table."""
+    f = exclude_features(c.features)
+    return f, pin(s.lag_series(f))
+
+
 def _selected(c, k, min_obs=30, train_share=0.8):
     """Long design rows: each target's k strongest lagged technical features."""
-    f = exclude_features(c.features)
-    top = s.top_k_features(f.filter("feature = 'RET'").select("ticker", "date", "value"), f, k, min_obs=min_obs, train_share=train_share)
-    lagged = s.lag_series(f)
-    return top.join(lagged, top.predictor == lagged.series).select("target", "date", F.col("predictor").alias("feature"), "value")
+    f, lagged = _stage(c)
+    t = f.filter("feature = 'RET'").select(F.col("ticker").alias("series"), "date", "value")
+    top = s.top_k_series(t, lagged, k, train_share=train_share, min_obs=min_obs)
+    return top.select("target", F.col("predictor").alias("series")).join(lagged, "series").select(
+        "target", "date", F.col("series").alias("feature"), "value")
 
 
 @query("m9_screen_logistic")
 def _(c):
     r = returns(c)
     chain = s.lag_chain(s.best_lag1(r), 5)
-    lead = s._leader_values(r, chain, 5).select("ticker", "date", F.col("depth").alias("d"), F.concat(F.lit("chain"), F.col("depth").cast("string")).alias("feature"), F.col("x").alias("value"))
+    lead = s.leader_values(r, chain, 5).select("ticker", "date", F.col("depth").alias("d"), F.concat(F.lit("chain"), F.col("depth").cast("string")).alias("feature"), F.col("x").alias("value"))
     deep = F.explode(F.filter(F.array(F.lit(3), F.lit(4), F.lit(5)), lambda k: k >= F.col("d"))).alias("depth")
     chain_rows = lead.select("ticker", "date", deep, "feature", "value")
     tech = _selected(c, 3).select(F.col("target").alias("ticker"), "date", F.explode(F.array(F.lit(3), F.lit(4), F.lit(5))).alias("depth"), "feature", "value")
@@ -55,12 +64,12 @@ def _(c):
 
     def ranked(rows, k):
         g = correlate(rows, "y", "value", ["target", "feature"]).filter("corr is not null and n >= 60")
-        return top_k(g, k, "target", [F.abs("corr").desc(), F.col("feature")], "rank")
+        return pin(top_k(g, k, "target", [F.abs("corr").desc(), F.col("feature")], "rank"))  # k rows per target
 
     mr, sr = ranked(macro_rows, 5), ranked(micro_rows, 5)
     combos = combine_pairs(mr, sr)
-    keep = mr.select("target", "feature").unionByName(sr.select("target", "feature"))
-    data = macro_rows.unionByName(micro_rows.select(*macro_rows.columns)).join(keep, ["target", "feature"], "left_semi")
+    data = macro_rows.join(mr.select("target", "feature"), ["target", "feature"], "left_semi").unionByName(
+        micro_rows.join(sr.select("target", "feature"), ["target", "feature"], "left_semi"))
     return m.screen_combos(data, combos, test_rows=20, keep_above=0.55)
 
 
@@ -175,21 +184,17 @@ def _(c):
 
 @query("m21_walk_forward")
 def _(c):
-    f = exclude_features(c.features)
+    f, lagged = _stage(c)
     ret = f.filter("feature = 'RET'").select("ticker", "date", "value")
-    lagged = s.lag_series(f)
-    roles = fold_rows(ret, 5)
-    out = None
-    for k in range(1, 6):
-        fold = roles.filter(F.col("fold") == k)
-        top = s.top_k_features(fold.filter("not is_test").select("ticker", "date", "value"), f, 5, train_share=None, min_obs=10)
-        rows = top.join(lagged, top.predictor == lagged.series).select("target", "date", F.col("predictor").alias("feature"), lagged.value)
-        y = fold.select(F.col("ticker").alias("target"), "date", F.col("value").alias("y"), "fold", "is_test")
-        part = m.design(rows, y, "target").filter("fold is not null")
-        out = part if out is None else out.unionByName(part)
-    res = m.linear_per_group(out, ["target", "fold"], penalty=5.0)
-    from ..operators.report import fold_summary
-    return fold_summary(res.withColumnRenamed("test_r2", "r2"), "target")
+    roles = fold_rows(ret, 5).withColumn("series", F.concat_ws("|", "ticker", F.col("fold").cast("string")))
+    # one series per target and fold, so a single correlation job selects for all folds
+    top = s.top_k_series(roles.filter("not is_test").select("series", "date", "value"), lagged, 5, min_obs=10)
+    picked = top.select("target", F.col("predictor").alias("series")).join(lagged, "series")
+    rows = picked.select("target", "date", F.col("series").alias("feature"), "value")
+    y = roles.select(F.col("series").alias("target"), "date", F.col("value").alias("y"), "fold", "is_test", "ticker")
+    d = m.design(rows, y, "target").filter("fold is not null")
+    res = m.linear_per_group(d.drop("target"), ["ticker", "fold"], penalty=5.0)
+    return fold_summary(res.withColumnRenamed("test_r2", "r2"), "ticker")
 
 
 @query("m22_clusters")
