@@ -10,9 +10,29 @@ from ..frames import by, cols, last_per
 
 # ---- bars and volume -------------------------------------------------------
 
+def packed_order(*parts: tuple[Column, int]) -> Column:
+    """One decimal that sorts like the tuple of non-negative whole parts.
+
+    Each part comes with its number of digits (38 in all). Unlike a struct, a
+    decimal lets min_by and max_by run in a hash aggregate, so raw rows are not
+    sorted before they are combined.
+    """
+    total, room = None, sum(d for _, d in parts)
+    if room > 38:
+        raise ValueError(f"{room} digits do not fit")
+    for c, digits in parts:
+        room -= digits
+        term = c.cast(f"decimal({digits},0)") * F.lit("1" + "0" * room).cast(f"decimal({room + 1},0)") if room else c.cast(f"decimal({digits},0)")
+        total = term if total is None else total + term
+    return total.cast("decimal(38,0)")
+
+
 def bars_from_ticks(ticks: DataFrame, keys, order) -> DataFrame:
-    """OHLCV bars; open and close follow ``order``, all parts combine on the map side."""
-    o = F.struct(*cols(order))
+    """OHLCV bars; open and close follow ``order``, all parts combine on the map side.
+
+    Give ``order`` as one column (see :func:`packed_order`) where it can be.
+    """
+    o = F.col(order) if isinstance(order, str) else F.struct(*cols(order))
     return ticks.groupBy(*cols(keys)).agg(
         F.min_by("price", o).alias("open"), F.max("price").alias("high"),
         F.min("price").alias("low"), F.max_by("price", o).alias("close"),

@@ -21,7 +21,7 @@ _GAPPY = """gappy AS (SELECT "user" AS ticker, date, arg_min(price, row(ts, seq)
 
 _BARS = """lt AS (SELECT 'S' || l_suppkey AS ticker, CAST(date_trunc('month', l_shipdate) AS DATE) AS date,
   sqrt(l_extendedprice / l_quantity) AS price, l_quantity AS size,
-  row(l_shipdate, l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS k FROM lineitem),
+  row(l_shipdate, l_orderkey, l_linenumber, l_partkey) AS k FROM lineitem),
 bars AS (SELECT ticker, date, arg_min(price, k) AS open, max(price) AS high, min(price) AS low,
   arg_max(price, k) AS close, sum(size) AS volume FROM lt GROUP BY ticker, date)"""
 

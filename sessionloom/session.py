@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``. A temporary folder is made
     only when that setting is absent, which is the case in local tests.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named
     app = spark.sparkContext.applicationId
@@ -49,9 +49,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
 
 
 def pin(df: DataFrame) -> DataFrame:
-    """Cut lineage by a reliable checkpoint so a retried task sees the same rows."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
+    """Cut lineage by writing the rows to the shared folder and reading them back.
+
+    A retried task then sees the same rows, later scans read only the columns
+    they need, and join planning knows the real size.
+    """
+    path = scratch_path(df.sparkSession, "pin")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

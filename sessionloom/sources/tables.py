@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frames import by
-from ..operators.aggregates import bars_from_ticks
+from ..operators.aggregates import bars_from_ticks, packed_order
 
 # Order priority -> persona.
 PERSONAS = {
@@ -37,18 +37,19 @@ def ticks(spark, root) -> DataFrame:
         F.col("value").alias("price"), F.lit(1.0).alias("size"),
         F.to_date("ts").alias("date"), F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("user"),
         "props",
+        packed_order((F.unix_micros(F.col("ts").cast("timestamp")), 19), (F.col("event_id"), 19)).alias("ord"),
     )
 
 
 def dense(spark, root) -> DataFrame:
     """Daily bars of the five event types."""
-    return bars_from_ticks(ticks(spark, root), ["ticker", "date"], ["ts", "seq"])
+    return bars_from_ticks(ticks(spark, root), ["ticker", "date"], "ord")
 
 
 def gappy(spark, root) -> DataFrame:
     """Daily bars per user; many sessions are missing."""
     t = ticks(spark, root).withColumn("ticker", F.col("user"))
-    return bars_from_ticks(t, ["ticker", "date"], ["ts", "seq"])
+    return bars_from_ticks(t, ["ticker", "date"], "ord")
 
 
 def _line_ticks(spark, root) -> DataFrame:
@@ -57,16 +58,14 @@ def _line_ticks(spark, root) -> DataFrame:
         F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"),
         F.sqrt(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("size"),
-        "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
+        packed_order((F.unix_date(F.to_date("l_shipdate")), 6), (F.col("l_orderkey"), 15), (F.col("l_linenumber"), 2),
+                     (F.col("l_partkey"), 15)).alias("ord"),
     )
 
 
 def bars(spark, root) -> DataFrame:
     """Monthly bars per supplier: about 83 sessions each."""
-    return bars_from_ticks(
-        _line_ticks(spark, root), ["ticker", "date"],
-        ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"],
-    )
+    return bars_from_ticks(_line_ticks(spark, root), ["ticker", "date"], "ord")
 
 
 def sectors(spark, root) -> DataFrame:

@@ -17,6 +17,7 @@ def read_ticks(spark: SparkSession, folder: str, pattern: str = "events*.parquet
 
 
 def as_ticks(events: DataFrame) -> DataFrame:
+    """Watermarks need an instant, so the session time zone must be UTC (see ``build_session``)."""
     return events.select(
         F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("seq"),
         F.col("value").alias("price"), F.lit(1.0).alias("size"), F.col("user_id").alias("user"))
