@@ -56,6 +56,17 @@ def last_per(df: DataFrame, keys, order) -> DataFrame:
     return _pick(df, keys, order, F.max_by)
 
 
+def _sliced(df: DataFrame, keys, order: Sequence[Column], slices: int | None) -> DataFrame:
+    """Rows range-partitioned on (keys, order) with their slice number.
+
+    A hot key is spread over many slices. The result is pinned because the slice
+    number must not change on a retry.
+    """
+    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+    return pin(ranged.withColumn("_slice", F.spark_partition_id()))
+
+
 def ranged_running(
     df: DataFrame,
     keys,
@@ -65,18 +76,11 @@ def ranged_running(
 ) -> DataFrame:
     """Running sums inside groups of any size.
 
-    Rows are range-partitioned on (keys, order), so a hot key is spread over
-    many slices. Each slice sums locally, the slice totals (at most one row per
-    key and slice) are accumulated, and both parts are added. The sliced rows
-    are pinned because the slice number must not change on a retry.
+    Each slice sums locally, the slice totals (at most one row per key and
+    slice) are accumulated, and both parts are added.
     """
     keys = cols(keys)
-    spark = df.sparkSession
-    n = slices or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sliced = pin(
-        df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-        .withColumn("_slice", F.spark_partition_id())
-    )
+    sliced = _sliced(df, keys, order, slices)
     local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(UNB, 0)
     part = sliced.select("*", *[F.sum(e).over(local).alias(f"_l_{c}") for c, e in sums.items()])
     totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(e).alias(f"_t_{c}") for c, e in sums.items()])
@@ -90,3 +94,16 @@ def ranged_running(
         *[F.col(c) for c in df.columns],
         *[(F.coalesce(F.col(f"_l_{c}"), F.lit(0)) + F.col(f"_o_{c}")).alias(c) for c in sums],
     )
+
+
+def ranged_last(df: DataFrame, keys, order, value: str, out: str, slices: int | None = None) -> DataFrame:
+    """Last non-null value so far inside groups of any size; ``order`` are ascending column names."""
+    keys, order = cols(keys), cols(order)
+    sliced = _sliced(df, keys, [F.col(c) for c in order], slices)
+    local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(UNB, 0)
+    part = sliced.withColumn("_l", F.last(value, True).over(local))
+    ends = sliced.filter(F.col(value).isNotNull()).groupBy(*keys, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_e"))
+    marks = sliced.select(*keys, "_slice").distinct().join(ends, [*keys, "_slice"], "left")
+    prior = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(UNB, -1)
+    carry = marks.select(*keys, "_slice", F.last("_e", True).over(prior).alias("_c"))
+    return part.join(carry, [*keys, "_slice"]).select(*df.columns, F.coalesce("_l", "_c").alias(out))

@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..frames import by
+from ..session import pin
 
+SERIES_PER_BLOCK = 256
 _FIELDS = "target string, predictor string, n long, corr double, slope double, intercept double"
 
 
@@ -65,34 +66,63 @@ def _packed(df: DataFrame, value: str) -> DataFrame:
         "series", F.col("_e")["_day"].alias("days"), F.col("_e")[value].alias("values"))
 
 
-def block_correlation(targets: DataFrame, predictors: DataFrame, *, blocks: int = 4, top: int | None = None,
-                      min_obs: int = 2) -> DataFrame:
-    """Pairwise-complete correlation, slope and intercept of two sets of series.
+def pack(df: DataFrame) -> DataFrame:
+    """(series, date, value) -> stored rows of (series, days, values)."""
+    return pin(_packed(df.select("series", F.unix_date("date").alias("_day"), "value"), "value"))
+
+
+def shifted(packed: DataFrame, lag: int) -> DataFrame:
+    """Each series moved ``lag`` of its own sessions ahead, without another window."""
+    n = F.greatest(F.size("days") - lag, F.lit(0))
+    return packed.select("series", F.slice("days", F.lit(lag + 1), n).alias("days"), F.slice("values", F.lit(1), n).alias("values"))
 
-    Inputs have (series, date, value). ``blocks`` should be about the number of
-    series / 256. With ``top`` each task keeps the strongest predictors of each
-    of its targets, and the final ranking sees blocks * top rows per target.
+
+def packed_correlation(a: DataFrame, b: DataFrame, *, blocks: int | None = None, top: int | None = None,
+                       min_obs: int = 2) -> DataFrame:
+    """Pair statistics of packed targets ``a`` and packed predictors ``b``.
+
+    The number of blocks follows the number of series (256 a block), so the size
+    of one task's matrices does not grow with the universe.
     """
-    day = F.unix_date("date").alias("_day")
-    a = _packed(targets.select("series", day, "value"), "value")
-    b = _packed(predictors.select("series", day, "value"), "value")
+    if blocks is None:
+        blocks = max(1, -(-max(a.count(), b.count()) // SERIES_PER_BLOCK))
     home = F.pmod(F.xxhash64("series"), F.lit(blocks)).cast("int")
     spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     left = a.withColumn("_lb", home).withColumn("_rb", spread)
-    right = b.withColumn("_rb", home).withColumn("_lb", spread)
+    # both sides may come from one frame, and cogroup needs distinct columns
+    right = b.select(*[F.col(c).alias(f"r_{c}") for c in ("series", "days", "values")])
+    right = right.withColumn("_rb", F.pmod(F.xxhash64("r_series"), F.lit(blocks)).cast("int")).withColumn("_lb", spread)
 
     def work(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
             return pd.DataFrame(columns=["target", "predictor", "n", "corr", "slope", "intercept"])
-        return _pair_stats(l, r, top, min_obs)
+        return _pair_stats(l, r.rename(columns=lambda c: c.removeprefix("r_")), top, min_obs)
 
     return left.groupBy("_lb", "_rb").cogroup(right.groupBy("_lb", "_rb")).applyInPandas(work, _FIELDS)
 
 
-def lagged_correlation(df: DataFrame, lag: int = 1, *, blocks: int = 4, top: int | None = None,
+def block_correlation(targets: DataFrame, predictors: DataFrame, *, blocks: int | None = None, top: int | None = None,
+                      min_obs: int = 2) -> DataFrame:
+    """Pairwise-complete correlation, slope and intercept of two sets of series.
+
+    Inputs have (series, date, value). With ``top`` each task keeps the strongest
+    predictors of each of its targets, and the final ranking sees blocks * top
+    rows per target.
+    """
+    return packed_correlation(pack(targets), pack(predictors), blocks=blocks, top=top, min_obs=min_obs)
+
+
+def lagged_correlation(df: DataFrame, lag: int = 1, *, blocks: int | None = None, top: int | None = None,
                        min_obs: int = 2, exclude_self: bool = False) -> DataFrame:
-    """corr(target_t, predictor_{t-lag}) over all ticker pairs; lags count sessions of the predictor."""
-    t = df.select(F.col("ticker").alias("series"), "date", "value")
-    p = df.select(F.col("ticker").alias("series"), "date", F.lag("value", lag).over(by()).alias("value"))
-    out = block_correlation(t, p, blocks=blocks, top=None if top is None else top + int(exclude_self), min_obs=min_obs)
+    """corr(target_t, predictor_{t-lag}) over all ticker pairs; lags count sessions of the predictor.
+
+    A lag counts rows that carry a value.
+    """
+    p = pack(df.select(F.col("ticker").alias("series"), "date", "value"))
+    return lagged_packed(p, lag, blocks=blocks, top=top, min_obs=min_obs, exclude_self=exclude_self)
+
+
+def lagged_packed(p: DataFrame, lag: int, *, blocks: int | None = None, top: int | None = None, min_obs: int = 2,
+                  exclude_self: bool = False) -> DataFrame:
+    out = packed_correlation(p, shifted(p, lag), blocks=blocks, top=None if top is None else top + int(exclude_self), min_obs=min_obs)
     return out.filter("target <> predictor") if exclude_self else out

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..frames import UNB, by, cols
+from ..frames import UNB, by, cols, ranged_last
 from ..functions.dates import business_days
 
 
@@ -62,30 +62,21 @@ def not_in(df: DataFrame, known: DataFrame, on="ticker") -> DataFrame:
 
 
 def as_of(left: DataFrame, right: DataFrame, value: str, *, keys=("ticker",), left_time: str, right_time: str,
-          bucket: str = "day", out: str | None = None, strict: bool = False) -> DataFrame:
+          out: str | None = None, strict: bool = False) -> DataFrame:
     """Latest ``value`` at or before each left row's time (before it, if ``strict``).
 
-    Rows of both sides are stacked per (key, time bucket) and the last seen value
-    is carried inside the bucket; across buckets the bucket-end values are carried
-    over a frame with one row per bucket. A hot key is thus split by time, and no
-    range join is planned.
+    Both sides are stacked and the last seen value is carried along range slices
+    of (key, time), so neither a hot key nor a hot time span lands in one task
+    and no range join is planned. Left rows of one instant are told apart by a
+    hash, which lets even a single instant be split.
     """
     k, out = cols(keys), out or value
-    b = F.date_trunc(bucket, F.col("_t"))
-    l = left.withColumns({"_t": F.col(left_time), "_side": F.lit(0 if strict else 1), "_v": F.lit(None).cast(
-        right.schema[value].dataType)}).withColumn("_b", b)
-    r = right.filter(F.col(value).isNotNull()).select(*k, F.col(right_time).alias("_t"), F.col(value).alias("_v"))
-    r = r.withColumn("_b", b).withColumn("_side", F.lit(1 if strict else 0))
-    ends = r.groupBy(*k, "_b").agg(F.max_by("_v", "_t").alias("_end"))
-    marks = ends.unionByName(l.select(*k, "_b").distinct(), allowMissingColumns=True).groupBy(*k, "_b").agg(
-        F.max("_end").alias("_end"))
-    prior = Window.partitionBy(*k).orderBy("_b").rowsBetween(UNB, -1)
-    carry = marks.select(*k, "_b", F.last("_end", True).over(prior).alias("_carry"))
-    both = l.withColumn("_is_left", F.lit(True)).unionByName(r, allowMissingColumns=True)
-    run = Window.partitionBy(*k, "_b").orderBy("_t", "_side").rowsBetween(UNB, 0)
-    seen = both.withColumn("_seen", F.last("_v", True).over(run)).filter("_is_left")
-    j = seen.join(carry, [*k, "_b"], "left")
-    return j.select(*left.columns, F.coalesce("_seen", "_carry").alias(out))
+    quotes = right.filter(F.col(value).isNotNull()).groupBy(*k, F.col(right_time).alias("_t")).agg(F.max(value).alias("_v"))
+    r = quotes.withColumns({"_side": F.lit(1 if strict else 0), "_h": F.lit(0).cast("bigint"), "_is_left": F.lit(False)})
+    l = left.withColumns({"_t": F.col(left_time), "_side": F.lit(0 if strict else 1), "_h": F.xxhash64(*left.columns), "_is_left": F.lit(True)})
+    both = l.unionByName(r, allowMissingColumns=True)
+    seen = ranged_last(both, k, ["_t", "_side", "_h"], "_v", "_seen")
+    return seen.filter("_is_left").select(*[c for c in left.columns if c != out], F.col("_seen").alias(out))
 
 
 def exact_else_latest(df: DataFrame, series: DataFrame, value: str, date="date") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..frames import by, cols
+from ..session import pin
 from . import solvers
 from .ewm import ewm_recursive
 from .sizing import hit_label, kelly, override_note, recommendation
@@ -135,6 +136,7 @@ def meta_priors(rows: DataFrame, names: list[str], target: str) -> DataFrame:
     """Pooled standardised logistic regression: one coefficient per feature suffix."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import StandardScaler, VectorAssembler
+    rows = pin(rows.select(target, *names))  # read several times below
     d = rows.filter(F.col(target).isNotNull()).na.fill(0.0, names).withColumn("label", (F.col(target) > 0).cast("double"))
     d = VectorAssembler(inputCols=names, outputCol="raw").transform(d).select("label", "raw")
     scaled = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(d).transform(d).select("label", "features")
@@ -154,6 +156,7 @@ def regimes(rows: DataFrame, names: list[str], ret: str, states: int = 3, seed:
     from pyspark.ml.feature import StandardScaler, VectorAssembler
 
     from .aggregates import transitions
+    rows = pin(rows)  # read several times below
     d = VectorAssembler(inputCols=names, outputCol="raw").transform(rows.dropna(subset=[*names, ret]))
     d = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(d).transform(d)
     m = GaussianMixture(k=states, seed=seed, maxIter=60).fit(d)
@@ -171,6 +174,7 @@ def regimes(rows: DataFrame, names: list[str], ret: str, states: int = 3, seed:
 def clusters(rows: DataFrame, names: list[str], k: int = 5, seed: int = 42) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.feature import StandardScaler, VectorAssembler
+    rows = pin(rows)  # read several times below
     d = VectorAssembler(inputCols=names, outputCol="raw").transform(rows.dropna(subset=names))
     d = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(d).transform(d)
     return KMeans(k=k, seed=seed, featuresCol="features").fit(d).transform(d).withColumnRenamed("prediction", "cluster").drop("raw", "features")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..frames import UNB, by
 from ..session import pin
-from .correlate import block_correlation, lagged_correlation
+from .correlate import block_correlation, lagged_correlation, lagged_packed, pack
 from .windows import top_k
 
 
@@ -40,13 +40,13 @@ def _strongest(corr: DataFrame, k: int, rank: str | None = "rank") -> DataFrame:
 
 
 def top_k_features(targets: DataFrame, features: DataFrame, k: int, *, lag: int = 1, train_share: float | None = 0.8,
-                   blocks: int = 4, min_obs: int = 2) -> DataFrame:
+                   blocks: int | None = None, min_obs: int = 2) -> DataFrame:
     """Strongest lagged features of every target by |correlation|, on train sessions only, in one job."""
     return top_k_series(targets.select(F.col("ticker").alias("series"), "date", "value"), lag_series(features, lag), k,
                         train_share=train_share, blocks=blocks, min_obs=min_obs)
 
 
-def top_k_series(targets: DataFrame, lagged: DataFrame, k: int, *, train_share: float | None = None, blocks: int = 4,
+def top_k_series(targets: DataFrame, lagged: DataFrame, k: int, *, train_share: float | None = None, blocks: int | None = None,
                  min_obs: int = 2) -> DataFrame:
     """Same on prepared (series, date, value) frames, e.g. one series per target and fold."""
     if train_share is not None:
@@ -54,7 +54,7 @@ def top_k_series(targets: DataFrame, lagged: DataFrame, k: int, *, train_share:
     return _strongest(block_correlation(targets, lagged, blocks=blocks, top=k, min_obs=min_obs), k)
 
 
-def lagged_r2(df: DataFrame, lag: int = 1, *, mode: str = "returns", blocks: int = 4) -> DataFrame:
+def lagged_r2(df: DataFrame, lag: int = 1, *, mode: str = "returns", blocks: int | None = None) -> DataFrame:
     """R-squared of every (target, predictor) pair.
 
     ``returns`` keeps the sessions on which every ticker has both its value and
@@ -80,11 +80,12 @@ def lagged_r2(df: DataFrame, lag: int = 1, *, mode: str = "returns", blocks: int
     return c.select("target", "predictor", "n", (F.col("corr") * F.col("corr")).alias("r2"))
 
 
-def multi_lag(df: DataFrame, lags=(1, 2, 3, 4, 5), k: int = 3, blocks: int = 4) -> DataFrame:
+def multi_lag(df: DataFrame, lags=(1, 2, 3, 4, 5), k: int = 3, blocks: int | None = None) -> DataFrame:
     """Strongest other tickers per target and lag."""
     out = None
+    p = pack(df.select(F.col("ticker").alias("series"), "date", "value"))
     for lag in lags:
-        c = lagged_correlation(df, lag, blocks=blocks, top=k, exclude_self=True)
+        c = lagged_packed(p, lag, blocks=blocks, top=k, exclude_self=True)
         part = _strongest(c, k).withColumn("lag", F.lit(lag))
         out = part if out is None else out.unionByName(part)
     return out.withColumn("r2", F.col("corr") * F.col("corr"))
@@ -95,7 +96,7 @@ def best_over_lags(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy("target").agg(F.min_by(F.struct("predictor", "lag", "r2"), order).alias("b")).select("target", "b.*")
 
 
-def best_lag1(df: DataFrame, min_obs: int = 50, blocks: int = 4) -> DataFrame:
+def best_lag1(df: DataFrame, min_obs: int = 50, blocks: int | None = None) -> DataFrame:
     """The one strongest lag-1 predictor of every ticker (itself included)."""
     return _strongest(lagged_correlation(df, 1, blocks=blocks, top=1, min_obs=min_obs), 1, None)
 

@@ -34,7 +34,7 @@ def settle_missing(positions: DataFrame, priced: DataFrame, prices: DataFrame) -
     """Positions whose ticker is not in ``priced``: last known close, otherwise cost."""
     lost = positions.join(priced.select("ticker").distinct(), "ticker", "left_anti")
     px = prices.select("ticker", F.col("date").alias("price_date"), "close")
-    d = as_of(lost, px, "close", left_time="date", right_time="price_date", bucket="year", out="last_close")
+    d = as_of(lost, px, "close", left_time="date", right_time="price_date", out="last_close")
     ret = F.when(F.col("price") > 0, F.try_divide(F.col("last_close") - F.col("price"), F.col("price")))
     return d.withColumn("pnl", F.coalesce(F.col("dollars") * ret, F.lit(0.0))).withColumn(
         "resolution", F.when(ret.isNotNull(), "RECOVERED").otherwise("AT_COST"))

@@ -162,7 +162,7 @@ def weights(spark, root) -> DataFrame:
     """etf = part type, ticker = supplier, weight = revenue share in percent."""
     li, p = table(spark, root, "lineitem"), table(spark, root, "part")
     rev = (
-        li.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_extendedprice").alias("rev"))
+        li.select("l_partkey", "l_suppkey", F.col("l_extendedprice").alias("rev"))
         .join(p.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
         .groupBy(F.col("p_type").alias("etf"),
                  F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"))

@@ -28,4 +28,4 @@ def entry_signals(bars: DataFrame, orders: DataFrame) -> DataFrame:
 def with_latest_gauge(batch: DataFrame, gauge: DataFrame, value: str = "gauge") -> DataFrame:
     """Each tick of a batch with the gauge value known at its time; one gauge for all tickers."""
     b, g = batch.withColumn("_all", F.lit(1)), gauge.withColumn("_all", F.lit(1))
-    return as_of(b, g, value, keys="_all", left_time="ts", right_time="gauge_ts", bucket="hour").drop("_all")
+    return as_of(b, g, value, keys="_all", left_time="ts", right_time="gauge_ts").drop("_all")

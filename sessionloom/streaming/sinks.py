@@ -82,6 +82,7 @@ def split_late_sink(path: str, event_time: str, delay_seconds: int) -> Callable[
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        batch = batch.persist()  # written in three parts
         schema = "hi timestamp, batch_id bigint"
         marks = f"{path}/marks"
         seen = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(marks) if _exists(spark, marks) else spark.createDataFrame([], schema)
@@ -93,5 +94,6 @@ def split_late_sink(path: str, event_time: str, delay_seconds: int) -> Callable[
             part.drop("_late").write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
         batch.agg(F.max(event_time).alias("hi")).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode(
             "overwrite").parquet(f"{marks}/batch-{batch_id}")
+        batch.unpersist()
 
     return sink
