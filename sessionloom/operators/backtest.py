@@ -59,8 +59,8 @@ def compounding_curves(returns: DataFrame, name="strategy", start: float = 10000
 
 def pnl_race(ledger: DataFrame, ticker: str, days: int = 35) -> DataFrame:
     """Cumulative PnL of one ticker per persona over the last days of the ledger."""
-    end = ledger.agg(F.max("date").alias("_end"))
-    d = ledger.join(F.broadcast(end)).filter(F.col("date") >= F.date_sub("_end", days))  # one row
+    end = ledger.agg(F.max("date")).scalar()
+    d = ledger.filter(F.col("date") >= F.date_sub(end, days))
     v = F.coalesce(F.try_element_at("daily_pnl", F.lit(ticker)), F.lit(0.0))
     return d.select("persona", "date", F.sum(v).over(by("persona").rowsBetween(UNB, 0)).alias("cum_pnl"))
 

@@ -77,21 +77,31 @@ def shifted(packed: DataFrame, lag: int) -> DataFrame:
     return packed.select("series", F.slice("days", F.lit(lag + 1), n).alias("days"), F.slice("values", F.lit(1), n).alias("values"))
 
 
+def unpack(packed: DataFrame) -> DataFrame:
+    z = F.explode(F.arrays_zip("days", "values"))
+    return packed.withColumn("_z", z).select(*[c for c in packed.columns if c not in ("days", "values")],
+                                             F.date_from_unix_date("_z.days").alias("date"), F.col("_z.values").alias("value"))
+
+
 def packed_correlation(a: DataFrame, b: DataFrame, *, blocks: int | None = None, top: int | None = None,
                        min_obs: int = 2) -> DataFrame:
     """Pair statistics of packed targets ``a`` and packed predictors ``b``.
 
-    The number of blocks follows the number of series (256 a block), so the size
-    of one task's matrices does not grow with the universe.
+    Each side's number of blocks follows its number of series (256 a block), so
+    the size of one task's matrices does not grow with the universe.
     """
-    if blocks is None:
-        blocks = max(1, -(-max(a.count(), b.count()) // SERIES_PER_BLOCK))
-    home = F.pmod(F.xxhash64("series"), F.lit(blocks)).cast("int")
-    spread = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = a.withColumn("_lb", home).withColumn("_rb", spread)
+    na, nb = (blocks or max(1, -(-x.count() // SERIES_PER_BLOCK)) for x in (a, b))
+
+    def home(name, n):
+        return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
+
+    def spread(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    left = a.withColumn("_lb", home("series", na)).withColumn("_rb", spread(nb))
     # both sides may come from one frame, and cogroup needs distinct columns
     right = b.select(*[F.col(c).alias(f"r_{c}") for c in ("series", "days", "values")])
-    right = right.withColumn("_rb", F.pmod(F.xxhash64("r_series"), F.lit(blocks)).cast("int")).withColumn("_lb", spread)
+    right = right.withColumn("_rb", home("r_series", nb)).withColumn("_lb", spread(na))
 
     def work(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:

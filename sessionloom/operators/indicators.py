@@ -222,8 +222,8 @@ def sector_gravity(bars: DataFrame, benchmark: str, gap: int = 4) -> DataFrame:
     mom = F.try_divide(F.col("close") - F.lag("close", gap).over(by()), F.lag("close", gap).over(by()))
     m = bars.select("ticker", "date", mom.alias("momentum"))
     last = m.groupBy("ticker").agg(F.max_by("momentum", "date").alias("momentum"))
-    bench = last.filter(F.col("ticker") == benchmark).agg(F.first("momentum").alias("benchmark_momentum"))
-    j = last.join(F.broadcast(bench))  # exactly one row
+    bench = last.filter(F.col("ticker") == benchmark).agg(F.first("momentum")).scalar()
+    j = last.withColumn("benchmark_momentum", bench)
     red = (F.col("momentum") < 0) & (F.col("momentum") < F.col("benchmark_momentum"))
     return j.select("ticker", "momentum", "benchmark_momentum", (~F.coalesce(red, F.lit(False))).alias("is_green"))
 

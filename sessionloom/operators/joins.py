@@ -81,9 +81,9 @@ def as_of(left: DataFrame, right: DataFrame, value: str, *, keys=("ticker",), le
 
 def exact_else_latest(df: DataFrame, series: DataFrame, value: str, date="date") -> DataFrame:
     """Value on the date, otherwise the newest value of the series."""
-    newest = series.agg(F.max_by(value, date).alias("_latest"))
-    j = df.join(series.select(date, value), date, "left").join(F.broadcast(newest))  # one row
-    return j.withColumn(value, F.coalesce(value, "_latest")).drop("_latest")
+    newest = series.agg(F.max_by(value, date)).scalar()
+    j = df.join(series.select(date, value), date, "left")
+    return j.withColumn(value, F.coalesce(F.col(value), newest))
 
 
 def lookup(df: DataFrame, table: DataFrame, on) -> DataFrame:
@@ -113,8 +113,8 @@ def densify(df: DataFrame, keys=("ticker",), date="date", fill: bool = True, per
     if per_key_span:
         spans = df.groupBy(*k).agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
     else:
-        whole = df.agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
-        spans = df.select(*k).distinct().join(F.broadcast(whole))  # one row
+        first, last = df.agg(F.min(date)).scalar(), df.agg(F.max(date)).scalar()
+        spans = df.select(*k).distinct().withColumns({"_a": first, "_b": last})
     grid = spans.select(*k, F.explode(business_days(F.col("_a"), F.col("_b"))).alias(date))
     out = grid.join(df, [*k, date], "left")
     if not fill:
@@ -145,8 +145,7 @@ def fold_rows(df: DataFrame, splits: int, date="date") -> DataFrame:
     """
     o = Window.orderBy(date)  # one row per session
     s = df.select(date).distinct().select(date, (F.row_number().over(o) - 1).alias("_i"))
-    n = s.agg(F.count(F.lit(1)).alias("_n"))
-    s = s.join(F.broadcast(n))  # one row
+    s = s.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
     size = F.floor(F.col("_n") / (splits + 1))
     start = F.col("_n") - size * splits
     block = F.when(F.col("_i") < start, 0).otherwise(F.floor(F.try_divide(F.col("_i") - start, size)) + 1)

@@ -21,6 +21,13 @@ def _out(df: DataFrame, check: str, key: Column, detail: Column) -> DataFrame:
     return df.select(F.lit(check).alias("check"), key.cast("string").alias("key"), detail.cast("string").alias("detail"))
 
 
+def _flags(df: DataFrame, *rules) -> DataFrame:
+    """Several (check, condition, key, detail) rules in one pass over the rows."""
+    hits = [F.when(cond, F.struct(F.lit(check).alias("check"), key.cast("string").alias("key"), detail.cast("string").alias("detail")))
+            for check, cond, key, detail in rules]
+    return df.select(F.inline(F.array_compact(F.array(*hits))))
+
+
 def _key(*names: str) -> Column:
     return F.concat_ws("|", *[F.col(n).cast("string") for n in names])
 
@@ -38,10 +45,9 @@ def balance(ledger: DataFrame, tolerance: float = 0.05, skip=("RESTORED",)) -> D
     d = ledger.filter(~F.coalesce(F.col("intraday_status"), F.lit("")).isin(*skip))
     diff = F.col("cash") + holdings_total(F.col("holdings")) - F.col("total_equity")
     d = d.withColumn("_d", diff)
-    bad = d.filter(F.abs("_d") > tolerance)
-    zero = d.filter(F.col("total_equity") < 0.05)
-    return together(_out(bad, "balance", _key("persona", "date"), _money(F.col("_d"))),
-                    _out(zero, "zero_equity", _key("persona", "date"), _money(F.col("total_equity"))))
+    key = _key("persona", "date")
+    return _flags(d, ("balance", F.abs("_d") > tolerance, key, _money(F.col("_d"))),
+                  ("zero_equity", F.col("total_equity") < 0.05, key, _money(F.col("total_equity"))))
 
 
 def missing_sessions(df: DataFrame, keys=("persona",), date="date", holidays=()) -> DataFrame:
@@ -68,8 +74,8 @@ def lagging(df: DataFrame, active: DataFrame | None = None, key="ticker", date="
     """Keys whose newest date is before the newest date of all."""
     d = df if active is None else df.join(active, key, "left_semi")
     last = d.groupBy(key).agg(F.max(date).alias("_l"))
-    top = last.agg(F.max("_l").alias("_m"))
-    return _out(last.join(F.broadcast(top)).filter("_l < _m"), "lagging", F.col(key), F.col("_l"))  # one row
+    top = d.agg(F.max(date)).scalar()
+    return _out(last.filter(F.col("_l") < top), "lagging", F.col(key), F.col("_l"))
 
 
 def orphans(held: DataFrame, known: DataFrame, check: str = "orphan", keys=("persona",), on="ticker") -> DataFrame:
@@ -92,16 +98,16 @@ def return_mismatch(df: DataFrame, stored="ret", value="close", keys=KEYS, toler
 
 def bounds(scores: DataFrame) -> DataFrame:
     p, r = F.col("p_up"), F.col("exp_ret")
-    return together(
-        _out(scores.filter((p < 0) | (p > 1)), "probability_bounds", _key("ticker", "date"), F.format_string("%.2f", p)),
-        _out(scores.filter(F.abs(r) > 0.20), "return_bounds", _key("ticker", "date"), F.format_string("%.6f", r)))
+    key = _key("ticker", "date")
+    return _flags(scores, ("probability_bounds", (p < 0) | (p > 1), key, F.format_string("%.2f", p)),
+                  ("return_bounds", F.abs(r) > 0.20, key, F.format_string("%.6f", r)))
 
 
 def paradoxes(scores: DataFrame) -> DataFrame:
     real = scores.filter("p_up <> 0.5")
-    return together(
-        _out(real.filter("p_up > 0.60 and exp_ret < -0.01"), "paradox", _key("ticker", "date"), F.format_string("%.6f", F.col("exp_ret"))),
-        _out(real.filter("exp_vol <= 0"), "zero_volatility", _key("ticker", "date"), F.format_string("%.6f", F.col("exp_vol"))))
+    key = _key("ticker", "date")
+    return _flags(real, ("paradox", F.expr("p_up > 0.60 and exp_ret < -0.01"), key, F.format_string("%.6f", F.col("exp_ret"))),
+                  ("zero_volatility", F.col("exp_vol") <= 0, key, F.format_string("%.6f", F.col("exp_vol"))))
 
 
 def dummy_scorecards(scores: DataFrame) -> DataFrame:
@@ -109,8 +115,9 @@ def dummy_scorecards(scores: DataFrame) -> DataFrame:
     g = scores.groupBy("ticker").agg(
         F.count(F.lit(1)).alias("n"), F.bool_and(F.col("p_up") == 0.5).alias("p"), F.bool_and(F.col("exp_ret") == 0).alias("r"),
         F.count_if(F.contains("status", F.lit("QUARANTIN"))).alias("q"))
-    return together(_out(g.filter("p"), "all_half", F.col("ticker"), F.col("n")), _out(g.filter("r"), "all_zero_return", F.col("ticker"), F.col("n")),
-                    _out(g.filter("q > 0"), "quarantined", F.col("ticker"), F.col("q")), _out(g.filter("n < 2"), "too_few_rows", F.col("ticker"), F.col("n")))
+    t = F.col("ticker")
+    return _flags(g, ("all_half", F.col("p"), t, F.col("n")), ("all_zero_return", F.col("r"), t, F.col("n")),
+                  ("quarantined", F.col("q") > 0, t, F.col("q")), ("too_few_rows", F.col("n") < 2, t, F.col("n")))
 
 
 def pending_wipeout(scores: DataFrame, label="hit", limit: int = 15) -> DataFrame:
@@ -180,8 +187,8 @@ def split_alignment(df: DataFrame, train: str, test_rows: int, keys=KEYS) -> Dat
     k = cols(keys)
     g = df.groupBy(*k).agg(F.count_if(~F.col(train)).alias("_t"), F.max(F.when(F.col(train), F.col("date"))).alias("_a"),
                            F.min(F.when(~F.col(train), F.col("date"))).alias("_b"))
-    return together(_out(g.filter(F.col("_t") != test_rows), "split_length", _key(*k), F.col("_t")),
-                    _out(g.filter("_a >= _b"), "split_order", _key(*k), F.col("_a")))
+    return _flags(g, ("split_length", F.col("_t") != test_rows, _key(*k), F.col("_t")),
+                  ("split_order", F.col("_a") >= F.col("_b"), _key(*k), F.col("_a")))
 
 
 def scaling_leak(df: DataFrame, scaled: str, train: str, keys=KEYS, tolerance: float = 1e-6) -> DataFrame:
@@ -196,4 +203,4 @@ def series_age(df: DataFrame, today, inception, keys=("persona",), date="date",
     g = df.groupBy(*k).agg(F.min(date).alias("_a"), F.max(date).alias("_b"))
     age = F.datediff(F.lit(today).cast("date"), F.col("_b"))
     late = F.col("_a") > F.lit(inception).cast("date")
-    return together(_out(g.filter(age > max_age), "stale_series", _key(*k), age), _out(g.filter(late), "late_start", _key(*k), F.col("_a")))
+    return _flags(g, ("stale_series", age > max_age, _key(*k), age), ("late_start", late, _key(*k), F.col("_a")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..frames import UNB, by
 from ..session import pin
-from .correlate import block_correlation, lagged_correlation, lagged_packed, pack
+from .correlate import block_correlation, lagged_correlation, lagged_packed, pack, packed_correlation, shifted, unpack
 from .windows import top_k
 
 
@@ -39,19 +39,30 @@ def _strongest(corr: DataFrame, k: int, rank: str | None = "rank") -> DataFrame:
     return top_k(corr.filter("corr is not null"), k, "target", [F.abs("corr").desc(), F.col("predictor")], rank)
 
 
+def pack_features(features: DataFrame) -> DataFrame:
+    """One stored row per TICKER_FEATURE series."""
+    return pack(features.select(feature_key().alias("series"), "date", "value"))
+
+
 def top_k_features(targets: DataFrame, features: DataFrame, k: int, *, lag: int = 1, train_share: float | None = 0.8,
                    blocks: int | None = None, min_obs: int = 2) -> DataFrame:
     """Strongest lagged features of every target by |correlation|, on train sessions only, in one job."""
-    return top_k_series(targets.select(F.col("ticker").alias("series"), "date", "value"), lag_series(features, lag), k,
-                        train_share=train_share, blocks=blocks, min_obs=min_obs)
+    t = targets.select(F.col("ticker").alias("series"), "date", "value")
+    return top_k_packed(t, shifted(pack_features(features), lag), k, train_share=train_share, blocks=blocks, min_obs=min_obs)
 
 
-def top_k_series(targets: DataFrame, lagged: DataFrame, k: int, *, train_share: float | None = None, blocks: int | None = None,
-                 min_obs: int = 2) -> DataFrame:
-    """Same on prepared (series, date, value) frames, e.g. one series per target and fold."""
+def top_k_packed(targets: DataFrame, lagged: DataFrame, k: int, *, train_share: float | None = None,
+                 blocks: int | None = None, min_obs: int = 2) -> DataFrame:
+    """Same on (series, date, value) targets and packed lagged features, e.g. one target series per fold."""
     if train_share is not None:
         targets = targets.join(train_dates(targets, train_share), "date", "left_semi")
-    return _strongest(block_correlation(targets, lagged, blocks=blocks, top=k, min_obs=min_obs), k)
+    return _strongest(packed_correlation(pack(targets), lagged, blocks=blocks, top=k, min_obs=min_obs), k)
+
+
+def selected_rows(top: DataFrame, lagged: DataFrame) -> DataFrame:
+    """Long (target, date, feature, value) rows of the selected series only."""
+    j = top.select("target", F.col("predictor").alias("series")).join(lagged, "series")
+    return unpack(j).select("target", "date", F.col("series").alias("feature"), "value")
 
 
 def lagged_r2(df: DataFrame, lag: int = 1, *, mode: str = "returns", blocks: int | None = None) -> DataFrame:
@@ -64,15 +75,15 @@ def lagged_r2(df: DataFrame, lag: int = 1, *, mode: str = "returns", blocks: int
         days = df.select("date").distinct()
         span = df.groupBy("ticker").agg(F.min("date").alias("_a"))
         w = by().rowsBetween(UNB, 0)
-        per_day = days.agg(F.sort_array(F.collect_list("date")).alias("_d"))  # the session list, one row
-        grid = span.join(F.broadcast(per_day)).select("ticker", F.explode(F.filter("_d", lambda x: x >= F.col("_a"))).alias("date"))
+        sessions = days.agg(F.sort_array(F.collect_list("date"))).scalar()  # bounded by the calendar
+        grid = span.withColumn("_d", sessions).select("ticker", F.explode(F.filter("_d", lambda x: x >= F.col("_a"))).alias("date"))
         df = grid.join(df, ["ticker", "date"], "left").select("ticker", "date", F.last("value", True).over(w).alias("value"))
         c = lagged_correlation(df, lag, blocks=blocks)
     else:
         d = df.withColumn("_l", F.lag("value", lag).over(by()))
         ok = d.filter("value is not null and _l is not null")
-        n = df.agg(F.count_distinct("ticker").alias("_n"))
-        full = ok.groupBy("date").agg(F.count(F.lit(1)).alias("_c")).join(F.broadcast(n)).filter("_c = _n")  # one row
+        n = df.agg(F.count_distinct("ticker")).scalar()
+        full = ok.groupBy("date").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") == n)
         d = ok.join(full.select("date"), "date", "left_semi")
         a = d.select(F.col("ticker").alias("series"), "date", "value")
         b = d.select(F.col("ticker").alias("series"), "date", F.col("_l").alias("value"))

@@ -156,7 +156,10 @@ def standardise_on_train(df: DataFrame, values, train: str, keys=(), eps: float
     k, vs = cols(keys), cols(values)
     stats = df.filter(F.col(train)).groupBy(*k).agg(
         *[f(v).alias(f"_{n}_{v}") for v in vs for n, f in (("m", F.avg), ("s", F.stddev_pop))])
-    j = df.join(stats, k, "left") if k else df.join(F.broadcast(stats))  # keyless stats: one row
+    if k:
+        j = df.join(stats, k, "left")
+    else:
+        j = df.withColumns({c: stats.select(c).scalar() for c in stats.columns})
     for v in vs:
         s = F.col(f"_s_{v}")
         s = s + eps if eps is not None else F.when(s < 1e-5, 1.0).otherwise(s)

@@ -14,7 +14,7 @@ from .sqltext import sql
 from .windows import CUM, W
 
 
-@query("a1_group_means", sql("pred", """SELECT date, sector, round(avg(ret), 6) + 0 AS mean_ret FROM pred GROUP BY 1, 2
+@query("a1_group_means", stage="pred", oracle=sql("pred", """SELECT date, sector, round(avg(ret), 6) + 0 AS mean_ret FROM pred GROUP BY 1, 2
 UNION ALL SELECT date, 'MARKET', round(avg(ret), 6) + 0 FROM pred GROUP BY 1"""))
 def _(c):
     s = a.group_mean(c.pred, ["date", "sector"], "ret", "mean_ret")
@@ -69,7 +69,7 @@ def _(c):
     return c.gappy
 
 
-@query("a11_sharpe", sql("pred", """, t AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM pred)
+@query("a11_sharpe", stage="pred", oracle=sql("pred", """, t AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS n FROM pred)
 SELECT ticker, round(avg(ret) / stddev_samp(ret) * sqrt(252.0), 6) + 0 AS sharpe, round(CASE WHEN count(ret) FILTER (n <= 30) >= 10 THEN
   avg(ret) FILTER (n <= 30) / stddev_samp(ret) FILTER (n <= 30) * sqrt(252.0) END, 6) + 0 AS sharpe_30 FROM t GROUP BY 1"""))
 def _(c):
@@ -95,7 +95,7 @@ def _(c):
     return a.win_rate(c.positions)
 
 
-@query("a15_asset_breakdown", sql("positions", """, l AS (SELECT persona, max(date) AS date FROM positions GROUP BY 1),
+@query("a15_asset_breakdown", stage="ledger", oracle=sql("positions", """, l AS (SELECT persona, max(date) AS date FROM positions GROUP BY 1),
 h AS (SELECT p.persona, p.ticker, p.dollars FROM positions p JOIN l ON p.persona = l.persona AND p.date = l.date),
 s AS (SELECT p.persona, p.ticker, sum(pnl) AS pnl, count(*) FILTER (pnl <> 0) AS trades, count(*) FILTER (pnl > 0) AS wins, coalesce(any_value(h.dollars), 0) AS deployed
   FROM positions p LEFT JOIN h ON p.persona = h.persona AND p.ticker = h.ticker GROUP BY 1, 2)
@@ -119,7 +119,7 @@ def _(c):
     return d.withColumn("loss", F.round("loss", 2))
 
 
-@query("a18_strikes", sql("positions", """, d AS (SELECT persona, date, row_number() OVER (PARTITION BY persona ORDER BY date DESC) AS n FROM (SELECT DISTINCT persona, date FROM positions))
+@query("a18_strikes", stage="ledger", oracle=sql("positions", """, d AS (SELECT persona, date, row_number() OVER (PARTITION BY persona ORDER BY date DESC) AS n FROM (SELECT DISTINCT persona, date FROM positions))
 SELECT p.persona, ticker, count(*) FILTER (pnl < 0) AS strikes, count(*) FILTER (pnl < 0) >= 3 AS blacklisted FROM positions p JOIN d ON p.persona = d.persona AND p.date = d.date AND n <= 6 GROUP BY 1, 2"""))
 def _(c):
     return report.strikes(explode_pnl(c.ledger), 6)
@@ -218,7 +218,7 @@ def _(c):
     return c.gappy.groupBy("ticker").agg(F.count_distinct("close").alias("closes"), F.count_distinct("date").alias("dates"))
 
 
-@query("a31_loss_kpis", sql("positions", """, d AS (SELECT *, dayname(date) AS dn FROM positions WHERE pnl < 0), m AS (SELECT persona, dn, count(*) AS n FROM d GROUP BY 1, 2),
+@query("a31_loss_kpis", stage="ledger", oracle=sql("positions", """, d AS (SELECT *, dayname(date) AS dn FROM positions WHERE pnl < 0), m AS (SELECT persona, dn, count(*) AS n FROM d GROUP BY 1, 2),
 w AS (SELECT persona, dn FROM (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY n DESC, dn) AS k FROM m) WHERE k = 1),
 x AS (SELECT persona, ticker FROM (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY pnl, ticker) AS k FROM d) WHERE k = 1)
 SELECT d.persona, round(sum(pnl), 2) AS total_loss, min(pnl) AS worst_loss, any_value(x.ticker) AS worst_ticker, any_value(w.dn) AS modal_weekday
@@ -228,7 +228,7 @@ def _(c):
     return d.withColumn("total_loss", F.round("total_loss", 2))
 
 
-@query("a32_transitions", sql("panel", REGIME + f""", t AS (SELECT lag(sector_regime) OVER ({W}) AS a, sector_regime AS b FROM regime),
+@query("a32_transitions", stage="panel", oracle=sql("panel", REGIME + f""", t AS (SELECT lag(sector_regime) OVER ({W}) AS a, sector_regime AS b FROM regime),
 g AS (SELECT * FROM (VALUES ('BULL_REGIME'), ('BEAR_REGIME')) x(a), (VALUES ('BULL_REGIME'), ('BEAR_REGIME')) y(b)),
 n AS (SELECT g.a, g.b, count(t.a) AS n FROM g LEFT JOIN t ON g.a = t.a AND g.b = t.b GROUP BY 1, 2)
 SELECT a AS from_state, b AS to_state, n, round((n + 1.0) / sum(n + 1.0) OVER (PARTITION BY a), 6) AS prob FROM n"""))
@@ -237,7 +237,7 @@ def _(c):
     return a.transitions(sector_regime(p), "sector_regime", ["BULL_REGIME", "BEAR_REGIME"])
 
 
-@query("report_ledger_metrics", sql("ledger", """, x AS (SELECT *, total_equity / lag(total_equity) OVER (PARTITION BY persona ORDER BY date) - 1 AS ret,
+@query("report_ledger_metrics", stage="ledger", oracle=sql("ledger", """, x AS (SELECT *, total_equity / lag(total_equity) OVER (PARTITION BY persona ORDER BY date) - 1 AS ret,
   max(total_equity) OVER (PARTITION BY persona ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pk FROM ledger)
 SELECT persona, round(arg_max(total_equity, date) / 10000 - 1, 6) + 0 AS return_on_start, round(arg_max(total_equity, date) / arg_min(total_equity, date) - 1, 6) + 0 AS return_on_first,
   round(100 * min((total_equity - pk) / pk), 6) + 0 AS max_drawdown_pct, count(ret) AS n, round(avg(ret) / stddev_samp(ret) * sqrt(252.0), 6) + 0 AS sharpe,

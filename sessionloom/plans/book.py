@@ -96,13 +96,13 @@ SETTLED = POS + f""", st AS (SELECT persona, ticker, p.date, dollars, price, p.c
 """
 
 
-@query("k7_settle", sql("bars macro", SETTLED + "SELECT persona, ticker, date, round(ret, 6) + 0 AS ret, round(dollars * ret, 4) + 0 AS pnl FROM st"))
+@query("k7_settle", stage="bars", oracle=sql("bars macro", SETTLED + "SELECT persona, ticker, date, round(ret, 6) + 0 AS ret, round(dollars * ret, 4) + 0 AS pnl FROM st"))
 def _(c):
     d = settle.settle(_pos(c), c.bars, c.macro)
     return d.select("persona", "ticker", "date", "ret", F.round("pnl", 4).alias("pnl"))
 
 
-@query("k8_settle_missing", sql("bars", """, lost AS (SELECT ticker, date, close * 0.9 AS price, volume AS dollars FROM bars WHERE ticker NOT IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal > 0)),
+@query("k8_settle_missing", stage="bars", oracle=sql("bars", """, lost AS (SELECT ticker, date, close * 0.9 AS price, volume AS dollars FROM bars WHERE ticker NOT IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_acctbal > 0)),
 px AS (SELECT ticker, date AS price_date, close FROM bars WHERE month(date) % 2 = 0), j AS (SELECT l.*, px.close FROM lost l ASOF LEFT JOIN px ON l.ticker = px.ticker AND l.date >= px.price_date)
 SELECT ticker, date, round(coalesce(dollars * (close - price) / price, 0), 4) + 0 AS pnl, CASE WHEN close IS NULL THEN 'AT_COST' ELSE 'RECOVERED' END AS resolution FROM j"""))
 def _(c):
@@ -155,7 +155,7 @@ def _(c):
         "persona", "date", "ticker", "h.dollars", "h.units", "h.price", "held")
 
 
-@query("k12_best_persona", sql("pred", """, g AS (SELECT sector AS persona, date, avg(ret) AS ret FROM pred GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY date DESC) AS n FROM g),
+@query("k12_best_persona", stage="pred", oracle=sql("pred", """, g AS (SELECT sector AS persona, date, avg(ret) AS ret FROM pred GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY persona ORDER BY date DESC) AS n FROM g),
 s AS (SELECT persona, avg(ret) / stddev_samp(ret) * sqrt(252.0) AS sharpe FROM t WHERE n <= 30 GROUP BY 1)
 SELECT arg_max(persona, sharpe) AS winner, round(max(sharpe), 6) AS sharpe FROM s"""))
 def _(c):
@@ -193,12 +193,12 @@ def _merged(c):
     return settle.merge_executions(tgt, cur, fl, p.filter("date = DATE'1997-04-01'"))
 
 
-@query("k14_merge_executions", sql("positions", FILLS + "SELECT persona, ticker, type, d IS NOT NULL AS held, round(d, 3) AS dollars, round(cash_move, 3) + 0 AS cash_move, round(np, 3) + 0 AS pnl FROM mh"))
+@query("k14_merge_executions", stage="positions", oracle=sql("positions", FILLS + "SELECT persona, ticker, type, d IS NOT NULL AS held, round(d, 3) AS dollars, round(cash_move, 3) + 0 AS cash_move, round(np, 3) + 0 AS pnl FROM mh"))
 def _(c):
     return _merged(c).select("persona", "ticker", "type", "held", *[F.round(x, 3).alias(x) for x in ("dollars", "cash_move", "pnl")])
 
 
-@query("k14_executed_ledger", sql("positions", FILLS + """SELECT persona, round(5000 + sum(cash_move), 2) AS cash, round(5000 + sum(cash_move) + sum(d), 2) AS total_equity,
+@query("k14_executed_ledger", stage="positions", oracle=sql("positions", FILLS + """SELECT persona, round(5000 + sum(cash_move), 2) AS cash, round(5000 + sum(cash_move) + sum(d), 2) AS total_equity,
   'Tracker Executed: ' || CASE WHEN persona = 'neutral' THEN 'TP/SL & ABORTED SELL' ELSE 'BUY & TP/SL & ABORTED SELL' END AS intraday_status FROM mh GROUP BY 1"""))
 def _(c):
     orders = c.positions.select("persona", F.lit(5000.0).alias("target_cash")).distinct()
@@ -271,7 +271,7 @@ def _(c):
     return d.select("date", "ret", "held", F.ln("equity").alias("log_equity"))
 
 
-@query("k19_strategy_race", sql("ledger", """SELECT a.date, a.total_equity AS one, b.total_equity AS two FROM ledger a JOIN ledger b ON a.date = b.date AND b.persona = 'dynamic' WHERE a.persona = 'neutral' AND a.date > DATE '1998-01-01'
+@query("k19_strategy_race", stage="ledger", oracle=sql("ledger", """SELECT a.date, a.total_equity AS one, b.total_equity AS two FROM ledger a JOIN ledger b ON a.date = b.date AND b.persona = 'dynamic' WHERE a.persona = 'neutral' AND a.date > DATE '1998-01-01'
 UNION ALL SELECT date, 1.0, 2.0 FROM ledger WHERE persona = 'aggressive' AND date <= DATE '1998-01-01'"""))
 def _(c):
     old = c.ledger.filter("persona = 'aggressive' and date < DATE'2000-01-01'").select("date", F.lit(1.0).alias("one"), F.lit(2.0).alias("two"))
@@ -285,7 +285,7 @@ stats AS (SELECT ticker, any_value(sector) AS sector, avg(close * volume) FILTER
 """
 
 
-@query("k20_composite_scores", sql("panel", _STATS + """, n AS (SELECT *, (liquidity - min(liquidity) OVER s) / (max(liquidity) OVER s - min(liquidity) OVER s) AS a, 1 - (volatility - min(volatility) OVER s) / (max(volatility) OVER s - min(volatility) OVER s) AS b FROM stats WINDOW s AS (PARTITION BY sector)),
+@query("k20_composite_scores", stage="bars", oracle=sql("panel", _STATS + """, n AS (SELECT *, (liquidity - min(liquidity) OVER s) / (max(liquidity) OVER s - min(liquidity) OVER s) AS a, 1 - (volatility - min(volatility) OVER s) / (max(volatility) OVER s - min(volatility) OVER s) AS b FROM stats WINDOW s AS (PARTITION BY sector)),
 x AS (SELECT sector, ticker, 0.7 * a + 0.3 * b AS cap_score, 0.3 * a + 0.7 * b AS vol_score FROM n),
 y AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY cap_score DESC, ticker) AS place FROM x)
 SELECT sector, ticker, round(cap_score, 6) AS cap_score, round(vol_score, 6) AS vol_score, place FROM y WHERE place <= 5"""))
@@ -295,20 +295,20 @@ def _(c):
     return top_k(d, 5, "sector", [F.col("cap_score").desc(), F.col("ticker")], "place").select("sector", "ticker", "cap_score", "vol_score", "place")
 
 
-@query("k21_rebalance_list", sql("panel", _STATS + """SELECT * FROM (SELECT sector, ticker, round(liquidity / volatility, 4) AS score, row_number() OVER (PARTITION BY sector ORDER BY liquidity / volatility DESC, ticker) AS place FROM stats) WHERE place <= 50"""))
+@query("k21_rebalance_list", stage="bars", oracle=sql("panel", _STATS + """SELECT * FROM (SELECT sector, ticker, round(liquidity / volatility, 4) AS score, row_number() OVER (PARTITION BY sector ORDER BY liquidity / volatility DESC, ticker) AS place FROM stats) WHERE place <= 50"""))
 def _(c):
     d = sizing.rebalance_list(c.bars, c.sectors, 50)
     return d.select("sector", "ticker", F.round("score", 4).alias("score"), "place")
 
 
-@query("k22_list_churn", sql("bars", """, o AS (SELECT DISTINCT ticker FROM bars WHERE date = DATE '1996-02-01'), n AS (SELECT DISTINCT ticker FROM bars WHERE date = DATE '2001-10-01')
+@query("k22_list_churn", stage="bars", oracle=sql("bars", """, o AS (SELECT DISTINCT ticker FROM bars WHERE date = DATE '1996-02-01'), n AS (SELECT DISTINCT ticker FROM bars WHERE date = DATE '2001-10-01')
 SELECT coalesce(o.ticker, n.ticker) AS ticker, CASE WHEN o.ticker IS NULL THEN 'added' WHEN n.ticker IS NULL THEN 'dropped' ELSE 'kept' END AS change FROM o FULL JOIN n ON o.ticker = n.ticker"""))
 def _(c):
     b = c.bars
     return sizing.list_churn(b.filter("date = DATE'1996-02-01'"), b.filter("date = DATE'2001-10-01'"))
 
 
-@query("k23_universe", sql("bars sectors", """, co AS (SELECT ticker FROM sectors WHERE industry = 'NATION_3'), lq AS (SELECT ticker FROM bars GROUP BY 1 HAVING avg(volume) * avg(close) >= 8000),
+@query("k23_universe", stage="bars", oracle=sql("bars sectors", """, co AS (SELECT ticker FROM sectors WHERE industry = 'NATION_3'), lq AS (SELECT ticker FROM bars GROUP BY 1 HAVING avg(volume) * avg(close) >= 8000),
 p AS (SELECT b.*, row_number() OVER (PARTITION BY b.ticker ORDER BY date DESC) AS n FROM bars b WHERE ticker IN (SELECT ticker FROM lq) AND ticker NOT IN (SELECT ticker FROM co)),
 q AS (SELECT ticker, date, close, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS x FROM p WHERE n <= 10),
 z AS (SELECT ticker, (arg_max(close, date) / arg_min(close, date) - 1) * stddev_samp(x) * sqrt(252.0) AS o FROM q GROUP BY 1 HAVING count(*) >= 5)
@@ -345,7 +345,7 @@ def _two(c):
     return a, b
 
 
-@query("k25_pending_change", sql("positions", _TWO + "SELECT persona, bool_or(abs(nd - od) > 1) AS pending FROM ab GROUP BY 1"))
+@query("k25_pending_change", stage="ledger", oracle=sql("positions", _TWO + "SELECT persona, bool_or(abs(nd - od) > 1) AS pending FROM ab GROUP BY 1"))
 def _(c):
     return report.pending_change(*_two(c))
 
@@ -359,12 +359,12 @@ def _(c):
     return d.withColumn("change", F.round("change", 2))
 
 
-@query("k27_action_text", sql("positions", _TWO + "SELECT persona, string_agg(CASE WHEN od = 0 AND nd > 0 THEN 'BUY' WHEN od > 0 AND nd = 0 THEN 'SELL' ELSE 'HOLD' END || ' ' || ticker, ' | ' ORDER BY CASE WHEN od = 0 AND nd > 0 THEN 'BUY' WHEN od > 0 AND nd = 0 THEN 'SELL' ELSE 'HOLD' END || ' ' || ticker) AS actions FROM ab GROUP BY 1"))
+@query("k27_action_text", stage="ledger", oracle=sql("positions", _TWO + "SELECT persona, string_agg(CASE WHEN od = 0 AND nd > 0 THEN 'BUY' WHEN od > 0 AND nd = 0 THEN 'SELL' ELSE 'HOLD' END || ' ' || ticker, ' | ' ORDER BY CASE WHEN od = 0 AND nd > 0 THEN 'BUY' WHEN od > 0 AND nd = 0 THEN 'SELL' ELSE 'HOLD' END || ' ' || ticker) AS actions FROM ab GROUP BY 1"))
 def _(c):
     return report.action_text(*_two(c))
 
 
-@query("k28_order_delta", sql("positions", _TWO + "SELECT persona, ticker, ou AS old_units, nu AS new_units, CASE WHEN nu = 0 AND ou > 0 THEN 'SELL' WHEN nu < ou THEN 'REDUCE' WHEN nu > ou THEN 'BUY' ELSE 'HOLD' END AS action FROM ab"))
+@query("k28_order_delta", stage="ledger", oracle=sql("positions", _TWO + "SELECT persona, ticker, ou AS old_units, nu AS new_units, CASE WHEN nu = 0 AND ou > 0 THEN 'SELL' WHEN nu < ou THEN 'REDUCE' WHEN nu > ou THEN 'BUY' ELSE 'HOLD' END AS action FROM ab"))
 def _(c):
     return report.order_delta(*_two(c))
 
@@ -372,7 +372,7 @@ def _(c):
 _BUG = "CASE WHEN ticker = 'BUILDING' AND month(date) IN (4, 5, 9) THEN 0 ELSE units END"
 
 
-@query("k29_refund", sql("positions ledger", f""", u AS (SELECT persona, ticker, date, dollars, {_BUG} AS units FROM positions), v AS (SELECT *, lag(units = 0 AND dollars > 0) OVER (PARTITION BY persona, ticker ORDER BY date) AS p FROM u),
+@query("k29_refund", stage="positions", oracle=sql("positions ledger", f""", u AS (SELECT persona, ticker, date, dollars, {_BUG} AS units FROM positions), v AS (SELECT *, lag(units = 0 AND dollars > 0) OVER (PARTITION BY persona, ticker ORDER BY date) AS p FROM u),
 t AS (SELECT persona, sum(dollars) AS rf FROM v WHERE units = 0 AND dollars > 0 AND NOT coalesce(p, false) GROUP BY 1), m AS (SELECT persona, max(date) AS date FROM ledger GROUP BY 1)
 SELECT l.persona, l.date, round(cash + CASE WHEN m.date IS NOT NULL THEN rf ELSE 0 END, 2) + 0 AS cash, round(total_equity + CASE WHEN m.date IS NOT NULL THEN rf ELSE 0 END, 2) + 0 AS total_equity
 FROM ledger l JOIN t ON l.persona = t.persona LEFT JOIN m ON l.persona = m.persona AND l.date = m.date"""))
@@ -389,7 +389,7 @@ def _(c):
     return bt.compounding_curves(g).select("strategy", "date", "equity")
 
 
-@query("k31_pnl_race", sql("positions", """, e AS (SELECT max(date) AS e FROM positions), d AS (SELECT DISTINCT persona, p.date FROM positions p, e WHERE p.date >= e.e - 300)
+@query("k31_pnl_race", stage="ledger", oracle=sql("positions", """, e AS (SELECT max(date) AS e FROM positions), d AS (SELECT DISTINCT persona, p.date FROM positions p, e WHERE p.date >= e.e - 300)
 SELECT d.persona, d.date, round(sum(coalesce(pnl, 0)) OVER (PARTITION BY d.persona ORDER BY d.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 2) + 0 AS cum_pnl
 FROM d LEFT JOIN positions p ON p.persona = d.persona AND p.date = d.date AND p.ticker = 'MACHINERY'"""))
 def _(c):

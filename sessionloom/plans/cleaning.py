@@ -76,7 +76,7 @@ grid AS (SELECT t.ticker, cal.date, g.close FROM (SELECT DISTINCT ticker FROM ga
 """
 
 
-@query("p7_fill_forward_back", sql("gappy", _DAYS.replace("FROM (SELECT DISTINCT ticker FROM gappy) t, cal LEFT JOIN", "FROM (SELECT DISTINCT ticker FROM gappy) t CROSS JOIN cal LEFT JOIN") +
+@query("p7_fill_forward_back", stage="gappy", oracle=sql("gappy", _DAYS.replace("FROM (SELECT DISTINCT ticker FROM gappy) t, cal LEFT JOIN", "FROM (SELECT DISTINCT ticker FROM gappy) t CROSS JOIN cal LEFT JOIN") +
        f"""SELECT ticker, date, coalesce(last_value(close IGNORE NULLS) {CUM}, first_value(close IGNORE NULLS) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS close
 FROM grid WHERE isodow(date) < 6"""))
 def _(c):
@@ -85,7 +85,7 @@ def _(c):
     return p.fill_forward_back(g, "close")
 
 
-@query("p8_min_history", sql("gappy", "SELECT ticker, date, close FROM gappy WHERE ticker IN (SELECT ticker FROM gappy GROUP BY 1 HAVING count(*) >= 28)"))
+@query("p8_min_history", stage="gappy", oracle=sql("gappy", "SELECT ticker, date, close FROM gappy WHERE ticker IN (SELECT ticker FROM gappy GROUP BY 1 HAVING count(*) >= 28)"))
 def _(c):
     return p.min_history(c.gappy, 28).select("ticker", "date", "close")
 
@@ -121,7 +121,7 @@ def _(c):
     return p.drop_empty_features(x)
 
 
-@query("p12_tail_head", sql("bars", """, x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS d, row_number() OVER (PARTITION BY ticker ORDER BY date) AS a FROM bars)
+@query("p12_tail_head", stage="bars", oracle=sql("bars", """, x AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS d, row_number() OVER (PARTITION BY ticker ORDER BY date) AS a FROM bars)
 SELECT ticker, date, round(close, 6) AS close, 'tail' AS part FROM x WHERE d <= 30 UNION ALL SELECT ticker, date, round(close, 6), 'head' FROM x WHERE a <= 5"""))
 def _(c):
     b = c.bars.select("ticker", "date", "close")
@@ -147,7 +147,7 @@ def _(c):
     return p.display(d)
 
 
-@query("p16_future_row", sql("gappy", """SELECT ticker, date, close, volume FROM gappy UNION ALL
+@query("p16_future_row", stage="gappy", oracle=sql("gappy", """SELECT ticker, date, close, volume FROM gappy UNION ALL
 SELECT ticker, d + CASE isodow(d) WHEN 5 THEN 3 WHEN 6 THEN 2 ELSE 1 END, NULL, v FROM (SELECT ticker, max(date) AS d, arg_max(volume, date) AS v FROM gappy GROUP BY 1)"""))
 def _(c):
     return p.with_future_row(c.gappy.select("ticker", "date", "close", "volume"), known=["volume"])
@@ -184,7 +184,7 @@ def _(c):
     return p.repair_bounds(scores(c)).select("ticker", "date", "recommendation", "kelly", "note")
 
 
-@query("p19_quarantine_substitution", sql("pred", SCORES + """, q AS (SELECT ticker FROM bars GROUP BY 1 HAVING arg_max(volume, date) < 100),
+@query("p19_quarantine_substitution", stage="bars", oracle=sql("pred", SCORES + """, q AS (SELECT ticker FROM bars GROUP BY 1 HAVING arg_max(volume, date) < 100),
 x AS (SELECT sc.*, q.ticker IS NOT NULL AS q, row_number() OVER (PARTITION BY sc.ticker ORDER BY date DESC) AS rn FROM sc LEFT JOIN q ON sc.ticker = q.ticker)
 SELECT ticker, date, CASE WHEN q AND rn = 1 THEN 0.5 ELSE p_up END AS p_up, CASE WHEN q AND rn = 1 THEN 0 ELSE exp_ret END AS exp_ret,
   CASE WHEN q AND rn = 1 THEN 'Hold' ELSE recommendation END AS recommendation, CASE WHEN q AND rn = 1 THEN 'QUARANTINED' ELSE status END AS status

@@ -104,7 +104,7 @@ regime AS (SELECT sr.ticker, sr.sector, sr.date, sr.close, sr.ret, sm - mm AS se
 """
 
 
-@query("t10_sector_regime", sql("panel", REGIME + f"SELECT ticker, sector, date, {r('sector_momentum')}, sector_regime FROM regime"))
+@query("t10_sector_regime", stage="panel", oracle=sql("panel", REGIME + f"SELECT ticker, sector, date, {r('sector_momentum')}, sector_regime FROM regime"))
 def _(c):
     p = c.panel.withColumn("ret", ratio_change("close", 1, by()))
     return t.sector_regime(p).select("ticker", "sector", "date", "sector_momentum", "sector_regime")
@@ -191,7 +191,7 @@ def _(c):
     return t.opportunity(c.bars, 30)
 
 
-@query("t21_sector_gravity", sql("dense", f""", x AS (SELECT ticker, date, (close - lag(close, 4) OVER ({W})) / lag(close, 4) OVER ({W}) AS m FROM dense),
+@query("t21_sector_gravity", stage="dense", oracle=sql("dense", f""", x AS (SELECT ticker, date, (close - lag(close, 4) OVER ({W})) / lag(close, 4) OVER ({W}) AS m FROM dense),
 y AS (SELECT ticker, arg_max(m, date) AS momentum FROM x GROUP BY 1)
 SELECT ticker, round(momentum, 6) + 0 AS momentum, round(b, 6) + 0 AS benchmark_momentum, NOT (momentum < 0 AND momentum < b) AS is_green
 FROM y, (SELECT momentum AS b FROM y WHERE ticker = 'view') q"""))
@@ -227,7 +227,7 @@ def _(c):
 _ETF = ("view", "click", "purchase")
 
 
-@query("t25_unify_features", sql("dense", f""", x AS (SELECT ticker, date, 100 * (close / lag(close) OVER ({W}) - 1) AS q FROM dense),
+@query("t25_unify_features", stage="dense", oracle=sql("dense", f""", x AS (SELECT ticker, date, 100 * (close / lag(close) OVER ({W}) - 1) AS q FROM dense),
 y AS (SELECT ticker, date, q, lag(q) OVER ({W}) AS l1, lag(q, 2) OVER ({W}) AS l2 FROM x)
 SELECT y.ticker, y.date, round(coalesce(y.q, 0), 6) + 0 AS target_ret_pct, round(coalesce(y.l1, 0), 6) + 0 AS target_lag1,
   round(coalesce(y.l2, 0), 6) + 0 AS target_lag2, round(coalesce(s.l1, 0), 6) + 0 AS error_lag1

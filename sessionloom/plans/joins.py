@@ -17,14 +17,14 @@ def _(c):
     return j.attach_macro(p, c.macro.select("date", "vix_close", "tnx_close")).select("ticker", "date", "close", "vix_close", "tnx_close")
 
 
-@query("j2_reattach_means", sql("pred", """SELECT p.ticker, p.date, round(g.m, 6) + 0 AS group_mean, round(k.m, 6) + 0 AS market_mean FROM pred p
+@query("j2_reattach_means", stage="pred", oracle=sql("pred", """SELECT p.ticker, p.date, round(g.m, 6) + 0 AS group_mean, round(k.m, 6) + 0 AS market_mean FROM pred p
   LEFT JOIN (SELECT sector, date, avg(ret) AS m FROM pred GROUP BY 1, 2) g ON p.sector = g.sector AND p.date = g.date
   LEFT JOIN (SELECT date, avg(ret) AS m FROM pred GROUP BY 1) k ON p.date = k.date"""))
 def _(c):
     return j.reattach_means(c.pred, "ret", "sector").select("ticker", "date", "group_mean", "market_mean")
 
 
-@query("j3_inner_chain", sql("ledger", """SELECT a.date, a.total_equity AS neutral, b.total_equity AS dynamic, c.total_equity AS aggressive FROM ledger a
+@query("j3_inner_chain", stage="ledger", oracle=sql("ledger", """SELECT a.date, a.total_equity AS neutral, b.total_equity AS dynamic, c.total_equity AS aggressive FROM ledger a
   JOIN ledger b ON a.date = b.date AND b.persona = 'dynamic' JOIN ledger c ON a.date = c.date AND c.persona = 'aggressive' WHERE a.persona = 'neutral'"""))
 def _(c):
     return j.inner_chain([c.ledger.filter(F.col("persona") == n).select("date", F.col("total_equity").alias(n))
@@ -42,7 +42,7 @@ def _(c):
     return j.outer_chain_filled(d, ["neutral", "dynamic", "aggressive"])
 
 
-@query("j5_override_latest", sql("pred", """, s AS (SELECT ticker, round(avg(p_up), 6) AS v FROM pred WHERE sector <> 'ASIA' GROUP BY 1),
+@query("j5_override_latest", stage="pred", oracle=sql("pred", """, s AS (SELECT ticker, round(avg(p_up), 6) AS v FROM pred WHERE sector <> 'ASIA' GROUP BY 1),
 m AS (SELECT ticker, max(date) AS date FROM pred GROUP BY 1)
 SELECT p.ticker, p.date, CASE WHEN m.date IS NOT NULL THEN coalesce(s.v, p_up) ELSE p_up END AS p_up FROM pred p
 LEFT JOIN m ON p.ticker = m.ticker AND p.date = m.date LEFT JOIN s ON s.ticker = p.ticker"""))
@@ -72,7 +72,7 @@ def _(c):
     return j.as_of(left, quotes, "last_price", keys="user_id", left_time="ts", right_time="qts").drop("ts")
 
 
-@query("j9_exact_else_latest", sql("bars macro", """SELECT ticker, b.date, coalesce(m.vix_close, (SELECT arg_max(vix_close, date) FROM macro)) AS vix_close
+@query("j9_exact_else_latest", stage="macro", oracle=sql("bars macro", """SELECT ticker, b.date, coalesce(m.vix_close, (SELECT arg_max(vix_close, date) FROM macro)) AS vix_close
   FROM bars b LEFT JOIN macro m ON b.date = m.date"""))
 def _(c):
     return j.exact_else_latest(c.bars.select("ticker", "date"), c.macro, "vix_close")
@@ -110,14 +110,14 @@ def _(c):
     return j.combine_pairs(g.filter("rank <= 5"), g.filter("rank > 5"))
 
 
-@query("j14_at_trade_time", sql("positions ledger", """SELECT p.persona, p.ticker, p.date, p.pnl, l.total_equity, l.intraday_status FROM positions p
+@query("j14_at_trade_time", stage="ledger", oracle=sql("positions ledger", """SELECT p.persona, p.ticker, p.date, p.pnl, l.total_equity, l.intraday_status FROM positions p
   LEFT JOIN ledger l ON p.persona = l.persona AND p.date = l.date WHERE p.pnl < 0"""))
 def _(c):
     trades = explode_pnl(c.ledger).filter("pnl < 0").select("persona", "date", "ticker", "pnl")
     return j.at_trade_time(trades, c.ledger.select("persona", "date", "total_equity", "intraday_status"), ["persona", "date"])
 
 
-@query("j15_calendar_densify", sql("gappy", f""", s AS (SELECT ticker, min(date) AS a, max(date) AS b FROM gappy GROUP BY 1),
+@query("j15_calendar_densify", stage="gappy", oracle=sql("gappy", f""", s AS (SELECT ticker, min(date) AS a, max(date) AS b FROM gappy GROUP BY 1),
 g AS (SELECT ticker, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM s)
 SELECT g.ticker, g.date, last_value(close IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS close
 FROM g LEFT JOIN gappy x ON g.ticker = x.ticker AND g.date = x.date WHERE isodow(g.date) < 6"""))
@@ -125,7 +125,7 @@ def _(c):
     return j.densify(c.gappy.select("ticker", "date", "close"), per_key_span=True)
 
 
-@query("j16_compare_maps", sql("positions", """, a AS (SELECT persona, ticker, units FROM positions WHERE date = DATE '1996-05-01' AND ticker <> 'BUILDING'),
+@query("j16_compare_maps", stage="ledger", oracle=sql("positions", """, a AS (SELECT persona, ticker, units FROM positions WHERE date = DATE '1996-05-01' AND ticker <> 'BUILDING'),
 b AS (SELECT persona, ticker, units FROM positions WHERE date = DATE '1996-06-01' AND ticker <> 'FURNITURE')
 SELECT coalesce(a.persona, b.persona) AS persona, coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.units, 0) AS old_units, coalesce(b.units, 0) AS new_units
 FROM a FULL JOIN b ON a.persona = b.persona AND a.ticker = b.ticker"""))
@@ -143,7 +143,7 @@ def _(c):
     return j.weighted_lookup(c.weights, s)
 
 
-@query("j18_fold_bands", sql("pred", """, d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM pred)),
+@query("j18_fold_bands", stage="pred", oracle=sql("pred", """, d AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM pred)),
 b AS (SELECT date, CASE WHEN i < n - (n // 6) * 5 THEN 0 ELSE (i - (n - (n // 6) * 5)) // (n // 6) + 1 END AS blk FROM d), f AS (SELECT unnest([1, 2, 3, 4, 5]) AS fold)
 SELECT fold, fold = blk AS is_test, count(*) AS n, min(p.date) AS first_date, max(p.date) AS last_date FROM pred p JOIN b ON p.date = b.date JOIN f ON fold >= blk GROUP BY 1, 2"""))
 def _(c):

@@ -8,6 +8,7 @@ from ..operators import select as s
 from ..operators import windows
 from ..operators.cleaning import exclude_features
 from ..operators.indicators import sector_regime
+from ..operators.correlate import shifted
 from ..operators.joins import combine_pairs, fold_rows
 from ..operators.report import fold_summary
 from ..operators.windows import top_k
@@ -23,21 +24,20 @@ def _targets(c, name="ticker"):
 
 
 def _stage(c):
-    """Technical features and their lagged series, the latter kept as a stage table."""
-    f = exclude_features(c.features)
-    return f, pin(s.lag_series(f))
+    """Returns of every ticker, and the packed technical features one session late."""
+    f = pin(exclude_features(c.features))
+    ret = f.filter("feature = 'RET'").select("ticker", "date", "value")
+    return ret, shifted(s.pack_features(f), 1)
 
 
 def _selected(c, k, min_obs=30, train_share=0.8):
     """Long design rows: each target's k strongest lagged technical features."""
-    f, lagged = _stage(c)
-    t = f.filter("feature = 'RET'").select(F.col("ticker").alias("series"), "date", "value")
-    top = s.top_k_series(t, lagged, k, train_share=train_share, min_obs=min_obs)
-    return top.select("target", F.col("predictor").alias("series")).join(lagged, "series").select(
-        "target", "date", F.col("series").alias("feature"), "value")
+    ret, lagged = _stage(c)
+    t = ret.select(F.col("ticker").alias("series"), "date", "value")
+    return s.selected_rows(s.top_k_packed(t, lagged, k, train_share=train_share, min_obs=min_obs), lagged)
 
 
-@query("m9_screen_logistic")
+@query("m9_screen_logistic", stage="bars")
 def _(c):
     r = returns(c)
     chain = s.lag_chain(s.best_lag1(r), 5)
@@ -51,7 +51,7 @@ def _(c):
     return m.best_depth(m.screen_logistic(rows, test_rows=15, min_rows=40))
 
 
-@query("m10_screen_combos")
+@query("m10_screen_combos", stage="pred macro")
 def _(c):
     etf = c.pred.groupBy(F.col("sector").alias("target"), "date").agg(F.avg("ret").alias("y"))
     names = ["vix_close", "tnx_close", "irx", "hyg", "ief", "oil"]
@@ -102,7 +102,7 @@ def _(c):
     return m.ar_residuals(c.pred).select("ticker", "date", "residual", "residual_lag1")
 
 
-@query("m14_ridge_per_target")
+@query("m14_ridge_per_target", stage="bars")
 def _(c):
     rows = m.design(_selected(c, 10), _targets(c, "target"), "target")
     a = m.linear_per_group(rows, "target", model="ridge").withColumn("model", F.lit("ridge"))
@@ -119,7 +119,7 @@ def _(c):
     return m.ridge_pooled(m.own_lags(c.pred, n=1), ["lag1"], "ret", 0.0)
 
 
-@query("m15_forward_stepwise")
+@query("m15_forward_stepwise", stage="bars")
 def _(c):
     return m.stepwise_per_target(m.design(_selected(c, 20), _targets(c, "target"), "target"))
 
@@ -133,7 +133,7 @@ def _triplet_rows(c):
     return m.design(x, y, "target")
 
 
-@query("m16_best_triplets", sql("pred", f""", x0 AS (SELECT sector, ticker, date, CASE WHEN count(ret) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 THEN avg(ret) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS v FROM pred),
+@query("m16_best_triplets", stage="pred", oracle=sql("pred", f""", x0 AS (SELECT sector, ticker, date, CASE WHEN count(ret) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 THEN avg(ret) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS v FROM pred),
 x1 AS (SELECT sector, ticker, date, lag(v) OVER ({W}) AS v FROM x0), y AS (SELECT sector, date, avg(ret) AS y FROM pred GROUP BY 1, 2), k AS (SELECT sector, count(DISTINCT ticker) AS k FROM pred GROUP BY 1),
 d AS (SELECT x1.sector, x1.date FROM x1 JOIN k ON k.sector = x1.sector JOIN y ON y.sector = x1.sector AND y.date = x1.date WHERE v IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, k HAVING count(*) = k),
 xs AS (SELECT x1.sector, ticker, x1.date, v - avg(v) OVER (PARTITION BY x1.sector, ticker) AS v FROM x1 JOIN d ON d.sector = x1.sector AND d.date = x1.date), ys AS (SELECT y.sector, y.date, y - avg(y) OVER (PARTITION BY y.sector) AS y FROM y JOIN d ON d.sector = y.sector AND d.date = y.date),
@@ -150,7 +150,7 @@ def _(c):
 PRIORS = {"_RSI": -0.05, "_ADX": 0.02, "_PLUS_DI": 0.04, "_MINUS_DI": -0.03, "_ATR": 0.01, "_RET": 0.0}
 
 
-@query("m17_dual_head")
+@query("m17_dual_head", stage="bars")
 def _(c):
     rows = m.design(_selected(c, 5), _targets(c, "target"), "target").withColumnRenamed("target", "ticker")
     priors = F.transform("names", lambda n: m.prior_for(n, PRIORS))
@@ -182,15 +182,14 @@ def _(c):
     return m.regimes(d, ["RSI", "ADX", "RET"], "next_ret")[1]
 
 
-@query("m21_walk_forward")
+@query("m21_walk_forward", stage="bars")
 def _(c):
-    f, lagged = _stage(c)
-    ret = f.filter("feature = 'RET'").select("ticker", "date", "value")
+    ret, lagged = _stage(c)
     roles = fold_rows(ret, 5).withColumn("series", F.concat_ws("|", "ticker", F.col("fold").cast("string")))
     # one series per target and fold, so a single correlation job selects for all folds
-    top = s.top_k_series(roles.filter("not is_test").select("series", "date", "value"), lagged, 5, min_obs=10)
-    picked = top.select("target", F.col("predictor").alias("series")).join(lagged, "series")
-    rows = picked.select("target", "date", F.col("series").alias("feature"), "value")
+    roles = pin(roles)  # read for the selection and for the fit
+    top = s.top_k_packed(roles.filter("not is_test").select("series", "date", "value"), lagged, 5, min_obs=10)
+    rows = s.selected_rows(top, lagged)
     y = roles.select(F.col("series").alias("target"), "date", F.col("value").alias("y"), "fold", "is_test", "ticker")
     d = m.design(rows, y, "target").filter("fold is not null")
     res = m.linear_per_group(d.drop("target"), ["ticker", "fold"], penalty=5.0)
@@ -228,7 +227,7 @@ def _(c):
     return m.ordered_funds(c.weights, sc)
 
 
-@query("m26_scale_on_train", sql("bars", f""", x AS (SELECT *, row_number() OVER ({W}) <= floor(count(*) OVER (PARTITION BY ticker) * 0.8) AS tr FROM bars), s AS (SELECT ticker, min(close) FILTER (tr) AS lo, max(close) FILTER (tr) AS hi FROM x GROUP BY 1)
+@query("m26_scale_on_train", stage="bars", oracle=sql("bars", f""", x AS (SELECT *, row_number() OVER ({W}) <= floor(count(*) OVER (PARTITION BY ticker) * 0.8) AS tr FROM bars), s AS (SELECT ticker, min(close) FILTER (tr) AS lo, max(close) FILTER (tr) AS hi FROM x GROUP BY 1)
 SELECT x.ticker, date, round((close - lo) / nullif(hi - lo, 0), 6) + 0 AS close_scaled FROM x JOIN s ON x.ticker = s.ticker"""))
 def _(c):
     return m.scale_on_train(windows.chronological_split(c.bars, train_share=0.8), "close", "is_train").select("ticker", "date", "close_scaled")

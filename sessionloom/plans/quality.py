@@ -24,13 +24,13 @@ def _(c):
     return q.balance(c.ledger)
 
 
-@query("q2_missing_sessions", sql("gappy", """, s AS (SELECT ticker, min(date) AS a, max(date) AS b FROM gappy GROUP BY 1), g AS (SELECT ticker, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM s)
+@query("q2_missing_sessions", stage="gappy", oracle=sql("gappy", """, s AS (SELECT ticker, min(date) AS a, max(date) AS b FROM gappy GROUP BY 1), g AS (SELECT ticker, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM s)
 """ + v("missing_session", "g.ticker", "g.date", "FROM g WHERE isodow(date) < 6 AND date <> DATE '2024-01-15' AND NOT EXISTS (SELECT 1 FROM gappy x WHERE x.ticker = g.ticker AND x.date = g.date)")))
 def _(c):
     return q.missing_sessions(c.gappy, "ticker", holidays=["2024-01-15"])
 
 
-@query("q3_gaps_and_nulls", sql("gappy", f""", n AS (SELECT ticker, date, CASE WHEN day(date) <> 9 THEN close END AS close, CASE WHEN ticker > 'U5' THEN volume ELSE NULL END AS volume FROM gappy),
+@query("q3_gaps_and_nulls", stage="gappy", oracle=sql("gappy", f""", n AS (SELECT ticker, date, CASE WHEN day(date) <> 9 THEN close END AS close, CASE WHEN ticker > 'U5' THEN volume ELSE NULL END AS volume FROM gappy),
 g AS (SELECT ticker, date, date - lag(date) OVER ({W}) AS gd FROM n)
 """ + v("gap", TD, "gd", "FROM g WHERE gd > 2") + " UNION ALL " + v("nulls", "ticker || '|close'", "count(*)", "FROM n WHERE close IS NULL GROUP BY ticker") + " UNION ALL "
                                + v("nulls", "ticker || '|volume'", "count(*)", "FROM n WHERE volume IS NULL GROUP BY ticker")))
@@ -39,7 +39,7 @@ def _(c):
     return q.gaps_and_nulls(d, ["close", "volume"], "ticker", max_days=2)
 
 
-@query("q4_lagging", sql("gappy", """, l AS (SELECT ticker, max(date) AS l FROM gappy WHERE ticker > 'U3' GROUP BY 1)
+@query("q4_lagging", stage="gappy", oracle=sql("gappy", """, l AS (SELECT ticker, max(date) AS l FROM gappy WHERE ticker > 'U3' GROUP BY 1)
 """ + v("lagging", "ticker", "l", "FROM l WHERE l < (SELECT max(l) FROM l)")))
 def _(c):
     return q.lagging(c.gappy, c.gappy.filter("ticker > 'U3'").select("ticker"))
@@ -75,7 +75,7 @@ def _(c):
     return q.paradoxes(scores(c))
 
 
-@query("q10_dummy_scorecards", sql("pred", """, sc AS (SELECT ticker, CASE WHEN ticker LIKE 'S2%' THEN 0.5 ELSE p_up END AS p, CASE WHEN ticker LIKE 'S3%' THEN 0 ELSE exp_ret END AS e, CASE WHEN ticker LIKE 'S4%' AND month(date) = 1 THEN 'QUARANTINED' ELSE 'Stable' END AS s,
+@query("q10_dummy_scorecards", stage="pred", oracle=sql("pred", """, sc AS (SELECT ticker, CASE WHEN ticker LIKE 'S2%' THEN 0.5 ELSE p_up END AS p, CASE WHEN ticker LIKE 'S3%' THEN 0 ELSE exp_ret END AS e, CASE WHEN ticker LIKE 'S4%' AND month(date) = 1 THEN 'QUARANTINED' ELSE 'Stable' END AS s,
   ticker LIKE 'S5%' AS short, date = max(date) OVER (PARTITION BY ticker) AS tip FROM pred), k AS (SELECT * FROM sc WHERE NOT short OR tip)
 """ + v("all_half", "ticker", "count(*)", "FROM k GROUP BY ticker HAVING bool_and(p = 0.5)") + " UNION ALL " + v("all_zero_return", "ticker", "count(*)", "FROM k GROUP BY ticker HAVING bool_and(e = 0)")
                                 + " UNION ALL " + v("quarantined", "ticker", "count(*)", "FROM k WHERE s LIKE 'QUARANTIN%' GROUP BY ticker") + " UNION ALL " + v("too_few_rows", "ticker", "count(*)", "FROM k GROUP BY ticker HAVING count(*) < 2")))
@@ -96,10 +96,9 @@ def _(c):
     return q.pending_wipeout(d)
 
 
-@query("q12_holdings_without_scores", sql("positions", v("no_score", "persona", "ticker", "FROM (SELECT DISTINCT persona, ticker FROM positions WHERE date = (SELECT max(date) FROM positions) AND ticker NOT IN (SELECT c_mktsegment FROM customer WHERE c_mktsegment > 'M'))")))
+@query("q12_holdings_without_scores", stage="positions", oracle=sql("positions", v("no_score", "persona", "ticker", "FROM (SELECT DISTINCT persona, ticker FROM positions WHERE date = (SELECT max(date) FROM positions) AND ticker NOT IN (SELECT c_mktsegment FROM customer WHERE c_mktsegment > 'M'))")))
 def _(c):
-    top = c.positions.agg(F.max("date").alias("date"))
-    held = c.positions.join(F.broadcast(top), "date", "left_semi")  # one row
+    held = c.positions.filter(F.col("date") == c.positions.agg(F.max("date")).scalar())
     return q.orphans(held, c.table("customer").filter("c_mktsegment > 'M'").select(F.col("c_mktsegment").alias("ticker")), "no_score")
 
 
@@ -123,7 +122,7 @@ def _(c):
     return q.schema_check(o, stored)
 
 
-@query("q16_future_row", sql("gappy", v("duplicate_date", TD, "2", "FROM gappy WHERE ticker = 'U7' AND day(date) < 4") + " UNION ALL " + v("future_row", "ticker", "max(date)", "FROM gappy WHERE ticker LIKE 'U2%' GROUP BY ticker")))
+@query("q16_future_row", stage="gappy", oracle=sql("gappy", v("duplicate_date", TD, "2", "FROM gappy WHERE ticker = 'U7' AND day(date) < 4") + " UNION ALL " + v("future_row", "ticker", "max(date)", "FROM gappy WHERE ticker LIKE 'U2%' GROUP BY ticker")))
 def _(c):
     g = c.gappy.select("ticker", "date", "close")
     ok = cleaning.with_future_row(g.filter("ticker not like 'U2%'"))
@@ -136,7 +135,7 @@ def _(c):
     return q.split_alignment(d, "is_train", 27)
 
 
-@query("q18_scaling_leak", sql("pred", v("scaling_leak", "ticker", "'train statistics differ'", "FROM pred WHERE ticker LIKE 'S9%' GROUP BY ticker")))
+@query("q18_scaling_leak", stage="bars", oracle=sql("pred", v("scaling_leak", "ticker", "'train statistics differ'", "FROM pred WHERE ticker LIKE 'S9%' GROUP BY ticker")))
 def _(c):
     d = windows.chronological_split(c.bars, train_share=0.8)
     good = windows.standardise_on_train(d.filter("ticker not like 'S9%'"), "close", "is_train", keys="ticker")

@@ -32,15 +32,19 @@ class Context:
         return maker(self.spark, self.root)
 
 
-def query(name: str, oracle: str | None = None):
-    """Register a query; doubles in its result are rounded to six places."""
+def query(name: str, oracle: str | None = None, stage: str = ""):
+    """Register a query; doubles in its result are rounded to six places.
+
+    ``stage`` names the base frames it uses more than once.
+    """
 
     def wrap(fn):
         if name in _QUERIES:
             raise ValueError(f"duplicate query {name}")
 
         def run(spark: SparkSession, root: str) -> DataFrame:
-            return tidy(fn(Context(spark, root)))
+            with tables.staging(stage.split()):
+                return tidy(fn(Context(spark, root)))
 
         run.__name__, run.__doc__ = name, fn.__doc__
         _QUERIES[name] = run

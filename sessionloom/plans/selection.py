@@ -37,13 +37,13 @@ def _(c):
     return s.top_k_features(t, f, 5, min_obs=30).select("target", "predictor", "n", "corr", "rank")
 
 
-@query("m3_lagged_r2_returns", sql("pred", LAGGED + """, f AS (SELECT date FROM lg1 WHERE ret IS NOT NULL AND l IS NOT NULL GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT ticker) FROM pred))
+@query("m3_lagged_r2_returns", stage="pred", oracle=sql("pred", LAGGED + """, f AS (SELECT date FROM lg1 WHERE ret IS NOT NULL AND l IS NOT NULL GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT ticker) FROM pred))
 SELECT a.ticker AS target, b.ticker AS predictor, count(*) AS n, round(power(corr(a.ret, b.l), 2), 6) AS r2 FROM lg1 a JOIN lg1 b ON a.date = b.date JOIN f ON f.date = a.date GROUP BY 1, 2"""))
 def _(c):
     return s.lagged_r2(returns(c), 1)
 
 
-@query("m3_lagged_r2_prices", sql("bars", f""", sp AS (SELECT ticker, min(date) AS a FROM bars GROUP BY 1), g AS (SELECT sp.ticker, d.date FROM sp JOIN (SELECT DISTINCT date FROM bars) d ON d.date >= sp.a),
+@query("m3_lagged_r2_prices", stage="bars", oracle=sql("bars", f""", sp AS (SELECT ticker, min(date) AS a FROM bars GROUP BY 1), g AS (SELECT sp.ticker, d.date FROM sp JOIN (SELECT DISTINCT date FROM bars) d ON d.date >= sp.a),
 f AS (SELECT g.ticker, g.date, last_value(close IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM g LEFT JOIN bars b ON g.ticker = b.ticker AND g.date = b.date),
 x AS (SELECT *, lag(v) OVER ({W}) AS l FROM f) SELECT a.ticker AS target, b.ticker AS predictor, count(*) AS n, round(power(corr(a.v, b.l), 2), 6) AS r2 FROM x a JOIN x b ON a.date = b.date WHERE b.l IS NOT NULL GROUP BY 1, 2"""))
 def _(c):
@@ -86,7 +86,7 @@ def _(c):
 LEADERS = EDGES + ", " + ", ".join(f"s{d} AS (SELECT ticker, date, lag(ret, {d}) OVER ({W}) AS x FROM pred)" for d in (1, 2, 3)) + " "
 
 
-@query("m7_chain_features", sql("panel pred", REGIME + LEADERS + f""", rg AS (SELECT ticker, date, lag(sector_momentum) OVER ({W}) AS sector_momentum FROM regime),
+@query("m7_chain_features", stage="pred", oracle=sql("panel pred", REGIME + LEADERS + f""", rg AS (SELECT ticker, date, lag(sector_momentum) OVER ({W}) AS sector_momentum FROM regime),
 w AS (SELECT p.ticker, p.date, p.ret AS target, a.x AS c1, b.x AS c2, e.x AS c3, rg.sector_momentum AS m FROM pred p LEFT JOIN ch ON ch.ticker = p.ticker LEFT JOIN s1 a ON a.ticker = lag1 AND a.date = p.date
   LEFT JOIN s2 b ON b.ticker = lag2 AND b.date = p.date LEFT JOIN s3 e ON e.ticker = lag3 AND e.date = p.date LEFT JOIN rg ON rg.ticker = p.ticker AND rg.date = p.date),
 f AS (SELECT ticker, date, target, """ + ", ".join(f"last_value({a} IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {b}" for a, b in (("c1", "chain1"), ("c2", "chain2"), ("c3", "chain3"), ("m", "sector_momentum"))) + """ FROM w)

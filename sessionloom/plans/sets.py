@@ -12,7 +12,7 @@ def _(c):
     return u.sort_rows(c.gappy.select("ticker", "date", "close"), [("ticker", True), ("date", False)])
 
 
-@query("u2_union_keep_last", sql("gappy", """SELECT ticker, date, round(CASE WHEN date >= DATE '2024-01-15' THEN close + 1 ELSE close END, 6) AS close FROM gappy"""))
+@query("u2_union_keep_last", stage="gappy", oracle=sql("gappy", """SELECT ticker, date, round(CASE WHEN date >= DATE '2024-01-15' THEN close + 1 ELSE close END, 6) AS close FROM gappy"""))
 def _(c):
     g = c.gappy.select("ticker", "date", "close")
     newer = g.filter("date >= DATE'2024-01-15'").withColumn("close", F.col("close") + 1)

@@ -84,7 +84,7 @@ def _(c):
     return readers.read_symbol_directory(c.spark, path)
 
 
-@query("s8_merge_sources", sql("gappy", """SELECT ticker, date, CASE WHEN day(date) % 3 <> 0 THEN close WHEN day(date) % 2 <> 0 THEN round(close * 2, 6) ELSE round(close * 3, 6) END AS close,
+@query("s8_merge_sources", stage="gappy", oracle=sql("gappy", """SELECT ticker, date, CASE WHEN day(date) % 3 <> 0 THEN close WHEN day(date) % 2 <> 0 THEN round(close * 2, 6) ELSE round(close * 3, 6) END AS close,
   CASE WHEN day(date) % 3 <> 0 THEN 0 WHEN day(date) % 2 <> 0 THEN 1 ELSE 2 END AS source_rank FROM gappy WHERE NOT (day(date) % 6 = 0 AND ticker > 'U7')
 UNION ALL SELECT DISTINCT 'LOST' || c_custkey, NULL::DATE, NULL::DOUBLE, -1 FROM customer WHERE 'U' || c_custkey NOT IN (SELECT ticker FROM gappy)"""))
 def _(c):
@@ -106,7 +106,7 @@ def _(c):
     return readers.melt(wide)
 
 
-@query("s10_append_increment", sql("gappy", """, c AS (SELECT ticker, DATE '2024-01-08' + CAST(length(ticker) AS INTEGER) AS cut FROM gappy GROUP BY 1), o AS (SELECT g.* FROM gappy g JOIN c ON g.ticker = c.ticker AND g.date <= cut), l AS (SELECT ticker, max(date) AS last FROM o GROUP BY 1)
+@query("s10_append_increment", stage="gappy", oracle=sql("gappy", """, c AS (SELECT ticker, DATE '2024-01-08' + CAST(length(ticker) AS INTEGER) AS cut FROM gappy GROUP BY 1), o AS (SELECT g.* FROM gappy g JOIN c ON g.ticker = c.ticker AND g.date <= cut), l AS (SELECT ticker, max(date) AS last FROM o GROUP BY 1)
 SELECT ticker, date, close FROM o UNION ALL SELECT g.ticker, g.date, round(g.close + 0.5, 6) FROM gappy g LEFT JOIN l ON g.ticker = l.ticker WHERE last IS NULL OR g.date > last"""))
 def _(c):
     g = c.gappy.select("ticker", "date", "close")
@@ -148,7 +148,7 @@ def _(c):
     return m.advance_watermark(t, "neutral", datetime.date(2030, 1, 1))
 
 
-@query("s15_read_ledger", sql("ledger", "SELECT date, cash, total_equity, date = max(date) OVER () AS is_latest FROM ledger WHERE persona = 'neutral'"))
+@query("s15_read_ledger", stage="ledger", oracle=sql("ledger", "SELECT date, cash, total_equity, date = max(date) OVER () AS is_latest FROM ledger WHERE persona = 'neutral'"))
 def _(c):
     led = c.ledger.filter("persona = 'neutral'")
     latest = led.agg(F.max("date").alias("date")).withColumn("_l", F.lit(True))
@@ -193,7 +193,7 @@ def _(c):
     return m.backfill_defaults(d, json=["holdings_json"])
 
 
-@query("s20_carry_forward", sql("gappy", """, s AS (SELECT min(date) AS a, max(date) AS b FROM gappy), cal AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM s), op AS (SELECT date FROM cal WHERE isodow(date) < 6 AND date NOT IN (DATE '2024-01-01', DATE '2024-01-15')),
+@query("s20_carry_forward", stage="gappy", oracle=sql("gappy", """, s AS (SELECT min(date) AS a, max(date) AS b FROM gappy), cal AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM s), op AS (SELECT date FROM cal WHERE isodow(date) < 6 AND date NOT IN (DATE '2024-01-01', DATE '2024-01-15')),
 f AS (SELECT ticker, min(date) AS a FROM gappy GROUP BY 1), g AS (SELECT f.ticker, op.date FROM f JOIN op ON op.date >= f.a)
 SELECT g.ticker AS persona, g.date, last_value(x.close IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cash, CASE WHEN x.close IS NULL THEN 'CARRYOVER (100% HOLD)' ELSE 'SETTLED' END AS intraday_status
 FROM g LEFT JOIN gappy x ON g.ticker = x.ticker AND g.date = x.date"""))
@@ -203,7 +203,7 @@ def _(c):
     return m.carry_forward(led, sess)
 
 
-@query("s21_heal_gaps", sql("gappy", """, s AS (SELECT ticker, min(date) AS a, max(date) AS b FROM gappy GROUP BY 1), g AS (SELECT ticker, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM s),
+@query("s21_heal_gaps", stage="gappy", oracle=sql("gappy", """, s AS (SELECT ticker, min(date) AS a, max(date) AS b FROM gappy GROUP BY 1), g AS (SELECT ticker, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM s),
 j AS (SELECT g.ticker, g.date, x.close, x.volume FROM g LEFT JOIN gappy x ON g.ticker = x.ticker AND g.date = x.date WHERE isodow(g.date) < 6),
 k AS (SELECT *, last_value(close IGNORE NULLS) OVER p AS a, first_value(close IGNORE NULLS) OVER n AS b, last_value(volume IGNORE NULLS) OVER p AS v FROM j WINDOW p AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
 SELECT ticker, date, round(coalesce(close, (a + b) / 2, a), 6) AS close, v AS volume FROM k"""))

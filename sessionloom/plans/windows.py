@@ -166,7 +166,7 @@ def _(c):
                     F.aggregate(s, F.lit(0.0), lambda a, x: a + x[1]).alias("volume"))
 
 
-@query("w20_train_standardise", sql("bars", f""", x AS (SELECT *, row_number() OVER ({W}) <= floor(count(*) OVER (PARTITION BY ticker) * 0.8) AS tr FROM bars),
+@query("w20_train_standardise", stage="bars", oracle=sql("bars", f""", x AS (SELECT *, row_number() OVER ({W}) <= floor(count(*) OVER (PARTITION BY ticker) * 0.8) AS tr FROM bars),
 s AS (SELECT ticker, avg(close) FILTER (tr) AS m, stddev_pop(close) FILTER (tr) AS sd FROM x GROUP BY 1)
 SELECT x.ticker, date, tr AS is_train, round((close - m) / (sd + 1e-8), 6) + 0 AS close_z FROM x JOIN s ON x.ticker = s.ticker"""))
 def _(c):
@@ -174,7 +174,7 @@ def _(c):
     return w.standardise_on_train(d, "close", "is_train", keys="ticker").select("ticker", "date", "is_train", "close_z")
 
 
-@query("w21_last_sessions", sql("bars", """SELECT ticker, date, round(close, 6) AS close FROM (
+@query("w21_last_sessions", stage="bars", oracle=sql("bars", """SELECT ticker, date, round(close, 6) AS close FROM (
   SELECT *, dense_rank() OVER (ORDER BY date DESC) AS d FROM bars) WHERE d <= 10"""))
 def _(c):
     return w.last_sessions(c.bars, 10).select("ticker", "date", "close")

@@ -83,8 +83,8 @@ def backfill_defaults(df: DataFrame, start: float = 10000.0, money=("cash", "tot
 def carry_forward(ledger: DataFrame, sessions: DataFrame, key="persona", date="date", status="intraday_status") -> DataFrame:
     """A row for every session after a key's first; missing ones copy the last row with a carry-over status."""
     span = ledger.groupBy(key).agg(F.min(date).alias("_a"))
-    end = sessions.agg(F.max("session").alias("_z"))
-    days = span.join(F.broadcast(end)).select(key, F.explode(business_days(F.col("_a"), F.col("_z"))).alias(date))  # one row
+    days = span.withColumn("_z", sessions.agg(F.max("session")).scalar())
+    days = days.select(key, F.explode(business_days(F.col("_a"), F.col("_z"))).alias(date))
     grid = days.join(sessions.select(F.col("session").alias(date)), date, "left_semi")
     j = grid.join(ledger.withColumn("_here", F.lit(True)), [key, date], "left")
     w = by(key, date).rowsBetween(UNB, 0)

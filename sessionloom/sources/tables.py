@@ -10,11 +10,16 @@ no more than any other); everything downstream works on bars.
 
 from __future__ import annotations
 
+import functools
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..frames import by
 from ..operators.aggregates import bars_from_ticks, packed_order
+from ..session import pin
 
 # Order priority -> persona.
 PERSONAS = {
@@ -26,6 +31,33 @@ PERSONAS = {
 }
 
 
+_STAGED: ContextVar[dict | None] = ContextVar("staged", default=None)
+
+
+@contextmanager
+def staging(names):
+    """Inside, the named base frames are stored once, so a query that uses one
+    several times scans the raw table once."""
+    token = _STAGED.set(dict.fromkeys(names))
+    try:
+        yield
+    finally:
+        _STAGED.reset(token)
+
+
+def base(fn):
+    @functools.wraps(fn)
+    def get(spark: SparkSession, root: str) -> DataFrame:
+        staged = _STAGED.get()
+        if staged is None or fn.__name__ not in staged:
+            return fn(spark, root)
+        if staged[fn.__name__] is None:
+            staged[fn.__name__] = pin(fn(spark, root))
+        return staged[fn.__name__]
+
+    return get
+
+
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
 
@@ -41,11 +73,13 @@ def ticks(spark, root) -> DataFrame:
     )
 
 
+@base
 def dense(spark, root) -> DataFrame:
     """Daily bars of the five event types."""
     return bars_from_ticks(ticks(spark, root), ["ticker", "date"], "ord")
 
 
+@base
 def gappy(spark, root) -> DataFrame:
     """Daily bars per user; many sessions are missing."""
     t = ticks(spark, root).withColumn("ticker", F.col("user"))
@@ -63,6 +97,7 @@ def _line_ticks(spark, root) -> DataFrame:
     )
 
 
+@base
 def bars(spark, root) -> DataFrame:
     """Monthly bars per supplier: about 83 sessions each."""
     return bars_from_ticks(_line_ticks(spark, root), ["ticker", "date"], "ord")
@@ -78,11 +113,13 @@ def sectors(spark, root) -> DataFrame:
     )
 
 
+@base
 def panel(spark, root) -> DataFrame:
     """Supplier bars with sector and industry."""
     return bars(spark, root).join(sectors(spark, root), "ticker")
 
 
+@base
 def macro(spark, root) -> DataFrame:
     """Monthly market-wide series derived from orders, one row per month."""
     o = table(spark, root, "orders").withColumn("date", F.to_date(F.date_trunc("month", "o_orderdate")))
@@ -102,6 +139,7 @@ def macro(spark, root) -> DataFrame:
     )
 
 
+@base
 def pred(spark, root) -> DataFrame:
     """Panel with return and a simple momentum score: p_up, exp_ret, exp_vol."""
     w = by()
@@ -115,6 +153,7 @@ def pred(spark, root) -> DataFrame:
     )
 
 
+@base
 def positions(spark, root) -> DataFrame:
     """persona, month, ticker (market segment): dollars, units, price, pnl."""
     o = table(spark, root, "orders")
@@ -135,6 +174,7 @@ def positions(spark, root) -> DataFrame:
     )
 
 
+@base
 def ledger(spark, root) -> DataFrame:
     """One row per persona and month with holdings and PnL maps.
 
@@ -158,6 +198,7 @@ def ledger(spark, root) -> DataFrame:
     )
 
 
+@base
 def weights(spark, root) -> DataFrame:
     """etf = part type, ticker = supplier, weight = revenue share in percent."""
     li, p = table(spark, root, "lineitem"), table(spark, root, "part")
@@ -168,11 +209,13 @@ def weights(spark, root) -> DataFrame:
                  F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"))
         .agg(F.sum("rev").alias("rev"))
     )
+    rev = pin(rev)  # one row per pair, read twice below
     total = rev.groupBy("etf").agg(F.sum("rev").alias("total"))
     return rev.join(total, "etf").select(
         "etf", "ticker", F.round(100 * F.col("rev") / F.col("total"), 6).alias("weight"))
 
 
+@base
 def features(spark, root) -> DataFrame:
     """Long feature table: date, ticker, feature, value (six indicators per bar)."""
     from ..operators.indicators import trend_set

@@ -86,8 +86,8 @@ def split_late_sink(path: str, event_time: str, delay_seconds: int) -> Callable[
         schema = "hi timestamp, batch_id bigint"
         marks = f"{path}/marks"
         seen = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(marks) if _exists(spark, marks) else spark.createDataFrame([], schema)
-        top = seen.filter(F.col("batch_id") < batch_id).agg(F.max("hi").alias("_m"))
-        d = batch.join(F.broadcast(top))  # one row
+        top = seen.filter(F.col("batch_id") < batch_id).agg(F.max("hi")).scalar()
+        d = batch.withColumn("_m", top)
         late = F.coalesce(F.col(event_time) < F.col("_m") - F.make_dt_interval(secs=F.lit(delay_seconds)), F.lit(False))
         d = d.withColumn("_late", late).drop("_m")
         for name, part in (("on_time", d.filter(~F.col("_late"))), ("late", d.filter("_late"))):
