@@ -56,12 +56,15 @@ def last_per(df: DataFrame, keys, order) -> DataFrame:
     return _pick(df, keys, order, F.max_by)
 
 
-def _sliced(df: DataFrame, keys, order: Sequence[Column], slices: int | None) -> DataFrame:
+def _sliced(df: DataFrame, keys, order: Sequence[Column], slices: int | None, stored: bool) -> DataFrame:
     """Rows range-partitioned on (keys, order) with their slice number.
 
-    A hot key is spread over many slices. The result is pinned because the slice
-    number must not change on a retry.
+    A hot key is spread over many slices. Range bounds are sampled in a job of
+    their own, so the input is stored first (unless it already is): its plan
+    must not run twice. The result is pinned because the slice number must not
+    change on a retry.
     """
+    df = df if stored else pin(df)
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
     return pin(ranged.withColumn("_slice", F.spark_partition_id()))
@@ -73,6 +76,7 @@ def ranged_running(
     order: Sequence[Column],
     sums: Mapping[str, Column],
     slices: int | None = None,
+    stored: bool = False,
 ) -> DataFrame:
     """Running sums inside groups of any size.
 
@@ -80,7 +84,7 @@ def ranged_running(
     slice) are accumulated, and both parts are added.
     """
     keys = cols(keys)
-    sliced = _sliced(df, keys, order, slices)
+    sliced = _sliced(df, keys, order, slices, stored)
     local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(UNB, 0)
     part = sliced.select("*", *[F.sum(e).over(local).alias(f"_l_{c}") for c, e in sums.items()])
     totals = sliced.groupBy(*keys, "_slice").agg(*[F.sum(e).alias(f"_t_{c}") for c, e in sums.items()])
@@ -99,7 +103,7 @@ def ranged_running(
 def ranged_last(df: DataFrame, keys, order, value: str, out: str, slices: int | None = None) -> DataFrame:
     """Last non-null value so far inside groups of any size; ``order`` are ascending column names."""
     keys, order = cols(keys), cols(order)
-    sliced = _sliced(df, keys, [F.col(c) for c in order], slices)
+    sliced = _sliced(df, keys, [F.col(c) for c in order], slices, False)
     local = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(UNB, 0)
     part = sliced.withColumn("_l", F.last(value, True).over(local))
     ends = sliced.filter(F.col(value).isNotNull()).groupBy(*keys, "_slice").agg(F.max_by(value, F.struct(*order)).alias("_e"))

@@ -144,9 +144,10 @@ def allocate(cands: DataFrame, keys=("persona", "date"), order=("neg_p", "ticker
     k, o = cols(keys), cols(order)
     unit = F.floor(F.col(raw) / F.col(price)) * F.col(price)
     todo = cands.filter((F.col(price) > 0) & (F.col(raw) >= F.col(price)) & (F.col(cash) >= F.col(price))).withColumn("_want", unit)
+    todo = pin(todo)
     done = []
     while True:
-        run = ranged_running(todo, k, [F.col(c) for c in o], {"_cum": F.col("_want")})
+        run = ranged_running(todo, k, [F.col(c) for c in o], {"_cum": F.col("_want")}, stored=True)
         done.append(run.filter(F.col("_cum") <= F.col(cash)).withColumn("dollars", F.col("_want")))
         over = run.filter(F.col("_cum") > F.col(cash))
         edge = first_per(over, k, o).withColumn("_left", F.col(cash) - (F.col("_cum") - F.col("_want")))
