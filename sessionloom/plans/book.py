@@ -176,10 +176,10 @@ mg AS (SELECT coalesce(t.persona, c.persona) AS persona, coalesce(t.ticker, c.ti
   t.dollars AS td, t.units AS tu, t.price AS tp, c.units AS cu, c.price AS cp, q.pnl FROM tgt t FULL JOIN cur c ON t.persona = c.persona AND t.ticker = c.ticker
   LEFT JOIN fl ON fl.persona = coalesce(t.persona, c.persona) AND fl.ticker = coalesce(t.ticker, c.ticker)
   LEFT JOIN (SELECT * FROM positions WHERE date = DATE '1997-04-01') q ON q.persona = coalesce(t.persona, c.persona) AND q.ticker = coalesce(t.ticker, c.ticker)),
-mh AS (SELECT *, CASE WHEN type = 'BUY' THEN tu * tp - floor(tu * tp / fp) * fp WHEN type = 'NONE' AND it AND NOT ic THEN td WHEN type = 'SELL' AND NOT it THEN cu * fp - cu * cp - pnl
-    WHEN type = 'SELL' THEN tu * fp WHEN type = 'ABORTED_SELL' THEN -(cu * cp + pnl) ELSE 0 END AS cash_move,
-  CASE WHEN type = 'BUY' THEN floor(tu * tp / fp) * fp WHEN type = 'ABORTED_SELL' THEN cu * cp + pnl WHEN type = 'NONE' AND it AND ic THEN td END AS d,
-  CASE WHEN type = 'SELL' AND NOT it THEN cu * fp - cu * cp WHEN type = 'SELL' THEN pnl + tu * fp - td ELSE pnl END AS np FROM mg)
+mh AS (SELECT *, CASE WHEN type = 'BUY' AND it THEN tu * tp - floor(tu * tp / fp) * fp WHEN type = 'NONE' AND it AND NOT ic THEN td WHEN type = 'SELL' AND NOT it THEN cu * fp - cu * cp - coalesce(pnl, 0)
+    WHEN type = 'SELL' THEN tu * fp WHEN type = 'ABORTED_SELL' AND ic THEN -(cu * cp + coalesce(pnl, 0)) ELSE 0 END AS cash_move,
+  CASE WHEN type = 'BUY' AND it THEN floor(tu * tp / fp) * fp WHEN type = 'ABORTED_SELL' AND ic THEN cu * cp + coalesce(pnl, 0) WHEN type = 'NONE' AND it AND ic THEN td END AS d,
+  CASE WHEN type = 'SELL' AND NOT it THEN cu * fp - cu * cp WHEN type = 'SELL' THEN coalesce(pnl, 0) + tu * fp - td ELSE pnl END AS np FROM mg)
 """
 
 
@@ -198,8 +198,8 @@ def _(c):
     return _merged(c).select("persona", "ticker", "type", "held", *[F.round(x, 3).alias(x) for x in ("dollars", "cash_move", "pnl")])
 
 
-@query("k14_executed_ledger", stage="positions", oracle=sql("positions", FILLS + """SELECT persona, round(5000 + sum(cash_move), 2) AS cash, round(5000 + sum(cash_move) + sum(d), 2) AS total_equity,
-  'Tracker Executed: ' || CASE WHEN persona = 'neutral' THEN 'TP/SL & ABORTED SELL' ELSE 'BUY & TP/SL & ABORTED SELL' END AS intraday_status FROM mh GROUP BY 1"""))
+@query("k14_executed_ledger", stage="positions", oracle=sql("positions", FILLS + """SELECT persona, round(5000 + sum(cash_move), 2) AS cash, round(5000 + sum(cash_move) + coalesce(sum(d), 0), 2) AS total_equity,
+  CASE WHEN bool_and(type = 'NONE') THEN 'EOD Forced HOLD' ELSE 'Tracker Executed: ' || concat_ws(' & ', CASE WHEN bool_or(type = 'BUY') THEN 'BUY' END, CASE WHEN bool_or(type = 'SELL') THEN 'TP/SL' END, CASE WHEN bool_or(type = 'ABORTED_SELL') THEN 'ABORTED SELL' END) END AS intraday_status FROM mh GROUP BY 1"""))
 def _(c):
     orders = c.positions.select("persona", F.lit(5000.0).alias("target_cash")).distinct()
     return settle.executed_ledger(_merged(c), orders)
@@ -272,7 +272,8 @@ def _(c):
 
 
 @query("k19_strategy_race", stage="ledger", oracle=sql("ledger", """SELECT a.date, a.total_equity AS one, b.total_equity AS two FROM ledger a JOIN ledger b ON a.date = b.date AND b.persona = 'dynamic' WHERE a.persona = 'neutral' AND a.date > DATE '1998-01-01'
-UNION ALL SELECT date, 1.0, 2.0 FROM ledger WHERE persona = 'aggressive' AND date <= DATE '1998-01-01'"""))
+UNION ALL SELECT date, 1.0, 2.0 FROM ledger WHERE persona = 'aggressive' AND date < DATE '2000-01-01' AND date NOT IN
+  (SELECT a.date FROM ledger a JOIN ledger b ON a.date = b.date AND b.persona = 'dynamic' WHERE a.persona = 'neutral' AND a.date > DATE '1998-01-01')"""))
 def _(c):
     old = c.ledger.filter("persona = 'aggressive' and date < DATE'2000-01-01'").select("date", F.lit(1.0).alias("one"), F.lit(2.0).alias("two"))
     new = {n: c.ledger.filter((F.col("persona") == p) & (F.col("date") > F.lit("1998-01-01").cast("date"))).select("date", F.col("total_equity").alias("equity"))
@@ -285,7 +286,7 @@ stats AS (SELECT ticker, any_value(sector) AS sector, avg(close * volume) FILTER
 """
 
 
-@query("k20_composite_scores", stage="bars", oracle=sql("panel", _STATS + """, n AS (SELECT *, (liquidity - min(liquidity) OVER s) / (max(liquidity) OVER s - min(liquidity) OVER s) AS a, 1 - (volatility - min(volatility) OVER s) / (max(volatility) OVER s - min(volatility) OVER s) AS b FROM stats WINDOW s AS (PARTITION BY sector)),
+@query("k20_composite_scores", stage="bars", oracle=sql("panel", _STATS + """, n AS (SELECT *, coalesce((liquidity - min(liquidity) OVER s) / nullif(max(liquidity) OVER s - min(liquidity) OVER s, 0), 0) AS a, coalesce(1 - (volatility - min(volatility) OVER s) / nullif(max(volatility) OVER s - min(volatility) OVER s, 0), 0) AS b FROM stats WINDOW s AS (PARTITION BY sector)),
 x AS (SELECT sector, ticker, 0.7 * a + 0.3 * b AS cap_score, 0.3 * a + 0.7 * b AS vol_score FROM n),
 y AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY cap_score DESC, ticker) AS place FROM x)
 SELECT sector, ticker, round(cap_score, 6) AS cap_score, round(vol_score, 6) AS vol_score, place FROM y WHERE place <= 5"""))

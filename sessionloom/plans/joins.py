@@ -34,7 +34,7 @@ def _(c):
 _FI = "OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-@query("j4_outer_chain_filled", sql("ledger", f""", x AS (SELECT * FROM ledger WHERE NOT (persona = 'dynamic' AND month(date) = 3)),
+@query("j4_outer_chain_filled", sql("ledger", f""", x AS (SELECT * FROM ledger WHERE persona IN ('neutral', 'dynamic', 'aggressive') AND NOT (persona = 'dynamic' AND month(date) = 3)),
 y AS (SELECT date, max(total_equity) FILTER (persona = 'neutral') AS n, max(total_equity) FILTER (persona = 'dynamic') AS d, max(total_equity) FILTER (persona = 'aggressive') AS a FROM x GROUP BY 1)
 SELECT date, last_value(n IGNORE NULLS) {_FI} AS neutral, last_value(d IGNORE NULLS) {_FI} AS dynamic, last_value(a IGNORE NULLS) {_FI} AS aggressive FROM y"""))
 def _(c):
