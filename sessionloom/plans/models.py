@@ -125,16 +125,18 @@ def _(c):
 
 
 def _triplet_rows(c):
-    """Sector mean as target; previous three-session mean of every member as feature."""
-    p = c.pred
+    """Sector mean as target; previous three-session mean of every nation as feature (a fixed short list)."""
+    p = c.pred.join(c.sectors.select("ticker", "industry"), "ticker")
     y = p.groupBy(F.col("sector").alias("target"), "date").agg(F.avg("ret").alias("y"))
-    ma = windows.mean_over("ret", 3)
-    x = p.withColumn("_m", ma).select(F.col("sector").alias("target"), "date", F.col("ticker").alias("feature"), F.lag("_m").over(by()).alias("value"))
-    return m.design(x, y, "target")
+    n = p.groupBy(F.col("industry").alias("feature"), "date").agg(F.avg("ret").alias("r"))
+    n = n.withColumn("_m", windows.mean_over("r", 3, "feature")).select("feature", "date", F.lag("_m").over(by("feature")).alias("value"))
+    return m.design(y.join(n, "date").select("target", "date", "feature", "value"), y, "target")
 
 
-@query("m16_best_triplets", stage="pred", oracle=sql("pred", f""", x0 AS (SELECT sector, ticker, date, CASE WHEN count(ret) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 THEN avg(ret) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS v FROM pred),
-x1 AS (SELECT sector, ticker, date, lag(v) OVER ({W}) AS v FROM x0), y AS (SELECT sector, date, avg(ret) AS y FROM pred GROUP BY 1, 2), k AS (SELECT sector, count(DISTINCT ticker) AS k FROM pred GROUP BY 1),
+@query("m16_best_triplets", stage="pred", oracle=sql("pred", f""", n0 AS (SELECT s.industry AS ticker, p.date, avg(ret) AS r FROM pred p JOIN sectors s ON p.ticker = s.ticker GROUP BY 1, 2),
+x0 AS (SELECT ticker, date, CASE WHEN count(r) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 THEN avg(r) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS v FROM n0),
+xl AS (SELECT ticker, date, lag(v) OVER ({W}) AS v FROM x0), y AS (SELECT sector, date, avg(ret) AS y FROM pred GROUP BY 1, 2),
+x1 AS (SELECT y.sector, xl.ticker, xl.date, v FROM xl JOIN y ON y.date = xl.date), k AS (SELECT sector, count(DISTINCT ticker) AS k FROM x1 GROUP BY 1),
 d AS (SELECT x1.sector, x1.date FROM x1 JOIN k ON k.sector = x1.sector JOIN y ON y.sector = x1.sector AND y.date = x1.date WHERE v IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, k HAVING count(*) = k),
 xs AS (SELECT x1.sector, ticker, x1.date, v - avg(v) OVER (PARTITION BY x1.sector, ticker) AS v FROM x1 JOIN d ON d.sector = x1.sector AND d.date = x1.date), ys AS (SELECT y.sector, y.date, y - avg(y) OVER (PARTITION BY y.sector) AS y FROM y JOIN d ON d.sector = y.sector AND d.date = y.date),
 g AS (SELECT a.sector, a.ticker AS i, b.ticker AS j, sum(a.v * b.v) AS g FROM xs a JOIN xs b ON a.sector = b.sector AND a.date = b.date GROUP BY 1, 2, 3), c AS (SELECT xs.sector, ticker AS i, sum(v * y) AS c FROM xs JOIN ys ON ys.sector = xs.sector AND ys.date = xs.date GROUP BY 1, 2), n AS (SELECT sector, sum(y * y) AS yy FROM ys GROUP BY 1),

@@ -103,16 +103,17 @@ def _(c):
     return c.table("events").select("event_id", loc.alias("local_ts"), m.alias("minutes"), F.round(fd.expected_volume(F.lit(1e6), m), 4).alias("expected"))
 
 
-@query("f13_arrays", """WITH a AS (SELECT o_custkey AS k, list(o_orderkey ORDER BY o_orderkey) AS l FROM orders GROUP BY 1)
-SELECT k, len(l) AS n, list_sum(l[1:3])::BIGINT AS first3, len(list_distinct(list_transform(l, lambda x: x % 7))) AS kinds, l[len(l)] AS top, list_sum(list_transform(l, lambda x: x % 7))::BIGINT AS total FROM a""")
+@query("f13_arrays", sql("gappy", """, a AS (SELECT ticker, list(CAST(day(date) AS BIGINT) ORDER BY date) AS l FROM gappy GROUP BY 1)
+SELECT ticker, len(l) AS n, list_sum(l[1:3])::BIGINT AS first3, len(list_distinct(list_transform(l, lambda x: x % 7))) AS kinds, l[len(l)] AS top, list_sum(list_transform(l, lambda x: x % 7))::BIGINT AS total FROM a"""))
 def _(c):
-    a = c.table("orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("l"))
-    l_ = F.col("l")
+    # one array per ticker, as long as its sessions
+    a = c.gappy.groupBy("ticker").agg(F.array_sort(F.collect_list(F.struct("date", F.day("date").cast("bigint").alias("d")))).alias("s"))
+    l_ = F.col("s")["d"]
     m = F.transform(l_, lambda x: x % 7)
     z = F.arrays_zip(l_.alias("a"), m.alias("b"))
     add = lambda acc, x: acc + x
     zero = F.lit(0).cast("bigint")
-    return a.select(F.col("o_custkey").alias("k"), F.size(z).alias("n"), F.aggregate(F.slice(l_, 1, 3), zero, add).alias("first3"),
+    return a.select("ticker", F.size(z).alias("n"), F.aggregate(F.slice(l_, 1, 3), zero, add).alias("first3"),
                     F.size(F.array_distinct(m)).alias("kinds"), F.element_at(l_, -1).alias("top"),
                     F.aggregate(F.flatten(F.array(m, F.array_repeat(zero, 2))), zero, add).alias("total"))
 
@@ -142,8 +143,8 @@ def _(c):
 
 @query("f17_flatten_nested", sql("sectors", "SELECT sector, ticker FROM sectors"))
 def _(c):
-    m = c.sectors.groupBy("sector", "industry").agg(F.collect_list("ticker").alias("l"))
-    m = m.select("sector", F.create_map("industry", "l").alias("m"))
+    # each row carries a nested map of lists; members are never gathered per sector
+    m = c.sectors.select("sector", F.create_map("industry", F.array("ticker", "ticker")).alias("m"))
     return m.select("sector", F.explode(s.flatten_lists(F.col("m"))).alias("ticker"))
 
 
