@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, substring
+from . import mixing, rules, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,3 +49,47 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_simhash_groups")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query("op2_quality_rules", rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {SQL_WORDS} AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+tri AS (SELECT doc_id, i, list_slice(w, i, i + 2) AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, t) AS c FROM tri) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
+b AS (SELECT d.doc_id, text, l, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+             (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+             (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words
+      FROM d LEFT JOIN cov USING (doc_id)),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 12 * n_words
+            OR 2 * n_dup_lines > len(l)
+            OR 2 * (length(text) - length(regexp_replace(text, '\p{{Lu}}', '', 'g')))
+                 > length(text) - length(regexp_replace(text, '\p{{L}}', '', 'g'))
+            OR 10 * (length(text) - length(replace(text, '!', ''))) > 3 * n_words) AS kept
+FROM f""")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.rule_report(table(spark, sf_dir, "documents"))
+
+
+@query("op4_mix_sources", rf"""
+WITH d AS (SELECT doc_id, source, len({SQL_WORDS})::BIGINT AS size,
+                  ('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS z FROM d GROUP BY source),
+r AS (SELECT source, z, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM s),
+o AS (SELECT *, 3 * z AS cap, sum(3 * z) OVER (ORDER BY 3 * z / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS spent,
+             sum(w) OVER (ORDER BY 3 * z / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM r WHERE z > 0),
+lev AS (SELECT ((SELECT sum(z) FROM s) - coalesce(spent, 0))::DOUBLE / rest AS lvl FROM o
+        WHERE ((SELECT sum(z) FROM s) - coalesce(spent, 0))::DOUBLE / rest * w <= cap ORDER BY cap / w LIMIT 1),
+t AS (SELECT source, z, least((3 * z)::DOUBLE, w * coalesce((SELECT lvl FROM lev), 0)) AS target FROM r),
+p AS (SELECT *, CASE WHEN z > 0 THEN floor(target / z) ELSE 0 END::BIGINT AS passes FROM t),
+c AS (SELECT d.*, z, target, passes, target - passes * z AS need,
+             sum(size) OVER (PARTITION BY d.source ORDER BY h RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after,
+             sum(size) OVER (PARTITION BY d.source, h) AS unit
+      FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, z AS source_size, target,
+       (size * (passes + CASE WHEN after <= need AND need > 0 OR after - unit <= need AND 2 * (need - (after - unit)) > unit THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM c""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
