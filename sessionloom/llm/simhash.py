@@ -35,6 +35,7 @@ from xxhash import xxh64_digest
 
 from ..session import pin
 from .components import connected
+from .joins import lookup
 
 SEED = 42
 
@@ -186,6 +187,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     label = connected(fingerprint_links(reps.select("fp"), radius, bucket_rows))
     rooted = pin(reps.join(label, F.col("fp") == F.col("node"), "left").select("fp", "lo", F.coalesce("root", "fp").alias("root")))
     lowest = rooted.groupBy("root").agg(F.min("lo").alias("component_id"))
-    named = rooted.join(lowest, "root").select("fp", "component_id")
+    named = lookup(rooted, lowest, "root").select("fp", "component_id")
     return fps.join(named, "fp").select(
         F.col("id").alias(id_col), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

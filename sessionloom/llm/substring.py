@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from ..session import pin
 from . import textops as T
+from .joins import lookup
 
 LAST = 2**63 - 1
 RUNS = "ord long, th long, anchor long, start int, n int, span long"
@@ -139,13 +140,13 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = runs.groupBy("anchor").agg(
         F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.min("span").alias("s0"), F.max("span").alias("s1"))
     shared = shared.filter("lo < hi").select("anchor", "lo", (F.col("s0") == F.col("s1")).alias("sole"))
-    hits = pin(runs.drop("span").join(shared, "anchor").filter("NOT sole OR ord > lo").drop("lo"))
+    hits = pin(lookup(runs.drop("span"), shared, "anchor").filter("NOT sole OR ord > lo").drop("lo"))
     whole = hits.filter("sole").select("ord", "th", "start", "n")
     open_runs = hits.filter("NOT sole").groupBy("ord", "th").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("open"))
     # Both joins below shuffle the texts by the same key: Spark makes that exchange once and reuses it.
     windows = keyed.join(open_runs, ["ord", "th"]).select("ord", "th", "id", "text", "open").mapInArrow(_windows(length, gram), WINDOWS)
     firsts = windows.groupBy("anchor", "h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").drop("hi")
-    single = windows.join(firsts, ["anchor", "h"]).filter("ord > lo").select("ord", "th", "start", F.lit(1).alias("n"))
+    single = lookup(windows, firsts, ["anchor", "h"]).filter("ord > lo").select("ord", "th", "start", F.lit(1).alias("n"))
     cuts = whole.unionByName(single).groupBy("ord", "th").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
     joined = keyed.join(cuts, ["ord", "th"], "left").select("ord", "th", "id", "text", "cuts")
     return joined.mapInArrow(_cleaned(length), (
