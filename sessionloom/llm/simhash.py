@@ -29,7 +29,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
@@ -53,14 +53,19 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(codes)).tobytes(), "big", signed=True)
 
 
+def text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(id, fp) per row; fp is the fingerprint as a signed 64-bit number, 0 for null, empty or blank text."""
+    """(id, th, fp) per row: the fingerprint as a signed 64-bit number, 0 for null, empty or blank text; th is a hash of the text."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = [fingerprint((t or "").encode("utf-8", "surrogatepass"), shingle) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fps, pa.int64())], ["id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(fps, pa.int64())], ["id", "th", "fp"])
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(scan, f"id {kind}, fp long")
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).alias("id"), text_hash(text).alias("th"), text.alias("text")).mapInArrow(scan, f"id {kind}, th long, fp long")
 
 
 def build_trees(bucket: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -174,6 +179,17 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, bucket_rows: int = 4096,
     return by_tree.unionByName(by_flip)
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, radius: int, bucket_rows: int) -> DataFrame:
+    """(id, th, fp, root, component_id) per row; root is the same for all rows of a group."""
+    fps = pin(fingerprints(docs, id_col, text_col, shingle))
+    reps = pin(fps.groupBy("fp").agg(F.min("id").alias("lo")))
+    label = connected(fingerprint_links(reps.select("fp"), radius, bucket_rows))
+    rooted = pin(reps.join(label, F.col("fp") == F.col("node"), "left").select("fp", "lo", F.coalesce("root", "fp").alias("root")))
+    lowest = rooted.groupBy("root").agg(F.min("lo").alias("component_id"))
+    named = lookup(rooted, lowest, "root").select("fp", "root", "component_id")
+    return fps.join(named, "fp")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2,
                    bucket_rows: int = 4096) -> DataFrame:
     """One row per input row: id, fp, fingerprint (16 hex digits), component_id (smallest id of its group).
@@ -182,11 +198,19 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Ids may repeat; null ids are never the smallest (a group of null ids only has
     a null component_id). Other columns are ignored, so their names cannot clash.
     """
-    fps = pin(fingerprints(docs, id_col, text_col, shingle))
-    reps = pin(fps.groupBy("fp").agg(F.min("id").alias("lo")))
-    label = connected(fingerprint_links(reps.select("fp"), radius, bucket_rows))
-    rooted = pin(reps.join(label, F.col("fp") == F.col("node"), "left").select("fp", "lo", F.coalesce("root", "fp").alias("root")))
-    lowest = rooted.groupBy("root").agg(F.min("lo").alias("component_id"))
-    named = lookup(rooted, lowest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select(
+    return _grouped(docs, id_col, text_col, shingle, radius, bucket_rows).select(
         F.col("id").alias(id_col), "fp", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2,
+                  bucket_rows: int = 4096) -> DataFrame:
+    """``docs`` with one row of each group, all its columns as they are: the row with the smallest id (null ids last).
+
+    Of rows that share that id the one with the smallest text hash stays, of
+    equal rows one.
+    """
+    rows = _grouped(docs, id_col, text_col, shingle, radius, bucket_rows)
+    best = rows.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("n"), "id", "th")).alias("b")).select("b.id", "b.th")
+    packed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("_id"), text_hash(F.col(text_col)).alias("_th"))
+    kept = packed.join(best, F.col("_id").eqNullSafe(F.col("id")) & (F.col("_th") == F.col("th")), "left_semi")
+    return kept.dropDuplicates(["_id", "_th"]).select("row.*")

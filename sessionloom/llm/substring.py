@@ -21,7 +21,7 @@ split, so copies of one text cost no single task more. Texts are shuffled once.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,10 +37,11 @@ RUNS = "ord long, th long, anchor long, start int, n int, span long"
 WINDOWS = "ord long, th long, anchor long, start int, h long"
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, carry: Sequence[str]) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
+    rest = F.struct(*carry) if carry else F.lit(None).cast("boolean")
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("ord"),
-                       F.xxhash64(text).alias("th"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+                       F.xxhash64(text).alias("th"), F.col(id_col).alias("id"), F.col(text_col).alias("text"), rest.alias("rest"))
 
 
 def _anchors(raw, off, length: int, gram: int):
@@ -120,22 +121,23 @@ def _cleaned(length: int):
             cols = list(zip(*out)) if out else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string()]
             yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("th"), *[pa.array(list(c), k) for c, k in zip(cols, kinds)]],
-                ["id", "th", "n_words", "n_removed", "kept_sha256", "removed", "kept_text"])
+                [b.column("id"), *[pa.array(list(c), k) for c, k in zip(cols, kinds)], b.column("rest")],
+                ["id", "n_words", "n_removed", "kept_sha256", "removed", "kept_text", "rest"])
     return clean
 
 
-def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 12) -> DataFrame:
-    """One row per input row: id, n_words, n_removed, kept_sha256, removed (intervals of word positions), kept_text.
+def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 50, gram: int = 12,
+                    carry: Sequence[str] = ()) -> DataFrame:
+    """One row per input row: id, n_words, n_removed, kept_sha256, removed (intervals of word positions), kept_text, rest.
 
     ``gram`` (at most ``length``) only steers how windows are grouped on their
     way, never the result. Null or empty text, or one without words: zero words,
     the hash of an empty text. A null id counts as larger than every other; rows
     with equal ids never remove from each other, equal rows get equal results.
-    Columns other than the two named are ignored, so their names cannot clash.
+    ``rest`` is a struct of the columns named in ``carry``; all others are left
+    out, so names cannot clash.
     """
-    kind = dict(docs.dtypes)[id_col]
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col, carry)
     runs = pin(keyed.select("ord", "th", "text").mapInArrow(_runs(length, gram), RUNS))
     shared = runs.groupBy("anchor").agg(
         F.min("ord").alias("lo"), F.max("ord").alias("hi"), F.min("span").alias("s0"), F.max("span").alias("s1"))
@@ -144,11 +146,11 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     whole = hits.filter("sole").select("ord", "th", "start", "n")
     open_runs = hits.filter("NOT sole").groupBy("ord", "th").agg(F.collect_list(F.struct("start", "n", "anchor")).alias("open"))
     # Both joins below shuffle the texts by the same key: Spark makes that exchange once and reuses it.
-    windows = keyed.join(open_runs, ["ord", "th"]).select("ord", "th", "id", "text", "open").mapInArrow(_windows(length, gram), WINDOWS)
+    windows = keyed.join(open_runs, ["ord", "th"]).select("ord", "th", "id", "text", "rest", "open").mapInArrow(_windows(length, gram), WINDOWS)
     firsts = windows.groupBy("anchor", "h").agg(F.min("ord").alias("lo"), F.max("ord").alias("hi")).filter("lo < hi").drop("hi")
     single = lookup(windows, firsts, ["anchor", "h"]).filter("ord > lo").select("ord", "th", "start", F.lit(1).alias("n"))
     cuts = whole.unionByName(single).groupBy("ord", "th").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
-    joined = keyed.join(cuts, ["ord", "th"], "left").select("ord", "th", "id", "text", "cuts")
-    return joined.mapInArrow(_cleaned(length), (
-        f"id {kind}, th long, n_words long, n_removed long, kept_sha256 string, "
-        "removed array<struct<start:long,stop:long>>, kept_text string")).withColumnRenamed("id", id_col)
+    joined = keyed.join(cuts, ["ord", "th"], "left").select("ord", "th", "id", "text", "rest", "cuts")
+    shape = joined.select("id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_sha256"),
+                          F.expr("cast(null as array<struct<start:long,stop:long>>)").alias("removed"), F.lit("").alias("kept_text"), "rest").schema
+    return joined.mapInArrow(_cleaned(length), shape).withColumnRenamed("id", id_col)
