@@ -139,8 +139,8 @@ def measured(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "te
     rows = docs.count()
     if not rows:
         return list(rules)
-    picked = docs.select(text_col).sample(min(1.0, sample_rows / rows), seed=17)
-    sample = prepared(picked, text_col).select(TEXT, WORDS).persist()
+    picked = docs.select(F.col(text_col).alias("text")).sample(min(1.0, sample_rows / rows), seed=17)
+    sample = prepared(picked).select(TEXT, WORDS).persist()
     n = sample.count()
     out = []
     for r in rules if n else ():
@@ -166,7 +166,9 @@ def rejected_by(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str =
     replaced). Null, empty and blank texts have no words and fail ``short``.
     """
     order = measured(docs, rules, text_col, sample_rows)
-    return prepared(docs, text_col).withColumn("rejected_by", cascade(order)).drop(TEXT, WORDS)
+    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))  # helper names cannot clash with columns
+    marked = prepared(packed).select("row", cascade(order).alias("verdict"))
+    return marked.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "rejected_by"], F.col("verdict").alias("rejected_by"))
 
 
 def rule_report(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "doc_id", text_col: str = "text",
@@ -177,10 +179,10 @@ def rule_report(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "d
     """
     others = [r for r in rules if r not in BASE]
     order = measured(docs, others, text_col, sample_rows)
-    counts = prepared(docs.select(F.col(id_col), F.col(text_col)), text_col).select(
-        F.col(id_col), TEXT, WORDS, n_words().alias("n_words"), word_chars().alias("word_chars"), n_symbols().alias("n_symbols"),
+    counts = prepared(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(
+        "id", TEXT, WORDS, n_words().alias("n_words"), word_chars().alias("word_chars"), n_symbols().alias("n_symbols"),
         n_dup_lines().alias("n_dup_lines"), n_repeat_words().alias("n_repeat_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     kept = F.when(failed, F.lit(False)).otherwise(cascade(order).isNull())
-    return counts.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+    return counts.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          failed.alias("base_failed"), kept.alias("kept"))
