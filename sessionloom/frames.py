@@ -60,14 +60,17 @@ def _sliced(df: DataFrame, keys, order: Sequence[Column], slices: int | None, st
     """Rows range-partitioned on (keys, order) with their slice number.
 
     A hot key is spread over many slices. Range bounds are sampled in a job of
-    their own, so the input is stored first (unless it already is): its plan
-    must not run twice. The result is pinned because the slice number must not
+    their own, so the input is kept meanwhile (unless it is stored already). The
+    result is stored in the shared folder because the slice number must not
     change on a retry.
     """
-    df = df if stored else pin(df)
+    kept = df if stored else df.persist()
     n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *[F.col(k) for k in keys], *order)
-    return pin(ranged.withColumn("_slice", F.spark_partition_id()))
+    ranged = kept.repartitionByRange(n, *[F.col(k) for k in keys], *order)
+    out = pin(ranged.withColumn("_slice", F.spark_partition_id()))
+    if not stored:
+        kept.unpersist()
+    return out
 
 
 def ranged_running(

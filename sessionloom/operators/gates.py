@@ -28,14 +28,19 @@ def _pick(persona: Column, table: dict, i: int | None = None) -> Column:
 
 
 def entry_threshold(persona: Column, vwap: Column, vix: Column, witching: Column) -> Column:
-    widen = F.when((vix >= 20) | witching, 0.015).otherwise(0.0)
+    widen = F.when((vix >= 20) | F.coalesce(witching, F.lit(False)), 0.015).otherwise(0.0)
     return vwap * (_pick(persona, ENTRY_MULTIPLIER) + widen)
 
 
 def entry_gate(persona, live, prev_close, vwap, vix, witching, live_volume, expected_volume) -> Column:
-    """BUY when price momentum and pro-rata volume both pass; says what blocked it otherwise."""
+    """BUY when price momentum and pro-rata volume both pass; says what blocked it otherwise.
+
+    Any unknown among price, previous close, VWAP and the volumes is NO_DATA:
+    money moves only on what is known. An unknown volatility does not widen.
+    """
+    known = prev_close.isNotNull() & live.isNotNull() & vwap.isNotNull() & live_volume.isNotNull() & expected_volume.isNotNull()
     momentum = (live > prev_close) & (live > entry_threshold(persona, vwap, vix, witching))
-    return (F.when(prev_close.isNull() | live.isNull(), "NO_DATA").when(~momentum, "WAIT")
+    return (F.when(~known, "NO_DATA").when(~momentum, "WAIT")
             .when(live_volume < expected_volume * 0.5, "LOW_VOLUME").otherwise("BUY"))
 
 

@@ -68,12 +68,14 @@ def as_of(left: DataFrame, right: DataFrame, value: str, *, keys=("ticker",), le
     Both sides are stacked and the last seen value is carried along range slices
     of (key, time), so neither a hot key nor a hot time span lands in one task
     and no range join is planned. Left rows of one instant are told apart by a
-    hash, which lets even a single instant be split.
+    hash of their columns (maps, which have no order, left out), which lets even
+    a single instant be split.
     """
+    hashed = [c for c, t in left.dtypes if "map<" not in t and "variant" not in t]
     k, out = cols(keys), out or value
     quotes = right.filter(F.col(value).isNotNull()).groupBy(*k, F.col(right_time).alias("_t")).agg(F.max(value).alias("_v"))
     r = quotes.withColumns({"_side": F.lit(1 if strict else 0), "_h": F.lit(0).cast("bigint"), "_is_left": F.lit(False)})
-    l = left.withColumns({"_t": F.col(left_time), "_side": F.lit(0 if strict else 1), "_h": F.xxhash64(*left.columns), "_is_left": F.lit(True)})
+    l = left.withColumns({"_t": F.col(left_time), "_side": F.lit(0 if strict else 1), "_h": F.xxhash64(*hashed), "_is_left": F.lit(True)})
     both = l.unionByName(r, allowMissingColumns=True)
     seen = ranged_last(both, k, ["_t", "_side", "_h"], "_v", "_seen")
     return seen.filter("_is_left").select(*[c for c in left.columns if c != out], F.col("_seen").alias(out))

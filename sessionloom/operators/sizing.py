@@ -74,8 +74,9 @@ def recommendation(prob, asset: str = "stock", hold: Column | None = None) -> Co
 
 
 def hit_label(rec: Column, actual: Column) -> Column:
+    """A return of exactly zero is "not up": a hit for Sell, a miss for Buy."""
     return (F.when(actual.isNull(), "Pending").when(rec == "Hold", "Hold")
-            .when(((rec == "Buy") & (actual > 0)) | ((rec == "Sell") & (actual < 0)), "On target").otherwise("Miss"))
+            .when(((rec == "Buy") & (actual > 0)) | ((rec == "Sell") & (actual <= 0)), "On target").otherwise("Miss"))
 
 
 def override_note(rec: Column, vix: Column, stake: Column, prob: Column) -> Column:

@@ -39,7 +39,7 @@ _REC = "CASE WHEN p_up > 0.65 THEN 'Buy' WHEN p_up < 0.35 THEN 'Sell' ELSE 'Hold
 
 
 @query("k3_hit_label", sql("pred", f""", x AS (SELECT ticker, date, {_REC} AS rec, lead(ret) OVER ({W}) AS nxt FROM pred)
-SELECT ticker, date, rec, CASE WHEN nxt IS NULL THEN 'Pending' WHEN rec = 'Hold' THEN 'Hold' WHEN (rec = 'Buy' AND nxt > 0) OR (rec = 'Sell' AND nxt < 0) THEN 'On target' ELSE 'Miss' END AS hit FROM x"""))
+SELECT ticker, date, rec, CASE WHEN nxt IS NULL THEN 'Pending' WHEN rec = 'Hold' THEN 'Hold' WHEN (rec = 'Buy' AND nxt > 0) OR (rec = 'Sell' AND nxt <= 0) THEN 'On target' ELSE 'Miss' END AS hit FROM x"""))
 def _(c):
     d = c.pred.select("ticker", "date", sizing.recommendation("p_up").alias("rec"), F.lead("ret").over(by()).alias("nxt"))
     return d.select("ticker", "date", "rec", sizing.hit_label(F.col("rec"), F.col("nxt")).alias("hit"))
@@ -220,7 +220,7 @@ def _gate(c):
     return sizing.with_personas(b)
 
 
-@query("k15_entry_gate", sql("bars macro", _GATE + """SELECT persona, ticker, date, CASE WHEN pc IS NULL THEN 'NO_DATA' WHEN NOT (live > pc AND live > vw * (CASE persona WHEN 'conservative' THEN 1.01::DOUBLE WHEN 'aggressive' THEN 1.0025 ELSE 1.005 END
+@query("k15_entry_gate", sql("bars macro", _GATE + """SELECT persona, ticker, date, CASE WHEN pc IS NULL OR vw IS NULL OR av IS NULL THEN 'NO_DATA' WHEN NOT (live > pc AND live > vw * (CASE persona WHEN 'conservative' THEN 1.01::DOUBLE WHEN 'aggressive' THEN 1.0025 ELSE 1.005 END
     + CASE WHEN vix_close >= 20 THEN 0.015::DOUBLE ELSE 0 END)) THEN 'WAIT' WHEN volume < av * (150.0 / 390.0) * 0.5 THEN 'LOW_VOLUME' ELSE 'BUY' END AS gate,
   CASE WHEN pc IS NULL OR (live > pc AND live > vw * CASE persona WHEN 'conservative' THEN 1.01::DOUBLE WHEN 'aggressive' THEN 1.0025 ELSE 1.005 END) THEN 'ABORTED_SELL' ELSE 'SELL' END AS shield FROM gp"""))
 def _(c):

@@ -13,7 +13,7 @@ from ..sources import tables
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 _MODULES = ("sources", "cleaning", "joins", "aggregates", "windows", "indicators", "selection",
-            "models", "book", "reports", "sets", "scalars", "streams", "quality")
+            "models", "book", "sets", "scalars", "streams", "quality")
 
 
 class Context:
@@ -71,11 +71,7 @@ def tidy(df: DataFrame, places: int = 6) -> DataFrame:
 
 def load_all() -> None:
     for m in _MODULES:
-        try:
-            importlib.import_module(f"{__package__}.{m}")
-        except ModuleNotFoundError as e:
-            if e.name != f"{__package__}.{m}":
-                raise
+        importlib.import_module(f"{__package__}.{m}")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as fd
 from ..functions import scalars as s
 from .registry import query
-from .sqltext import r, sql
+from .sqltext import closed_days, r, sql
 
 
 @query("f1_arithmetic", f"""WITH x AS (SELECT event_id, abs(value - 50) AS a, sign(value - 50) AS sg, sqrt(value) AS rt, exp(-value / 100) AS ex, ln(value) AS lg,
@@ -68,12 +68,12 @@ def _(c):
 
 
 @query("f9_date_arithmetic", """WITH d AS (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)
-SELECT o_orderkey, d + 30 AS plus_30, CAST(d - INTERVAL 14 MONTH AS DATE) AS minus_14_months, CASE WHEN isodow(d) < 6 THEN d + 7 END AS plus_5_business, CASE WHEN isodow(d) < 6 THEN d - CASE WHEN isodow(d) <= 3 THEN 5 ELSE 3 END END AS minus_3_business FROM d""")
+SELECT o_orderkey, d + 30 AS plus_30, CAST(d - INTERVAL 14 MONTH AS DATE) AS minus_14_months, CAST(CASE WHEN isodow(d) < 6 THEN d ELSE d - CAST(isodow(d) - 5 AS INTEGER) END + 7 AS DATE) AS plus_5_business,
+  CAST(CASE isodow(d) WHEN 6 THEN d - 3 WHEN 7 THEN d - 4 ELSE d - CASE WHEN isodow(d) <= 3 THEN 5 ELSE 3 END END AS DATE) AS minus_3_business FROM d""")
 def _(c):
     d = F.to_date("o_orderdate")
-    wd = fd.is_weekday(d)
     return c.table("orders").select("o_orderkey", F.date_add(d, 30).alias("plus_30"), F.add_months(d, -14).alias("minus_14_months"),
-                                    F.when(wd, fd.add_business_days(d, 5)).alias("plus_5_business"), F.when(wd, fd.add_business_days(d, -3)).alias("minus_3_business"))
+                                    fd.add_business_days(d, 5).alias("plus_5_business"), fd.add_business_days(d, -3).alias("minus_3_business"))
 
 
 @query("f10_business_range", sql("gappy", """, s AS (SELECT ticker, min(date) AS a, max(date) AS b FROM gappy GROUP BY 1), d AS (SELECT ticker, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM s)
@@ -83,7 +83,7 @@ def _(c):
     return sp.select("ticker", F.explode(fd.business_days(F.col("a"), F.col("b"))).alias("date"))
 
 
-_HOL = ", ".join(f"DATE '{h}'" for h in fd.HOLIDAYS)
+_HOL = closed_days()
 
 
 @query("f11_session_calendar", f"""WITH s AS (SELECT CAST(min(ts) AS DATE) AS a, CAST(max(ts) AS DATE) AS b FROM events), c AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS session FROM s),
@@ -95,6 +95,25 @@ def _(c):
     return fd.session_calendar(c.ticks)
 
 
+@query("f11_order_calendar", f"""WITH s AS (SELECT CAST(min(o_orderdate) AS DATE) AS a, CAST(max(o_orderdate) AS DATE) AS b FROM orders), c AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS session FROM s)
+SELECT session, isodow(session) < 6 AND session NOT IN ({_HOL}) AS is_open FROM c""")
+def _(c):
+    return fd.session_calendar(c.table("orders").select(F.to_date("o_orderdate").alias("date"))).select("session", "is_open")
+
+
+@query("f11_missed_sessions", sql("gappy", f""", s AS (SELECT min(date) AS a, max(date) AS b FROM gappy), cal AS (SELECT CAST(unnest(generate_series(a - 7, b + 7, INTERVAL 1 DAY)) AS DATE) AS session FROM s),
+o AS (SELECT session FROM cal WHERE isodow(session) < 6 AND session NOT IN ({_HOL})), e AS (SELECT (SELECT max(session) FROM o WHERE session <= b) AS last, (SELECT min(session) FROM o WHERE session > b) AS next FROM s),
+w AS (SELECT ticker, max(date) AS done, max(date) + CAST(max(volume) AS INTEGER) AS staged FROM gappy GROUP BY 1)
+SELECT ticker, session FROM w, e, o WHERE session <= last AND CASE WHEN done < last THEN session > done ELSE session = last AND staged <> next END"""))
+def _(c):
+    b = c.gappy
+    span = b.agg(F.date_sub(F.min("date"), 7).alias("a"), F.date_add(F.max("date"), 7).alias("b"))
+    cal = span.select(F.explode(F.sequence("a", "b")).alias("session")).withColumn("is_open", fd.is_open(F.col("session")))
+    done = b.groupBy("ticker").agg(F.max("date").alias("last_completed_date"), F.max("volume").alias("v"))
+    staged = done.select("ticker", F.date_add("last_completed_date", F.col("v").cast("int")).alias("date"))
+    return fd.missed_sessions(done, cal, b.agg(F.max("date")).scalar(), staged, "ticker")
+
+
 @query("f12_exchange_time", """SELECT event_id, ts - INTERVAL 5 HOUR AS local_ts, round(greatest(1, hour(ts - INTERVAL 5 HOUR) * 60.0 + minute(ts) + second(ts) / 60.0 - 570), 6) AS minutes,
   round(1000000.0 * (greatest(1, hour(ts - INTERVAL 5 HOUR) * 60.0 + minute(ts) + second(ts) / 60.0 - 570) / 390), 4) AS expected FROM events""")
 def _(c):

@@ -10,7 +10,7 @@ from ..sources import maintain as m
 from ..sources import payloads, readers
 from .cleaning import SCORES, scores
 from .registry import query
-from .sqltext import r, sql
+from .sqltext import closed_days, r, sql
 
 BARS6 = f"SELECT ticker, sector, date, {r('open', 'high', 'low', 'close')}, volume FROM panel"
 
@@ -122,15 +122,14 @@ def _(c):
     return c.spark.read.schema(p.schema).parquet(path)
 
 
-@query("s12_upsert", sql("ledger", """SELECT persona, date, CASE WHEN year(date) = 1997 AND persona <> 'neutral' THEN round(cash + 2, 2) ELSE cash END AS cash FROM ledger WHERE NOT (persona = 'dynamic' AND date >= DATE '2001-01-01')"""))
+@query("s12_upsert", sql("ledger", """SELECT persona, date, CASE WHEN year(date) = 1997 AND persona <> 'neutral' THEN round(cash + 2, 2) ELSE cash END AS cash FROM ledger"""))
 def _(c):
-    led = c.ledger.select("persona", "date", "cash").filter("not (persona = 'dynamic' and date >= DATE'2001-01-01')")
+    led = c.ledger.select("persona", "date", "cash")
     path = _stored(c, led.filter("persona <> 'aggressive'"), "upsert", partition_by=["persona"], files_by=["persona"])
     upd = led.filter("year(date) = 1997 and persona <> 'neutral'")
     first, second = upd.withColumn("cash", F.col("cash") + 1).withColumn("seq", F.lit(1)), upd.withColumn("cash", F.round(F.col("cash") + 2, 2)).withColumn("seq", F.lit(2))
     base = led.filter("persona = 'aggressive'").withColumn("seq", F.lit(0))
-    latest = m.last_per(base.unionByName(first).unionByName(second), ["persona", "date"], "seq").drop("seq")
-    m.upsert_table(c.spark, path, latest, ["persona", "date"], "persona")
+    m.upsert_table(c.spark, path, base.unionByName(first).unionByName(second), ["persona", "date"], "persona", "seq")
     return c.spark.read.schema(led.schema).parquet(path)
 
 
@@ -193,10 +192,10 @@ def _(c):
     return m.backfill_defaults(d, json=["holdings_json"])
 
 
-@query("s20_carry_forward", stage="gappy", oracle=sql("gappy", """, s AS (SELECT min(date) AS a, max(date) AS b FROM gappy), cal AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM s), op AS (SELECT date FROM cal WHERE isodow(date) < 6 AND date NOT IN (DATE '2024-01-01', DATE '2024-01-15')),
+@query("s20_carry_forward", stage="gappy", oracle=sql("gappy", """, s AS (SELECT min(date) AS a, max(date) AS b FROM gappy), cal AS (SELECT CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM s), op AS (SELECT date FROM cal WHERE isodow(date) < 6 AND date NOT IN (@CLOSED@)),
 f AS (SELECT ticker, min(date) AS a FROM gappy GROUP BY 1), g AS (SELECT f.ticker, op.date FROM f JOIN op ON op.date >= f.a)
-SELECT g.ticker AS persona, g.date, last_value(x.close IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cash, CASE WHEN x.close IS NULL THEN 'CARRYOVER (100% HOLD)' ELSE 'SETTLED' END AS intraday_status
-FROM g LEFT JOIN gappy x ON g.ticker = x.ticker AND g.date = x.date"""))
+SELECT g.ticker AS persona, g.date, last_value(x.close IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cash, CASE WHEN x.close IS NULL THEN '@STATUS@' ELSE 'SETTLED' END AS intraday_status
+FROM g LEFT JOIN gappy x ON g.ticker = x.ticker AND g.date = x.date""").replace("@CLOSED@", closed_days()).replace("@STATUS@", m.CARRIED))
 def _(c):
     led = c.gappy.select(F.col("ticker").alias("persona"), "date", F.col("close").alias("cash"), F.lit("SETTLED").alias("intraday_status"))
     sess = session_calendar(c.gappy).filter("is_open").select("session")

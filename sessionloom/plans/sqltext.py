@@ -3,6 +3,21 @@
 from __future__ import annotations
 
 
+def closed_days(first: int = 1990, last: int = 2035) -> str:
+    """Date literals of the exchange's closed weekdays, from rules of their own."""
+    from pandas.tseries import holiday as h
+
+    from ..functions.dates import CLOSURES
+
+    rules = [h.Holiday("new year", month=1, day=1, observance=h.sunday_to_monday), h.USPresidentsDay, h.GoodFriday, h.USMemorialDay,
+             h.Holiday("king", month=1, day=1, offset=h.DateOffset(weekday=h.MO(3)), start_date="1998-01-01"),
+             h.Holiday("june", month=6, day=19, observance=h.nearest_workday, start_date="2022-01-01"),
+             h.Holiday("july", month=7, day=4, observance=h.nearest_workday), h.USLaborDay, h.USThanksgivingDay,
+             h.Holiday("christmas", month=12, day=25, observance=h.nearest_workday)]
+    found = h.AbstractHolidayCalendar("exchange", rules=rules).holidays(f"{first}-01-01", f"{last}-12-31")
+    return ", ".join(f"DATE '{d}'" for d in sorted({*found.strftime("%Y-%m-%d"), *CLOSURES}))
+
+
 def r(*names: str, places: int = 6) -> str:
     """Rounded select items; adding zero turns a negative zero into zero."""
     return ", ".join(f"round({n}, {places}) + 0 AS {n}" for n in names)

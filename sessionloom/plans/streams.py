@@ -10,7 +10,7 @@ from .sqltext import sql
 
 
 def _ticks(c):
-    return source.read_ticks(c.spark, c.root)
+    return source.read_ticks(c.spark, f"{c.root}/events.parquet")
 
 
 def _ntz(*names):
@@ -73,7 +73,7 @@ def _(c):
 
 @query("r6_entry_signals", sql("dense", """, h AS (SELECT ticker, date, volume, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS pc, lag((high + low + close) / 3) OVER (PARTITION BY ticker ORDER BY date) AS vw, lag(volume) OVER (PARTITION BY ticker ORDER BY date) AS ev FROM dense),
 v AS (SELECT ticker, date, avg(price) AS price FROM ticks GROUP BY 1, 2)
-SELECT persona, h.ticker, h.date, CASE WHEN NOT (v.price > pc AND v.price > vw * CASE persona WHEN 'conservative' THEN 1.01::DOUBLE WHEN 'aggressive' THEN 1.0025 ELSE 1.005 END) THEN 'WAIT' WHEN volume < ev * 0.5 THEN 'LOW_VOLUME' ELSE 'BUY' END AS gate
+SELECT persona, h.ticker, h.date, CASE WHEN vw IS NULL OR ev IS NULL THEN 'NO_DATA' WHEN NOT (v.price > pc AND v.price > vw * CASE persona WHEN 'conservative' THEN 1.01::DOUBLE WHEN 'aggressive' THEN 1.0025 ELSE 1.005 END) THEN 'WAIT' WHEN volume < ev * 0.5 THEN 'LOW_VOLUME' ELSE 'BUY' END AS gate
 FROM h JOIN v ON v.ticker = h.ticker AND v.date = h.date CROSS JOIN (SELECT unnest(['conservative', 'neutral', 'aggressive']) AS persona) u WHERE pc IS NOT NULL"""))
 def _(c):
     running = bars.session_vwap(_ticks(c)).withColumnRenamed("vwap", "price")
@@ -123,25 +123,19 @@ def _(c):
     e = c.table("events")
     # the newer half is delivered first, the older half arrives afterwards
     for name, cond in (("a", "ts >= timestamp_ntz'2024-01-15'"), ("b", "ts < timestamp_ntz'2024-01-15'")):
-        e.filter(cond).coalesce(1).write.parquet(f"{base}/in/{name}")
-    for name in "ab":
-        stream = source.read_ticks(c.spark, f"{base}/in/{name}", "*.parquet")
-        sinks.run_available(stream, _numbered(sinks.split_late_sink(f"{base}/out", "ts", 86400), name), f"{base}/cp-{name}", "append")
+        e.filter(cond).write.parquet(f"{base}/in/{name}")
+    for name, after in (("a", None), ("b", "a")):
+        stream = source.read_ticks(c.spark, f"{base}/in/{name}")
+        sinks.run_available(stream, sinks.split_late_sink(f"{base}/out", "ts", 86400, name, after), f"{base}/cp-{name}", "append")
     parts = [c.spark.read.option("basePath", f"{base}/out/{k}").parquet(f"{base}/out/{k}").select(F.lit(k).alias("arrival"), "price") for k in ("on_time", "late")]
     d = parts[0].unionByName(parts[1])
     return d.groupBy("arrival").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
-def _numbered(sink, part):
-    """Two deliveries written by two short streams keep distinct batch numbers."""
-    shift = 0 if part == "a" else 1000
-    return lambda batch, batch_id: sink(batch, batch_id + shift)
-
-
 @query("r11_idempotent_ledger", "SELECT event_type AS ticker, CAST(ts AS DATE) AS date, round(avg(value), 6) AS vwap, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2")
 def _(c):
     base = scratch_path(c.spark, "ledger")
-    write = sinks.upsert_sink(f"{base}/data", ["ticker", "date"], "ticker")
+    write = sinks.upsert_sink(f"{base}/data", ["ticker", "date"], "date", order="volume")
 
     def twice(batch, batch_id):  # a repeated delivery must not change the table
         write(batch, batch_id)

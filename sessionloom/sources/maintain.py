@@ -9,11 +9,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import UNB, by, cols, last_per
+from ..frames import END, UNB, by, cols, last_per
 from ..functions.dates import business_days
 from ..session import pin
 
 
+#: Status of a carried row (fixed value: readers of the ledger look for it).
+CARRIED = "CARRYOVER (100% HOLD)"
+
+
 def merge_sources(primary: DataFrame, *backups: DataFrame, keys=("ticker", "date"), value="close") -> DataFrame:
     """Per key the row of the best-ranked source that has ``value``; copies combine before the shuffle."""
     parts = [d.withColumn("_rank", F.lit(i)) for i, d in enumerate((primary, *backups))]
@@ -39,22 +43,21 @@ def append_increment(existing: DataFrame, new: DataFrame, key="ticker", date="da
     return existing.unionByName(once)
 
 
-def upsert(target: DataFrame, updates: DataFrame, keys, order=None) -> DataFrame:
-    """Last write wins per key; among updates the greatest ``order`` wins."""
+def upsert(target: DataFrame, updates: DataFrame, keys, order) -> DataFrame:
+    """Last write wins per key; among updates the greatest ``order`` wins (its columns may be left out of the target)."""
     k = cols(keys)
-    if order is not None:
-        updates = last_per(updates, k, order)
+    updates = last_per(updates, k, order).drop(*[c for c in cols(order) if c not in target.columns])
     both = target.withColumn("_v", F.lit(0)).unionByName(updates.withColumn("_v", F.lit(1)), allowMissingColumns=True)
     return last_per(both, k, "_v").drop("_v")
 
 
-def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys, partition_by: str, order=None) -> None:
+def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys, partition_by: str, order) -> None:
     """Upsert into a Parquet table partitioned by a key column; untouched partitions stay as they are.
 
     The partition pruning comes from the join on ``partition_by``; the merged
     rows are pinned before the partitions they came from are replaced.
     """
-    stored = spark.read.schema(updates.schema).parquet(path)
+    stored = spark.read.parquet(path)
     touched = updates.select(partition_by).distinct()
     merged = pin(upsert(stored.join(touched, partition_by, "left_semi"), updates, keys, order))
     (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition_by).parquet(path))
@@ -62,7 +65,7 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys, parti
 
 def advance_watermark(table: DataFrame, name: str, date) -> DataFrame:
     new = table.sparkSession.createDataFrame([(name, date)], "pipeline_name string, last_completed_date date")
-    return upsert(table, new, "pipeline_name")
+    return upsert(table, new, "pipeline_name", "last_completed_date")
 
 
 def read_watermark(table: DataFrame, name: str) -> DataFrame:
@@ -90,14 +93,14 @@ def carry_forward(ledger: DataFrame, sessions: DataFrame, key="persona", date="d
     w = by(key, date).rowsBetween(UNB, 0)
     rest = [c for c in ledger.columns if c not in (key, date, status)]
     return j.select(key, date, *[F.last(c, True).over(w).alias(c) for c in rest],
-                    F.when(F.col("_here"), F.col(status)).otherwise("CARRYOVER (100% HOLD)").alias(status))
+                    F.when(F.col("_here"), F.col(status)).otherwise(CARRIED).alias(status))
 
 
 def heal_gaps(dense: DataFrame, interpolate, hold, keys=("ticker",), date="date") -> DataFrame:
     """Missing values on a full calendar: ``interpolate`` columns take the mean of both neighbours, ``hold`` the last."""
     k = cols(keys)
     back = by(k, date).rowsBetween(UNB, 0)
-    ahead = by(k, date).rowsBetween(0, 10**9)
+    ahead = by(k, date).rowsBetween(0, END)
 
     def mean(c) -> Column:
         a, b = F.last(c, True).over(back), F.first(c, True).over(ahead)

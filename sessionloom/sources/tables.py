@@ -17,9 +17,8 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import by
+from ..frames import UNB, by
 from ..operators.aggregates import bars_from_ticks, packed_order
-from ..session import pin
 
 # Order priority -> persona.
 PERSONAS = {
@@ -34,10 +33,18 @@ PERSONAS = {
 _STAGED: ContextVar[dict | None] = ContextVar("staged", default=None)
 
 
+_KEPT: list[DataFrame] = []
+
+
 @contextmanager
 def staging(names):
-    """Inside, the named base frames are stored once, so a query that uses one
-    several times scans the raw table once."""
+    """Inside, the named base frames are kept once computed, so a query that uses
+    one several times scans the raw table once.
+
+    Nothing runs while a plan is built. What the query before kept is let go.
+    """
+    while _KEPT:
+        _KEPT.pop().unpersist()
     token = _STAGED.set(dict.fromkeys(names))
     try:
         yield
@@ -52,7 +59,8 @@ def base(fn):
         if staged is None or fn.__name__ not in staged:
             return fn(spark, root)
         if staged[fn.__name__] is None:
-            staged[fn.__name__] = pin(fn(spark, root))
+            staged[fn.__name__] = fn(spark, root).persist()
+            _KEPT.append(staged[fn.__name__])
         return staged[fn.__name__]
 
     return get
@@ -186,7 +194,7 @@ def ledger(spark, root) -> DataFrame:
         F.map_from_entries(F.sort_array(F.collect_list(F.struct("ticker", "pnl")))).alias("daily_pnl"),
         F.round(F.sum("dollars"), 2).alias("_held"), F.round(F.sum("pnl"), 2).alias("_pnl"),
     )
-    run = F.sum("_pnl").over(by("persona").rowsBetween(-10**6, 0))
+    run = F.sum("_pnl").over(by("persona").rowsBetween(UNB, 0))
     g = g.withColumn("total_equity", F.round(10000 + run, 2))
     return g.select(
         "persona", "date",
@@ -209,7 +217,8 @@ def weights(spark, root) -> DataFrame:
                  F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"))
         .agg(F.sum("rev").alias("rev"))
     )
-    rev = pin(rev)  # one row per pair, read twice below
+    rev = rev.persist()  # one row per pair, read twice below
+    _KEPT.append(rev)
     total = rev.groupBy("etf").agg(F.sum("rev").alias("total"))
     return rev.join(total, "etf").select(
         "etf", "ticker", F.round(100 * F.col("rev") / F.col("total"), 6).alias("weight"))

@@ -26,6 +26,13 @@ def entry_signals(bars: DataFrame, orders: DataFrame) -> DataFrame:
 
 
 def with_latest_gauge(batch: DataFrame, gauge: DataFrame, value: str = "gauge") -> DataFrame:
-    """Each tick of a batch with the gauge value known at its time; one gauge for all tickers."""
-    b, g = batch.withColumn("_all", F.lit(1)), gauge.withColumn("_all", F.lit(1))
+    """Each tick of a batch with the gauge value known at its time; one gauge for all tickers.
+
+    Only the gauge rows within the batch's time span, and those of the last
+    instant before it, are read: the gauge's history is never sliced again.
+    """
+    first, last = batch.agg(F.min("ts"), F.max("ts")).first()
+    start = gauge.filter(F.col("gauge_ts") <= F.lit(first)).agg(F.max("gauge_ts")).first()[0] if first else None
+    near = gauge.filter(F.col("gauge_ts") <= F.lit(last)) if start is None else gauge.filter(F.col("gauge_ts").between(F.lit(start), F.lit(last)))
+    b, g = batch.withColumn("_all", F.lit(1)), near.withColumn("_all", F.lit(1))
     return as_of(b, g, value, keys="_all", left_time="ts", right_time="gauge_ts").drop("_all")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..frames import cols, last_per
+from ..frames import last_per
 from ..session import scratch_path
 from ..sources.maintain import upsert_table
 
@@ -29,15 +29,19 @@ def batch_folder_sink(path: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def upsert_sink(path: str, keys, partition_by: str) -> Callable[[DataFrame, int], None]:
-    """Ledger-style sink: rows replace stored rows with the same keys."""
+def upsert_sink(path: str, keys, partition_by: str, order) -> Callable[[DataFrame, int], None]:
+    """Ledger-style sink: rows replace stored rows with the same keys; of several in a batch the greatest ``order`` counts.
+
+    A batch rewrites the partitions it touches, so partition by what batches
+    have in common (the date), not by what every batch contains (the ticker).
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         if _exists(spark, path):
-            upsert_table(spark, path, batch, keys, partition_by)
+            upsert_table(spark, path, batch, keys, partition_by, order)
         else:
-            last_per(batch, keys, [c for c in batch.columns if c not in cols(keys)]).write.partitionBy(partition_by).parquet(path)
+            last_per(batch, keys, order).write.partitionBy(partition_by).parquet(path)
 
     return write
 
@@ -53,10 +57,12 @@ def latest_by_batch(spark: SparkSession, path: str, keys) -> DataFrame:
 
 
 def materialise(stream: DataFrame, label: str, keys=None, mode: str = "update") -> DataFrame:
-    """Run a stream over the available input and return its result table."""
+    """Run a stream over the available input and return its result table (empty, if no batch had input)."""
     spark = stream.sparkSession
     base = scratch_path(spark, label)
     run_available(stream, batch_folder_sink(f"{base}/data"), f"{base}/checkpoint", mode)
+    if not _exists(spark, f"{base}/data"):
+        return spark.createDataFrame([], stream.schema)
     if keys is not None:
         return latest_by_batch(spark, f"{base}/data", keys)
     return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{base}/data")
@@ -72,28 +78,34 @@ def with_batch(fn: Callable[[DataFrame], DataFrame], path: str) -> Callable[[Dat
     return sink
 
 
-def split_late_sink(path: str, event_time: str, delay_seconds: int) -> Callable[[DataFrame, int], None]:
-    """Late rows go to ``late``, the others to ``on_time``.
+def split_late_sink(path: str, event_time: str, delay_seconds: int, delivery: str = "stream", after: str | None = None) -> Callable[[DataFrame, int], None]:
+    """Late rows go to ``late``, the others to ``on_time``, each batch to a folder of its own below its delivery's.
 
     A row is late when it is older than the greatest event time of earlier
-    batches minus the delay. Each batch stores its own greatest time under its
-    number, so a retry sees the same marks.
+    batches minus the delay. Each batch stores the greatest time so far under
+    its number, so a batch reads one mark and a retry sees the same one.
+    ``after`` names a finished delivery whose last mark this one starts from.
     """
+    marks = f"{path}/marks"
+
+    def before(spark: SparkSession, batch_id: int):
+        own = f"{marks}/{delivery}/{batch_id - 1}"
+        if batch_id > 0 and _exists(spark, own):
+            return spark.read.schema("hi timestamp").parquet(own)
+        if after is not None:
+            return spark.read.schema("hi timestamp").option("recursiveFileLookup", True).parquet(f"{marks}/{after}")
+        return spark.createDataFrame([], "hi timestamp")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()  # written in three parts
-        schema = "hi timestamp, batch_id bigint"
-        marks = f"{path}/marks"
-        seen = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(marks) if _exists(spark, marks) else spark.createDataFrame([], schema)
-        top = seen.filter(F.col("batch_id") < batch_id).agg(F.max("hi")).scalar()
-        d = batch.withColumn("_m", top)
-        late = F.coalesce(F.col(event_time) < F.col("_m") - F.make_dt_interval(secs=F.lit(delay_seconds)), F.lit(False))
-        d = d.withColumn("_late", late).drop("_m")
+        seen = before(spark, batch_id)
+        late = F.coalesce(F.col(event_time) < seen.agg(F.max("hi")).scalar() - F.make_dt_interval(secs=F.lit(delay_seconds)), F.lit(False))
+        d = batch.withColumn("_late", late)
         for name, part in (("on_time", d.filter(~F.col("_late"))), ("late", d.filter("_late"))):
-            part.drop("_late").write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
-        batch.agg(F.max(event_time).alias("hi")).withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode(
-            "overwrite").parquet(f"{marks}/batch-{batch_id}")
+            part.drop("_late").write.mode("overwrite").parquet(f"{path}/{name}/delivery={delivery}/batch_id={batch_id}")
+        top = batch.select(F.col(event_time).alias("hi")).unionByName(seen).agg(F.max("hi").alias("hi"))
+        top.write.mode("overwrite").parquet(f"{marks}/{delivery}/{batch_id}")
         batch.unpersist()
 
     return sink

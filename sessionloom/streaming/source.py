@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from .. import schemas
 
 
-def read_ticks(spark: SparkSession, folder: str, pattern: str = "events*.parquet", files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files of a folder as a stream of ticks; the schema is fixed."""
-    r = spark.readStream.schema(schemas.TICKS).option("pathGlobFilter", pattern)
+def read_ticks(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet table (one file, a folder of part files, or a glob of either) as a stream of ticks; the schema is fixed."""
+    r = spark.readStream.schema(schemas.TICKS)
     if files_per_batch:
         r = r.option("maxFilesPerTrigger", files_per_batch)
-    return as_ticks(r.parquet(folder))
+    path = path.rstrip("/")
+    if not any(c in path for c in "*?[{"):
+        path = f"{path[:-1]}[{path[-1]}]"  # as a pattern of that one name: only then is a single file taken as well as a folder
+    return as_ticks(r.parquet(path))
 
 
 def as_ticks(events: DataFrame) -> DataFrame:

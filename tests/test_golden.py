@@ -1,5 +1,7 @@
 """Fixed input-output pairs: sizing, settlement, tiers, calendar, gates."""
 
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,13 +54,59 @@ def test_session_calendar(spark, day, want):
 
 def test_business_day_shift_matches_pandas(spark):
     import pandas as pd
-    days = pd.bdate_range("2026-01-01", "2026-02-10")
+    days = pd.date_range("2026-01-01", "2026-02-10")
     d = spark.createDataFrame([(x.date(),) for x in days], "d date")
     for n in (-11, -1, 0, 1, 4, 23):
         got = {r[0]: r[1] for r in d.select("d", dates.add_business_days(F.col("d"), n)).collect()}
         assert all(v == (pd.Timestamp(k) + n * pd.offsets.BDay()).date() for k, v in got.items())
 
 
+def test_holiday_rules_match_other_rules(spark):
+    from sessionloom.plans.sqltext import closed_days
+    days = spark.sql("SELECT explode(sequence(DATE'1990-01-01', DATE'2035-12-31')) AS d")
+    shut = days.filter((F.weekday("d") < 5) & ~dates.is_open(F.col("d")))
+    got = {f"DATE '{r[0]}'" for r in shut.collect()}
+    want = set(closed_days().split(", "))
+    assert got == {w for w in want if dt.date.fromisoformat(w[6:-1]).weekday() < 5}
+
+
+def test_missed_sessions(spark):
+    cal = spark.sql("SELECT explode(sequence(DATE'2026-06-08', DATE'2026-06-30')) AS session").withColumn("is_open", dates.is_open(F.col("session")))
+    d = dt.date.fromisoformat
+    marks = spark.createDataFrame([("late", d("2026-06-16")), ("new", None), ("staged", d("2026-06-18")), ("stale", d("2026-06-18")), ("none", d("2026-06-18"))],
+                                  "pipeline_name string, last_completed_date date")
+    pending = spark.createDataFrame([("staged", d("2026-06-22")), ("stale", d("2026-06-18"))], "pipeline_name string, date date")
+    got = dates.missed_sessions(marks, cal, F.lit("2026-06-20").cast("date"), pending).collect()  # the 19th is a holiday, the 20th a Saturday
+    assert sorted((r[0], str(r[1])) for r in got) == [
+        ("late", "2026-06-17"), ("late", "2026-06-18"), ("new", "2026-06-18"), ("none", "2026-06-18"), ("stale", "2026-06-18")]
+
+
+def test_sell_with_zero_return_is_a_hit(spark):
+    assert one(spark, sizing.hit_label(F.lit("Sell"), F.lit(0.0))) == "On target"
+    assert one(spark, sizing.hit_label(F.lit("Buy"), F.lit(0.0))) == "Miss"
+
+
+def test_entry_gate_needs_known_values(spark):
+    none = F.lit(None).cast("double")
+    for vwap, live, expected in ((none, F.lit(10.0), F.lit(1.0)), (F.lit(100.0), none, F.lit(1.0)), (F.lit(100.0), F.lit(10.0), none)):
+        assert one(spark, gates.entry_gate(F.lit("neutral"), *lit(110, 100), vwap, F.lit(15.0), F.lit(False), live, expected)) == "NO_DATA"
+
+
+def test_as_of_takes_left_rows_with_maps(spark):
+    from sessionloom.operators.joins import as_of
+    left = spark.sql("SELECT 'a' AS k, 5 AS t, map('x', 1.0D) AS m UNION ALL SELECT 'a', 1, map('y', 2.0D)")
+    right = spark.sql("SELECT 'a' AS k, 3 AS rt, 7.0D AS v")
+    got = as_of(left, right, "v", keys="k", left_time="t", right_time="rt").collect()
+    assert sorted((r["t"], r["v"], r["m"]) for r in got) == [(1, None, {"y": 2.0}), (5, 7.0, {"x": 1.0})]
+
+
+def test_last_of_several_updates_of_one_key_wins(spark):
+    from sessionloom.sources.maintain import upsert
+    stored = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double")
+    new = spark.createDataFrame([(1, 9.0, 1), (1, 4.0, 3), (1, 8.0, 2), (3, 5.0, 1)], "k int, v double, seq int")
+    assert sorted(tuple(r) for r in upsert(stored, new, "k", "seq").collect()) == [(1, 4.0), (2, 2.0), (3, 5.0)]
+
+
 def test_expected_volume_and_gate(spark):
     assert round(one(spark, dates.expected_volume(F.lit(1_000_000.0), F.lit(150.0)))) == 384615
     for share, want in ((0.4, "LOW_VOLUME"), (0.8, "BUY")):

@@ -274,7 +274,7 @@ def test_upsert_keeps_untouched_partitions(spark, tmp_path):
     d = spark.createDataFrame([("a", 1, 1.0), ("a", 2, 2.0), ("b", 1, 3.0)], "p string, k int, v double").select("k", "v", "p")
     readers.write_panel(d, path, ["p"])
     before = {str(f) for f in (tmp_path / "t" / "p=b").iterdir()}
-    maintain.upsert_table(spark, path, spark.createDataFrame([(2, 9.0, "a"), (3, 4.0, "a")], d.schema), ["p", "k"], "p")
+    maintain.upsert_table(spark, path, spark.createDataFrame([(2, 9.0, "a"), (3, 4.0, "a")], d.schema), ["p", "k"], "p", "v")
     got = sorted(tuple(r) for r in spark.read.parquet(path).select("p", "k", "v").collect())
     assert got == [("a", 1, 1.0), ("a", 2, 9.0), ("a", 3, 4.0), ("b", 1, 3.0)]
     assert {str(f) for f in (tmp_path / "t" / "p=b").iterdir()} == before

@@ -13,6 +13,10 @@ from sessionloom import plans  # noqa: E402
 ROOT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
+#: Findings that a clean table rightly does not have at the smallest scale.
+MAY_BE_EMPTY: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def con():
     return check.connect(ROOT)
@@ -21,7 +25,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(plans.queries()))
 def test_query(spark, con, name):
     status, note, _ = check.compare(spark, con, name, ROOT)
-    assert status in ("ok", "rows", "EMPTY"), note
+    assert status == "ok" or (status == "rows" and name not in plans.oracle_sql()) or (status == "EMPTY" and name in MAY_BE_EMPTY), note
 
 
 def test_entry_has_rows(spark):

@@ -26,7 +26,7 @@ def feed(spark, rows, files):
 
 
 def stream(spark, base, **kw):
-    return source.read_ticks(spark, f"{base}/events*.parquet", "*.parquet", 1)
+    return source.read_ticks(spark, f"{base}/events*.parquet", 1)
 
 
 def rows_of(df, *names):
@@ -82,3 +82,39 @@ def test_late_rows_are_counted_and_retries_change_nothing(spark):
         sink(batch, i)
     assert spark.read.option("recursiveFileLookup", True).parquet(f"{base}/late").count() == 1
     assert spark.read.option("recursiveFileLookup", True).parquet(f"{base}/on_time").count() == 3
+
+
+def test_every_stream_query_reads_a_table_of_several_files(spark, tmp_path):
+    import os
+    import sys
+
+    sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(__file__))), "tools"))
+    import check
+    from sessionloom import plans
+
+    root = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    for name in check.TABLES:
+        if name != "events":
+            os.symlink(f"{root}/{name}.parquet", tmp_path / f"{name}.parquet")
+    spark.read.parquet(f"{root}/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    con = check.connect(root)
+    for name in sorted(q for q in plans.queries() if q.startswith("r") and q[1].isdigit()):
+        status, note, _ = check.compare(spark, con, name, root, str(tmp_path))
+        assert status == "ok", (name, note)
+
+
+def test_stream_without_input_gives_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], schemas.TICKS).write.parquet(str(tmp_path / "events.parquet"))
+    s = source.read_ticks(spark, str(tmp_path / "events.parquet"))
+    assert sinks.materialise(bars.session_vwap(s), "none", ["ticker", "date"]).count() == 0
+
+
+def test_late_rows_are_kept_over_two_deliveries(spark):
+    base = scratch_path(spark, "two")
+    for delivery, minutes in (("a", [100, 200, 300]), ("b", [10, 290, 400])):
+        for i, m in enumerate(minutes):
+            events(spark, [(m, 0, "a", float(m))]).coalesce(1).write.parquet(f"{base}/{delivery}/{i}")
+        s = source.read_ticks(spark, f"{base}/{delivery}/*", 1)
+        sinks.run_available(s, sinks.split_late_sink(f"{base}/out", "ts", 3600, delivery, "a" if delivery == "b" else None), f"{base}/cp-{delivery}", "append")
+    late = spark.read.parquet(f"{base}/out/late")
+    assert rows_of(late, "price") == [(10.0,)] and spark.read.parquet(f"{base}/out/on_time").count() == 5

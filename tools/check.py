@@ -48,10 +48,11 @@ def table(names, rows):
     return [names[i] for i in order], out
 
 
-def compare(spark, con, name, root):
+def compare(spark, con, name, root, spark_root=None):
+    """``spark_root``: where Spark finds the same tables in another layout."""
     fn, sql = plans.queries()[name], plans.oracle_sql().get(name)
     t = time.time()
-    df = fn(spark, root)
+    df = fn(spark, spark_root or root)
     sc, sr = table(df.columns, [tuple(r) for r in df.collect()])
     took = time.time() - t
     if sql is None:
