@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from .textops import SPACE_CLASS, WORD_CLASS, WORD_SPACE
 
-WORDS, TEXT = "_rule_words", "_rule_text"
 SPOT_BITS = 24
 
 
@@ -31,32 +30,32 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_CLASS))
 
 
-def n_words() -> Column:
-    return F.size(WORDS).cast("long")
+def n_words(words: Column) -> Column:
+    return F.size(words).cast("long")
 
 
-def word_chars() -> Column:
-    return F.char_length(F.array_join(WORDS, "")).cast("long")
+def word_chars(words: Column) -> Column:
+    return F.char_length(F.array_join(words, "")).cast("long")
 
 
-def n_matching(letters: str) -> Column:
+def n_matching(text: Column, letters: str) -> Column:
     """Characters of the text in a regular expression's class."""
-    return (F.char_length(TEXT) - F.char_length(F.regexp_replace(TEXT, f"{letters}+", ""))).cast("long")
+    return (F.char_length(text) - F.char_length(F.regexp_replace(text, f"{letters}+", ""))).cast("long")
 
 
-def n_symbols() -> Column:
-    return n_matching("[#*$%&|<>]")
+def n_symbols(text: Column) -> Column:
+    return n_matching(text, "[#*$%&|<>]")
 
 
-def lines() -> Column:
-    return F.filter(F.split(TEXT, "\n"), lambda x: x.rlike(WORD_CLASS))
+def lines(text: Column) -> Column:
+    return F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD_CLASS))
 
 
-def n_dup_lines() -> Column:
-    return let(lines(), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
+def n_dup_lines(text: Column) -> Column:
+    return let(lines(text), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
 
 
-def n_repeat_words(window: int = 3) -> Column:
+def n_repeat_words(words: Column, window: int = 3) -> Column:
     """Words in word windows that occur twice or more in the text.
 
     Windows are compared by a 64-bit hash of their words. Repeats are found by
@@ -98,37 +97,36 @@ def n_repeat_words(window: int = 3) -> Column:
         return let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long"))
                    .when(F.size(h) >= 1 << SPOT_BITS, by_hash(h)).otherwise(by_number(h)))
 
-    w = F.col(WORDS)
-    return F.when(F.size(w) < window, F.lit(0).cast("long")).otherwise(let(w, count))
+    return F.when(F.size(words) < window, F.lit(0).cast("long")).otherwise(let(words, count))
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule that rejects where ``rejects()`` is true; it is built from :data:`WORDS` and :data:`TEXT`."""
+    """A rule that rejects where ``rejects(words, text)`` is true."""
 
     name: str
-    rejects: Callable[[], Column]
+    rejects: Callable[[Column, Column], Column]
     cost: float = field(default=0.0, compare=False)
     rate: float = field(default=0.0, compare=False)
 
 
 BASE = (
-    Rule("short", lambda: n_words() < 50),
-    Rule("repetitive", lambda: 100 * n_repeat_words() > 50 * n_words()),
+    Rule("short", lambda w, t: n_words(w) < 50),
+    Rule("repetitive", lambda w, t: 100 * n_repeat_words(w) > 50 * n_words(w)),
 )
 RULES = (
     *BASE,
-    Rule("symbols", lambda: 10 * n_symbols() > n_words()),
-    Rule("word_length", lambda: ~word_chars().between(2 * n_words(), 12 * n_words())),
-    Rule("duplicate_lines", lambda: 2 * n_dup_lines() > F.size(lines())),
-    Rule("shouting", lambda: 2 * n_matching(r"\p{Lu}") > n_matching(r"\p{L}")),
-    Rule("exclaiming", lambda: 10 * n_matching("!") > 3 * n_words()),
+    Rule("symbols", lambda w, t: 10 * n_symbols(t) > n_words(w)),
+    Rule("word_length", lambda w, t: ~word_chars(w).between(2 * n_words(w), 12 * n_words(w))),
+    Rule("duplicate_lines", lambda w, t: 2 * n_dup_lines(t) > F.size(lines(t))),
+    Rule("shouting", lambda w, t: 2 * n_matching(t, r"\p{Lu}") > n_matching(t, r"\p{L}")),
+    Rule("exclaiming", lambda w, t: 10 * n_matching(t, "!") > 3 * n_words(w)),
 )
 
 
-def prepared(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the helper columns the rules read; a null text counts as empty."""
-    return docs.withColumn(TEXT, F.coalesce(F.col(text_col), F.lit(""))).withColumn(WORDS, words_of(F.col(TEXT)))
+def _cut(docs: DataFrame) -> DataFrame:
+    """``docs`` (text) with its words beside it; a null text counts as empty."""
+    return docs.withColumn("text", F.coalesce(F.col("text"), F.lit(""))).withColumn("words", words_of(F.col("text")))
 
 
 def measured(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "text", sample_rows: int = 2000) -> list[Rule]:
@@ -140,22 +138,22 @@ def measured(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str = "te
     if not rows:
         return list(rules)
     picked = docs.select(F.col(text_col).alias("text")).sample(min(1.0, sample_rows / rows), seed=17)
-    sample = prepared(picked).select(TEXT, WORDS).persist()
+    sample = _cut(picked).select("text", "words").persist()
     n = sample.count()
     out = []
     for r in rules if n else ():
         began = time.perf_counter()
-        hit = sample.agg(F.sum(r.rejects().cast("int"))).first()[0] or 0
+        hit = sample.agg(F.sum(r.rejects(F.col("words"), F.col("text")).cast("int"))).first()[0] or 0
         out.append(Rule(r.name, r.rejects, (time.perf_counter() - began) / n, hit / n))
     sample.unpersist()
     return sorted(out, key=lambda r: (-r.rate / max(r.cost, 1e-12), r.name)) if out else list(rules)
 
 
-def cascade(rules: Sequence[Rule]) -> Column:
+def cascade(rules: Sequence[Rule], words: Column, text: Column) -> Column:
     """Name of the first rule that rejects, null if none does; later rules are not evaluated."""
     chain = None
     for r in rules:
-        chain = (F if chain is None else chain).when(F.coalesce(r.rejects(), F.lit(False)), F.lit(r.name))
+        chain = (F if chain is None else chain).when(F.coalesce(r.rejects(words, text), F.lit(False)), F.lit(r.name))
     return F.lit(None).cast("string") if chain is None else chain
 
 
@@ -166,8 +164,10 @@ def rejected_by(docs: DataFrame, rules: Sequence[Rule] = RULES, text_col: str =
     replaced). Null, empty and blank texts have no words and fail ``short``.
     """
     order = measured(docs, rules, text_col, sample_rows)
-    packed = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"))  # helper names cannot clash with columns
-    marked = prepared(packed).select("row", cascade(order).alias("verdict"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # One expression cuts the words once, also where a filter on the verdict is pushed to the scan.
+    verdict = let(text, lambda t: let(words_of(t), lambda w: cascade(order, w, t)))
+    marked = docs.select(F.struct("*").alias("row"), verdict.alias("verdict"))
     return marked.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != "rejected_by"], F.col("verdict").alias("rejected_by"))
 
 
@@ -179,10 +179,11 @@ def rule_report(docs: DataFrame, rules: Sequence[Rule] = RULES, id_col: str = "d
     """
     others = [r for r in rules if r not in BASE]
     order = measured(docs, others, text_col, sample_rows)
-    counts = prepared(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(
-        "id", TEXT, WORDS, n_words().alias("n_words"), word_chars().alias("word_chars"), n_symbols().alias("n_symbols"),
-        n_dup_lines().alias("n_dup_lines"), n_repeat_words().alias("n_repeat_words"))
+    w, t = F.col("words"), F.col("text")
+    counts = _cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).select(
+        "id", t, w, n_words(w).alias("n_words"), word_chars(w).alias("word_chars"), n_symbols(t).alias("n_symbols"),
+        n_dup_lines(t).alias("n_dup_lines"), n_repeat_words(w).alias("n_repeat_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    kept = F.when(failed, F.lit(False)).otherwise(cascade(order).isNull())
+    kept = F.when(failed, F.lit(False)).otherwise(cascade(order, w, t).isNull())
     return counts.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          failed.alias("base_failed"), kept.alias("kept"))
