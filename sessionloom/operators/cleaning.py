@@ -148,13 +148,17 @@ def repair_bounds(df: DataFrame) -> DataFrame:
         "kelly": F.when(bad, 0.0).otherwise(F.col("kelly"))})
 
 
-def neutralise_quarantined(scores: DataFrame, quarantine: DataFrame, latest_only: bool = True) -> DataFrame:
-    """Replace the newest score of quarantined tickers by a neutral Hold; keep 29 older rows."""
+def neutralise_quarantined(scores: DataFrame, quarantine: DataFrame, keep_rows: int | None = None) -> DataFrame:
+    """Replace the newest score of quarantined tickers by a neutral Hold.
+
+    All their older rows stay, or the newest ``keep_rows`` where that is given.
+    """
     q = quarantine.select("ticker").distinct().withColumn("_q", F.lit(True))
     rn = F.row_number().over(by("ticker", []).orderBy(F.col("date").desc()))
     j = scores.join(q, "ticker", "left").withColumn("_rn", rn)
     hit = F.coalesce(F.col("_q"), F.lit(False)) & (F.col("_rn") == 1)
-    j = j.filter(F.col("_q").isNull() | (F.col("_rn") <= 30))
+    if keep_rows is not None:
+        j = j.filter(F.col("_q").isNull() | (F.col("_rn") <= keep_rows))
     return j.withColumns({
         "p_up": F.when(hit, 0.5).otherwise(F.col("p_up")),
         "exp_ret": F.when(hit, 0.0).otherwise(F.col("exp_ret")),

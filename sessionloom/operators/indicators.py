@@ -255,14 +255,17 @@ def consensus_label(key: Column) -> Column:
     return F.coalesce(F.replace(F.upper(key), F.lit("_"), F.lit(" ")), F.lit("N/A"))
 
 
-def unify_features(frames: dict[str, DataFrame], shared: list[str]) -> DataFrame:
-    """Union per-ticker frames: own columns renamed to target_*, foreign lags dropped, gaps 0."""
-    out = None
-    for name, df in frames.items():
-        own = {c: "target_" + c[len(name) + 1:] for c in df.columns if c.startswith(f"{name}_")}
-        df = df.withColumnsRenamed(own)
-        drop = [c for c in df.columns if c not in shared and not c.startswith("target_")
-                and ("_lag" in c or "_nested_p_up" in c)]
-        df = df.drop(*drop).withColumn("ticker", F.lit(name))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out.na.fill(0)
+def unify_features(long: DataFrame, shared, keys=KEYS, order="date") -> DataFrame:
+    """One row per (key, date) from long rows (key, date, owner, feature, value) of what each key's frame holds.
+
+    A key's own features become target_*, features of the ``shared`` owners keep
+    their owner's name, lags and nested probabilities of any other owner are
+    left out, gaps are 0. The plan does not grow with the number of keys.
+    """
+    k, shared = cols(keys), cols(shared)
+    own = F.col("owner") == F.col(k[0])
+    foreign = ~own & ~F.col("owner").isin(*shared) & (F.contains(F.col("feature"), F.lit("lag")) | F.contains(F.col("feature"), F.lit("nested_p_up")))
+    named = long.filter(~foreign).withColumn("_name", F.when(own, F.concat(F.lit("target_"), "feature")).otherwise(F.concat_ws("_", "owner", "feature")))
+    names = sorted(r[0] for r in named.select("_name").distinct().collect())  # column names, as many as there are features
+    wide = named.groupBy(*k, order).agg(*[F.max(F.when(F.col("_name") == n, F.col("value"))).alias(n) for n in names])
+    return wide.na.fill(0)

@@ -126,6 +126,13 @@ def densify(df: DataFrame, keys=("ticker",), date="date", fill: bool = True, per
     return out.select(*k, date, *[F.last(c, True).over(w).alias(c) for c in rest])
 
 
+def moved_to_next_session(df: DataFrame, date="date") -> DataFrame:
+    """Every row under the frame's next session, so that an equi join meets consecutive sessions; the last one drops out."""
+    o = Window.orderBy(date)  # one row per session
+    s = df.select(date).distinct().select(date, F.lead(date).over(o).alias("_next")).filter("_next is not null")
+    return df.join(s, date).drop(date).withColumnRenamed("_next", date).select(*df.columns)
+
+
 def compare_maps(before: DataFrame, after: DataFrame, on=("persona", "ticker"), value="units") -> DataFrame:
     """Full outer comparison of two exploded holdings frames; absent means zero."""
     a = before.select(*cols(on), F.col(value).alias(f"old_{value}"))

@@ -63,13 +63,14 @@ def enforce_balance(ledger: DataFrame, tolerance: float = 0.1) -> DataFrame:
     return ledger.withColumns({"corrected": off, "cash": F.when(off, F.col("total_equity") - held).otherwise(F.col("cash"))})
 
 
-def merge_executions(target: DataFrame, current: DataFrame, fills: DataFrame, pnl: DataFrame) -> DataFrame:
-    """Per (persona, ticker): final holding, cash movement and PnL after the day's fills.
+def merge_executions(target: DataFrame, current: DataFrame, fills: DataFrame, pnl: DataFrame, keys=("persona",)) -> DataFrame:
+    """Per (keys, ticker): final holding, cash movement and PnL after the day's fills.
 
-    ``target``/``current``: persona, ticker, dollars, units, price. ``fills``:
-    persona, ticker, type (BUY, SELL, ABORTED_SELL), fill_price, cash_reversed.
+    ``target``/``current``: keys, ticker, dollars, units, price. ``fills``: keys,
+    ticker, type (BUY, SELL, ABORTED_SELL), fill_price, cash_reversed. With the
+    date among the keys all sessions are settled at once.
     """
-    on = ["persona", "ticker"]
+    on = [*cols(keys), "ticker"]
 
     def side(df, tag):
         return df.select(*on, *[F.col(c).alias(f"{tag}_{c}") for c in ("dollars", "units", "price")], F.lit(True).alias(f"in_{tag}"))
@@ -102,17 +103,18 @@ def merge_executions(target: DataFrame, current: DataFrame, fills: DataFrame, pn
                     cash.alias("cash_move"), new_pnl.alias("pnl"))
 
 
-def executed_ledger(merged: DataFrame, orders: DataFrame) -> DataFrame:
-    """Cash, equity and status line per persona from merged rows and target cash."""
-    g = merged.groupBy("persona").agg(
+def executed_ledger(merged: DataFrame, orders: DataFrame, keys=("persona",)) -> DataFrame:
+    """Cash, equity and status line per key from merged rows and target cash."""
+    k = cols(keys)
+    g = merged.groupBy(*k).agg(
         F.sum("cash_move").alias("_m"), F.coalesce(F.sum("dollars"), F.lit(0.0)).alias("held"),
         *[F.bool_or(F.col("type") == k).alias(f"_{k}") for k in ("BUY", "SELL", "ABORTED_SELL")])
     words = F.filter(F.array(F.when(F.col("_BUY"), "BUY"), F.when(F.col("_SELL"), "TP/SL"),
                              F.when(F.col("_ABORTED_SELL"), "ABORTED SELL")), lambda x: x.isNotNull())
     status = F.when(F.size(words) == 0, "EOD Forced HOLD").otherwise(
         F.concat(F.lit("Tracker Executed: "), F.array_join(words, " & ")))
-    d = orders.join(g, "persona").withColumn("cash", F.col("target_cash") + F.col("_m"))
-    return d.select("persona", F.round("cash", 2).alias("cash"), F.round(F.col("cash") + F.col("held"), 2).alias("total_equity"),
+    d = orders.join(g, k).withColumn("cash", F.col("target_cash") + F.col("_m"))
+    return d.select(*k, F.round("cash", 2).alias("cash"), F.round(F.col("cash") + F.col("held"), 2).alias("total_equity"),
                     status.alias("intraday_status"))
 
 

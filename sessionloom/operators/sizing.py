@@ -206,10 +206,11 @@ def composite_scores(stats: DataFrame, sector="sector") -> DataFrame:
 
 def list_churn(old: DataFrame, new: DataFrame, on="ticker") -> DataFrame:
     """Every ticker of either list labelled kept, added or dropped."""
-    o = old.select(on).distinct().withColumn("_o", F.lit(1))
-    n = new.select(on).distinct().withColumn("_n", F.lit(1))
-    return o.join(n, on, "full_outer").select(
-        on, F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "dropped").otherwise("kept").alias("change"))
+    k = cols(on)
+    o = old.select(*k).distinct().withColumn("_o", F.lit(1))
+    n = new.select(*k).distinct().withColumn("_n", F.lit(1))
+    return o.join(n, k, "full_outer").select(
+        *k, F.when(F.col("_o").isNull(), "added").when(F.col("_n").isNull(), "dropped").otherwise("kept").alias("change"))
 
 
 def universe(bars: DataFrame, core: DataFrame, floor: float, slots: int = 24, window: int = 10) -> DataFrame:

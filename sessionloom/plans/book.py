@@ -1,11 +1,13 @@
 """K: sizing, settlement, allocation, gates and backtests."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..frames import by
 from ..operators import backtest as bt
 from ..operators import gates, report, settle, sizing
+from ..operators.joins import moved_to_next_session
 from ..operators.windows import rank_within, top_k
 from .registry import query
 from .sqltext import sql
@@ -169,13 +171,16 @@ def _(c):
     return settle.enforce_balance(c.ledger).select("persona", "date", "corrected", F.round("cash", 2).alias("cash"))
 
 
-FILLS = """, cur AS (SELECT * FROM positions WHERE date = DATE '1997-03-01' AND ticker <> 'BUILDING'), tgt AS (SELECT * FROM positions WHERE date = DATE '1997-04-01' AND ticker NOT IN ('FURNITURE', 'HOUSEHOLD')),
-fl AS (SELECT persona, ticker, CASE ticker WHEN 'BUILDING' THEN 'BUY' WHEN 'FURNITURE' THEN 'SELL' WHEN 'HOUSEHOLD' THEN 'ABORTED_SELL' ELSE 'SELL' END AS type, price * 1.01 AS fp
-  FROM positions WHERE date = DATE '1997-05-01' AND ticker <> 'MACHINERY' AND NOT (ticker = 'BUILDING' AND persona = 'neutral')),
-mg AS (SELECT coalesce(t.persona, c.persona) AS persona, coalesce(t.ticker, c.ticker) AS ticker, coalesce(fl.type, 'NONE') AS type, t.ticker IS NOT NULL AS it, c.ticker IS NOT NULL AS ic, fp,
-  t.dollars AS td, t.units AS tu, t.price AS tp, c.units AS cu, c.price AS cp, q.pnl FROM tgt t FULL JOIN cur c ON t.persona = c.persona AND t.ticker = c.ticker
-  LEFT JOIN fl ON fl.persona = coalesce(t.persona, c.persona) AND fl.ticker = coalesce(t.ticker, c.ticker)
-  LEFT JOIN (SELECT * FROM positions WHERE date = DATE '1997-04-01') q ON q.persona = coalesce(t.persona, c.persona) AND q.ticker = coalesce(t.ticker, c.ticker)),
+#: Every session with the one before it and the one after it.
+_SESSIONS = "se AS (SELECT date, lead(date) OVER (ORDER BY date) AS next, lag(date) OVER (ORDER BY date) AS prev FROM (SELECT DISTINCT date FROM positions))"
+
+FILLS = f""", {_SESSIONS}, cur AS (SELECT p.* REPLACE (next AS date) FROM positions p JOIN se USING (date) WHERE next IS NOT NULL AND ticker <> 'BUILDING'),
+tgt AS (SELECT p.* FROM positions p JOIN se USING (date) WHERE prev IS NOT NULL AND ticker NOT IN ('FURNITURE', 'HOUSEHOLD')),
+fl AS (SELECT persona, prev AS date, ticker, CASE ticker WHEN 'BUILDING' THEN 'BUY' WHEN 'FURNITURE' THEN 'SELL' WHEN 'HOUSEHOLD' THEN 'ABORTED_SELL' ELSE 'SELL' END AS type, price * 1.01 AS fp
+  FROM positions p JOIN se USING (date) WHERE prev IS NOT NULL AND ticker <> 'MACHINERY'),
+mg AS (SELECT persona, date, ticker, coalesce(fl.type, 'NONE') AS type, t.dollars IS NOT NULL AS it, c.dollars IS NOT NULL AS ic, fp,
+  t.dollars AS td, t.units AS tu, t.price AS tp, c.units AS cu, c.price AS cp, q.pnl FROM tgt t FULL JOIN cur c USING (persona, date, ticker)
+  LEFT JOIN fl USING (persona, date, ticker) LEFT JOIN positions q USING (persona, date, ticker)),
 mh AS (SELECT *, CASE WHEN type = 'BUY' AND it THEN tu * tp - floor(tu * tp / fp) * fp WHEN type = 'NONE' AND it AND NOT ic THEN td WHEN type = 'SELL' AND NOT it THEN cu * fp - cu * cp - coalesce(pnl, 0)
     WHEN type = 'SELL' THEN tu * fp WHEN type = 'ABORTED_SELL' AND ic THEN -(cu * cp + coalesce(pnl, 0)) ELSE 0 END AS cash_move,
   CASE WHEN type = 'BUY' AND it THEN floor(tu * tp / fp) * fp WHEN type = 'ABORTED_SELL' AND ic THEN cu * cp + coalesce(pnl, 0) WHEN type = 'NONE' AND it AND ic THEN td END AS d,
@@ -184,25 +189,29 @@ mh AS (SELECT *, CASE WHEN type = 'BUY' AND it THEN tu * tp - floor(tu * tp / fp
 
 
 def _merged(c):
+    """Each session's targets against the holdings before it; the next session's prices are the fills."""
     p = c.positions
-    cur = p.filter("date = DATE'1997-03-01' and ticker <> 'BUILDING'")
-    tgt = p.filter("date = DATE'1997-04-01' and ticker not in ('FURNITURE', 'HOUSEHOLD')")
-    fl = p.filter("date = DATE'1997-05-01' and ticker <> 'MACHINERY' and not (ticker = 'BUILDING' and persona = 'neutral')").select(
-        "persona", "ticker", F.when(F.col("ticker") == "BUILDING", "BUY").when(F.col("ticker") == "HOUSEHOLD", "ABORTED_SELL").otherwise("SELL").alias("type"),
+    cur = moved_to_next_session(p).filter("ticker <> 'BUILDING'")
+    o = Window.orderBy("date")  # one row per session
+    se = p.select("date").distinct().withColumn("prev", F.lag("date").over(o)).filter("prev is not null")
+    later = p.join(se, "date")
+    fl = later.filter("ticker <> 'MACHINERY'").select(
+        "persona", F.col("prev").alias("date"), "ticker", F.when(F.col("ticker") == "BUILDING", "BUY").when(F.col("ticker") == "HOUSEHOLD", "ABORTED_SELL").otherwise("SELL").alias("type"),
         (F.col("price") * 1.01).alias("fill_price"), F.lit(False).alias("cash_reversed"))
-    return settle.merge_executions(tgt, cur, fl, p.filter("date = DATE'1997-04-01'"))
+    return settle.merge_executions(later.filter("ticker not in ('FURNITURE', 'HOUSEHOLD')"), cur, fl, p, ("persona", "date"))
 
 
-@query("k14_merge_executions", stage="positions", oracle=sql("positions", FILLS + "SELECT persona, ticker, type, d IS NOT NULL AS held, round(d, 3) AS dollars, round(cash_move, 3) + 0 AS cash_move, round(np, 3) + 0 AS pnl FROM mh"))
+@query("k14_merge_executions", stage="positions", oracle=sql("positions", FILLS + "SELECT persona, date, ticker, type, d IS NOT NULL AS held, round(d, 6) AS dollars, round(cash_move, 6) + 0 AS cash_move, round(np, 6) + 0 AS pnl FROM mh"))
 def _(c):
-    return _merged(c).select("persona", "ticker", "type", "held", *[F.round(x, 3).alias(x) for x in ("dollars", "cash_move", "pnl")])
+    return _merged(c).select("persona", "date", "ticker", "type", "held", *[F.round(x, 6).alias(x) for x in ("dollars", "cash_move", "pnl")])
 
 
-@query("k14_executed_ledger", stage="positions", oracle=sql("positions", FILLS + """SELECT persona, round(5000 + sum(cash_move), 2) AS cash, round(5000 + sum(cash_move) + coalesce(sum(d), 0), 2) AS total_equity,
-  CASE WHEN bool_and(type = 'NONE') THEN 'EOD Forced HOLD' ELSE 'Tracker Executed: ' || concat_ws(' & ', CASE WHEN bool_or(type = 'BUY') THEN 'BUY' END, CASE WHEN bool_or(type = 'SELL') THEN 'TP/SL' END, CASE WHEN bool_or(type = 'ABORTED_SELL') THEN 'ABORTED SELL' END) END AS intraday_status FROM mh GROUP BY 1"""))
+@query("k14_executed_ledger", stage="positions", oracle=sql("positions", FILLS + """SELECT persona, date, round(5000.0000301 + sum(cash_move), 2) AS cash, round(5000.0000301 + sum(cash_move) + coalesce(sum(d), 0), 2) AS total_equity,
+  CASE WHEN bool_and(type = 'NONE') THEN 'EOD Forced HOLD' ELSE 'Tracker Executed: ' || concat_ws(' & ', CASE WHEN bool_or(type = 'BUY') THEN 'BUY' END, CASE WHEN bool_or(type = 'SELL') THEN 'TP/SL' END, CASE WHEN bool_or(type = 'ABORTED_SELL') THEN 'ABORTED SELL' END) END AS intraday_status FROM mh GROUP BY 1, 2"""))
 def _(c):
-    orders = c.positions.select("persona", F.lit(5000.0).alias("target_cash")).distinct()
-    return settle.executed_ledger(_merged(c), orders)
+    merged = _merged(c)
+    orders = merged.select("persona", "date", F.lit(5000.0000301).alias("target_cash")).distinct()
+    return settle.executed_ledger(merged, orders, ("persona", "date"))
 
 
 _GATE = f""", gx AS (SELECT ticker, b.date, open AS live, lag(close) OVER (PARTITION BY ticker ORDER BY b.date) AS pc, lag((high + low + close) / 3) OVER (PARTITION BY ticker ORDER BY b.date) AS vw, volume,
@@ -302,11 +311,10 @@ def _(c):
     return d.select("sector", "ticker", F.round("score", 4).alias("score"), "place")
 
 
-@query("k22_list_churn", stage="bars", oracle=sql("bars", """, o AS (SELECT DISTINCT ticker FROM bars WHERE date = DATE '1996-02-01'), n AS (SELECT DISTINCT ticker FROM bars WHERE date = DATE '2001-10-01')
-SELECT coalesce(o.ticker, n.ticker) AS ticker, CASE WHEN o.ticker IS NULL THEN 'added' WHEN n.ticker IS NULL THEN 'dropped' ELSE 'kept' END AS change FROM o FULL JOIN n ON o.ticker = n.ticker"""))
+@query("k22_list_churn", stage="bars", oracle=sql("bars", """, s AS (SELECT date, lead(date) OVER (ORDER BY date) AS next FROM (SELECT DISTINCT date FROM bars)), o AS (SELECT ticker, next AS date, 1 AS a FROM bars JOIN s USING (date) WHERE next IS NOT NULL), n AS (SELECT ticker, date, 1 AS b FROM bars)
+SELECT date, ticker, CASE WHEN a IS NULL THEN 'added' WHEN b IS NULL THEN 'dropped' ELSE 'kept' END AS change FROM o FULL JOIN n USING (date, ticker)"""))
 def _(c):
-    b = c.bars
-    return sizing.list_churn(b.filter("date = DATE'1996-02-01'"), b.filter("date = DATE'2001-10-01'"))
+    return sizing.list_churn(moved_to_next_session(c.bars), c.bars, ["date", "ticker"])
 
 
 @query("k23_universe", stage="bars", oracle=sql("bars sectors", """, co AS (SELECT ticker FROM sectors WHERE industry = 'NATION_3'), lq AS (SELECT ticker FROM bars GROUP BY 1 HAVING avg(volume) * avg(close) >= 8000),
@@ -332,23 +340,19 @@ def _(c):
     return p.select("p_partkey", F.round(s, 1).alias("score"))
 
 
-_TWO = """, a AS (SELECT * FROM positions WHERE date = DATE '1996-05-01' AND NOT (ticker = 'BUILDING' AND persona <> 'neutral')), b AS (SELECT * FROM positions WHERE date = DATE '1996-06-01' AND NOT (ticker = 'FURNITURE' AND persona = 'dynamic')),
-ab AS (SELECT coalesce(a.persona, b.persona) AS persona, coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.units, 0) AS ou, coalesce(b.units, 0) AS nu, coalesce(a.dollars, 0) AS od, coalesce(b.dollars, 0) AS nd
-  FROM a FULL JOIN b ON a.persona = b.persona AND a.ticker = b.ticker)
+_TWO = f""", {_SESSIONS}, a AS (SELECT p.* REPLACE (next AS date) FROM positions p JOIN se USING (date) WHERE next IS NOT NULL),
+ab AS (SELECT persona, date, ticker, coalesce(a.units, 0) AS ou, coalesce(b.units, 0) AS nu, coalesce(a.dollars, 0) AS od, coalesce(b.dollars, 0) AS nd FROM a FULL JOIN positions b USING (persona, date, ticker))
 """
+_DAY = ("persona", "date")
 
 
 def _two(c):
-    drop = lambda cond, t: F.when(cond, F.map_filter("holdings", lambda k, _: k != t)).otherwise(F.col("holdings"))
-    led = c.ledger
-    a = led.filter("date = DATE'1996-05-01'").withColumn("holdings", drop(F.col("persona") != "neutral", "BUILDING"))
-    b = led.filter("date = DATE'1996-06-01'").withColumn("holdings", drop(F.col("persona") == "dynamic", "FURNITURE"))
-    return a, b
+    return moved_to_next_session(c.ledger), c.ledger
 
 
-@query("k25_pending_change", stage="ledger", oracle=sql("positions", _TWO + "SELECT persona, bool_or(abs(nd - od) > 1) AS pending FROM ab GROUP BY 1"))
+@query("k25_pending_change", stage="ledger", oracle=sql("positions", _TWO + "SELECT persona, date, bool_or(abs(nd - od) > 1) AS pending FROM ab GROUP BY 1, 2"))
 def _(c):
-    return report.pending_change(*_two(c))
+    return report.pending_change(*_two(c), keys=_DAY)
 
 
 @query("k26_recent_trades", sql("positions", """, x AS (SELECT persona, ticker, date, dollars FROM positions), s AS (SELECT persona, date, lag(date) OVER (PARTITION BY persona ORDER BY date) AS prev FROM (SELECT DISTINCT persona, date FROM positions)),
@@ -360,14 +364,14 @@ def _(c):
     return d.withColumn("change", F.round("change", 2))
 
 
-@query("k27_action_text", stage="ledger", oracle=sql("positions", _TWO + "SELECT persona, string_agg(CASE WHEN od = 0 AND nd > 0 THEN 'BUY' WHEN od > 0 AND nd = 0 THEN 'SELL' ELSE 'HOLD' END || ' ' || ticker, ' | ' ORDER BY CASE WHEN od = 0 AND nd > 0 THEN 'BUY' WHEN od > 0 AND nd = 0 THEN 'SELL' ELSE 'HOLD' END || ' ' || ticker) AS actions FROM ab GROUP BY 1"))
+@query("k27_action_text", stage="ledger", oracle=sql("positions", _TWO + "SELECT persona, date, string_agg(CASE WHEN od = 0 AND nd > 0 THEN 'BUY' WHEN od > 0 AND nd = 0 THEN 'SELL' ELSE 'HOLD' END || ' ' || ticker, ' | ' ORDER BY CASE WHEN od = 0 AND nd > 0 THEN 'BUY' WHEN od > 0 AND nd = 0 THEN 'SELL' ELSE 'HOLD' END || ' ' || ticker) AS actions FROM ab GROUP BY 1, 2"))
 def _(c):
-    return report.action_text(*_two(c))
+    return report.action_text(*_two(c), keys=_DAY)
 
 
-@query("k28_order_delta", stage="ledger", oracle=sql("positions", _TWO + "SELECT persona, ticker, ou AS old_units, nu AS new_units, CASE WHEN nu = 0 AND ou > 0 THEN 'SELL' WHEN nu < ou THEN 'REDUCE' WHEN nu > ou THEN 'BUY' ELSE 'HOLD' END AS action FROM ab"))
+@query("k28_order_delta", stage="ledger", oracle=sql("positions", _TWO + "SELECT persona, date, ticker, ou AS old_units, nu AS new_units, CASE WHEN nu = 0 AND ou > 0 THEN 'SELL' WHEN nu < ou THEN 'REDUCE' WHEN nu > ou THEN 'BUY' ELSE 'HOLD' END AS action FROM ab"))
 def _(c):
-    return report.order_delta(*_two(c))
+    return report.order_delta(*_two(c), keys=_DAY)
 
 
 _BUG = "CASE WHEN ticker = 'BUILDING' AND month(date) IN (4, 5, 9) THEN 0 ELSE units END"

@@ -188,7 +188,7 @@ def _(c):
 x AS (SELECT sc.*, q.ticker IS NOT NULL AS q, row_number() OVER (PARTITION BY sc.ticker ORDER BY date DESC) AS rn FROM sc LEFT JOIN q ON sc.ticker = q.ticker)
 SELECT ticker, date, CASE WHEN q AND rn = 1 THEN 0.5 ELSE p_up END AS p_up, CASE WHEN q AND rn = 1 THEN 0 ELSE exp_ret END AS exp_ret,
   CASE WHEN q AND rn = 1 THEN 'Hold' ELSE recommendation END AS recommendation, CASE WHEN q AND rn = 1 THEN 'QUARANTINED' ELSE status END AS status
-FROM x WHERE NOT q OR rn <= 30"""))
+FROM x"""))
 def _(c):
     q = c.bars.groupBy("ticker").agg(F.max_by("volume", "date").alias("v")).filter("v < 100")
     return p.neutralise_quarantined(scores(c), q).select("ticker", "date", "p_up", "exp_ret", "recommendation", "status")

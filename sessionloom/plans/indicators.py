@@ -112,10 +112,9 @@ def _(c):
 
 @query("t11_std_adjusted_return", sql("bars", f"""SELECT ticker, date, round((close / lag(close) OVER ({W}) - 1) /
   (sqrt(((open-m)*(open-m)+(high-m)*(high-m)+(low-m)*(low-m)+(close-m)*(close-m))/3) + 1e-8), 6) + 0 AS adj_ret
-  FROM (SELECT *, (open+high+low+close)/4 AS m FROM bars) WHERE high > low"""))
+  FROM (SELECT *, (open+high+low+close)/4 AS m FROM bars)"""))
 def _(c):
-    d = c.bars.filter("high > low")
-    return d.select("ticker", "date", t.std_adjusted(ratio_change("close", 1, by()), t.row_std("open", "high", "low", "close")).alias("adj_ret"))
+    return c.bars.select("ticker", "date", t.std_adjusted(ratio_change("close", 1, by()), t.row_std("open", "high", "low", "close")).alias("adj_ret"))
 
 
 @query("t12_volume_adjusted_return", sql("bars", f""", x AS (SELECT ticker, date, (close / lag(close) OVER ({W}) - 1) *
@@ -224,24 +223,18 @@ def _(c):
         t.consensus_label(F.replace("p_name", F.lit(" "), F.lit("_"))).alias("consensus"))
 
 
-_ETF = ("view", "click", "purchase")
-
-
 @query("t25_unify_features", stage="dense", oracle=sql("dense", f""", x AS (SELECT ticker, date, 100 * (close / lag(close) OVER ({W}) - 1) AS q FROM dense),
 y AS (SELECT ticker, date, q, lag(q) OVER ({W}) AS l1, lag(q, 2) OVER ({W}) AS l2 FROM x)
 SELECT y.ticker, y.date, round(coalesce(y.q, 0), 6) + 0 AS target_ret_pct, round(coalesce(y.l1, 0), 6) + 0 AS target_lag1,
-  round(coalesce(y.l2, 0), 6) + 0 AS target_lag2, round(coalesce(s.l1, 0), 6) + 0 AS error_lag1
-FROM y JOIN y s ON y.date = s.date AND s.ticker = 'error' WHERE y.ticker IN ('view', 'click', 'purchase')"""))
-def _(c):
-    lf = t.lag_frame(c.dense, 2).select("ticker", "date", "ret_pct", "lag1", "lag2")
-
-    def own(name, *keep):
-        d = lf.filter(F.col("ticker") == name).drop("ticker")
-        return d.select("date", *[F.col(k).alias(f"{name}_{k}") for k in keep])
-
-    shared = own("error", "lag1")
-    frames = {}
-    for n in _ETF:
-        other = own(next(x for x in _ETF if x != n), "lag1")
-        frames[n] = own(n, "ret_pct", "lag1", "lag2").join(shared, "date").join(other, "date")
-    return t.unify_features(frames, ["date", "error_lag1"])
+  round(coalesce(y.l2, 0), 6) + 0 AS target_lag2, CASE WHEN y.ticker = 'error' THEN 0 ELSE round(coalesce(s.l1, 0), 6) + 0 END AS error_lag1
+FROM y LEFT JOIN y s ON y.date = s.date AND s.ticker = 'error'"""))
+def _(c):
+    lf = t.lag_frame(c.dense, 2)
+    three = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("value")) for n in ("ret_pct", "lag1", "lag2")])).alias("f")
+    own = lf.select("ticker", "date", F.col("ticker").alias("owner"), three).select("ticker", "date", "owner", "f.*")
+    # each frame also holds the lag of one common owner and of the session's first other ticker
+    first = lf.groupBy("date").agg(F.min_by(F.struct(F.col("ticker").alias("owner"), F.col("lag1").alias("value")), "ticker").alias("o"))
+    common = lf.filter("ticker = 'error'").select("date", F.lit("error").alias("owner"), F.col("lag1").alias("value"))
+    foreign = common.unionByName(first.select("date", "o.*").filter("owner <> 'error'"))
+    rest = lf.select("ticker", "date").join(foreign, "date").filter("owner <> ticker").select("ticker", "date", "owner", F.lit("lag1").alias("feature"), "value")
+    return t.unify_features(own.unionByName(rest), "error")

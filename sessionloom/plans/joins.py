@@ -6,6 +6,7 @@ from ..functions.scalars import explode_pnl
 from ..operators import correlate
 from ..operators import joins as j
 from ..operators.windows import top_k
+from ..sources.tables import PERSONAS
 from .registry import query
 from .sqltext import sql
 from .windows import W
@@ -34,12 +35,10 @@ def _(c):
 _FI = "OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
 
 
-@query("j4_outer_chain_filled", sql("ledger", f""", x AS (SELECT * FROM ledger WHERE persona IN ('neutral', 'dynamic', 'aggressive') AND NOT (persona = 'dynamic' AND month(date) = 3)),
-y AS (SELECT date, max(total_equity) FILTER (persona = 'neutral') AS n, max(total_equity) FILTER (persona = 'dynamic') AS d, max(total_equity) FILTER (persona = 'aggressive') AS a FROM x GROUP BY 1)
-SELECT date, last_value(n IGNORE NULLS) {_FI} AS neutral, last_value(d IGNORE NULLS) {_FI} AS dynamic, last_value(a IGNORE NULLS) {_FI} AS aggressive FROM y"""))
+@query("j4_outer_chain_filled", sql("ledger", ", y AS (SELECT date, " + ", ".join(f"max(total_equity) FILTER (persona = '{p}') AS {p}" for p in PERSONAS.values())
+    + " FROM ledger GROUP BY 1) SELECT date, " + ", ".join(f"last_value({p} IGNORE NULLS) {_FI} AS {p}" for p in PERSONAS.values()) + " FROM y"))
 def _(c):
-    d = c.ledger.filter(~((F.col("persona") == "dynamic") & (F.month("date") == 3)))
-    return j.outer_chain_filled(d, ["neutral", "dynamic", "aggressive"])
+    return j.outer_chain_filled(c.ledger, list(PERSONAS.values()))
 
 
 @query("j5_override_latest", stage="pred", oracle=sql("pred", """, s AS (SELECT ticker, round(avg(p_up), 6) AS v FROM pred WHERE sector <> 'ASIA' GROUP BY 1),
@@ -125,15 +124,12 @@ def _(c):
     return j.densify(c.gappy.select("ticker", "date", "close"), per_key_span=True)
 
 
-@query("j16_compare_maps", stage="ledger", oracle=sql("positions", """, a AS (SELECT persona, ticker, units FROM positions WHERE date = DATE '1996-05-01' AND ticker <> 'BUILDING'),
-b AS (SELECT persona, ticker, units FROM positions WHERE date = DATE '1996-06-01' AND ticker <> 'FURNITURE')
-SELECT coalesce(a.persona, b.persona) AS persona, coalesce(a.ticker, b.ticker) AS ticker, coalesce(a.units, 0) AS old_units, coalesce(b.units, 0) AS new_units
-FROM a FULL JOIN b ON a.persona = b.persona AND a.ticker = b.ticker"""))
+@query("j16_compare_maps", stage="ledger", oracle=sql("positions", """, s AS (SELECT date, lead(date) OVER (ORDER BY date) AS next FROM (SELECT DISTINCT date FROM positions)),
+a AS (SELECT persona, ticker, units, next AS date FROM positions JOIN s USING (date) WHERE next IS NOT NULL), b AS (SELECT persona, ticker, units, date FROM positions)
+SELECT date, persona, ticker, coalesce(a.units, 0) AS old_units, coalesce(b.units, 0) AS new_units FROM a FULL JOIN b USING (date, persona, ticker)"""))
 def _(c):
     h = c.ledger.select("persona", "date", F.explode("holdings").alias("ticker", "h")).select("persona", "date", "ticker", "h.units")
-    a = h.filter("date = DATE'1996-05-01' and ticker <> 'BUILDING'")
-    b = h.filter("date = DATE'1996-06-01' and ticker <> 'FURNITURE'")
-    return j.compare_maps(a, b)
+    return j.compare_maps(j.moved_to_next_session(h), h, ("date", "persona", "ticker"))
 
 
 @query("j17_weighted_lookup", sql("weights", """SELECT etf, round(sum(weight * s_acctbal) / sum(weight), 6) AS weighted_score, count(*) AS n FROM weights

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import cleaning, quality as q
 from ..operators import sizing, windows
 from .cleaning import SCORES, scores
+from ..sources.tables import PERSONAS
 from .registry import query
 from .sqltext import sql
 from .windows import W
@@ -102,11 +103,10 @@ def _(c):
     return q.orphans(held, c.table("customer").filter("c_mktsegment > 'M'").select(F.col("c_mktsegment").alias("ticker")), "no_score")
 
 
-@query("q13_stale_personas", sql("ledger", """, w AS (SELECT unnest(['neutral', 'dynamic', 'etf_dynamic']) AS persona), l AS (SELECT persona, max(date) AS l FROM ledger WHERE NOT (persona = 'dynamic' AND date > DATE '2000-01-01') GROUP BY 1)
-""" + v("stale_persona", "w.persona", "coalesce(CAST(l AS VARCHAR), 'MISSING')", "FROM w LEFT JOIN l ON w.persona = l.persona WHERE l IS NULL OR l < DATE '2001-07-01'")))
+@query("q13_stale_personas", sql("ledger", """, w AS (SELECT DISTINCT persona FROM ledger UNION ALL SELECT 'etf_dynamic'), l AS (SELECT persona, max(date) AS l FROM ledger GROUP BY 1)
+""" + v("stale_persona", "w.persona", "coalesce(CAST(l AS VARCHAR), 'MISSING')", "FROM w LEFT JOIN l ON w.persona = l.persona WHERE l IS NULL OR l < DATE '2001-08-01'")))
 def _(c):
-    d = c.ledger.filter("not (persona = 'dynamic' and date > DATE'2000-01-01')")
-    return q.stale_personas(d, "2001-07-01", ["neutral", "dynamic", "etf_dynamic"])
+    return q.stale_personas(c.ledger, "2001-08-01", [*PERSONAS.values(), "etf_dynamic"])
 
 
 @query("q14_freshness", sql("bars", v("stale_table", "'bars'", "max(date)", "FROM bars HAVING max(date) < DATE '2030-01-01'")))

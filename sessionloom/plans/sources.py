@@ -8,6 +8,7 @@ from ..operators.joins import densify
 from ..session import scratch_path
 from ..sources import maintain as m
 from ..sources import payloads, readers
+from ..sources.tables import PERSONAS
 from .cleaning import SCORES, scores
 from .registry import query
 from .sqltext import closed_days, r, sql
@@ -147,6 +148,12 @@ def _(c):
     return m.advance_watermark(t, "neutral", datetime.date(2030, 1, 1))
 
 
+@query("s14_read_watermark", sql("ledger", "SELECT max(date) AS last_completed_date FROM ledger WHERE persona = 'dynamic'"))
+def _(c):
+    t = c.ledger.groupBy(F.col("persona").alias("pipeline_name")).agg(F.max("date").alias("last_completed_date"))
+    return m.read_watermark(t, "dynamic")
+
+
 @query("s15_read_ledger", stage="ledger", oracle=sql("ledger", "SELECT date, cash, total_equity, date = max(date) OVER () AS is_latest FROM ledger WHERE persona = 'neutral'"))
 def _(c):
     led = c.ledger.filter("persona = 'neutral'")
@@ -159,10 +166,10 @@ def _(c):
     s = scores(c)
     one = s.filter("ticker < 'S5'").select("ticker", "date", "p_up", "kelly")
     two = s.filter("ticker >= 'S5'").select("ticker", "date", "p_up")
-    # a bounded number of hashed directories, so tickers do not become tiny files
-    both = m.compile_scorecards([one, two]).withColumn("bucket", F.pmod(F.xxhash64("ticker"), F.lit(16)).cast("int"))
-    path = _stored(c, both, "scorecards", partition_by=["bucket"], files_by=["bucket"])
-    return c.spark.read.schema(both.schema).parquet(path).drop("bucket")
+    base = scratch_path(c.spark, "scorecards")
+    one.write.parquet(f"{base}/full")  # two vintages of sheets, the older one without a stake
+    two.write.parquet(f"{base}/short")
+    return m.compile_scorecards(c.spark, base).select("ticker", "date", "p_up", "kelly")
 
 
 @query("s17_prediction_maps", sql("pred", "SELECT ticker, p_up AS prob, exp_ret, exp_vol FROM pred WHERE p_up IS NOT NULL AND exp_ret IS NOT NULL AND exp_vol IS NOT NULL"))
@@ -175,12 +182,12 @@ def _(c):
     return readers.read_prediction_maps(c.spark, path)
 
 
-@query("s18_unpivot_tracking", sql("ledger", """, w AS (SELECT d.date, p.persona, l.total_equity AS te, l.cash AS ca FROM (SELECT DISTINCT date FROM ledger) d CROSS JOIN (SELECT unnest(['neutral', 'dynamic']) AS persona) p LEFT JOIN ledger l ON l.date = d.date AND l.persona = p.persona),
+@query("s18_unpivot_tracking", sql("ledger", """, w AS (SELECT d.date, p.persona, l.total_equity AS te, l.cash AS ca FROM (SELECT DISTINCT date FROM ledger) d CROSS JOIN (SELECT DISTINCT persona FROM ledger) p LEFT JOIN ledger l ON l.date = d.date AND l.persona = p.persona),
 x AS (SELECT persona, date, coalesce(te, 10000) AS total_equity, CASE WHEN persona = 'neutral' THEN coalesce(ca, te, 10000) ELSE coalesce(te, 10000) END AS cash FROM w)
 SELECT persona, date, cash, total_equity, round(greatest(0, total_equity - cash), 2) + 0 AS held FROM x"""))
 def _(c):
-    wide = c.ledger.groupBy("date").agg(*[F.max(F.when(F.col("persona") == p, F.col(v))).alias(f"{p}_{n}") for p, v, n in (
-        ("neutral", "total_equity", "Total_Equity"), ("neutral", "cash", "Cash"), ("dynamic", "total_equity", "Total_Equity"))])
+    sheet = [(p, "total_equity", "Total_Equity") for p in PERSONAS.values()] + [("neutral", "cash", "Cash")]  # one persona reports its cash
+    wide = c.ledger.groupBy("date").agg(*[F.max(F.when(F.col("persona") == p, F.col(v))).alias(f"{p}_{n}") for p, v, n in sheet])
     from ..functions.scalars import holdings_total
     return readers.unpivot_tracking(wide).select("persona", "date", "cash", "total_equity", F.round(holdings_total(F.col("holdings")), 2).alias("held"))
 

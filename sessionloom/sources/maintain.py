@@ -72,11 +72,9 @@ def read_watermark(table: DataFrame, name: str) -> DataFrame:
     return table.filter(F.col("pipeline_name") == name).select("last_completed_date")
 
 
-def compile_scorecards(frames: list[DataFrame]) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+def compile_scorecards(spark: SparkSession, *paths: str) -> DataFrame:
+    """All sheets below the given folders in one scan; a column that a sheet lacks is null there."""
+    return spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(*paths)
 
 
 def backfill_defaults(df: DataFrame, start: float = 10000.0, money=("cash", "total_equity"), json=("holdings_json", "daily_pnl_json")) -> DataFrame:
