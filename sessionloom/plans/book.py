@@ -176,7 +176,7 @@ _SESSIONS = "se AS (SELECT date, lead(date) OVER (ORDER BY date) AS next, lag(da
 
 FILLS = f""", {_SESSIONS}, cur AS (SELECT p.* REPLACE (next AS date) FROM positions p JOIN se USING (date) WHERE next IS NOT NULL AND ticker <> 'BUILDING'),
 tgt AS (SELECT p.* FROM positions p JOIN se USING (date) WHERE prev IS NOT NULL AND ticker NOT IN ('FURNITURE', 'HOUSEHOLD')),
-fl AS (SELECT persona, prev AS date, ticker, CASE ticker WHEN 'BUILDING' THEN 'BUY' WHEN 'FURNITURE' THEN 'SELL' WHEN 'HOUSEHOLD' THEN 'ABORTED_SELL' ELSE 'SELL' END AS type, price * 1.01 AS fp
+fl AS (SELECT persona, prev AS date, ticker, CASE ticker WHEN 'BUILDING' THEN 'BUY' WHEN 'FURNITURE' THEN 'SELL' WHEN 'HOUSEHOLD' THEN 'ABORTED_SELL' ELSE 'SELL' END AS type, price * 1.0100013 AS fp
   FROM positions p JOIN se USING (date) WHERE prev IS NOT NULL AND ticker <> 'MACHINERY'),
 mg AS (SELECT persona, date, ticker, coalesce(fl.type, 'NONE') AS type, t.dollars IS NOT NULL AS it, c.dollars IS NOT NULL AS ic, fp,
   t.dollars AS td, t.units AS tu, t.price AS tp, c.units AS cu, c.price AS cp, q.pnl FROM tgt t FULL JOIN cur c USING (persona, date, ticker)
@@ -197,13 +197,13 @@ def _merged(c):
     later = p.join(se, "date")
     fl = later.filter("ticker <> 'MACHINERY'").select(
         "persona", F.col("prev").alias("date"), "ticker", F.when(F.col("ticker") == "BUILDING", "BUY").when(F.col("ticker") == "HOUSEHOLD", "ABORTED_SELL").otherwise("SELL").alias("type"),
-        (F.col("price") * 1.01).alias("fill_price"), F.lit(False).alias("cash_reversed"))
+        (F.col("price") * 1.0100013).alias("fill_price"), F.lit(False).alias("cash_reversed"))
     return settle.merge_executions(later.filter("ticker not in ('FURNITURE', 'HOUSEHOLD')"), cur, fl, p, ("persona", "date"))
 
 
-@query("k14_merge_executions", stage="positions", oracle=sql("positions", FILLS + "SELECT persona, date, ticker, type, d IS NOT NULL AS held, round(d, 6) AS dollars, round(cash_move, 6) + 0 AS cash_move, round(np, 6) + 0 AS pnl FROM mh"))
+@query("k14_merge_executions", stage="positions", oracle=sql("positions", FILLS + "SELECT persona, date, ticker, type, d IS NOT NULL AS held, round(d, 3) AS dollars, round(cash_move, 3) + 0 AS cash_move, round(np, 3) + 0 AS pnl FROM mh"))
 def _(c):
-    return _merged(c).select("persona", "date", "ticker", "type", "held", *[F.round(x, 6).alias(x) for x in ("dollars", "cash_move", "pnl")])
+    return _merged(c).select("persona", "date", "ticker", "type", "held", *[F.round(x, 3).alias(x) for x in ("dollars", "cash_move", "pnl")])
 
 
 @query("k14_executed_ledger", stage="positions", oracle=sql("positions", FILLS + """SELECT persona, date, round(5000.0000301 + sum(cash_move), 2) AS cash, round(5000.0000301 + sum(cash_move) + coalesce(sum(d), 0), 2) AS total_equity,

@@ -70,7 +70,7 @@ _POSITIONS = """pm AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'aggress
   CAST(date_trunc('month', o_orderdate) AS DATE) AS date, c_mktsegment AS ticker,
   round(sum(o_totalprice) / 997, 2) AS dollars, count(*) AS n
   FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2, 3),
-positions AS (SELECT persona, date, ticker, dollars, CAST(n AS DOUBLE) AS units, round(dollars / n, 4) AS price,
+positions AS (SELECT persona, date, ticker, dollars, CAST(n AS DOUBLE) AS units, round(dollars / n, 9) AS price,
   round(coalesce(dollars - lag(dollars) OVER (PARTITION BY persona, ticker ORDER BY date), 0), 2) AS pnl FROM pm)"""
 
 _LEDGER = """lg AS (SELECT persona, date, round(sum(dollars), 2) AS held, round(sum(pnl), 2) AS pnl

@@ -177,7 +177,7 @@ def positions(spark, root) -> DataFrame:
     prev = F.lag("dollars").over(by(["persona", "ticker"]))
     return m.select(
         "persona", "date", "ticker", "dollars", F.col("n").cast("double").alias("units"),
-        F.round(F.col("dollars") / F.col("n"), 4).alias("price"),
+        F.round(F.col("dollars") / F.col("n"), 9).alias("price"),
         F.round(F.coalesce(F.col("dollars") - prev, F.lit(0.0)), 2).alias("pnl"),
     )
 
