@@ -10,25 +10,40 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import pin
 
-SERIES_PER_BLOCK = 256
-_FIELDS = "target string, predictor string, n long, corr double, slope double, intercept double"
+BLOCK_BYTES, BLOCK_SERIES = 8 << 20, 1024
+_FIELDS = "target string, predictor string, lag int, n long, corr double, slope double, intercept double"
 
 
-def _matrix(rows: pd.DataFrame, index: dict[int, int]) -> np.ndarray:
+def _matrix(rows: pd.DataFrame, index: np.ndarray) -> np.ndarray:
+    """Series by sessions, NaN where a series has no value."""
     m = np.full((len(rows), len(index)), np.nan)
-    for i, (days, values) in enumerate(zip(rows["days"], rows["values"])):
-        m[i, [index[d] for d in days]] = values
+    sizes = [len(d) for d in rows["days"]]
+    m[np.repeat(np.arange(len(rows)), sizes), np.searchsorted(index, np.concatenate(rows["days"].to_list()))] = np.concatenate(rows["values"].to_list())
     return m
 
 
-def _pair_stats(left: pd.DataFrame, right: pd.DataFrame, top: int | None, min_obs: int) -> pd.DataFrame:
-    days = sorted(set().union(*left["days"], *right["days"]))
-    index = {d: i for i, d in enumerate(days)}
+def _strong(score: np.ndarray, ok: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells that are among the ``top`` of their row, earlier columns first on ties."""
+    s = np.where(ok, score, -1.0)
+    if s.shape[1] > top:
+        ok = ok & (s >= -np.partition(-s, top - 1, axis=1)[:, top - 1: top])
+    li, ri = np.nonzero(ok)
+    order = np.lexsort((ri, -score[li, ri], li))
+    li, ri = li[order], ri[order]
+    place = np.arange(len(li)) - np.searchsorted(li, li)
+    return li[place < top], ri[place < top]
+
+
+def _pair_stats(left: pd.DataFrame, right: pd.DataFrame, lag: int, top: int | None, min_obs: int) -> pd.DataFrame:
+    right = right.sort_values("series", ignore_index=True)
+    if lag:
+        right = right.assign(days=[d[lag:] for d in right["days"]], values=[v[: max(0, len(v) - lag)] for v in right["values"]])
+    index = np.unique(np.concatenate([*left["days"], *right["days"]]))
     a, b = _matrix(left, index), _matrix(right, index)
     a_ok, b_ok = ~np.isnan(a), ~np.isnan(b)
     # centring on the own mean keeps the sums of squares well conditioned
@@ -47,16 +62,12 @@ def _pair_stats(left: pd.DataFrame, right: pd.DataFrame, top: int | None, min_ob
         corr = np.where(flat, np.nan, cov / np.sqrt(va * vb))
         slope = np.where(flat, np.nan, cov / vb)
         icpt = (sa / n + a_mean[:, None]) - slope * (sb / n + b_mean[None, :])
-    li, ri = np.nonzero(n >= max(min_obs, 1))
+    enough = n >= max(min_obs, 1)
+    li, ri = np.nonzero(enough) if top is None else _strong(np.abs(np.nan_to_num(corr)), enough & ~np.isnan(corr), top)
     out = pd.DataFrame({
-        "target": left["series"].to_numpy()[li], "predictor": right["series"].to_numpy()[ri],
+        "target": left["series"].to_numpy()[li], "predictor": right["series"].to_numpy()[ri], "lag": np.full(len(li), lag, "int32"),
         "n": n[li, ri].astype("int64"), "corr": corr[li, ri], "slope": slope[li, ri], "intercept": icpt[li, ri]})
-    out = out.astype(object).where(out.notna(), None) if out.isna().to_numpy().any() else out
-    if top is not None and len(out):
-        out = out[out["corr"].notna()].copy()
-        out["_s"] = -out["corr"].astype(float).abs()
-        out = out.sort_values(["target", "_s", "predictor"]).groupby("target", sort=False).head(top).drop(columns="_s")
-    return out
+    return out.astype(object).where(out.notna(), None) if out.isna().to_numpy().any() else out
 
 
 def _packed(df: DataFrame, value: str) -> DataFrame:
@@ -83,14 +94,20 @@ def unpack(packed: DataFrame) -> DataFrame:
                                              F.date_from_unix_date("_z.days").alias("date"), F.col("_z.values").alias("value"))
 
 
-def packed_correlation(a: DataFrame, b: DataFrame, *, blocks: int | None = None, top: int | None = None,
+def packed_correlation(a: DataFrame, b: DataFrame, *, lags=(0,), blocks: int | None = None, top: int | None = None,
                        min_obs: int = 2) -> DataFrame:
-    """Pair statistics of packed targets ``a`` and packed predictors ``b``.
+    """Pair statistics of packed targets ``a`` and packed predictors ``b`` moved ``lags`` of their own sessions ahead.
 
-    Each side's number of blocks follows its number of series (256 a block), so
-    the size of one task's matrices does not grow with the universe.
+    A block holds as many series as fit its byte budget, so the size of one
+    task's matrices grows neither with the universe nor with the history. All
+    lags are done on the same blocks: the series travel once.
     """
-    na, nb = (blocks or max(1, -(-x.count() // SERIES_PER_BLOCK)) for x in (a, b))
+    def block_count(x: DataFrame) -> int:
+        n, longest = x.agg(F.count(F.lit(1)), F.max(F.size("days"))).first()
+        return max(1, -(-n // max(1, min(BLOCK_SERIES, BLOCK_BYTES // (8 * max(longest or 1, 1))))))
+
+    na = blocks or block_count(a)
+    nb = na if b is a else blocks or block_count(b)
 
     def home(name, n):
         return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
@@ -105,8 +122,9 @@ def packed_correlation(a: DataFrame, b: DataFrame, *, blocks: int | None = None,
 
     def work(l: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if l.empty or r.empty:
-            return pd.DataFrame(columns=["target", "predictor", "n", "corr", "slope", "intercept"])
-        return _pair_stats(l, r.rename(columns=lambda c: c.removeprefix("r_")), top, min_obs)
+            return pd.DataFrame(columns=["target", "predictor", "lag", "n", "corr", "slope", "intercept"])
+        r = r.rename(columns=lambda c: c.removeprefix("r_"))
+        return pd.concat([_pair_stats(l, r, lag, top, min_obs) for lag in lags])
 
     return left.groupBy("_lb", "_rb").cogroup(right.groupBy("_lb", "_rb")).applyInPandas(work, _FIELDS)
 
@@ -119,7 +137,7 @@ def block_correlation(targets: DataFrame, predictors: DataFrame, *, blocks: int
     predictors of each of its targets, and the final ranking sees blocks * top
     rows per target.
     """
-    return packed_correlation(pack(targets), pack(predictors), blocks=blocks, top=top, min_obs=min_obs)
+    return packed_correlation(pack(targets), pack(predictors), blocks=blocks, top=top, min_obs=min_obs).drop("lag")
 
 
 def lagged_correlation(df: DataFrame, lag: int = 1, *, blocks: int | None = None, top: int | None = None,
@@ -129,10 +147,16 @@ def lagged_correlation(df: DataFrame, lag: int = 1, *, blocks: int | None = None
     A lag counts rows that carry a value.
     """
     p = pack(df.select(F.col("ticker").alias("series"), "date", "value"))
-    return lagged_packed(p, lag, blocks=blocks, top=top, min_obs=min_obs, exclude_self=exclude_self)
+    return lagged_packed(p, (lag,), blocks=blocks, top=top, min_obs=min_obs, exclude_self=exclude_self).drop("lag")
 
 
-def lagged_packed(p: DataFrame, lag: int, *, blocks: int | None = None, top: int | None = None, min_obs: int = 2,
+def lagged_packed(p: DataFrame, lags, *, blocks: int | None = None, top: int | None = None, min_obs: int = 2,
                   exclude_self: bool = False) -> DataFrame:
-    out = packed_correlation(p, shifted(p, lag), blocks=blocks, top=None if top is None else top + int(exclude_self), min_obs=min_obs)
+    out = packed_correlation(p, p, lags=tuple(lags), blocks=blocks, top=None if top is None else top + int(exclude_self), min_obs=min_obs)
     return out.filter("target <> predictor") if exclude_self else out
+
+
+def strongest(pairs: DataFrame, k: int, by=("target",)) -> DataFrame:
+    """The k largest |corr| of each target (and whatever else ``by`` names), ties by predictor, with their rank."""
+    w = Window.partitionBy(*by).orderBy(F.abs("corr").desc(), "predictor")  # at most blocks * k rows a target
+    return pairs.filter("corr is not null").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)

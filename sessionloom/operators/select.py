@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..frames import UNB, by
 from ..session import pin
-from .correlate import block_correlation, lagged_correlation, lagged_packed, pack, packed_correlation, shifted, unpack
-from .windows import top_k
+from .correlate import block_correlation, lagged_correlation, lagged_packed, pack, packed_correlation, shifted, strongest, unpack
 
 
 def feature_key() -> Column:
@@ -35,10 +34,6 @@ def train_dates(df: DataFrame, share: float = 0.8) -> DataFrame:
     return d.withColumn("_ok", i <= F.floor(n * share)).filter("_ok").drop("_ok")
 
 
-def _strongest(corr: DataFrame, k: int, rank: str | None = "rank") -> DataFrame:
-    return top_k(corr.filter("corr is not null"), k, "target", [F.abs("corr").desc(), F.col("predictor")], rank)
-
-
 def pack_features(features: DataFrame) -> DataFrame:
     """One stored row per TICKER_FEATURE series."""
     return pack(features.select(feature_key().alias("series"), "date", "value"))
@@ -56,7 +51,7 @@ def top_k_packed(targets: DataFrame, lagged: DataFrame, k: int, *, train_share:
     """Same on (series, date, value) targets and packed lagged features, e.g. one target series per fold."""
     if train_share is not None:
         targets = targets.join(train_dates(targets, train_share), "date", "left_semi")
-    return _strongest(packed_correlation(pack(targets), lagged, blocks=blocks, top=k, min_obs=min_obs), k)
+    return strongest(packed_correlation(pack(targets), lagged, blocks=blocks, top=k, min_obs=min_obs).drop("lag"), k)
 
 
 def selected_rows(top: DataFrame, lagged: DataFrame) -> DataFrame:
@@ -65,8 +60,8 @@ def selected_rows(top: DataFrame, lagged: DataFrame) -> DataFrame:
     return unpack(j).select("target", "date", F.col("series").alias("feature"), "value")
 
 
-def lagged_r2(df: DataFrame, lag: int = 1, *, mode: str = "returns", blocks: int | None = None) -> DataFrame:
-    """R-squared of every (target, predictor) pair.
+def lagged_r2(df: DataFrame, lag: int = 1, *, top: int | None = 20, mode: str = "returns", blocks: int | None = None) -> DataFrame:
+    """R-squared of each target with its ``top`` strongest predictors (None: with every one, a table of all pairs).
 
     ``returns`` keeps the sessions on which every ticker has both its value and
     its lagged value; ``prices`` fills levels forward over all sessions first.
@@ -78,7 +73,7 @@ def lagged_r2(df: DataFrame, lag: int = 1, *, mode: str = "returns", blocks: int
         sessions = days.agg(F.sort_array(F.collect_list("date"))).scalar()  # bounded by the calendar
         grid = span.withColumn("_d", sessions).select("ticker", F.explode(F.filter("_d", lambda x: x >= F.col("_a"))).alias("date"))
         df = grid.join(df, ["ticker", "date"], "left").select("ticker", "date", F.last("value", True).over(w).alias("value"))
-        c = lagged_correlation(df, lag, blocks=blocks)
+        c = lagged_correlation(df, lag, top=top, blocks=blocks)
     else:
         d = df.withColumn("_l", F.lag("value", lag).over(by()))
         ok = d.filter("value is not null and _l is not null")
@@ -87,18 +82,15 @@ def lagged_r2(df: DataFrame, lag: int = 1, *, mode: str = "returns", blocks: int
         d = ok.join(full.select("date"), "date", "left_semi")
         a = d.select(F.col("ticker").alias("series"), "date", "value")
         b = d.select(F.col("ticker").alias("series"), "date", F.col("_l").alias("value"))
-        c = block_correlation(a, b, blocks=blocks)
+        c = block_correlation(a, b, top=top, blocks=blocks)
+    c = c if top is None else strongest(c, top)
     return c.select("target", "predictor", "n", (F.col("corr") * F.col("corr")).alias("r2"))
 
 
 def multi_lag(df: DataFrame, lags=(1, 2, 3, 4, 5), k: int = 3, blocks: int | None = None) -> DataFrame:
     """Strongest other tickers per target and lag."""
-    out = None
     p = pack(df.select(F.col("ticker").alias("series"), "date", "value"))
-    for lag in lags:
-        c = lagged_packed(p, lag, blocks=blocks, top=k, exclude_self=True)
-        part = _strongest(c, k).withColumn("lag", F.lit(lag))
-        out = part if out is None else out.unionByName(part)
+    out = strongest(lagged_packed(p, lags, blocks=blocks, top=k, exclude_self=True), k, ("target", "lag"))
     return out.withColumn("r2", F.col("corr") * F.col("corr"))
 
 
@@ -109,7 +101,7 @@ def best_over_lags(ranked: DataFrame) -> DataFrame:
 
 def best_lag1(df: DataFrame, min_obs: int = 50, blocks: int | None = None) -> DataFrame:
     """The one strongest lag-1 predictor of every ticker (itself included)."""
-    return _strongest(lagged_correlation(df, 1, blocks=blocks, top=1, min_obs=min_obs), 1, None)
+    return strongest(lagged_correlation(df, 1, blocks=blocks, top=1, min_obs=min_obs), 1).drop("rank")
 
 
 def lag_chain(edges: DataFrame, depth: int = 5) -> DataFrame:

@@ -85,10 +85,11 @@ def _(c):
 
 @query("j11_lagged_pairs", sql("pred", f""", x AS (SELECT ticker, date, ret, lag(ret) OVER ({W}) AS l FROM pred)
 SELECT a.ticker AS target, b.ticker AS predictor, count(*) AS n, round(corr(a.ret, b.l), 6) + 0 AS corr FROM x a JOIN x b ON a.date = b.date
-WHERE a.ret IS NOT NULL AND b.l IS NOT NULL GROUP BY 1, 2"""))
+WHERE a.ret IS NOT NULL AND b.l IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20
+QUALIFY row_number() OVER (PARTITION BY a.ticker ORDER BY abs(corr(a.ret, b.l)) DESC, b.ticker) <= 20"""))
 def _(c):
-    return correlate.lagged_correlation(c.pred.select("ticker", "date", F.col("ret").alias("value")), lag=1).select(
-        "target", "predictor", "n", "corr")
+    pairs = correlate.lagged_correlation(c.pred.select("ticker", "date", F.col("ret").alias("value")), lag=1, top=20, min_obs=20)
+    return correlate.strongest(pairs, 20).select("target", "predictor", "n", "corr")
 
 
 @query("j12_threshold_grid", sql("pred", """, t AS (SELECT unnest([0.5, 0.55, 0.6, 0.65, 0.7]) AS t)

@@ -38,14 +38,16 @@ def _(c):
 
 
 @query("m3_lagged_r2_returns", stage="pred", oracle=sql("pred", LAGGED + """, f AS (SELECT date FROM lg1 WHERE ret IS NOT NULL AND l IS NOT NULL GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT ticker) FROM pred))
-SELECT a.ticker AS target, b.ticker AS predictor, count(*) AS n, round(power(corr(a.ret, b.l), 2), 6) AS r2 FROM lg1 a JOIN lg1 b ON a.date = b.date JOIN f ON f.date = a.date GROUP BY 1, 2"""))
+SELECT a.ticker AS target, b.ticker AS predictor, count(*) AS n, round(power(corr(a.ret, b.l), 2), 6) AS r2 FROM lg1 a JOIN lg1 b ON a.date = b.date JOIN f ON f.date = a.date GROUP BY 1, 2
+QUALIFY row_number() OVER (PARTITION BY a.ticker ORDER BY abs(corr(a.ret, b.l)) DESC, b.ticker) <= 20"""))
 def _(c):
     return s.lagged_r2(returns(c), 1)
 
 
 @query("m3_lagged_r2_prices", stage="bars", oracle=sql("bars", f""", sp AS (SELECT ticker, min(date) AS a FROM bars GROUP BY 1), g AS (SELECT sp.ticker, d.date FROM sp JOIN (SELECT DISTINCT date FROM bars) d ON d.date >= sp.a),
 f AS (SELECT g.ticker, g.date, last_value(close IGNORE NULLS) OVER (PARTITION BY g.ticker ORDER BY g.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS v FROM g LEFT JOIN bars b ON g.ticker = b.ticker AND g.date = b.date),
-x AS (SELECT *, lag(v) OVER ({W}) AS l FROM f) SELECT a.ticker AS target, b.ticker AS predictor, count(*) AS n, round(power(corr(a.v, b.l), 2), 6) AS r2 FROM x a JOIN x b ON a.date = b.date WHERE b.l IS NOT NULL GROUP BY 1, 2"""))
+x AS (SELECT *, lag(v) OVER ({W}) AS l FROM f) SELECT a.ticker AS target, b.ticker AS predictor, count(*) AS n, round(power(corr(a.v, b.l), 2), 6) AS r2 FROM x a JOIN x b ON a.date = b.date WHERE b.l IS NOT NULL GROUP BY 1, 2
+QUALIFY row_number() OVER (PARTITION BY a.ticker ORDER BY abs(corr(a.v, b.l)) DESC, b.ticker) <= 20"""))
 def _(c):
     return s.lagged_r2(c.bars.select("ticker", "date", F.col("close").alias("value")), 1, mode="prices")
 
