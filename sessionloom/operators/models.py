@@ -67,14 +67,15 @@ def best_depth(screen: DataFrame) -> DataFrame:
     return g.filter("accuracy > 0")
 
 
-def screen_combos(data: DataFrame, combos: DataFrame, test_rows: int = 60, keep_above: float = 0.55, chunks: int = 8) -> DataFrame:
+def screen_combos(data: DataFrame, combos: DataFrame, test_rows: int = 60, keep_above: float = 0.55, chunk_rows: int = 4096) -> DataFrame:
     """Four-feature logistic fits of every combination.
 
     ``data``: target, date, y, feature, value (long, short list only).
     ``combos``: target, macro_1, macro_2, micro_1, micro_2. Combinations are
-    hashed to chunks and each (target, chunk) is fitted as one batch, so a target
-    with many combinations spreads over the cluster.
+    hashed to chunks of about ``chunk_rows`` (over all targets) and each (target,
+    chunk) is fitted as one batch, so a task's work does not grow with their number.
     """
+    chunks = max(1, -(-combos.count() // chunk_rows))
     four = ["macro_1", "macro_2", "micro_1", "micro_2"]
     parts = combos.withColumn("_c", F.pmod(F.xxhash64(*four), F.lit(chunks)).cast("int"))
     packed = data.filter("value is not null and y is not null").groupBy("target", "feature").agg(

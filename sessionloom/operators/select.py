@@ -60,6 +60,17 @@ def selected_rows(top: DataFrame, lagged: DataFrame) -> DataFrame:
     return unpack(j).select("target", "date", F.col("series").alias("feature"), "value")
 
 
+def complete_lagged(df: DataFrame, lag: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Targets and lagged predictors, both (series, date, value), on the sessions on which every ticker has both."""
+    d = df.withColumn("_l", F.lag("value", lag).over(by()))
+    ok = d.filter("value is not null and _l is not null")
+    n = df.agg(F.count_distinct("ticker")).scalar()
+    full = ok.groupBy("date").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") == n)
+    d = ok.join(full.select("date"), "date", "left_semi")
+    return (d.select(F.col("ticker").alias("series"), "date", "value"),
+            d.select(F.col("ticker").alias("series"), "date", F.col("_l").alias("value")))
+
+
 def lagged_r2(df: DataFrame, lag: int = 1, *, top: int | None = 20, mode: str = "returns", blocks: int | None = None) -> DataFrame:
     """R-squared of each target with its ``top`` strongest predictors (None: with every one, a table of all pairs).
 
@@ -75,14 +86,7 @@ def lagged_r2(df: DataFrame, lag: int = 1, *, top: int | None = 20, mode: str =
         df = grid.join(df, ["ticker", "date"], "left").select("ticker", "date", F.last("value", True).over(w).alias("value"))
         c = lagged_correlation(df, lag, top=top, blocks=blocks)
     else:
-        d = df.withColumn("_l", F.lag("value", lag).over(by()))
-        ok = d.filter("value is not null and _l is not null")
-        n = df.agg(F.count_distinct("ticker")).scalar()
-        full = ok.groupBy("date").agg(F.count(F.lit(1)).alias("_c")).filter(F.col("_c") == n)
-        d = ok.join(full.select("date"), "date", "left_semi")
-        a = d.select(F.col("ticker").alias("series"), "date", "value")
-        b = d.select(F.col("ticker").alias("series"), "date", F.col("_l").alias("value"))
-        c = block_correlation(a, b, top=top, blocks=blocks)
+        c = block_correlation(*complete_lagged(df, lag), top=top, blocks=blocks)
     c = c if top is None else strongest(c, top)
     return c.select("target", "predictor", "n", (F.col("corr") * F.col("corr")).alias("r2"))
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..frames import by
 from ..operators import models as m
+from ..operators import pool
 from ..operators import select as s
 from ..operators import windows
 from ..operators.cleaning import exclude_features
@@ -23,59 +24,63 @@ def _targets(c, name="ticker"):
     return c.pred.select(F.col("ticker").alias(name), "date", F.col("ret").alias("y"))
 
 
-def _stage(c):
+def _weekly_returns(c):
+    return c.weekly.select("ticker", "date", F.col("ret").alias("value"))
+
+
+def _stage(c, features=None):
     """Returns of every ticker, and the packed technical features one session late."""
-    f = pin(exclude_features(c.features))
+    f = pin(exclude_features(c.features if features is None else features))
     ret = f.filter("feature = 'RET'").select("ticker", "date", "value")
     return ret, shifted(s.pack_features(f), 1)
 
 
-def _selected(c, k, min_obs=30, train_share=0.8):
+def _selected(c, k, min_obs=30, train_share=0.8, features=None):
     """Long design rows: each target's k strongest lagged technical features."""
-    ret, lagged = _stage(c)
+    ret, lagged = _stage(c, features)
     t = ret.select(F.col("ticker").alias("series"), "date", "value")
     return s.selected_rows(s.top_k_packed(t, lagged, k, train_share=train_share, min_obs=min_obs), lagged)
 
 
-@query("m9_screen_logistic", stage="bars")
+@query("m9_screen_logistic", stage="weekly")
 def _(c):
-    r = returns(c)
+    r = _weekly_returns(c)
     chain = s.lag_chain(s.best_lag1(r), 5)
     lead = s.leader_values(r, chain, 5).select("ticker", "date", F.col("depth").alias("d"), F.concat(F.lit("chain"), F.col("depth").cast("string")).alias("feature"), F.col("x").alias("value"))
     deep = F.explode(F.filter(F.array(F.lit(3), F.lit(4), F.lit(5)), lambda k: k >= F.col("d"))).alias("depth")
     chain_rows = lead.select("ticker", "date", deep, "feature", "value")
-    tech = _selected(c, 3).select(F.col("target").alias("ticker"), "date", F.explode(F.array(F.lit(3), F.lit(4), F.lit(5))).alias("depth"), "feature", "value")
-    reg = sector_regime(c.pred).select("ticker", "date", F.lag("sector_momentum").over(by()).alias("value"))
+    tech = _selected(c, 3, features=c.weekly_features).select(F.col("target").alias("ticker"), "date", F.explode(F.array(F.lit(3), F.lit(4), F.lit(5))).alias("depth"), "feature", "value")
+    reg = sector_regime(c.weekly).select("ticker", "date", F.lag("sector_momentum").over(by()).alias("value"))
     reg = reg.select("ticker", "date", F.explode(F.array(F.lit(3), F.lit(4), F.lit(5))).alias("depth"), F.lit("sector_momentum").alias("feature"), "value")
-    rows = m.design(chain_rows.unionByName(tech).unionByName(reg), _targets(c), ["ticker", "depth"])
-    return m.best_depth(m.screen_logistic(rows, test_rows=15, min_rows=40))
+    rows = m.design(chain_rows.unionByName(tech).unionByName(reg), c.weekly.select("ticker", "date", F.col("ret").alias("y")), ["ticker", "depth"])
+    return m.best_depth(m.screen_logistic(rows))
 
 
-@query("m10_screen_combos", stage="pred macro")
+@query("m10_screen_combos", stage="weekly weekly_macro")
 def _(c):
-    etf = c.pred.groupBy(F.col("sector").alias("target"), "date").agg(F.avg("ret").alias("y"))
-    names = ["vix_close", "tnx_close", "irx", "hyg", "ief", "oil"]
-    mac = c.macro.select("date", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("v")) for n in names])))
+    etf = c.weekly.groupBy(F.col("sector").alias("target"), "date").agg(F.avg("ret").alias("y"))
+    names = ["vix_close", "tnx_close", "irx", "hyg", "ief", "sphb", "splv", "oil", "copper", "usd"]
+    mac = c.weekly_macro.select("date", F.inline(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).alias("v")) for n in names])))
     mac = mac.select("date", "feature", (F.col("v") - F.lag("v").over(by("feature"))).alias("value"))
     macro_rows = etf.join(mac, "date").select("target", "date", "y", "feature", "value")
-    mic = c.pred.select(F.col("sector").alias("target"), "date", F.col("ticker").alias("feature"), F.lag("ret").over(by()).alias("value"))
-    micro_rows = mic.join(etf, ["target", "date"])
+    mic = c.weekly.select("date", F.col("ticker").alias("feature"), F.lag("ret").over(by()).alias("value"))
+    micro_rows = mic.join(etf, "date").select("target", "date", "feature", "value", "y")
     from ..operators.aggregates import correlate
 
     def ranked(rows, k):
         g = correlate(rows, "y", "value", ["target", "feature"]).filter("corr is not null and n >= 60")
         return pin(top_k(g, k, "target", [F.abs("corr").desc(), F.col("feature")], "rank"))  # k rows per target
 
-    mr, sr = ranked(macro_rows, 5), ranked(micro_rows, 5)
+    mr, sr = ranked(macro_rows, 15), ranked(micro_rows, 15)
     combos = combine_pairs(mr, sr)
     data = macro_rows.join(mr.select("target", "feature"), ["target", "feature"], "left_semi").unionByName(
         micro_rows.join(sr.select("target", "feature"), ["target", "feature"], "left_semi"))
-    return m.screen_combos(data, combos, test_rows=20, keep_above=0.55)
+    return m.screen_combos(data, combos)
 
 
 @query("m11_nested_probability")
 def _(c):
-    return m.nested_probability(m.own_lags(c.pred), min_rows=50)
+    return m.nested_probability(m.own_lags(c.weekly))
 
 
 @query("m12_meta_priors")
@@ -102,12 +107,9 @@ def _(c):
     return m.ar_residuals(c.pred).select("ticker", "date", "residual", "residual_lag1")
 
 
-@query("m14_ridge_per_target", stage="bars")
+@query("m14_ridge_per_target", stage="weekly")
 def _(c):
-    rows = m.design(_selected(c, 10), _targets(c, "target"), "target")
-    a = m.linear_per_group(rows, "target", model="ridge").withColumn("model", F.lit("ridge"))
-    b = m.linear_per_group(rows, "target", model="bayes").withColumn("model", F.lit("bayes"))
-    return a.unionByName(b).select("target", "model", "n", "train_r2", "test_r2", F.array_join("features", ",").alias("features"))
+    return pool.ridge_pool(_weekly_returns(c))
 
 
 _OLS = """, z AS (SELECT ticker, date, ret AS y, lag(ret) OVER (PARTITION BY ticker ORDER BY date) AS x FROM pred)
@@ -119,9 +121,9 @@ def _(c):
     return m.ridge_pooled(m.own_lags(c.pred, n=1), ["lag1"], "ret", 0.0)
 
 
-@query("m15_forward_stepwise", stage="bars")
+@query("m15_forward_stepwise", stage="weekly")
 def _(c):
-    return m.stepwise_per_target(m.design(_selected(c, 20), _targets(c, "target"), "target"))
+    return pool.stepwise_pool(_weekly_returns(c))
 
 
 def _triplet_rows(c):
@@ -152,12 +154,14 @@ def _(c):
 PRIORS = {"_RSI": -0.05, "_ADX": 0.02, "_PLUS_DI": 0.04, "_MINUS_DI": -0.03, "_ATR": 0.01, "_RET": 0.0}
 
 
-@query("m17_dual_head", stage="bars")
+@query("m17_dual_head", stage="weekly")
 def _(c):
-    rows = m.design(_selected(c, 5), _targets(c, "target"), "target").withColumnRenamed("target", "ticker")
+    f = c.weekly_features
+    rows = m.design(_selected(c, 5, features=f), c.weekly.select(F.col("ticker").alias("target"), "date", F.col("ret").alias("y")), "target").withColumnRenamed("target", "ticker")
     priors = F.transform("names", lambda n: m.prior_for(n, PRIORS))
-    sc = c.table("supplier").select(F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("ticker"), (F.col("s_acctbal") / 20000).alias("intercept_prior"))
-    return m.dual_head(rows.withColumn("priors", priors).join(sc, "ticker"), test_rows=12)
+    sc = c.table("supplier").join(c.table("nation"), F.col("s_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("ticker")).agg(
+        (F.avg("s_acctbal") / 20000).alias("intercept_prior"))
+    return m.dual_head(rows.withColumn("priors", priors).join(sc, "ticker"))
 
 
 @query("m18_prior_lookup", sql("bars", FEATURES + """SELECT DISTINCT ticker || '_' || feature AS feature, CASE feature WHEN 'RSI' THEN -0.05 WHEN 'ADX' THEN 0.02 WHEN 'PLUS_DI' THEN 0.04 WHEN 'MINUS_DI' THEN -0.03 WHEN 'ATR' THEN 0.01 ELSE 0 END::DOUBLE AS prior FROM features"""))
@@ -208,7 +212,7 @@ def _(c):
   CASE WHEN p_up > 0.65 THEN 'Buy' WHEN p_up < 0.35 THEN 'Sell' ELSE 'Hold' END AS rec, CASE WHEN p_up > 0.65 AND exp_ret > 0 THEN least(1, coalesce(greatest(0, p_up - (1 - p_up) / (exp_ret / nullif(exp_vol, 0))), 0)) ELSE 0 END AS k
   FROM pred p LEFT JOIN macro m ON p.date = m.date WHERE p_up IS NOT NULL AND exp_ret IS NOT NULL)
 SELECT ticker, date, rec AS recommendation, round(k, 6) + 0 AS kelly, CASE WHEN p_up > 0.5 THEN 'Up' ELSE 'Down' END AS predicted_direction, CASE WHEN actual_ret IS NULL THEN 'Pending' WHEN actual_ret > 0 THEN 'Up' ELSE 'Down' END AS actual_direction,
-  CASE WHEN actual_ret IS NULL THEN 'Pending' WHEN rec = 'Hold' THEN 'Hold' WHEN (rec = 'Buy' AND actual_ret > 0) OR (rec = 'Sell' AND actual_ret < 0) THEN 'On target' ELSE 'Miss' END AS hit,
+  CASE WHEN actual_ret IS NULL THEN 'Pending' WHEN rec = 'Hold' THEN 'Hold' WHEN (rec = 'Buy' AND actual_ret > 0) OR (rec = 'Sell' AND actual_ret <= 0) THEN 'On target' ELSE 'Miss' END AS hit,
   CASE WHEN rec = 'Buy' AND vix_close > 30 THEN 'VETO: volatility index above 30' WHEN rec = 'Buy' AND k = 0 THEN 'VETO: zero stake at P(UP)=' || format('{{:.1f}}', round(p_up * 100, 1)) || '%' ELSE '' END AS note FROM x"""))
 def _(c):
     d = c.pred.join(c.macro.select("date", "vix_close"), "date", "left").withColumn("actual_ret", F.lead("ret").over(by()))

@@ -94,10 +94,10 @@ def gappy(spark, root) -> DataFrame:
     return bars_from_ticks(t, ["ticker", "date"], "ord")
 
 
-def _line_ticks(spark, root) -> DataFrame:
+def _line_ticks(spark, root, size: str = "month") -> DataFrame:
     return table(spark, root, "lineitem").select(
         F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"), "l_suppkey",
-        F.to_date(F.date_trunc("month", "l_shipdate")).alias("date"),
+        F.to_date(F.date_trunc(size, "l_shipdate")).alias("date"),
         F.sqrt(F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
         F.col("l_quantity").alias("size"),
         packed_order((F.unix_date(F.to_date("l_shipdate")), 6), (F.col("l_orderkey"), 15), (F.col("l_linenumber"), 2),
@@ -121,6 +121,16 @@ def sectors(spark, root) -> DataFrame:
     )
 
 
+@base
+def weekly(spark, root) -> DataFrame:
+    """Weekly bars per supplier nation: few tickers with a long history (about 360 sessions each)."""
+    s, n, r = (table(spark, root, t) for t in ("supplier", "nation", "region"))
+    who = s.join(n, s.s_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select(
+        "s_suppkey", F.col("n_name").alias("_n"), F.col("r_name").alias("sector"))
+    t = _line_ticks(spark, root, "week").join(who, F.col("l_suppkey") == F.col("s_suppkey")).withColumn("ticker", F.col("_n"))
+    return bars_from_ticks(t, ["ticker", "sector", "date"], "ord").withColumn("ret", F.try_divide("close", F.lag("close").over(by())) - 1)
+
+
 @base
 def panel(spark, root) -> DataFrame:
     """Supplier bars with sector and industry."""
@@ -130,7 +140,16 @@ def panel(spark, root) -> DataFrame:
 @base
 def macro(spark, root) -> DataFrame:
     """Monthly market-wide series derived from orders, one row per month."""
-    o = table(spark, root, "orders").withColumn("date", F.to_date(F.date_trunc("month", "o_orderdate")))
+    return _macro(spark, root, "month")
+
+
+@base
+def weekly_macro(spark, root) -> DataFrame:
+    return _macro(spark, root, "week")
+
+
+def _macro(spark, root, size: str) -> DataFrame:
+    o = table(spark, root, "orders").withColumn("date", F.to_date(F.date_trunc(size, "o_orderdate")))
     p = F.col("o_totalprice")
 
     def mean(cond):
@@ -228,7 +247,17 @@ def weights(spark, root) -> DataFrame:
 def features(spark, root) -> DataFrame:
     """Long feature table: date, ticker, feature, value (six indicators per bar)."""
     from ..operators.indicators import trend_set
-    d = trend_set(bars(spark, root)).withColumn("ret", F.try_divide("close", F.lag("close").over(by())) - 1)
+    return _indicator_rows(trend_set(bars(spark, root)).withColumn("ret", F.try_divide("close", F.lag("close").over(by())) - 1))
+
+
+@base
+def weekly_features(spark, root) -> DataFrame:
+    """The same of the weekly nation bars."""
+    from ..operators.indicators import trend_set
+    return _indicator_rows(trend_set(weekly(spark, root)))
+
+
+def _indicator_rows(d: DataFrame) -> DataFrame:
     names = {"RET": "ret", "RSI": "rsi", "ADX": "adx", "ATR": "atr", "PLUS_DI": "plus_di", "MINUS_DI": "minus_di"}
     rows = F.array(*[F.struct(F.lit(k).alias("feature"), F.col(v).alias("value")) for k, v in names.items()])
     return d.select("date", "ticker", F.inline(rows))
