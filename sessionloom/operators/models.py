@@ -6,6 +6,8 @@ list. Both are bounded by the calendar and by ``k``, never by the raw rows.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -147,21 +149,70 @@ def meta_priors(rows: DataFrame, names: list[str], target: str) -> DataFrame:
     return rows.sparkSession.createDataFrame([(s, float(round(v, 4))) for s, v in zip(names, coef)], "suffix string, alpha double")
 
 
-def regimes(rows: DataFrame, names: list[str], ret: str, states: int = 3, seed: int = 42, keys="ticker"):
+def _scaled(rows: DataFrame, names: list[str]) -> tuple[DataFrame, list[Column]]:
+    """Complete rows, kept for the rounds to come, and the standardised features as expressions."""
+    d = rows.dropna(subset=names).persist()
+    stat = d.agg(*[f(n) for n in names for f in (F.avg, F.stddev_samp)]).first()
+    return d, [(F.col(n) - F.lit(stat[2 * i])) / F.lit(stat[2 * i + 1] or 1.0) for i, n in enumerate(names)]
+
+
+def _lin(n: int, reach: float) -> list[float]:
+    return [reach * (2 * j / (n - 1) - 1) if n > 1 else 0.0 for j in range(n)]
+
+
+def _best(scores: list[Column], low: bool) -> Column:
+    """Position of the smallest (or largest) of a few expressions, the first one on ties."""
+    a = F.array(*scores)
+    return (F.array_position(a, F.array_min(a) if low else F.array_max(a)) - 1).cast("int")
+
+
+def _mixture(d: DataFrame, z: list[Column], states: int, rounds: int, ridge: float = 1e-6) -> Column:
+    """Number of the most likely of ``states`` Gaussians with full covariances, by expectation-maximisation.
+
+    The start is fixed (equal weights, unit covariances, means along the
+    diagonal) and each round is one aggregate of a few sums, so the result does
+    not depend on how rows are spread.
+    """
+    k = len(z)
+    weight, mean, cov = np.full(states, 1 / states), np.array([[m] * k for m in _lin(states, 1.0)]), np.array([np.eye(k)] * states)
+
+    def density() -> list[Column]:
+        out = []
+        for w, m, c in zip(weight, mean, cov):
+            p = np.linalg.inv(c)
+            u = [x - float(v) for x, v in zip(z, m)]
+            quad = reduce(lambda a, b: a + b, [float(p[i, j]) * (1 if i == j else 2) * u[i] * u[j] for i in range(k) for j in range(i, k)])
+            out.append(-0.5 * quad + float(np.log(max(w, 1e-300)) - 0.5 * np.linalg.slogdet(c)[1]))
+        return out
+
+    for _ in range(rounds):
+        logs = d.select(*[x.alias(f"_z{i}") for i, x in enumerate(z)], F.array(*density()).alias("_l"))
+        r = logs.withColumn("_e", F.transform("_l", lambda x: F.exp(x - F.array_max("_l")))).withColumn("_t", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+        parts = []
+        for s in range(states):
+            g = F.col("_e")[s] / F.col("_t")
+            parts += [F.sum(g), *[F.sum(g * F.col(f"_z{i}")) for i in range(k)], *[F.sum(g * F.col(f"_z{i}") * F.col(f"_z{j}")) for i in range(k) for j in range(i, k)]]
+        got = np.array(r.agg(*[p.alias(f"s{i}") for i, p in enumerate(parts)]).first(), float).reshape(states, -1)
+        total = np.maximum(got[:, 0], 1e-12)
+        weight, mean = total / total.sum(), got[:, 1: k + 1] / total[:, None]
+        for s in range(states):
+            at = k + 1
+            for i in range(k):
+                for j in range(i, k):
+                    cov[s, i, j] = cov[s, j, i] = got[s, at] / total[s] - mean[s, i] * mean[s, j] + (ridge if i == j else 0.0)
+                    at += 1
+    return _best(density(), low=False)
+
+
+def regimes(rows: DataFrame, names: list[str], ret: str, states: int = 3, rounds: int = 8, keys="ticker"):
     """Mixture regimes with transition probabilities and expected next return.
 
     Returns (labelled rows, per-regime table). Regimes are ordered by mean
     return: bear, neutral, bull.
     """
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-
     from .aggregates import transitions
-    rows = pin(rows)  # read several times below
-    d = VectorAssembler(inputCols=names, outputCol="raw").transform(rows.dropna(subset=[*names, ret]))
-    d = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(d).transform(d)
-    m = GaussianMixture(k=states, seed=seed, maxIter=60).fit(d)
-    lab = m.transform(d).select(*cols(keys), "date", F.col(ret).alias("ret"), F.col("prediction").cast("string").alias("state"))
+    d, z = _scaled(rows.dropna(subset=[ret]), names)
+    lab = d.select(*cols(keys), "date", F.col(ret).alias("ret"), _mixture(d, z, states, rounds).cast("string").alias("state"))
     mean = lab.groupBy("state").agg(F.avg("ret").alias("mean_ret"), F.count(F.lit(1)).alias("n"))
     place = F.row_number().over(Window.orderBy("mean_ret", "state"))  # one row per state
     label = F.when(place == 1, "BEAR").when(place == states, "BULL").otherwise("NEUTRAL")
@@ -172,13 +223,18 @@ def regimes(rows: DataFrame, names: list[str], ret: str, states: int = 3, seed:
     return lab.join(mean.select("state", "label"), "state"), mean.join(nxt, "state")
 
 
-def clusters(rows: DataFrame, names: list[str], k: int = 5, seed: int = 42) -> DataFrame:
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    rows = pin(rows)  # read several times below
-    d = VectorAssembler(inputCols=names, outputCol="raw").transform(rows.dropna(subset=names))
-    d = StandardScaler(inputCol="raw", outputCol="features", withMean=True).fit(d).transform(d)
-    return KMeans(k=k, seed=seed, featuresCol="features").fit(d).transform(d).withColumnRenamed("prediction", "cluster").drop("raw", "features")
+def clusters(rows: DataFrame, names: list[str], k: int = 5, rounds: int = 10) -> DataFrame:
+    """K-means on standardised features: centres start along the diagonal, a fixed number of rounds of plain sums."""
+    d, z = _scaled(rows, names)
+    centres = [[m] * len(z) for m in _lin(k, 1.5)]
+
+    def nearest() -> Column:
+        return _best([reduce(lambda a, b: a + b, [(x - float(v)) * (x - float(v)) for x, v in zip(z, c)]) for c in centres], low=True)
+
+    for _ in range(rounds):
+        got = {r["_c"]: r for r in d.groupBy(nearest().alias("_c")).agg(*[F.avg(x).alias(f"z{i}") for i, x in enumerate(z)]).collect()}  # k rows
+        centres = [[got[j][f"z{i}"] for i in range(len(z))] if j in got else c for j, c in enumerate(centres)]
+    return d.withColumn("cluster", nearest())
 
 
 def ridge_pooled(rows: DataFrame, names: list[str], target: str, penalty: float) -> DataFrame:

@@ -182,7 +182,46 @@ def _regime_rows(c):
     return c.features.groupBy("ticker", "date").agg(*[F.max(F.when(F.col("feature") == n, F.col("value"))).alias(n) for n in names])
 
 
-@query("m20_regimes")
+_STATES = FEATURES + f""", f3 AS (SELECT ticker, date, max(value) FILTER (feature = 'RSI') AS x1, max(value) FILTER (feature = 'ADX') AS x2, max(value) FILTER (feature = 'RET') AS x3 FROM features GROUP BY 1, 2),
+f4 AS (SELECT *, lead(x3) OVER ({W}) AS nxt FROM f3)"""
+_SCALED = ", ".join(f"(x{i} - avg(x{i}) OVER ()) / stddev_samp(x{i}) OVER () AS z{i}" for i in (1, 2, 3))
+_PAIRS = [(i, j) for i in (1, 2, 3) for j in (1, 2, 3) if i <= j]
+
+
+def _mixture_sql(rounds: int = 8) -> str:
+    """Expectation-maximisation of three Gaussians, one pair of expressions per round."""
+    out = [f", z AS MATERIALIZED (SELECT ticker, date, nxt, {_SCALED} FROM f4 WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND nxt IS NOT NULL)"]
+    start = [f"1.0::DOUBLE / 3 AS w{s}, " + ", ".join(f"{s - 1}::DOUBLE AS m{s}{i}" for i in (1, 2, 3)) + ", " + ", ".join(f"{int(i == j)}::DOUBLE AS c{s}{i}{j}" for i, j in _PAIRS) for s in range(3)]
+    out.append(f"p0 AS MATERIALIZED (SELECT {', '.join(start)})")
+    for t in range(rounds + 1):
+        dets, inv = [], []
+        for s in range(3):
+            a, b, c, d, e, f = (f"c{s}{i}{j}" for i, j in _PAIRS)  # 11 12 13 22 23 33
+            dets.append(f"({a} * ({d} * {f} - {e} * {e}) - {b} * ({b} * {f} - {e} * {c}) + {c} * ({b} * {e} - {d} * {c})) AS det{s}")
+            inv.append(f"({d} * {f} - {e} * {e}) AS i{s}11, ({c} * {e} - {b} * {f}) AS i{s}12, ({b} * {e} - {c} * {d}) AS i{s}13, ({a} * {f} - {c} * {c}) AS i{s}22, ({b} * {c} - {a} * {e}) AS i{s}23, ({a} * {d} - {b} * {b}) AS i{s}33")
+        out.append(f"v{t} AS MATERIALIZED (SELECT *, {', '.join(dets)}, {', '.join(inv)} FROM p{t})")
+        dens = []
+        for s in range(3):
+            quad = " + ".join(f"{1 if i == j else 2} * i{s}{i}{j} / det{s} * (z{i} - m{s}{i}) * (z{j} - m{s}{j})" for i, j in _PAIRS)
+            dens.append(f"-0.5 * ({quad}) + ln(w{s}) - 0.5 * ln(det{s}) AS l{s}")
+        out.append(f"l{t} AS MATERIALIZED (SELECT ticker, date, nxt, z1, z2, z3, {', '.join(dens)} FROM z, v{t})")
+        if t == rounds:
+            break
+        out.append(f"e{t} AS (SELECT *, " + ", ".join(f"exp(l{s} - greatest(l0, l1, l2)) AS e{s}" for s in range(3)) + f" FROM l{t})")
+        sums = [f"sum(e{s} / (e0 + e1 + e2)) AS n{s}, " + ", ".join(f"sum(e{s} / (e0 + e1 + e2) * z{i}) AS a{s}{i}" for i in (1, 2, 3)) + ", "
+                + ", ".join(f"sum(e{s} / (e0 + e1 + e2) * z{i} * z{j}) AS b{s}{i}{j}" for i, j in _PAIRS) for s in range(3)]
+        out.append(f"q{t} AS (SELECT {', '.join(sums)} FROM e{t})")
+        new = [f"n{s} / (n0 + n1 + n2) AS w{s}, " + ", ".join(f"a{s}{i} / n{s} AS m{s}{i}" for i in (1, 2, 3)) + ", "
+               + ", ".join(f"b{s}{i}{j} / n{s} - a{s}{i} / n{s} * (a{s}{j} / n{s}) + {1e-6 if i == j else 0} AS c{s}{i}{j}" for i, j in _PAIRS) for s in range(3)]
+        out.append(f"p{t + 1} AS MATERIALIZED (SELECT {', '.join(new)} FROM q{t})")
+    return ", ".join(out) + f", lab AS (SELECT ticker, date, nxt, CASE WHEN l0 >= l1 AND l0 >= l2 THEN '0' WHEN l1 >= l2 THEN '1' ELSE '2' END AS state FROM l{rounds})"
+
+
+@query("m20_regimes", sql("bars", _STATES + _mixture_sql() + f""", mn AS (SELECT state, avg(nxt) AS mean_ret, count(*) AS n FROM lab GROUP BY 1), mo AS (SELECT *, row_number() OVER (ORDER BY mean_ret, state) AS k FROM mn),
+tr AS (SELECT lag(state) OVER ({W}) AS a, state AS b FROM lab), ct AS (SELECT a, b, count(*) AS n FROM tr WHERE a IS NOT NULL GROUP BY 1, 2),
+gr AS (SELECT a, b FROM (SELECT unnest(['0', '1', '2']) AS a) x, (SELECT unnest(['0', '1', '2']) AS b) y), pr AS (SELECT gr.a, gr.b, (coalesce(n, 0) + 1) / sum(coalesce(n, 0) + 1) OVER (PARTITION BY gr.a) AS p FROM gr LEFT JOIN ct ON ct.a = gr.a AND ct.b = gr.b),
+nx AS (SELECT a, sum(p * coalesce(mean_ret, 0)) AS e FROM pr LEFT JOIN mn ON mn.state = pr.b GROUP BY 1)
+SELECT mo.state, round(mean_ret, 6) + 0 AS mean_ret, n, CASE k WHEN 1 THEN 'BEAR' WHEN 3 THEN 'BULL' ELSE 'NEUTRAL' END AS label, round(e, 6) + 0 AS expected_next FROM mo JOIN nx ON nx.a = mo.state"""))
 def _(c):
     d = _regime_rows(c).withColumn("next_ret", F.lead("RET").over(by()))
     return m.regimes(d, ["RSI", "ADX", "RET"], "next_ret")[1]
@@ -202,7 +241,20 @@ def _(c):
     return fold_summary(res.withColumnRenamed("test_r2", "r2"), "ticker")
 
 
-@query("m22_clusters")
+def _clusters_sql(k: int = 5, rounds: int = 10) -> str:
+    """Lloyd's rounds: the nearest centre of every row, then the mean of every centre's rows."""
+    start = ", ".join(f"{1.5 * (2 * j / (k - 1) - 1)}::DOUBLE AS c{j}{i}" for j in range(k) for i in (1, 2, 3))
+    out = [f", z AS MATERIALIZED (SELECT x1, {_SCALED} FROM f4 WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL)", f"c0 AS MATERIALIZED (SELECT {start})"]
+    for t in range(rounds + 1):
+        dist = ", ".join("[" * (j == 0) + " + ".join(f"(z{i} - c{j}{i}) * (z{i} - c{j}{i})" for i in (1, 2, 3)) + "]" * (j == k - 1) for j in range(k))
+        out.append(f"d{t} AS MATERIALIZED (SELECT *, list_position(q, list_min(q)) - 1 AS cluster FROM (SELECT z.*, c{t}.*, {dist} AS q FROM z, c{t}))")
+        if t < rounds:
+            new = ", ".join(f"coalesce(avg(z{i}) FILTER (cluster = {j}), any_value(c{j}{i})) AS c{j}{i}" for j in range(k) for i in (1, 2, 3))
+            out.append(f"c{t + 1} AS MATERIALIZED (SELECT {new} FROM d{t})")
+    return ", ".join(out)
+
+
+@query("m22_clusters", sql("bars", _STATES + _clusters_sql() + " SELECT cluster, count(*) AS n, round(avg(x1), 6) AS mean_rsi FROM d10 GROUP BY 1"))
 def _(c):
     d = m.clusters(_regime_rows(c), ["RSI", "ADX", "RET"], 5)
     return d.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.avg("RSI").alias("mean_rsi"))
