@@ -123,15 +123,35 @@ def with_personas(df: DataFrame, rules=None) -> DataFrame:
     return df.select("*", F.inline(items))
 
 
-def stake_fraction(prob="p_up", ret="exp_ret", vol="exp_vol", vix="vix_close", variant: str = "guarded") -> Column:
-    """Share of capital for rows passing the persona's threshold; zero in a panic."""
+def stake_fraction(prob="p_up", ret="exp_ret", vol="exp_vol", vix="vix_close", variant: str = "guarded", ignore_kelly: bool = False) -> Column:
+    """Share of capital for rows passing the persona's threshold; zero in a panic.
+
+    With ``ignore_kelly`` the persona's flat share is staked whatever the odds.
+    """
     m = fear_multiplier(F.col("persona"), F.col(vix))
     applied = kelly(prob, ret, vol, variant) * F.col("multiplier") * m
     applied = F.when((applied == 0) & (F.col("flat") > 0), F.col("flat") * m).otherwise(applied)
+    if ignore_kelly:
+        applied = F.col("flat") * m
     ok = (F.col(prob) > F.col("threshold")) & (m > 0)
     return F.when(ok, F.least(applied, F.col("max_alloc"))).otherwise(0.0)
 
 
+def restrict(cands: DataFrame, held: DataFrame, barred: DataFrame, keys=("persona", "date"), item="ticker") -> DataFrame:
+    """Candidates that may be bought, with the capital that is free.
+
+    ``held`` (keys, item, value) are frozen or quarantined positions: they keep
+    their value, which is taken off cash and capital, and are not bought.
+    ``barred`` (any of the keys, item) are blacklisted or suspended items.
+    """
+    k = cols(keys)
+    frozen = held.groupBy(*k).agg(F.sum("value").alias("_frozen"))
+    on = [c for c in k if c in barred.columns] + [item]
+    free = cands.join(held.select(*k, item), [*k, item], "left_anti").join(barred.select(*on), on, "left_anti").join(frozen, k, "left")
+    left = F.greatest(F.lit(0.0), F.col("cash") - F.coalesce("_frozen", F.lit(0.0)))
+    return free.withColumn("cash", left).withColumn("raw", F.col("pct") * F.col("cash")).drop("_frozen")
+
+
 def allocate(cands: DataFrame, keys=("persona", "date"), order=("neg_p", "ticker"), raw="raw", price="price",
              cash="cash") -> DataFrame:
     """Whole-unit purchases in order, each limited by the cash still left.

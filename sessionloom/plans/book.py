@@ -142,6 +142,29 @@ def _(c):
     return d.select("persona", "date", "ticker", F.round("dollars", 4).alias("dollars"), "units")
 
 
+_BARRED = """, hd AS (SELECT date, ticker, close * 10 AS v FROM pred WHERE ret < -0.3), fz AS (SELECT date, sum(v) AS f FROM hd GROUP BY 1),
+br AS (SELECT ticker, date FROM (SELECT *, count(*) FILTER (ret < 0) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS k FROM pred) WHERE k >= 4),
+cf AS (SELECT persona, date, ticker, price, pct, greatest(0, equity - coalesce(f, 0)) AS equity, row_number() OVER (PARTITION BY persona, date ORDER BY rn) AS rn FROM cd LEFT JOIN fz USING (date)
+  WHERE NOT EXISTS (SELECT 1 FROM hd WHERE hd.date = cd.date AND hd.ticker = cd.ticker) AND NOT EXISTS (SELECT 1 FROM br WHERE br.date = cd.date AND br.ticker = cd.ticker)),
+cr AS (SELECT *, equity * pct AS raw FROM cf)
+"""
+
+
+@query("k9_restricted", stage="pred", oracle=sql("pred macro ledger", ALLOC + _BARRED + """, f AS (SELECT persona, date, CAST(0 AS BIGINT) AS rn, max(equity) AS cash, CAST('' AS VARCHAR) AS ticker, 0.0::DOUBLE AS price, 0.0::DOUBLE AS a FROM cr GROUP BY 1, 2
+UNION ALL SELECT f.persona, f.date, c.rn, f.cash - floor(least(c.raw, f.cash) / c.price) * c.price, c.ticker, c.price, floor(least(c.raw, f.cash) / c.price) * c.price
+  FROM f JOIN cr c ON c.persona = f.persona AND c.date = f.date AND c.rn = f.rn + 1)
+SELECT persona, date, ticker, round(a, 4) AS dollars, round(a / price, 0) AS units FROM f WHERE a > 0""").replace("WITH", "WITH RECURSIVE", 1))
+def _(c):
+    """Frozen positions keep their value; tickers with four losing sessions in six may not be bought."""
+    cands = _cands(c)
+    who = F.explode(F.array(*[F.lit(p) for p in sizing.STOCK_RULES])).alias("persona")
+    held = c.pred.filter("ret < -0.3").select(who, "date", "ticker", (F.col("close") * 10).alias("value"))
+    strikes = F.count_if(F.col("ret") < 0).over(by().rowsBetween(-5, 0))
+    barred = c.pred.select("ticker", "date", strikes.alias("k")).filter("k >= 4")
+    d = sizing.allocate(sizing.restrict(cands, held, barred))
+    return d.select("persona", "date", "ticker", F.round("dollars", 4).alias("dollars"), "units")
+
+
 @query("k10_retained", sql("positions", """, f AS (SELECT persona, ticker FROM positions WHERE pnl < -1000 GROUP BY 1, 2)
 SELECT p.persona, p.ticker, p.date, round(dollars + pnl, 2) + 0 AS value FROM positions p JOIN f ON p.persona = f.persona AND p.ticker = f.ticker WHERE dollars > 0"""))
 def _(c):

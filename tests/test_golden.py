@@ -163,3 +163,12 @@ def test_balance_tolerance(spark):
     d = spark.createDataFrame([(40.0, 100.0), (45.0, 100.0), (40.05, 100.0)], "cash double, total_equity double").withColumn("holdings", h)
     got = sorted((r["total_equity"], round(r["cash"], 2), r["corrected"]) for r in settle.enforce_balance(d).collect())
     assert got == [(100.0, 40.0, False), (100.0, 40.0, True), (100.0, 40.05, False)]
+
+
+def test_restricted_capital_and_items(spark):
+    cands = spark.createDataFrame([("p", 1, "a", 100.0, 0.5), ("p", 1, "b", 100.0, 0.1), ("p", 1, "c", 100.0, 0.2), ("q", 1, "a", 50.0, 0.5)],
+                                  "persona string, date int, ticker string, cash double, pct double").withColumn("raw", F.col("cash") * F.col("pct"))
+    held = spark.createDataFrame([("p", 1, "b", 30.0), ("p", 1, "z", 10.0)], "persona string, date int, ticker string, value double")
+    barred = spark.createDataFrame([("c",)], "ticker string")
+    got = sorted(tuple(r) for r in sizing.restrict(cands, held, barred).select("persona", "ticker", "cash", "raw").collect())
+    assert got == [("p", "a", 60.0, 30.0), ("q", "a", 50.0, 25.0)]
