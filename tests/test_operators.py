@@ -196,7 +196,7 @@ def test_combo_screen_against_single_fits(spark):
                                  "target string, date date, y double, feature string, value double")
     combos = [("T", "a", "b", "c", "d"), ("T", "a", "b", "c", "e"), ("T", "a", "b", "d", "e")]
     cd = spark.createDataFrame(combos, "target string, macro_1 string, macro_2 string, micro_1 string, micro_2 string")
-    got = {(r["micro_1"], r["micro_2"]): r["accuracy"] for r in models.screen_combos(data, cd, 40, -1.0, chunks=3).collect()}
+    got = {(r["micro_1"], r["micro_2"]): r["accuracy"] for r in models.screen_combos(data, cd, 40, -1.0, chunk_rows=3).collect()}
     for _, *c in combos:
         m = x[:, [names.index(f) for f in c]]
         a, b = solvers.standardise(m[:-40], m[-40:])

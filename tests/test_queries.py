@@ -13,8 +13,8 @@ from sessionloom import plans  # noqa: E402
 ROOT = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-#: Findings that a clean table rightly does not have at the smallest scale.
-MAY_BE_EMPTY: set[str] = set()
+#: With ten suppliers there are no pairs to combine, none is in debt, and no nation has a complete weekly history.
+MAY_BE_EMPTY = {"j13_combinations", "k8_settle_missing", "m10_screen_combos"}
 
 
 @pytest.fixture(scope="module")
