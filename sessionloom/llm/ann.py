@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import pin
 
-SALTS = 64
+SALT_ROWS = 1_000_000  # rows of one vector that a task may have to sort
 
 
 def chi2_cdf(x: np.ndarray, dims: int) -> np.ndarray:
@@ -132,8 +132,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "
     rows, asked = usable(vectors, id_col, vector_col), usable(queries, id_col, vector_col)
     longest2 = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0] or 0.0
     salted = Window.partitionBy("v", "salt").orderBy("id")
-    first = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS))).withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= k + 1)
-    whole = Window.partitionBy("v").orderBy("id")  # at most SALTS * (k + 1) rows of a vector are left
+    salts = max(64, rows.count() // SALT_ROWS)
+    first = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(salts))).withColumn("r", F.row_number().over(salted)).filter(F.col("r") <= k + 1)
+    whole = Window.partitionBy("v").orderBy("id")  # at most salts * (k + 1) rows of a vector are left
     index = first.withColumn("r", F.row_number().over(whole)).filter(F.col("r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     index = pin(index)
     shards, blocks = max(1, -(-index.count() // shard_rows)), max(1, -(-asked.count() // block_rows))
