@@ -117,7 +117,7 @@ def _cleaned(length: int):
                 edge = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
                 clean_text = b" ".join(kept)
                 out.append((len(words), int(gone.sum()), hashlib.sha256(clean_text).hexdigest(),
-                            [{"start": int(s), "stop": int(e)} for s, e in edge.reshape(-1, 2)], clean_text.decode("utf-8")))
+                            [{"start": int(s), "stop": int(e)} for s, e in edge.reshape(-1, 2)], clean_text.decode("utf-8") if gone.any() else text))
             cols = list(zip(*out)) if out else [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.string()]
             yield pa.RecordBatch.from_arrays(
@@ -130,6 +130,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     carry: Sequence[str] = ()) -> DataFrame:
     """One row per input row: id, n_words, n_removed, kept_sha256, removed (intervals of word positions), kept_text, rest.
 
+    ``kept_text`` is the text as it is (null too) where nothing goes, else the kept
+    words joined by one space; kept_sha256 is always of the joined words.
     ``gram`` (at most ``length``) only steers how windows are grouped on their
     way, never the result. Null or empty text, or one without words: zero words,
     the hash of an empty text. A null id counts as larger than every other; rows
@@ -152,5 +154,5 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cuts = whole.unionByName(single).groupBy("ord", "th").agg(F.collect_list(F.struct("start", "n")).alias("cuts"))
     joined = keyed.join(cuts, ["ord", "th"], "left").select("ord", "th", "id", "text", "rest", "cuts")
     shape = joined.select("id", F.lit(0).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"), F.lit("").alias("kept_sha256"),
-                          F.expr("cast(null as array<struct<start:long,stop:long>>)").alias("removed"), F.lit("").alias("kept_text"), "rest").schema
+                          F.expr("cast(null as array<struct<start:long,stop:long>>)").alias("removed"), F.lit(None).cast("string").alias("kept_text"), "rest").schema
     return joined.mapInArrow(_cleaned(length), shape).withColumnRenamed("id", id_col)

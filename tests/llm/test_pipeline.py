@@ -59,7 +59,9 @@ def test_stages_keep_columns_on_odd_rows(spark):
     clean = [" ".join(f"word{k}{c}" for k in range(80)) for c in "abc"]
     rows = [(1, clean[0], None, "s", 1, "x"), (1, clean[0], None, "s", 1, "x"), (None, clean[1], "en", None, None, None), (2, None, None, None, None, None),
             (3, "", "en", "s", 0, "y"), (4, clean[0] + " tail", "en", "s", 9, "z"), (5, clean[2] * 500, "en", "t", 9, "z"), (6, clean[0] + " " + clean[1] + " more", "en", "s", 9, "z")]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, h string"
+    schema = ("doc_id long, text string, lang string, source string, n_chars long, h string, _text string, row int, _id int, doc string, rest int, "
+              "copies long, bucket int, id string, th int, rejected_by string, col long")
+    rows = [(*r, "t", 1, 2, "d", 3, 4, 5, "i", 6, "r", 7) for r in rows]
     for docs in (spark.createDataFrame(rows, schema), spark.createDataFrame([], schema)):
         n = docs.count()
         for name, stage in corpus_pipeline.STAGES[:-1]:
