@@ -11,7 +11,6 @@ its presence rows with that matrix.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -26,7 +25,6 @@ ORDERS = (1, 2, 3)
 SYMBOLS = 64  # 0: not a letter, 1-26: a-z, the rest: other letters by hash
 STARTS = np.cumsum([0, *[SYMBOLS**n for n in ORDERS]])
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]").search
 _TABLE = np.zeros(0x110000, np.uint8)
 _TABLE[128:] = 27 + (np.arange(128, 0x110000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % 37
 _TABLE[[ord(c) for c in "«»“”„‘’–—…·•¿¡  "]] = 0
@@ -51,7 +49,7 @@ def grams(text: str, seen: np.ndarray) -> np.ndarray:
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and bool(_LETTER(text))
+    return bool(text) and any(map(str.isalpha, text))
 
 
 def presence_weights(found: np.ndarray) -> np.ndarray:

@@ -119,7 +119,7 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_best_fit_packing")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file()).withColumn("piece", F.col("piece").cast("int"))
 
 
 @query("op5_nearest_vectors")
