@@ -90,12 +90,6 @@ def explode_holdings(ledger: DataFrame) -> DataFrame:
                          F.explode("holdings").alias("ticker", "_h")).select("*", "_h.*").drop("_h")
 
 
-def last_key_map(entries: Column) -> Column:
-    """Map from (key, value) entries where the later entry wins."""
-    return F.aggregate(entries, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<double>")),
-                       lambda m, e: F.map_concat(F.map_filter(m, lambda k, _: k != e["key"]), F.create_map(e["key"], e["value"])))
-
-
 def flatten_lists(m: Column) -> Column:
     """Distinct members of the lists held by a map."""
     return F.array_distinct(F.flatten(F.map_values(m)))

@@ -21,12 +21,6 @@ def feature_matrix(features: DataFrame, selected: list[str]) -> DataFrame:
     return f.groupBy("date").agg(*[F.max(F.when(F.col("_k") == s, F.col("value"))).alias(s) for s in selected])
 
 
-def lag_series(features: DataFrame, lag: int = 1) -> DataFrame:
-    """(series, date, value) with each series shifted by ``lag`` of its own sessions."""
-    w = by(["ticker", "feature"])
-    return features.select(feature_key().alias("series"), "date", F.lag("value", lag).over(w).alias("value"))
-
-
 def train_dates(df: DataFrame, share: float = 0.8) -> DataFrame:
     """First ``share`` of the distinct sessions (one row per session)."""
     d = df.select("date").distinct()

@@ -103,16 +103,21 @@ def merge_executions(target: DataFrame, current: DataFrame, fills: DataFrame, pn
                     cash.alias("cash_move"), new_pnl.alias("pnl"))
 
 
+# Status texts that readers of the ledger look for.
+HELD_ALL, EXECUTED = "EOD Forced HOLD", "Tracker Executed: "
+STATUS_WORDS = {"BUY": "BUY", "SELL": "TP/SL", "ABORTED_SELL": "ABORTED SELL"}
+
+
 def executed_ledger(merged: DataFrame, orders: DataFrame, keys=("persona",)) -> DataFrame:
     """Cash, equity and status line per key from merged rows and target cash."""
     k = cols(keys)
     g = merged.groupBy(*k).agg(
         F.sum("cash_move").alias("_m"), F.coalesce(F.sum("dollars"), F.lit(0.0)).alias("held"),
         *[F.bool_or(F.col("type") == k).alias(f"_{k}") for k in ("BUY", "SELL", "ABORTED_SELL")])
-    words = F.filter(F.array(F.when(F.col("_BUY"), "BUY"), F.when(F.col("_SELL"), "TP/SL"),
-                             F.when(F.col("_ABORTED_SELL"), "ABORTED SELL")), lambda x: x.isNotNull())
-    status = F.when(F.size(words) == 0, "EOD Forced HOLD").otherwise(
-        F.concat(F.lit("Tracker Executed: "), F.array_join(words, " & ")))
+    words = F.filter(F.array(F.when(F.col("_BUY"), STATUS_WORDS["BUY"]), F.when(F.col("_SELL"), STATUS_WORDS["SELL"]),
+                             F.when(F.col("_ABORTED_SELL"), STATUS_WORDS["ABORTED_SELL"])), lambda x: x.isNotNull())
+    status = F.when(F.size(words) == 0, HELD_ALL).otherwise(
+        F.concat(F.lit(EXECUTED), F.array_join(words, " & ")))
     d = orders.join(g, k).withColumn("cash", F.col("target_cash") + F.col("_m"))
     return d.select(*k, F.round("cash", 2).alias("cash"), F.round(F.col("cash") + F.col("held"), 2).alias("total_equity"),
                     status.alias("intraday_status"))

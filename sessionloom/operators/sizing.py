@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -243,16 +244,28 @@ def universe(bars: DataFrame, core: DataFrame, floor: float, slots: int = 24, wi
     return core.select("ticker", F.lit("core").alias("origin")).unionByName(best.select("ticker", F.lit("thematic").alias("origin")))
 
 
+# Rules of the fundamental score, first match counts: (above or below, limit, points).
+SCORE_RULES = {
+    "margin": ((">", 0.20, 0.4), (">", 0.10, 0.2), ("<", 0.0, -0.4)),
+    "debt": (("<", 50.0, 0.3), (">", 200.0, -0.3)),
+    "eps": ((">", 5.0, 0.2), (">", 0.0, 0.1), ("<", 0.0, -0.2)),
+    "rating": (("<=", 2.0, 0.2), (">=", 3.0, -0.2)),
+    "upside": ((">", 0.20, 0.3), (">", 0.10, 0.1), ("<", 0.0, -0.3)),
+}
+_OPS = {">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le}
+
+
 def fundamental_score(margin: Column, debt: Column, eps: Column, rating: Column, target: Column, price: Column) -> Column:
     """Rule table clipped to -1..1; missing margin and EPS count as 0, missing debt as 100."""
     m, d, e = F.coalesce(margin, F.lit(0.0)), F.coalesce(debt, F.lit(100.0)), F.coalesce(eps, F.lit(0.0))
     up = F.when(price > 0, F.try_divide(target, price) - 1)
-    parts = [
-        F.when(m > 0.20, 0.4).when(m > 0.10, 0.2).when(m < 0, -0.4),
-        F.when(d < 50, 0.3).when(d > 200, -0.3),
-        F.when(e > 5, 0.2).when(e > 0, 0.1).when(e < 0, -0.2),
-        F.when(rating <= 2, 0.2).when(rating >= 3, -0.2),
-        F.when(up > 0.20, 0.3).when(up > 0.10, 0.1).when(up < 0, -0.3),
-    ]
+
+    def points(value: Column, rules) -> Column:
+        out = F
+        for op, limit, score in rules:
+            out = out.when(_OPS[op](value, limit), score)
+        return out
+
+    parts = [points(v, SCORE_RULES[n]) for n, v in (("margin", m), ("debt", d), ("eps", e), ("rating", rating), ("upside", up))]
     total = reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in parts])
     return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), total))

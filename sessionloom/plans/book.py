@@ -230,7 +230,7 @@ def _(c):
 
 
 @query("k14_executed_ledger", stage="positions", oracle=sql("positions", FILLS + """SELECT persona, date, round(5000.0000301 + sum(cash_move), 2) AS cash, round(5000.0000301 + sum(cash_move) + coalesce(sum(d), 0), 2) AS total_equity,
-  CASE WHEN bool_and(type = 'NONE') THEN 'EOD Forced HOLD' ELSE 'Tracker Executed: ' || concat_ws(' & ', CASE WHEN bool_or(type = 'BUY') THEN 'BUY' END, CASE WHEN bool_or(type = 'SELL') THEN 'TP/SL' END, CASE WHEN bool_or(type = 'ABORTED_SELL') THEN 'ABORTED SELL' END) END AS intraday_status FROM mh GROUP BY 1, 2"""))
+  CASE WHEN bool_and(type = 'NONE') THEN '@HELD@' ELSE '@DONE@' || concat_ws(' & ', CASE WHEN bool_or(type = 'BUY') THEN 'BUY' END, CASE WHEN bool_or(type = 'SELL') THEN 'TP/SL' END, CASE WHEN bool_or(type = 'ABORTED_SELL') THEN 'ABORTED SELL' END) END AS intraday_status FROM mh GROUP BY 1, 2""".replace("@HELD@", settle.HELD_ALL).replace("@DONE@", settle.EXECUTED)))
 def _(c):
     merged = _merged(c)
     orders = merged.select("persona", "date", F.lit(5000.0000301).alias("target_cash")).distinct()

@@ -15,7 +15,7 @@ from ..operators.report import fold_summary
 from ..operators.windows import top_k
 from ..session import pin
 from .registry import query
-from .selection import FEATURES, returns
+from .selection import FEATURES
 from .sqltext import sql
 from .windows import W
 

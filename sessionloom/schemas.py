@@ -14,18 +14,12 @@ PANEL = _struct(ticker=_S, sector=_S, date=_DATE, open=_D, high=_D, low=_D, clos
 FEATURES = _struct(date=_DATE, ticker=_S, feature=_S, value=_D)
 MACRO = _struct(date=_DATE, vix_close=_D, tnx_close=_D, irx=_D, hyg=_D, ief=_D, sphb=_D,
                 splv=_D, oil=_D, copper=_D, usd=_D)
-SCORECARD = _struct(ticker=_S, date=_DATE, p_up=_D, exp_ret=_D, exp_vol=_D, actual_ret=_D,
-                    status=_S, note=_S)
 HOLDING = _struct(dollars=_D, units=_D, price=_D)
 HOLDINGS = T.MapType(_S, HOLDING)
 PNL = T.MapType(_S, _D)
 LEDGER = _struct(persona=_S, date=_DATE, cash=_D, total_equity=_D, holdings=HOLDINGS,
                  daily_pnl=PNL, intraday_status=_S, engine_version=_S)
-FILL = _struct(type=_S, price=_D, units=_D)
-ORDERS = _struct(persona=_S, date=_DATE, target_cash=_D, target_total_equity=_D,
-                 target_holdings=HOLDINGS, daily_pnl=PNL, executed=T.MapType(_S, FILL))
 WEIGHTS = _struct(etf=_S, ticker=_S, weight=_D)
-CALENDAR = _struct(session=_DATE, is_open=T.BooleanType())
 PREDICTION = T.MapType(_S, _struct(prob=_D, exp_ret=_D, exp_vol=_D))
 TICKS = _struct(event_id=T.LongType(), ts=T.TimestampNTZType(), user_id=T.LongType(),
                 event_type=_S, value=_D, props=_S)

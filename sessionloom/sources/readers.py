@@ -76,6 +76,10 @@ def melt(df: DataFrame, pattern: str = r"^(\w+?)_(.+)$", keys=("date",), fields=
     return long.dropna(how="all", subset=list(fields))
 
 
+# Readers of the ledger look for these.
+PLACEHOLDER, RESTORED = "HISTORICAL_BASKET", "RESTORED"
+
+
 def unpivot_tracking(df: DataFrame, start: float = 10000.0, date="date") -> DataFrame:
     """``{persona}_Total_Equity`` / ``{persona}_Cash`` columns -> ledger rows with one placeholder holding."""
     names = [c[: -len("_Total_Equity")] for c in df.columns if c.endswith("_Total_Equity")]
@@ -84,7 +88,7 @@ def unpivot_tracking(df: DataFrame, start: float = 10000.0, date="date") -> Data
         (F.col(f"{n}_Cash") if f"{n}_Cash" in df.columns else F.lit(None).cast("double")).alias("_c")) for n in names])
     d = df.select(date, F.inline(rows)).withColumn("cash", F.coalesce("_c", "total_equity"))
     held = F.greatest(F.lit(0.0), F.col("total_equity") - F.col("cash"))
-    h = F.when(held > 0, F.create_map(F.lit("HISTORICAL_BASKET"), F.struct(
+    h = F.when(held > 0, F.create_map(F.lit(PLACEHOLDER), F.struct(
         held.alias("dollars"), F.lit(1.0).alias("units"), held.alias("price")))).otherwise(
         F.from_json(F.lit("{}"), schemas.HOLDINGS))
-    return d.select("persona", date, "cash", "total_equity", h.alias("holdings"), F.lit("RESTORED").alias("intraday_status"))
+    return d.select("persona", date, "cash", "total_equity", h.alias("holdings"), F.lit(RESTORED).alias("intraday_status"))
