@@ -19,8 +19,6 @@ a larger id of the same vector can never be among k results.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
