@@ -33,7 +33,13 @@ PERSONAS = {
 _STAGED: ContextVar[dict | None] = ContextVar("staged", default=None)
 
 
-_KEPT: list[DataFrame] = []
+_KEPT: list[tuple[str, DataFrame]] = []
+
+
+def _keep(df: DataFrame) -> DataFrame:
+    df = df.persist()
+    _KEPT.append((df.sparkSession.sparkContext.applicationId, df))
+    return df
 
 
 @contextmanager
@@ -43,8 +49,12 @@ def staging(names):
 
     Nothing runs while a plan is built. What the query before kept is let go.
     """
+    active = SparkSession.getActiveSession()
+    app = active.sparkContext.applicationId if active else None
     while _KEPT:
-        _KEPT.pop().unpersist()
+        owner, df = _KEPT.pop()
+        if owner == app:  # what an ended application kept went with it
+            df.unpersist()
     token = _STAGED.set(dict.fromkeys(names))
     try:
         yield
@@ -59,8 +69,7 @@ def base(fn):
         if staged is None or fn.__name__ not in staged:
             return fn(spark, root)
         if staged[fn.__name__] is None:
-            staged[fn.__name__] = fn(spark, root).persist()
-            _KEPT.append(staged[fn.__name__])
+            staged[fn.__name__] = _keep(fn(spark, root))
         return staged[fn.__name__]
 
     return get
@@ -236,8 +245,7 @@ def weights(spark, root) -> DataFrame:
                  F.concat(F.lit("S"), F.col("l_suppkey").cast("string")).alias("ticker"))
         .agg(F.sum("rev").alias("rev"))
     )
-    rev = rev.persist()  # one row per pair, read twice below
-    _KEPT.append(rev)
+    rev = _keep(rev)  # one row per pair, read twice below
     total = rev.groupBy("etf").agg(F.sum("rev").alias("total"))
     return rev.join(total, "etf").select(
         "etf", "ticker", F.round(100 * F.col("rev") / F.col("total"), 6).alias("weight"))
