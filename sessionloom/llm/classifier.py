@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_
     sent to the documents; texts are not shuffled. Other label values are ignored.
     """
     rows = labels.filter(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    picked = labelled_sample(rows, "label", "id", per_class, 2)
+    picked = labelled_sample(rows, "label", "id", per_class)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

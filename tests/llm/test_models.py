@@ -147,3 +147,11 @@ def test_chi_square_and_leaves():
         assert (x <= ann.chi2_limit(p, 8)).mean() == pytest.approx(p, abs=0.005)
     leaves = ann.kd_leaves(np.zeros((1000, 2)), 32)
     assert sorted(np.concatenate(leaves)) == list(range(1000)) and max(map(len, leaves)) <= 32
+
+
+def test_every_label_is_learned(spark):
+    rows = [(3 * k + j, f"{chr(97 + k % 26)}{chr(97 + k // 26)}q " * (j + 5), f"l{k:02}") for k in range(70) for j in range(3 if k < 64 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(docs, "doc_id", "text", "lang").labels == tuple(f"l{k:02}" for k in range(70))
+    got = langid.identify(docs, docs["doc_id"] >= 0).join(docs, "doc_id")
+    assert got.filter("lang_pred <> lang").count() == 0
