@@ -6,10 +6,13 @@ fingerprints are the smallest hashes of its word grams in each window of
 gram of a document is looked up in it (so a shared run of gram + window - 1 words
 cannot be missed), hits on about the same diagonal make a candidate, and a local
 alignment within a band around that diagonal counts the template's matched words.
+Gram and window of a template are small enough for the run that is left when as
+many of its words change as ``min_coverage`` allows and one place more is cut.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 
@@ -48,29 +51,47 @@ def words_of(text: str) -> np.ndarray:
 
 
 @dataclass(frozen=True)
-class Index:
-    names: tuple[str, ...]
-    words: tuple[np.ndarray, ...]
+class Part:
+    """Fingerprints of the templates with grams of one length."""
+
+    gram: int
     codes: np.ndarray  # sorted fingerprints, one entry for each place
     template: np.ndarray
     place: np.ndarray
-    gram: int
 
 
-def build_index(templates: Mapping[str, str], gram: int = 3, window: int = 3) -> Index:
-    """Templates shorter than a gram have no fingerprint and are refused."""
+@dataclass(frozen=True)
+class Index:
+    names: tuple[str, ...]
+    words: tuple[np.ndarray, ...]
+    parts: tuple[Part, ...]
+
+
+def sure_run(n: int, min_coverage: float) -> int:
+    """Words of the longest run that a variant of n words with this coverage and one insertion shares at least."""
+    kept = max(1, math.ceil(min_coverage * n - 1e-9))
+    return -(-kept // (n - kept + 2))
+
+
+def build_index(templates: Mapping[str, str], gram: int = 3, window: int = 3, min_coverage: float = 0.8) -> Index:
+    """``gram`` and ``window`` at most; templates shorter than ``gram`` are refused."""
     names = tuple(sorted(templates))
     words = tuple(words_of(templates[n]) for n in names)
-    rows = []
+    rows: dict[int, list] = {}
     for t, w in enumerate(words):
-        codes = T.Rolling(w, "word").windows(gram)
-        if not len(codes):
+        if len(w) < gram:
             raise ValueError(f"template {names[t]} has fewer than {gram} words")
-        span = min(window, len(codes))
+        run = sure_run(len(w), min_coverage)
+        size = min(gram, run)
+        codes = T.Rolling(w, "word").windows(size)
+        span = min(window, run - size + 1, len(codes))
         keep = {i + int(np.argmin(codes[i: i + span])) for i in range(len(codes) - span + 1)}
-        rows += [(codes[i], t, i) for i in sorted(keep)]
-    rows.sort()
-    return Index(names, words, np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), gram)
+        rows.setdefault(size, []).extend((codes[i], t, i) for i in sorted(keep))
+    parts = []
+    for size, found in sorted(rows.items()):
+        found.sort()
+        parts.append(Part(size, np.array([r[0] for r in found], np.uint64), np.array([r[1] for r in found]), np.array([r[2] for r in found])))
+    return Index(names, words, tuple(parts))
 
 
 def align(a: np.ndarray, b: np.ndarray, shift: int, band: int) -> tuple[int, int, int]:
@@ -133,7 +154,7 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str
     rows give equal results. The index holds the given templates only.
     """
     kind = dict(docs.dtypes)[id_col]
-    index = build_index(templates, gram, window)
+    index = build_index(templates, gram, window, min_coverage)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -142,16 +163,17 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str
                 plain = _PLAIN[raw]
                 ws, we, wo = T.cut_words(plain, off)
                 words = T.hash_words(plain, ws, we)
-                codes = T.Rolling(words, "word").windows(gram)
-                lo, hi = np.searchsorted(index.codes, codes, "left"), np.searchsorted(index.codes, codes, "right")
-                where = np.flatnonzero(hi > lo)
-                owner = np.searchsorted(wo, where, "right") - 1
-                whole = where + gram <= wo[owner + 1]
-                where, owner = where[whole], owner[whole]
-                for doc in np.unique(owner):
-                    base = wo[doc]
-                    spots = where[owner == doc]
-                    hits = sorted({(int(index.template[k]), int(s - base - index.place[k])) for s in spots for k in range(lo[s], hi[s])})
+                met: dict[int, set[tuple[int, int]]] = {}
+                for p in index.parts:
+                    codes = T.Rolling(words, "word").windows(p.gram)
+                    lo, hi = np.searchsorted(p.codes, codes, "left"), np.searchsorted(p.codes, codes, "right")
+                    where = np.flatnonzero(hi > lo)
+                    owner = np.searchsorted(wo, where, "right") - 1
+                    whole = where + p.gram <= wo[owner + 1]
+                    for s, doc in zip(where[whole].tolist(), owner[whole].tolist()):
+                        met.setdefault(doc, set()).update((int(p.template[k]), int(s - wo[doc] - p.place[k])) for k in range(lo[s], hi[s]))
+                for doc in sorted(met):
+                    base, hits = wo[doc], sorted(met[doc])
                     text = raw[off[doc]: off[doc + 1]]
                     for t, cover, matched, s, e in scan_text(index, words[base: wo[doc + 1]], hits, band, min_coverage):
                         byte = (int(ws[base + s] - off[doc]), int(we[base + e - 1] - off[doc]))

@@ -183,3 +183,18 @@ def test_scan_spans_and_edge_rows(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
     with pytest.raises(ValueError):
         licenses.build_index({"tiny": "two words"})
+
+
+def test_every_one_word_edit_is_found(spark):
+    rows, want = [], set()
+    for name, text in licenses.TEMPLATES.items():
+        words = text.split()
+        n = len(licenses.words_of(text))
+        for k in range(len(words)):
+            for new in ([*words[:k], "otherword", *words[k + 1:]], [*words[:k], "otherword", *words[k:]]):
+                lost = n - len(licenses.words_of(words[k])) if len(new) == len(words) else n
+                if lost >= 0.8 * n:
+                    want.add((len(rows), name))
+                rows.append((len(rows), "some words before " + " ".join(new) + " and after"))
+    got = {(r["doc_id"], r["license"]) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert want <= got
