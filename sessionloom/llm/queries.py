@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, classifier, langid, licenses, mixing, packing, rules, sampling, simhash, substring, warczip
+from . import ann, classifier, langid, licenses, mixing, packing, periodic, rules, sampling, simhash, spelling, substring, warczip
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -143,3 +144,36 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_license_scan")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def looped(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) with the loops of the contract: for one id in ten the words from place a on repeat the first p of them."""
+    h = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    words = F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", h.alias("h"), F.expr("h div 10").alias("g"), F.when(F.expr("h % 10 = 0"), words).alias("w"))
+    at = rows.withColumn("n", F.expr("CASE WHEN size(w) > 0 THEN size(w) END")).withColumn("a", F.expr("int(g % n)"))
+    part = at.withColumn("p", F.expr("int(1 + (n - a) div (3 + g % 8))")).withColumn("loop", F.expr("slice(w, a + 1, p)"))
+    text = F.expr("array_join(concat(slice(w, 1, a), slice(flatten(array_repeat(loop, int(ceil((n - a) / p)))), 1, n - a)), ' ')")
+    return part.select("doc_id", F.coalesce(text, "text").alias("text"))
+
+
+@query("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.periodic_runs(looped(table(spark, sf_dir, "documents")))
+    return out.select("doc_id", "n_runs", "start", "length", "period", "exponent_milli", periodic.runs_digest("runs").alias("runs_sha256"),
+                      F.sha2("kept_text", 256).alias("collapsed_sha256"))
+
+
+def mistyped(doc_id: bytes, word: bytes) -> bytes:
+    """The word without one letter, if 97 divides the crc32 of ``<doc_id>:<word>``."""
+    h = zlib.crc32(doc_id + b":" + (word if word.isascii() else word.decode("latin-1").encode()))
+    if h % 97:
+        return word
+    i = h % len(word)
+    return word[:i] + word[i + 1:]
+
+
+@query("op12_spelling_variants")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = spelling.word_counts(table(spark, sf_dir, "documents"), change=mistyped)
+    return spelling.variants(counts.filter("n >= 3"))
