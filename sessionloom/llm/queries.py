@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, classifier, langid, licenses, mixing, packing, periodic, rules, sampling, simhash, spelling, substring, warczip
+from . import ann, classifier, langid, licenses, mixing, neargraph, packing, periodic, rules, sampling, simhash, spelling, substring, warczip
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -177,3 +177,8 @@ def mistyped(doc_id: bytes, word: bytes) -> bytes:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = spelling.word_counts(table(spark, sf_dir, "documents"), change=mistyped)
     return spelling.variants(counts.filter("n >= 3"))
+
+
+@query("op13_vector_groups")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neargraph.vector_groups(table(spark, sf_dir, "embeddings"))
