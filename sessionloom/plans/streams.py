@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..frames import by
 from ..session import scratch_path
-from ..streaming import bars, gates, sinks, source, state
+from ..streaming import bars, gates, sinks, source, state, timers
 from .registry import query
 from .sqltext import sql
 
@@ -106,6 +106,24 @@ def _(c):
     return state.batch_order_outcomes(source.as_ticks(c.table("events")), _limits(c))
 
 
+@query("r8_order_timeouts", """WITH d AS (SELECT CAST(min(ts) AS DATE) AS lo, CAST(max(ts) AS DATE) AS hi, max(ts) AS last FROM events),
+o AS (SELECT user_id AS "user", max(value) * 0.6 AS lim, unnest(generate_series(lo, hi, INTERVAL 1 DAY))::DATE AS session FROM events, d GROUP BY 1, lo, hi),
+t AS (SELECT user_id AS "user", ts, event_id, value, CAST(ts - INTERVAL '15 hours 55 minutes' + INTERVAL 1 DAY AS DATE) AS session FROM events),
+f AS (SELECT o."user", o.session, arg_min(value, row(ts, event_id)) AS fill_price, min(ts) AS fill_ts FROM o JOIN t ON t."user" = o."user" AND t.session = o.session AND value >= lim GROUP BY 1, 2)
+SELECT o."user", o.session, fill_ts, fill_price, CASE WHEN fill_price IS NULL THEN 'ABORTED' ELSE 'FILLED' END AS outcome
+FROM o CROSS JOIN d LEFT JOIN f ON f."user" = o."user" AND f.session = o.session WHERE o.session + INTERVAL '15 hours 55 minutes' <= last - INTERVAL 10 MINUTE""")
+def _(c):
+    e = c.table("events")
+    base = scratch_path(c.spark, "orders")
+    days = e.agg(F.sequence(F.to_date(F.min("ts")), F.to_date(F.max("ts"))).alias("days")).scalar()  # bounded by the calendar
+    limits = e.groupBy(F.col("user_id").alias("user")).agg((F.max("value") * 0.6).alias("limit_price"))
+    limits.select("user", F.explode(days).alias("session")).write.parquet(f"{base}/orders")  # one order per user and session, ticks or not
+    orders = c.spark.readStream.schema("user long, session date").parquet(f"{base}/orders")
+    d = timers.order_timeouts(orders, _ticks(c), limits, ["user"])
+    return timers.with_rocks(c.spark, lambda: sinks.materialise(d, "timeouts", mode="append")).select(
+        "user", "session", *_ntz("fill_ts"), "fill_price", "outcome")
+
+
 @query("r9_latest_gauge", """SELECT e.event_id AS seq, e.event_type AS ticker, g.value AS gauge FROM (SELECT * FROM events WHERE event_type <> 'error') e
   ASOF LEFT JOIN (SELECT ts, value FROM events WHERE event_type = 'error') g ON e.ts >= g.ts""")
 def _(c):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionloom import schemas
 from sessionloom.session import scratch_path
-from sessionloom.streaming import bars, sinks, source, state
+from sessionloom.streaming import bars, sinks, source, state, timers
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -118,3 +118,46 @@ def test_late_rows_are_kept_over_two_deliveries(spark):
         sinks.run_available(s, sinks.split_late_sink(f"{base}/out", "ts", 3600, delivery, "a" if delivery == "b" else None), f"{base}/cp-{delivery}", "append")
     late = spark.read.parquet(f"{base}/out/late")
     assert rows_of(late, "price") == [(10.0,)] and spark.read.parquet(f"{base}/out/on_time").count() == 5
+
+
+ORDERS = "ticker string, session date"
+
+
+def timed_orders(spark, base, orders):
+    limits = spark.createDataFrame([(t, 10.0) for t in "abcd"] + [("e", None)], "ticker string, limit_price double")
+    placed = spark.readStream.schema(ORDERS).option("maxFilesPerTrigger", 1).parquet(f"{base}/{orders}*.parquet")
+    return timers.order_timeouts(placed, stream(spark, base), limits)
+
+
+def test_timers_end_orders_with_and_without_ticks(spark):
+    h, day = 60, [dt.date(2024, 1, 1), dt.date(2024, 1, 2)]
+    rows = [(9 * h, 0, "a", 5.0), (11 * h, 0, "a", 15.0), (9 * h, 0, "b", 3.0), (10 * h, 0, "a", 12.0), (10 * h, 0, "e", 99.0), (10 * h, 0, "d", 50.0),
+            (16 * h, 0, "b", 50.0), (41 * h, 0, "a", 1.0)]
+    base, _ = feed(spark, rows, 4)  # the tick of a at 10 h arrives after the one at 11 h
+    spark.createDataFrame([(t, d) for t in "abce" for d in day] + [("c", day[0])], ORDERS).coalesce(1).write.parquet(f"{base}/orders1.parquet")
+    got = timers.with_rocks(spark, lambda: sinks.materialise(timed_orders(spark, base, "orders"), "timers", mode="append"))
+    at10 = T0 + dt.timedelta(hours=10)
+    assert rows_of(got.fillna(0.0, ["fill_price"]).fillna("-", ["outcome"]), "ticker", "session", "fill_price", "outcome") == [
+        ("a", day[0], 12.0, "FILLED"), ("a", day[1], 0.0, "ABORTED"), ("b", day[0], 0.0, "ABORTED"), ("b", day[1], 50.0, "FILLED"),
+        ("c", day[0], 0.0, "ABORTED"), ("c", day[1], 0.0, "ABORTED"), ("e", day[0], 0.0, "ABORTED"), ("e", day[1], 0.0, "ABORTED")]
+    assert got.filter("ticker = 'a' AND outcome = 'FILLED'").first()["fill_ts"] == at10
+
+
+def test_timers_survive_a_restart(spark):
+    h = 60
+    first, second = [(9 * h, 0, "a", 12.0), (9 * h, 0, "b", 1.0)], [(17 * h, 0, "a", 30.0)]
+    base = scratch_path(spark, "restart")
+    events(spark, first).coalesce(1).write.parquet(f"{base}/events0.parquet")
+    spark.createDataFrame([(t, dt.date(2024, 1, 1)) for t in "abc"], ORDERS).coalesce(1).write.parquet(f"{base}/orders0.parquet")
+
+    def run():
+        sinks.run_available(timed_orders(spark, base, "orders"), sinks.batch_folder_sink(f"{base}/out"), f"{base}/checkpoint", "append")
+
+    def both():
+        run()
+        events(spark, second).coalesce(1).write.parquet(f"{base}/events1.parquet")
+        run()  # a new query on the old checkpoint: fills and timers are where they were
+
+    timers.with_rocks(spark, both)
+    got = spark.read.option("recursiveFileLookup", True).parquet(f"{base}/out")
+    assert sorted((r["ticker"], r["fill_price"], r["outcome"]) for r in got.collect()) == [("a", 12.0, "FILLED"), ("b", None, "ABORTED"), ("c", None, "ABORTED")]
