@@ -85,10 +85,10 @@ def _(c):
 
 @query("j11_lagged_pairs", sql("pred", f""", x AS (SELECT ticker, date, ret, lag(ret) OVER ({W}) AS l FROM pred)
 SELECT a.ticker AS target, b.ticker AS predictor, count(*) AS n, round(corr(a.ret, b.l), 6) + 0 AS corr FROM x a JOIN x b ON a.date = b.date
-WHERE a.ret IS NOT NULL AND b.l IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20
+WHERE a.ret IS NOT NULL AND b.l IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2
 QUALIFY row_number() OVER (PARTITION BY a.ticker ORDER BY abs(corr(a.ret, b.l)) DESC, b.ticker) <= 20"""))
 def _(c):
-    pairs = correlate.lagged_correlation(c.pred.select("ticker", "date", F.col("ret").alias("value")), lag=1, top=20, min_obs=20)
+    pairs = correlate.lagged_correlation(c.pred.select("ticker", "date", F.col("ret").alias("value")), lag=1, top=20)
     return correlate.strongest(pairs, 20).select("target", "predictor", "n", "corr")
 
 
@@ -101,13 +101,13 @@ def _(c):
 
 
 @query("j13_combinations", sql("panel", """, g AS (SELECT sector AS target, ticker AS feature, row_number() OVER (PARTITION BY sector ORDER BY sum(volume) DESC, ticker) AS r FROM panel GROUP BY 1, 2),
-a AS (SELECT * FROM g WHERE r <= 5), b AS (SELECT target, feature, r FROM g WHERE r BETWEEN 6 AND 10)
+a AS (SELECT * FROM g WHERE r <= 15), b AS (SELECT target, feature, r FROM g WHERE r BETWEEN 16 AND 30)
 SELECT m.target, m.feature AS macro_1, n.feature AS macro_2, x.feature AS micro_1, y.feature AS micro_2 FROM a m JOIN a n ON m.target = n.target AND m.r < n.r
 JOIN b x ON x.target = m.target JOIN b y ON y.target = m.target AND x.r < y.r"""))
 def _(c):
     g = c.panel.groupBy(F.col("sector").alias("target"), F.col("ticker").alias("feature")).agg(F.sum("volume").alias("v"))
-    g = top_k(g, 10, "target", [F.col("v").desc(), F.col("feature")], "rank")
-    return j.combine_pairs(g.filter("rank <= 5"), g.filter("rank > 5"))
+    g = top_k(g, 30, "target", [F.col("v").desc(), F.col("feature")], "rank")
+    return j.combine_pairs(g.filter("rank <= 15"), g.filter("rank > 15"))
 
 
 @query("j14_at_trade_time", stage="ledger", oracle=sql("positions ledger", """SELECT p.persona, p.ticker, p.date, p.pnl, l.total_equity, l.intraday_status FROM positions p

@@ -52,20 +52,21 @@ def _(c):
     return s.lagged_r2(c.bars.select("ticker", "date", F.col("close").alias("value")), 1, mode="prices")
 
 
-MULTI = ", " + ", ".join(f"l{i} AS (SELECT ticker, date, ret, lag(ret, {i}) OVER ({W}) AS l FROM pred)" for i in (1, 2, 3)) + """,
-mc AS (""" + " UNION ALL ".join(f"SELECT a.ticker AS target, b.ticker AS predictor, {i} AS lag, corr(a.ret, b.l) AS corr, count(*) AS n FROM l{i} a JOIN l{i} b ON a.date = b.date AND a.ticker <> b.ticker WHERE a.ret IS NOT NULL AND b.l IS NOT NULL GROUP BY 1, 2" for i in (1, 2, 3)) + """),
+LAGS = (1, 2, 3, 4, 5)
+MULTI = ", " + ", ".join(f"l{i} AS (SELECT ticker, date, ret, lag(ret, {i}) OVER ({W}) AS l FROM pred)" for i in LAGS) + """,
+mc AS (""" + " UNION ALL ".join(f"SELECT a.ticker AS target, b.ticker AS predictor, {i} AS lag, corr(a.ret, b.l) AS corr, count(*) AS n FROM l{i} a JOIN l{i} b ON a.date = b.date AND a.ticker <> b.ticker WHERE a.ret IS NOT NULL AND b.l IS NOT NULL GROUP BY 1, 2" for i in LAGS) + """),
 mr AS (SELECT *, row_number() OVER (PARTITION BY target, lag ORDER BY abs(corr) DESC, predictor) AS rank FROM mc)
 """
 
 
 @query("m4_multi_lag", sql("pred", MULTI + "SELECT target, lag, predictor, n, round(corr, 6) + 0 AS corr, round(corr * corr, 6) AS r2, rank FROM mr WHERE rank <= 3"))
 def _(c):
-    return s.multi_lag(returns(c), (1, 2, 3), 3).select("target", "lag", "predictor", "n", "corr", "r2", "rank")
+    return s.multi_lag(returns(c), LAGS, 3).select("target", "lag", "predictor", "n", "corr", "r2", "rank")
 
 
 @query("m4_best_over_lags", sql("pred", MULTI + "SELECT target, predictor, lag, round(r2, 6) AS r2 FROM (SELECT target, predictor, lag, corr * corr AS r2, row_number() OVER (PARTITION BY target ORDER BY corr * corr DESC, lag, predictor) AS k FROM mr) WHERE k = 1"))
 def _(c):
-    return s.best_over_lags(s.multi_lag(returns(c), (1, 2, 3), 3))
+    return s.best_over_lags(s.multi_lag(returns(c), LAGS, 3))
 
 
 EDGES = LAGGED + """, ec AS (SELECT a.ticker AS target, b.ticker AS predictor, corr(a.ret, b.l) AS corr, count(*) AS n FROM lg1 a JOIN lg1 b ON a.date = b.date WHERE a.ret IS NOT NULL AND b.l IS NOT NULL GROUP BY 1, 2),
