@@ -317,38 +317,62 @@ def stepwise_per_target(rows: DataFrame, enter: float = 0.05, cap: int = 10) ->
     return rows.filter("y is not null").groupBy("target").applyInPandas(fit, "target string, step int, feature string, p_value double")
 
 
-def best_triplets(rows: DataFrame, top: int = 5) -> DataFrame:
-    """Triplets whose sum correlates best with the target.
-
-    corr(x_i+x_j+x_k, y) follows from the Gram matrix, which is computed once per
-    target; the first index is then spread over tasks, each of which keeps its
-    ``top`` rows, so the C(k,3) combinations are never materialised.
+def best_triplets(rows: DataFrame, targets: DataFrame, top: int = 5, chunk: int = 32) -> DataFrame:
+    """Triplets of features whose sum correlates best with the target, over the whole pool: target, first, second, third, r2, rank.
+
+    ``rows`` has (feature, date, value), ``targets`` (target, date, y). A target's
+    sessions are those on which it has a value; a feature is centred on those it
+    has of them and counts as its mean on the others, so no feature has to be
+    there on every session. Branch and bound in two rounds: tasks of ``chunk``
+    first features give the bounds and a first list, the worst of each target's
+    list then cuts the pairs that cannot reach it. Nothing is lost by a cut.
+    Features go by name; ties by first, second and third.
     """
+    w = Window.partitionBy("target")
+    y = targets.filter("y is not null").withColumn("y", F.col("y") - F.avg("y").over(w)).withColumn("_k", F.row_number().over(w.orderBy("date")) - 1)
+    y = pin(y.select("target", "date", "y", "_k"))  # one row per target and session
+    sessions = y.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("_k", "y"))).getField("y").alias("y"))
+    own = rows.select("feature", "date", "value").filter("value is not null").join(y.select("target", "date", "_k"), "date")
+    packed = own.groupBy("target", "feature").agg(F.collect_list(F.struct("_k", "value")).alias("_v"))
+    pool = packed.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("feature", F.col("_v._k").alias("k"), F.col("_v.value").alias("v")))).alias("_f"))
+    pool = pin(pool.join(sessions, "target").select("target", F.col("_f.feature").alias("names"), F.transform("_f.k", F.size).alias("size"),
+                                                    F.flatten("_f.k").alias("k"), F.flatten("_f.v").alias("v"), "y"))
+
+    def matrices(size, k, v, y):
+        size, v, y = np.asarray(size), np.asarray(v, float), np.asarray(y, float)
+        at = np.repeat(np.arange(len(size)), size)
+        x = np.zeros((len(size), len(y)))
+        x[at, np.asarray(k)] = v - (np.bincount(at, v, len(size)) / np.maximum(size, 1))[at]
+        return x, x @ y, float(y @ y)
+
+    first = F.explode(F.sequence(F.lit(0), F.greatest(F.size("names") - 1, F.lit(0)), F.lit(chunk))).alias("lo")
+
+    def bounds(batches):
+        for pdf in batches:
+            out = []
+            for t, size, k, v, y, lo in zip(*[pdf[c] for c in ("target", "size", "k", "v", "y", "lo")]):
+                x, xy, yy = matrices(size, k, v, y)
+                rows = range(lo, min(lo + chunk, len(x)))
+                good = solvers.seed_triplets(x, xy, yy, rows, top) if yy > 0 else []
+                out.append((t, lo, solvers.triplet_floors(x, slice(rows.start, rows.stop)).tolist(), [g[0] for g in good]))
+            yield pd.DataFrame(out, columns=["target", "lo", "floors", "found"])
 
-    def grams(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = pdf["target"].iloc[0]
-        x, y, pdf = _xy(pdf)
-        x, y = x - x.mean(0), y - y.mean()
-        return pd.DataFrame([{"target": t, "names": list(pdf["names"].iloc[0]), "gram": (x.T @ x).ravel().tolist(),
-                              "xy": (x.T @ y).tolist(), "yy": float(y @ y)}])
-
-    g = rows.filter("y is not null").groupBy("target").applyInPandas(
-        grams, "target string, names array<string>, gram array<double>, xy array<double>, yy double")
-    spread = g.withColumn("i", F.explode(F.sequence(F.lit(0), F.greatest(F.size("names") - 3, F.lit(0)))))
-    spread = spread.repartition("target", "i")
+    seeds = pool.select("*", first).repartition("target", "lo").mapInPandas(bounds, "target string, lo int, floors array<double>, found array<double>")
+    known = pin(seeds.groupBy("target").agg(F.sort_array(F.collect_list(F.struct("lo", "floors"))).alias("_f"), F.sort_array(F.flatten(F.collect_list("found")), False).alias("_b"))
+                .select("target", F.flatten("_f.floors").alias("floors"), F.coalesce(F.try_element_at("_b", F.lit(top)), F.lit(0.0)).alias("bound")))
 
     def search(batches):
         for pdf in batches:
             out = []
-            for t, names, gram, xy, yy, i in zip(*[pdf[c] for c in ("target", "names", "gram", "xy", "yy", "i")]):
-                k = len(names)
-                if k < 3 or yy <= 0:
-                    continue
-                out += [(t, names[i], names[j], names[m], r2)
-                        for j, m, r2 in solvers.best_triplets(np.asarray(gram).reshape(k, k), np.asarray(xy), yy, i, top)]
+            for t, names, size, k, v, y, lo, floors, bound in zip(*[pdf[c] for c in ("target", "names", "size", "k", "v", "y", "lo", "floors", "bound")]):
+                x, xy, yy = matrices(size, k, v, y)
+                if yy > 0 and len(x) >= 3:
+                    found, _, _ = solvers.best_triplets(x, xy, yy, range(lo, min(lo + chunk, len(x))), top, np.asarray(floors), bound)
+                    out += [(t, names[i], names[j], names[k], r2) for r2, i, j, k in found]
             yield pd.DataFrame(out, columns=["target", "first", "second", "third", "r2"])
 
-    found = spread.mapInPandas(search, "target string, first string, second string, third string, r2 double")
+    found = pool.join(known, "target").select("*", first).repartition("target", "lo").mapInPandas(
+        search, "target string, first string, second string, third string, r2 double")
     return top_k(found, top, "target", [F.col("r2").desc(), F.col("first"), F.col("second"), F.col("third")], "rank")
 
 

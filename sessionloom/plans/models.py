@@ -127,28 +127,28 @@ def _(c):
 
 
 def _triplet_rows(c):
-    """Sector mean as target; previous three-session mean of every nation as feature (a fixed short list)."""
-    p = c.pred.join(c.sectors.select("ticker", "industry"), "ticker")
-    y = p.groupBy(F.col("sector").alias("target"), "date").agg(F.avg("ret").alias("y"))
-    n = p.groupBy(F.col("industry").alias("feature"), "date").agg(F.avg("ret").alias("r"))
-    n = n.withColumn("_m", windows.mean_over("r", 3, "feature")).select("feature", "date", F.lag("_m").over(by("feature")).alias("value"))
-    return m.design(y.join(n, "date").select("target", "date", "feature", "value"), y, "target")
-
-
-@query("m16_best_triplets", stage="pred", oracle=sql("pred", f""", n0 AS (SELECT s.industry AS ticker, p.date, avg(ret) AS r FROM pred p JOIN sectors s ON p.ticker = s.ticker GROUP BY 1, 2),
-x0 AS (SELECT ticker, date, CASE WHEN count(r) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 THEN avg(r) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS v FROM n0),
-xl AS (SELECT ticker, date, lag(v) OVER ({W}) AS v FROM x0), y AS (SELECT sector, date, avg(ret) AS y FROM pred GROUP BY 1, 2),
-x1 AS (SELECT y.sector, xl.ticker, xl.date, v FROM xl JOIN y ON y.date = xl.date), k AS (SELECT sector, count(DISTINCT ticker) AS k FROM x1 GROUP BY 1),
-d AS (SELECT x1.sector, x1.date FROM x1 JOIN k ON k.sector = x1.sector JOIN y ON y.sector = x1.sector AND y.date = x1.date WHERE v IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2, k HAVING count(*) = k),
-xs AS (SELECT x1.sector, ticker, x1.date, v - avg(v) OVER (PARTITION BY x1.sector, ticker) AS v FROM x1 JOIN d ON d.sector = x1.sector AND d.date = x1.date), ys AS (SELECT y.sector, y.date, y - avg(y) OVER (PARTITION BY y.sector) AS y FROM y JOIN d ON d.sector = y.sector AND d.date = y.date),
-g AS (SELECT a.sector, a.ticker AS i, b.ticker AS j, sum(a.v * b.v) AS g FROM xs a JOIN xs b ON a.sector = b.sector AND a.date = b.date GROUP BY 1, 2, 3), c AS (SELECT xs.sector, ticker AS i, sum(v * y) AS c FROM xs JOIN ys ON ys.sector = xs.sector AND ys.date = xs.date GROUP BY 1, 2), n AS (SELECT sector, sum(y * y) AS yy FROM ys GROUP BY 1),
-t AS (SELECT ij.sector AS target, ij.i AS first, ij.j AS second, ik.j AS third, power(ci.c + cj.c + ck.c, 2) / (gi.g + gj.g + gk.g + 2 * (ij.g + ik.g + jk.g)) / yy AS r2
-  FROM g ij JOIN g ik ON ij.sector = ik.sector AND ij.i = ik.i AND ij.i < ij.j AND ij.j < ik.j JOIN g jk ON jk.sector = ij.sector AND jk.i = ij.j AND jk.j = ik.j
-  JOIN g gi ON gi.sector = ij.sector AND gi.i = ij.i AND gi.j = ij.i JOIN g gj ON gj.sector = ij.sector AND gj.i = ij.j AND gj.j = ij.j JOIN g gk ON gk.sector = ij.sector AND gk.i = ik.j AND gk.j = ik.j
-  JOIN c ci ON ci.sector = ij.sector AND ci.i = ij.i JOIN c cj ON cj.sector = ij.sector AND cj.i = ij.j JOIN c ck ON ck.sector = ij.sector AND ck.i = ik.j JOIN n ON n.sector = ij.sector)
-SELECT target, first, second, third, round(r2, 6) AS r2, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY r2 DESC, first, second, third) AS rank FROM t) WHERE rank <= 5"""))
+    """Sector means as targets; the previous three-session mean of every ticker as feature."""
+    y = c.pred.groupBy(F.col("sector").alias("target"), "date").agg(F.avg("ret").alias("y"))
+    n = c.pred.select(F.col("ticker").alias("feature"), "date", windows.mean_over("ret", 3).alias("_m"))
+    return n.select("feature", "date", F.lag("_m").over(by("feature")).alias("value")), y
+
+
+@query("m16_best_triplets", stage="pred", oracle=sql("pred", f""",
+x0 AS (SELECT ticker, date, CASE WHEN count(ret) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) >= 3 THEN avg(ret) OVER ({W} ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) END AS v FROM pred),
+xl AS (SELECT ticker, date, lag(v) OVER ({W}) AS v FROM x0), y0 AS (SELECT sector, date, avg(ret) AS y FROM pred GROUP BY 1, 2 HAVING avg(ret) IS NOT NULL),
+ys AS (SELECT sector, date, y - avg(y) OVER (PARTITION BY sector) AS y FROM y0), n AS (SELECT sector, sum(y * y) AS yy FROM ys GROUP BY 1),
+xs AS (SELECT ys.sector, ticker, xl.date, y, v - avg(v) OVER (PARTITION BY ys.sector, ticker) AS v FROM xl JOIN ys ON ys.date = xl.date WHERE v IS NOT NULL),
+f AS (SELECT sector, ticker, sum(v * y) AS c, dense_rank() OVER (PARTITION BY sector ORDER BY ticker) AS id FROM xs GROUP BY 1, 2),
+g AS (SELECT p.sector, p.ticker AS i, q.ticker AS j, coalesce(s, 0) AS g FROM f p JOIN f q ON p.sector = q.sector
+  LEFT JOIN (SELECT a.sector, a.ticker AS i, b.ticker AS j, sum(a.v * b.v) AS s FROM xs a JOIN xs b ON a.sector = b.sector AND a.date = b.date GROUP BY 1, 2, 3) z ON z.sector = p.sector AND z.i = p.ticker AND z.j = q.ticker),
+h AS (SELECT g.sector, g.i, g.j, ci.c + cj.c AS c, gi.g + gj.g + 2 * g.g AS g2 FROM g JOIN f ci ON ci.sector = g.sector AND ci.ticker = g.i JOIN f cj ON cj.sector = g.sector AND cj.ticker = g.j
+  JOIN g gi ON gi.sector = g.sector AND gi.i = g.i AND gi.j = g.i JOIN g gj ON gj.sector = g.sector AND gj.i = g.j AND gj.j = g.j WHERE g.i < g.j),
+t AS (SELECT h.sector AS target, h.i AS first, h.j AS second, ik.j AS third, power(h.c + ck.c, 2) / nullif(h.g2 + gk.g + 2 * (ik.g + jk.g), 0) / yy AS r2
+  FROM h JOIN g ik ON ik.sector = h.sector AND ik.i = h.i AND ik.j > h.j JOIN g jk ON jk.sector = h.sector AND jk.i = h.j AND jk.j = ik.j
+  JOIN g gk ON gk.sector = h.sector AND gk.i = ik.j AND gk.j = ik.j JOIN f ck ON ck.sector = h.sector AND ck.ticker = ik.j JOIN n ON n.sector = h.sector)
+SELECT target, first, second, third, round(r2, 6) AS r2, rank FROM (SELECT *, row_number() OVER (PARTITION BY target ORDER BY r2 DESC, first, second, third) AS rank FROM t WHERE r2 IS NOT NULL) WHERE rank <= 5"""))
 def _(c):
-    return m.best_triplets(_triplet_rows(c), 5)
+    return m.best_triplets(*_triplet_rows(c), 5)
 
 
 PRIORS = {"_RSI": -0.05, "_ADX": 0.02, "_PLUS_DI": 0.04, "_MINUS_DI": -0.03, "_ATR": 0.01, "_RET": 0.0}

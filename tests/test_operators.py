@@ -182,12 +182,44 @@ def test_triplets_against_brute_force(spark):
     rows = [("T", d, f, float(x[i, j])) for i, d in enumerate(days(n)) for j, f in enumerate(names)]
     long = spark.createDataFrame(rows, "target string, date date, feature string, value double")
     t = spark.createDataFrame([("T", d, float(v)) for d, v in zip(days(n), y)], "target string, date date, y double")
-    got = models.best_triplets(models.design(long, t, "target"), 4).orderBy("rank").collect()
+    got = models.best_triplets(long, t, 4, chunk=4).orderBy("rank").collect()
     all_ = sorted(((-np.corrcoef(x[:, c].sum(1), y)[0, 1] ** 2, c) for c in map(list, combinations(range(9), 3))))[:4]
     assert [[r["first"], r["second"], r["third"]] for r in got] == [[names[i] for i in c] for _, c in all_]
     assert got[0]["r2"] == pytest.approx(-all_[0][0])
 
 
+@pytest.mark.parametrize("seed,k", [(1, 25), (2, 60)])
+def test_triplet_bounds_lose_nothing_and_skip_pairs(seed, k):
+    from itertools import combinations
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(k, 80)) + (seed - 1) * rng.normal(size=80)
+    y = x[3] + x[10] + x[17] + 2 * rng.normal(size=80)
+    x, y = x - x.mean(axis=1, keepdims=True), y - y.mean()
+    x[5] = 0.0  # a feature without spread
+    c, g, yy = x @ y, x @ x.T, float(y @ y)
+    brute = sorted((-(c[i] + c[j] + c[m]) ** 2 / (g[i, i] + g[j, j] + g[m, m] + 2 * (g[i, j] + g[i, m] + g[j, m])) / yy, i, j, m) for i, j, m in combinations(range(k), 3))[:6]
+    seeds = sorted((t for lo in range(0, k, 8) for t in solvers.seed_triplets(x, c, yy, range(lo, min(lo + 8, k)), 6)), reverse=True)
+    parts = [solvers.best_triplets(x, c, yy, range(lo, min(lo + 8, k)), 6, bound=seeds[5][0], block=16) for lo in range(0, k, 8)]
+    found = sorted((t for p in parts for t in p[0]), key=lambda t: (-t[0], *t[1:]))[:6]
+    assert [t[1:] for t in found] == [t[1:] for t in brute] and found[0][0] == pytest.approx(-brute[0][0])
+    assert sum(p[1] for p in parts) < 0.5 * sum(p[2] for p in parts)
+
+
+def test_triplets_with_gaps_and_few_features(spark):
+    d = days(40)
+    long = [(f, d[i], float((i * p) % 7)) for f, p in (("a", 2), ("b", 3), ("c", 5)) for i in range(40) if (i + p) % 9]
+    y = [("T", d[i], float(i % 5)) for i in range(40)] + [("U", d[0], 1.0)]
+    t = spark.createDataFrame(y, "target string, date date, y double")
+    frame = spark.createDataFrame(long, "feature string, date date, value double")
+    got = models.best_triplets(frame, t, 3).collect()
+    x = np.array([[dict(((f, dd), v) for f, dd, v in long).get((f, dd), np.nan) for dd in d] for f in "abc"])
+    x = np.nan_to_num(x - np.nanmean(x, axis=1, keepdims=True)).sum(axis=0)
+    v = np.array([i % 5 for i in range(40)]) - 2.0
+    assert [(r["target"], r["first"], r["second"], r["third"]) for r in got] == [("T", "a", "b", "c")]
+    assert got[0]["r2"] == pytest.approx((x @ v) ** 2 / (x @ x) / (v @ v))
+    assert models.best_triplets(frame.filter("feature <> 'a'"), t, 3).count() == 0 and models.best_triplets(frame, t.limit(0), 3).count() == 0
+
+
 def test_combo_screen_against_single_fits(spark):
     rng = np.random.default_rng(10)
     n, names = 140, ["a", "b", "c", "d", "e"]
