@@ -1,9 +1,10 @@
 """Linear models of every target on all other tickers' lagged returns, with no cut of the pool.
 
-A target and its candidates are never gathered in one place. All series share
-the sessions on which every ticker has a value; targets and predictors are dealt
-to blocks, and a task meets one block of each. Session-by-session matrices are
-bounded by the calendar.
+A target and its candidates are never gathered in one place. All series lie on
+the whole calendar, a missing return is zero; targets and predictors are dealt to
+blocks, and a task meets one block of each. Session-by-session matrices are
+bounded by the calendar; they are summed and decomposed in tasks, never on the
+driver.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from ..session import pin
 from . import solvers
 from .correlate import BLOCK_BYTES, BLOCK_SERIES, pack
-from .select import complete_lagged
+from .select import dense_lagged
 
 
 def _dealt(left: DataFrame, right: DataFrame, sessions: int, name: str, blocks: int | None):
@@ -42,6 +43,44 @@ def _stack(col) -> np.ndarray:
     return np.stack(col.to_list()).astype(float)
 
 
+def _start(targets: DataFrame) -> DataFrame:
+    """Each target with its centred values as residual, and nothing chosen."""
+    centre = F.transform("values", lambda v: v - F.aggregate("values", F.lit(0.0), lambda s, x: s + x) / F.size("values"))
+    return targets.select(F.col("series").alias("target"), centre.alias("r"), F.array().cast("array<array<double>>").alias("q"), F.array().cast("array<string>").alias("chosen"))
+
+
+def _best_candidates(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    rows = []
+    if len(left) and len(right):
+        right = right.sort_values("feature", ignore_index=True)
+        x = _stack(right["x"])
+        x = x - x.mean(axis=1, keepdims=True)
+        scale, names = (x**2).sum(axis=1), right["feature"].to_numpy()
+        for t in left.itertuples():
+            proj = x @ np.stack(t.q).T if len(t.q) else np.zeros((len(x), 0))
+            room = scale - (proj**2).sum(axis=1)
+            ok = (room > 1e-10 * np.maximum(scale, 1e-300)) & ~np.isin(names, [*t.chosen, t.target])
+            gain = np.where(ok, (x @ t.r) ** 2 / np.where(ok, room, 1.0), -1.0)
+            j = int(np.argmax(gain))
+            if ok[j]:
+                rows.append((t.target, names[j], gain[j]))
+    return pd.DataFrame(rows, columns=["target", "feature", "gain"])
+
+
+def _one_best(state: DataFrame, predictors: DataFrame, sessions: int, blocks: int | None) -> DataFrame:
+    pairs = _dealt(state, predictors, sessions, "target", blocks).applyInPandas(_best_candidates, "target string, feature string, gain double")
+    return pairs.groupBy("target").agg(F.min_by(F.struct("feature", "gain"), F.struct(-F.col("gain"), "feature")).alias("b")).select("target", "b.*")
+
+
+def first_step(returns: DataFrame, lag: int = 1, blocks: int | None = None) -> DataFrame:
+    """What the first round of :func:`stepwise_pool` finds for every target, significant or not: target, feature, r2."""
+    a, b = dense_lagged(returns, lag)
+    state, predictors = pin(_start(pack(a))), pack(b)
+    total = F.aggregate("r", F.lit(0.0), lambda s, x: s + x * x)
+    one = _one_best(state, predictors, predictors.agg(F.max(F.size("values"))).first()[0] or 0, blocks)
+    return one.join(state.select("target", total.alias("_t")), "target").filter("_t > 0").select("target", "feature", (F.col("gain") / F.col("_t")).alias("r2"))
+
+
 def stepwise_pool(returns: DataFrame, lag: int = 1, enter: float = 0.05, cap: int = 10, blocks: int | None = None) -> DataFrame:
     """Forward stepwise least squares per target over all other tickers: target, step, feature, entry p-value.
 
@@ -50,32 +89,12 @@ def stepwise_pool(returns: DataFrame, lag: int = 1, enter: float = 0.05, cap: in
     candidate's partial correlation is two products; targets whose best p-value
     is not below ``enter`` drop out. At most ``cap`` rounds.
     """
-    a, b = complete_lagged(returns, lag)
-    predictors = pack(b)
-    centre = F.transform("values", lambda v: v - F.aggregate("values", F.lit(0.0), lambda s, x: s + x) / F.size("values"))
-    state = pack(a).select(F.col("series").alias("target"), centre.alias("r"), F.array().cast("array<array<double>>").alias("q"),
-                           F.array().cast("array<string>").alias("chosen"))
+    a, b = dense_lagged(returns, lag)
+    predictors, state = pack(b), _start(pack(a))
     state = pin(state)
     top = predictors.agg(F.max(F.size("values"))).first()[0] or 0
     found = returns.sparkSession.createDataFrame([], "target string, step int, feature string, p_value double")
 
-    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(left) and len(right):
-            right = right.sort_values("feature", ignore_index=True)
-            x = _stack(right["x"])
-            x = x - x.mean(axis=1, keepdims=True)
-            scale, names = (x**2).sum(axis=1), right["feature"].to_numpy()
-            for t in left.itertuples():
-                proj = x @ np.stack(t.q).T if len(t.q) else np.zeros((len(x), 0))
-                room = scale - (proj**2).sum(axis=1)
-                ok = (room > 1e-10 * np.maximum(scale, 1e-300)) & ~np.isin(names, [*t.chosen, t.target])
-                gain = np.where(ok, (x @ t.r) ** 2 / np.where(ok, room, 1.0), -1.0)
-                j = int(np.argmax(gain))
-                if ok[j]:
-                    rows.append((t.target, names[j], gain[j]))
-        return pd.DataFrame(rows, columns=["target", "feature", "gain"])
-
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             rows = []
@@ -94,8 +113,7 @@ def stepwise_pool(returns: DataFrame, lag: int = 1, enter: float = 0.05, cap: in
             yield pd.DataFrame(rows, columns=["target", "r", "q", "chosen", "p_value"])
 
     for step in range(1, cap + 1):
-        pairs = _dealt(state, predictors, top, "target", blocks).applyInPandas(best, "target string, feature string, gain double")
-        one = pairs.groupBy("target").agg(F.min_by(F.struct("feature", "gain"), F.struct(-F.col("gain"), "feature")).alias("b")).select("target", "b.*")
+        one = _one_best(state, predictors, top, blocks)
         ready = state.join(one, "target").join(predictors.select(F.col("series").alias("feature"), F.col("values").alias("x")), "feature")
         after = ready.select("target", "r", "q", "chosen", "feature", "gain", "x").mapInPandas(
             take, "target string, r array<double>, q array<array<double>>, chosen array<string>, p_value double")
@@ -107,8 +125,8 @@ def stepwise_pool(returns: DataFrame, lag: int = 1, enter: float = 0.05, cap: in
     return found
 
 
-def session_gram(packed: DataFrame) -> np.ndarray:
-    """Sum of x x' over all series; one partial sum per task, sessions x sessions numbers in all."""
+def session_gram(packed: DataFrame) -> DataFrame:
+    """Sum of x x' over all series, stored as one row (i, values) per session; one partial sum per task."""
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = None
         for d in batches:
@@ -116,26 +134,57 @@ def session_gram(packed: DataFrame) -> np.ndarray:
                 x = _stack(d["values"])
                 total = x.T @ x if total is None else total + x.T @ x
         if total is not None:
-            n = len(total)
-            yield pd.DataFrame({"i": np.repeat(np.arange(n), n), "j": np.tile(np.arange(n), n), "v": total.ravel()})
-    rows = packed.select("values").mapInPandas(part, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).toPandas()
-    n = int(rows["i"].max()) + 1 if len(rows) else 0
-    out = np.zeros((n, n))
-    out[rows["i"], rows["j"]] = rows["v"]
-    return out
-
-
-def _evidence(s: np.ndarray, uy: np.ndarray, yy: float, n: int, steps: int = 300) -> float:
-    """Penalty that maximises the evidence, from the spectrum."""
-    lam = 1.0
+            yield pd.DataFrame({"i": np.arange(len(total)), "values": list(total)})
+
+    def added(d: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"i": d["i"].iloc[:1], "values": [_stack(d["values"]).sum(axis=0)]})
+
+    kind = "i int, values array<double>"
+    return pin(packed.select("values").mapInPandas(part, kind).groupBy("i").applyInPandas(added, kind))
+
+
+def spectrum(gram: DataFrame, cut: int) -> DataFrame:
+    """The Gram rows with the eigenvectors and eigenvalues of its first ``cut`` sessions: one decomposition for all targets.
+
+    One task holds the sessions-by-sessions matrix (8 bytes times the square of the calendar's length).
+    """
+    def solve(d: pd.DataFrame) -> pd.DataFrame:
+        d = d.sort_values("i", ignore_index=True)
+        k = _stack(d["values"])
+        s, u = np.linalg.eigh(k[:cut, :cut])
+        good = s > 1e-10 * max(s[-1], 1e-300)
+        return pd.DataFrame({"i": d["i"], "k": list(k[:, :cut]), "u": [*u[:, good], *[np.zeros(0)] * (len(k) - cut)], "s": [s[good]] + [np.zeros(0)] * (len(k) - 1)})
+
+    return pin(gram.groupBy().applyInPandas(solve, "i int, k array<double>, u array<double>, s array<double>"))
+
+
+def without_own(s: np.ndarray, y: np.ndarray, o: np.ndarray, lam: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Solutions and traces of (diag(s) - o o' + lam)^-1 for rows of y, o and lam: the shared Gram without a target's own series.
+
+    A correction of rank one (Sherman and Morrison) of the shared spectrum, so no target needs a decomposition of its own.
+    """
+    inv = 1 / (s[None, :] + lam[:, None])
+    oy, oo = (o * inv * y).sum(axis=1), (o * inv * o).sum(axis=1)
+    rest = np.maximum(1 - oo, 1e-12)
+    return inv * (y + (oy / rest)[:, None] * o), inv.sum(axis=1) + (o * inv * inv * o).sum(axis=1) / rest
+
+
+def evidence(s: np.ndarray, y: np.ndarray, o: np.ndarray, yy: np.ndarray, n: int, steps: int = 300) -> np.ndarray:
+    """Penalty of each row that maximises the evidence (fixed point)."""
+    lam, live = np.ones(len(y)), np.arange(len(y))
+    beyond = np.maximum(yy - (y**2).sum(axis=1), 0.0)
     for _ in range(steps):
-        gamma = (s / (s + lam)).sum()
-        norm = (s * uy**2 / (s + lam) ** 2).sum()
-        rss = ((lam / (s + lam)) ** 2 * uy**2).sum() + max(yy - (uy**2).sum(), 0.0)
-        new = gamma / max(norm, 1e-300) * rss / max(n - gamma, 1e-9)
-        if abs(new - lam) <= 1e-9 * lam:
+        if not len(live):
             break
-        lam = min(max(new, 1e-9), 1e12)
+        now = lam[live]
+        a, trace = without_own(s, y[live], o[live], now)
+        gamma = np.maximum(len(s) - now * trace, 0.0)
+        norm = (a * a * s).sum(axis=1) - (a * o[live]).sum(axis=1) ** 2
+        rss = now**2 * (a * a).sum(axis=1) + beyond[live]
+        new = gamma / np.maximum(norm, 1e-300) * rss / np.maximum(n - gamma, 1e-9)
+        settled = np.abs(new - now) <= 1e-9 * now
+        lam[live] = np.where(settled, now, np.clip(new, 1e-9, 1e12))
+        live = live[~settled]
     return lam
 
 
@@ -143,11 +192,12 @@ def ridge_pool(returns: DataFrame, lag: int = 1, penalty: float = 1.0, train_sha
     """Ridge and Bayesian ridge of each target on all other tickers: target, model, n, train_r2, test_r2, features.
 
     Predictors are standardised on the first ``train_share`` of the sessions. The
-    fit is made in session space: with more predictors than sessions it needs
-    only their session-by-session Gram matrix, from which a target's own series
-    is taken out. ``features`` are the ``top`` strongest coefficients.
+    fit is made in session space: it needs only the session-by-session Gram
+    matrix of all predictors, decomposed once; a target's own series is taken out
+    by a correction of rank one. ``features`` are the ``top`` strongest
+    coefficients. A share without spread in the target has a null r2.
     """
-    a, b = complete_lagged(returns, lag)
+    a, b = dense_lagged(returns, lag)
     targets, predictors = pack(a), pack(b)
     n = predictors.agg(F.max(F.size("values"))).first()[0] or 0
     cut = int(n * train_share)
@@ -156,33 +206,35 @@ def ridge_pool(returns: DataFrame, lag: int = 1, penalty: float = 1.0, train_sha
     std = F.sqrt(F.aggregate(train, F.lit(0.0), lambda s, x: s + (x - F.col("_m")) * (x - F.col("_m"))) / cut)
     scaled = predictors.withColumn("_m", mean).withColumn("_s", std).select("series", F.transform("values", lambda v: (v - F.col("_m")) / (F.col("_s") + 1e-8)).alias("values"))
     scaled = pin(scaled)
-    gram = session_gram(scaled)
-    empty = "target string, model string, n long, train_r2 double, test_r2 double, alpha array<double>"
     if cut < 3 or n - cut < 2:
         return targets.select(F.col("series").alias("target")).limit(0).selectExpr("target", "'' AS model", "0L AS n", "0D AS train_r2", "0D AS test_r2", "'' AS features")
-
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            rows = []
-            for t in d.itertuples():
-                y, own = np.asarray(t.y, float), np.asarray(t.x, float)
-                k = gram - np.outer(own, own)
-                s, u = np.linalg.eigh(k[:cut, :cut])
-                good = s > 1e-10 * max(s[-1], 1e-300)
-                s, u = s[good], u[:, good]
-                middle = y[:cut].mean()
-                uy = u.T @ (y[:cut] - middle)
-                for model in ("ridge", "bayes"):
-                    lam = penalty if model == "ridge" else _evidence(s, uy, float(((y[:cut] - middle) ** 2).sum()), cut)
-                    alpha = u @ (uy / (s + lam))
-                    p = k[:, :cut] @ alpha + middle
-                    r2 = [1 - ((y[w] - p[w]) ** 2).sum() / ((y[w] - y[w].mean()) ** 2).sum() for w in (slice(0, cut), slice(cut, n))]
-                    rows.append((t.target, model, n, float(r2[0]), float(r2[1]), alpha.tolist()))
-            yield pd.DataFrame(rows, columns=["target", "model", "n", "train_r2", "test_r2", "alpha"])
-
+    shared = spectrum(session_gram(scaled), cut)
     sides = targets.select(F.col("series").alias("target"), F.col("values").alias("y")).join(
         scaled.select(F.col("series").alias("target"), F.col("values").alias("x")), "target")
-    fits = pin(sides.mapInPandas(fit, empty))
+    parts = max(1, -(-targets.count() // BLOCK_SERIES))
+    dealt = sides.withColumn("part", F.pmod(F.xxhash64("target"), F.lit(parts)).cast("int"))
+    given = shared.withColumn("at", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+
+    def fit(d: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        if len(d) and len(g):
+            g = g.sort_values("i", ignore_index=True)
+            k, u, s = _stack(g["k"]), _stack(g["u"][:cut]), np.asarray(g["s"][0], float)
+            y, own = _stack(d["y"]), _stack(d["x"])
+            middle = y[:, :cut].mean(axis=1, keepdims=True)
+            uy, uo, yy = (y[:, :cut] - middle) @ u, own[:, :cut] @ u, ((y[:, :cut] - middle) ** 2).sum(axis=1)
+            for model in ("ridge", "bayes"):
+                lam = np.full(len(y), float(penalty)) if model == "ridge" else evidence(s, uy, uo, yy, cut)
+                a, _ = without_own(s, uy, uo, lam)
+                alpha = a @ u.T
+                p = alpha @ k.T - own * (a * uo).sum(axis=1, keepdims=True) + middle
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    r2 = [1 - ((y[:, w] - p[:, w]) ** 2).sum(axis=1) / ((y[:, w] - y[:, w].mean(axis=1, keepdims=True)) ** 2).sum(axis=1) for w in (slice(0, cut), slice(cut, n))]
+                rows += [(t, model, n, *(float(v) if np.isfinite(v) else None for v in (b, c)), w) for t, b, c, w in zip(d["target"], *r2, alpha)]
+        return pd.DataFrame(rows, columns=["target", "model", "n", "train_r2", "test_r2", "alpha"])
+
+    fits = pin(dealt.groupBy("part").cogroup(given.groupBy("at")).applyInPandas(
+        fit, "target string, model string, n long, train_r2 double, test_r2 double, alpha array<double>"))
 
     def strongest(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows = []

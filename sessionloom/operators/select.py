@@ -65,6 +65,22 @@ def complete_lagged(df: DataFrame, lag: int = 1) -> tuple[DataFrame, DataFrame]:
             d.select(F.col("ticker").alias("series"), "date", F.col("_l").alias("value")))
 
 
+def dense_lagged(df: DataFrame, lag: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Targets and lagged predictors of returns, both (series, date, value), on every session but the first ``lag``.
+
+    A session on which a ticker has no return counts as a return of zero (no
+    trade, no change of price), so one missing bar takes no session from the
+    others, however many tickers there are. Lags count sessions of the calendar.
+    """
+    d = df.filter("value is not null").select("ticker", "date", "value")
+    sessions = d.agg(F.sort_array(F.collect_set("date"))).scalar()  # bounded by the calendar
+    grid = d.select("ticker").distinct().select("ticker", F.posexplode(sessions).alias("_i", "date"))
+    full = grid.join(d, ["ticker", "date"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    both = full.withColumn("_l", F.lag("value", lag).over(by())).filter(F.col("_i") >= lag)
+    return (both.select(F.col("ticker").alias("series"), "date", "value"),
+            both.select(F.col("ticker").alias("series"), "date", F.col("_l").alias("value")))
+
+
 def lagged_r2(df: DataFrame, lag: int = 1, *, top: int | None = 20, mode: str = "returns", blocks: int | None = None) -> DataFrame:
     """R-squared of each target with its ``top`` strongest predictors (None: with every one, a table of all pairs).
 

@@ -15,7 +15,7 @@ from ..operators.report import fold_summary
 from ..operators.windows import top_k
 from ..session import pin
 from .registry import query
-from .selection import FEATURES
+from .selection import FEATURES, returns
 from .sqltext import sql
 from .windows import W
 
@@ -107,9 +107,9 @@ def _(c):
     return m.ar_residuals(c.pred).select("ticker", "date", "residual", "residual_lag1")
 
 
-@query("m14_ridge_per_target", stage="weekly")
+@query("m14_ridge_per_target")
 def _(c):
-    return pool.ridge_pool(_weekly_returns(c))
+    return pool.ridge_pool(returns(c))
 
 
 _OLS = """, z AS (SELECT ticker, date, ret AS y, lag(ret) OVER (PARTITION BY ticker ORDER BY date) AS x FROM pred)
@@ -121,9 +121,21 @@ def _(c):
     return m.ridge_pooled(m.own_lags(c.pred, n=1), ["lag1"], "ret", 0.0)
 
 
-@query("m15_forward_stepwise", stage="weekly")
+@query("m15_forward_stepwise")
 def _(c):
-    return pool.stepwise_pool(_weekly_returns(c))
+    return pool.stepwise_pool(returns(c))
+
+
+_DENSE = f""", days AS (SELECT DISTINCT date FROM pred WHERE ret IS NOT NULL), who AS (SELECT DISTINCT ticker FROM pred WHERE ret IS NOT NULL),
+grid AS (SELECT who.ticker, days.date, coalesce(p.ret, 0) AS y FROM who CROSS JOIN days LEFT JOIN pred p ON p.ticker = who.ticker AND p.date = days.date),
+full_lag AS (SELECT *, lag(y) OVER ({W}) AS x FROM grid QUALIFY x IS NOT NULL)
+"""
+
+
+@query("m15_first_step", sql("pred", _DENSE + """, r AS (SELECT a.ticker AS target, b.ticker AS feature, corr(a.y, b.x) AS c FROM full_lag a JOIN full_lag b ON a.date = b.date AND a.ticker <> b.ticker GROUP BY 1, 2)
+SELECT target, feature, round(c * c, 6) AS r2 FROM r WHERE c IS NOT NULL AND NOT isnan(c) QUALIFY row_number() OVER (PARTITION BY target ORDER BY abs(c) DESC, feature) = 1"""))
+def _(c):
+    return pool.first_step(returns(c))
 
 
 def _triplet_rows(c):

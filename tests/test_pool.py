@@ -56,6 +56,53 @@ def test_ridge_in_session_space_equals_the_plain_form(panel, blocks):
         assert r["features"].split(",") == [f"T{names[k]}" for k in np.argsort(-np.abs(w[1:]))[:3]]
 
 
+def evidence_of_one(s, uy, yy, n, steps=300):
+    """Fixed point of one target from the spectrum of its own Gram matrix."""
+    lam = 1.0
+    for _ in range(steps):
+        gamma, norm = (s / (s + lam)).sum(), (s * uy**2 / (s + lam) ** 2).sum()
+        rss = ((lam / (s + lam)) ** 2 * uy**2).sum() + max(yy - (uy**2).sum(), 0.0)
+        new = gamma / norm * rss / (n - gamma)
+        if abs(new - lam) <= 1e-9 * lam:
+            break
+        lam = min(max(new, 1e-9), 1e12)
+    return lam
+
+
+def test_shared_spectrum_equals_one_decomposition_per_target():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(12, 30))  # series by sessions
+    y = x[3] * 2 + rng.normal(size=30)
+    k = x.T @ x
+    s, u = np.linalg.eigh(k)
+    good = s > 1e-10 * s[-1]
+    for j in range(12):
+        o = x[j]
+        own_s, own_u = np.linalg.eigh(k - np.outer(o, o))
+        keep = own_s > 1e-10 * own_s[-1]
+        uy = own_u[:, keep].T @ y
+        lam = evidence_of_one(own_s[keep], uy, y @ y, 30)
+        got = pool.evidence(s[good], (y @ u[:, good])[None], (o @ u[:, good])[None], np.array([y @ y]), 30)
+        assert got[0] == pytest.approx(lam, rel=1e-6)
+        a, trace = pool.without_own(s[good], (y @ u[:, good])[None], (o @ u[:, good])[None], got)
+        fit = (k - np.outer(o, o)) @ (u[:, good] @ a[0])
+        assert fit == pytest.approx(own_u[:, keep] @ (own_s[keep] * uy / (own_s[keep] + lam)), abs=1e-6)
+
+
+def test_missing_returns_count_as_zero_and_cost_no_session(spark, panel):
+    df, x = panel
+    holes = df.filter("NOT (ticker = 'T1' AND day(date) % 5 = 0)")
+    z = x.copy()
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=i) for i in range(80)]
+    z[[i for i, d in enumerate(days) if d.day % 5 == 0], 1] = 0.0
+    got = {r["target"]: (r["feature"], r["r2"]) for r in pool.first_step(holes, blocks=2).collect()}
+    assert {r["n"] for r in pool.ridge_pool(holes).collect()} == {79}
+    for j in range(7):
+        names, a, y = others(z, j)
+        r2 = [np.corrcoef(a[:, i], y)[0, 1] ** 2 for i in range(6)]
+        assert got[f"T{j}"] == (f"T{names[int(np.argmax(r2))]}", pytest.approx(max(r2)))
+
+
 def test_more_predictors_than_sessions_and_no_rows(spark):
     rng = np.random.default_rng(3)
     rows = [(f"T{j}", dt.date(2024, 1, 1) + dt.timedelta(days=i), float(v)) for j in range(40) for i, v in enumerate(rng.normal(size=25))]
