@@ -127,6 +127,29 @@ def lag_chain(edges: DataFrame, depth: int = 5) -> DataFrame:
     return out
 
 
+def chain_steps(edges: DataFrame, depth: int = 5) -> DataFrame:
+    """(ticker, depth, leader, repeats) by a recursive query: every step of the chains of :func:`lag_chain`.
+
+    A step that comes back to a ticker the chain has met already is its last one
+    and has ``repeats`` true, so a cycle ends by itself at any ``depth``. Rows are
+    stored: at most ``depth`` a ticker.
+    """
+    spark, name = edges.sparkSession, "spark.sql.cteRecursionRowLimit"
+    e = pin(edges.select("target", "predictor"))  # one row per ticker
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # rows are bounded by the depth
+    try:
+        return pin(spark.sql("""
+            WITH RECURSIVE steps(ticker, depth, leader, path, repeats) AS (
+              SELECT target, 1, predictor, array(target, predictor), target = predictor FROM {e}
+              UNION ALL
+              SELECT s.ticker, s.depth + 1, n.predictor, array_append(s.path, n.predictor), array_contains(s.path, n.predictor)
+              FROM steps s JOIN {e} n ON n.target = s.leader WHERE s.depth < {depth} AND NOT s.repeats)
+            SELECT ticker, depth, leader, repeats FROM steps""", e=e, depth=depth))
+    finally:
+        spark.conf.set(name, before)
+
+
 def chain_long(chain: DataFrame, depth: int) -> DataFrame:
     """(ticker, depth, leader) rows of a chain table."""
     return chain.select("ticker", F.inline(F.array(*[

@@ -86,6 +86,15 @@ def _(c):
     return s.lag_chain(s.best_lag1(returns(c)), 5)
 
 
+STEPS = ", st AS (" + " UNION ALL ".join(f"SELECT ticker, {d} AS depth, lag{d} AS leader, [" + ", ".join(["ticker", *[f"lag{i}" for i in range(1, d)]]) + f"] AS met FROM ch WHERE lag{d} IS NOT NULL" for d in range(1, 6)) + ")"
+
+
+@query("m6_chain_steps", sql("pred", EDGES + STEPS + """, f AS (SELECT *, list_contains(met, leader) AS repeats, min(depth) FILTER (list_contains(met, leader)) OVER (PARTITION BY ticker) AS ends FROM st)
+SELECT ticker, depth, leader, repeats FROM f WHERE ends IS NULL OR depth <= ends"""))
+def _(c):
+    return s.chain_steps(s.best_lag1(returns(c)), 5)
+
+
 LEADERS = EDGES + ", " + ", ".join(f"s{d} AS (SELECT ticker, date, lag(ret, {d}) OVER ({W}) AS x FROM pred)" for d in (1, 2, 3)) + " "
 
 

@@ -322,3 +322,13 @@ def test_fold_rows_never_train_on_the_future(spark):
     got = joins.fold_rows(d, 5).toPandas()
     for _, g in got.groupby("fold"):
         assert g[~g.is_test].date.max() < g[g.is_test].date.min() and g.is_test.sum() == 10
+
+
+def test_chains_end_at_a_cycle(spark):
+    from sessionloom.operators import select
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "d"), ("e", "a"), ("f", "x")], "target string, predictor string")
+    got = sorted(tuple(r) for r in select.chain_steps(edges, 40).collect())
+    assert [r for r in got if r[0] == "a"] == [("a", 1, "b", False), ("a", 2, "c", False), ("a", 3, "a", True)]
+    assert [r for r in got if r[0] in "df"] == [("d", 1, "d", True), ("f", 1, "x", False)]
+    assert [r[1:] for r in got if r[0] == "e"] == [(1, "a", False), (2, "b", False), (3, "c", False), (4, "a", True)]
+    assert max(r[1] for r in select.chain_steps(edges, 2).collect()) == 2
