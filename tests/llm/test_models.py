@@ -141,6 +141,39 @@ def test_nearest_edge_rows(spark):
     assert ann.nearest(df.limit(0), df.limit(0)).count() == 0 and ann.nearest(df, df.limit(0)).count() == 0
 
 
+def test_nearest_takes_its_length_from_the_vectors(spark):
+    long, short = [(i, [1.0, float(i), 2.0]) for i in range(20)], [(100 + i, [1.0, float(i)]) for i in range(9)]
+    df = spark.createDataFrame(long + short, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(df, df.filter("vec_id >= 100 OR vec_id = 3"), k=3, surety=1 - 1e-12, shard_rows=4).collect()]
+    assert sorted(got) == sorted(brute_nearest(long, [long[3]], 3))
+    assert ann.nearest(df, df.filter("vec_id >= 100"), k=3).count() == 0
+
+
+def test_a_query_visits_only_cells_that_it_cannot_rule_out(spark):
+    rnd = np.random.default_rng(5)
+    centres = rnd.normal(size=(40, 16)) * 8
+    unit = np.stack([centres[i % 40] + rnd.normal(size=16) for i in range(4000)])
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    rows = [(i, v.tolist()) for i, v in enumerate(unit)]
+    points = ann.projected(unit, ann.projection(16, 8, 11), 1.0)
+    axis, value = ann.fit_splits(points[rnd.permutation(4000)[:1024]], 5)
+    cell = ann.cell_of(points, axis, value)
+    assert set(cell) <= set(range(32)) and np.bincount(cell).max() < 4000 / 8
+    low, high = (np.stack([f(points[cell == c], axis=0) for c in np.unique(cell)]) for f in (np.min, np.max))
+    gaps = ann.box_gaps(points, low, high)
+    assert (gaps[np.arange(4000), np.searchsorted(np.unique(cell), cell)] == 0).all()
+    asked = np.array([v for i, v in rows if i % 20 == 0])
+    kth = np.sort(asked @ np.array([v for _, v in rows]).T, axis=1)[:, -21]
+    far2 = (asked**2).sum(axis=1) + 1.0 - 2 * kth
+    gaps = ann.box_gaps(ann.projected(asked, ann.projection(16, 8, 11), None), low, high)
+    assert (gaps < ann.chi2_limit(0.97, 8) * far2[:, None]).mean() < 0.8
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in ann.nearest(df, df.filter("vec_id % 20 = 0"), shard_rows=100, block_rows=16).collect()]
+    want = brute_nearest(rows, [r for r in rows if r[0] % 20 == 0], 20)
+    found = {(q, i) for q, _, i, _ in got}
+    assert len(got) == len(want) and sum((q, i) in found for q, _, i, _ in want) / len(want) >= 0.9
+
+
 def test_chi_square_and_leaves():
     x = np.random.default_rng(0).chisquare(8, 200_000)
     for p in (0.1, 0.5, 0.97):
