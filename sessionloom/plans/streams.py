@@ -134,6 +134,18 @@ def _(c):
     return c.spark.read.option("basePath", f"{base}/data").parquet(f"{base}/data").select("seq", "ticker", "gauge")
 
 
+@query("r9_live_gauge", """WITH g AS (SELECT ts, arg_max(value, event_id) AS value FROM events WHERE event_type = 'error' GROUP BY 1),
+w AS (SELECT date_trunc('hour', least(max(ts) FILTER (event_type = 'error'), max(ts) FILTER (event_type <> 'error')) - INTERVAL 70 MINUTE) AS settled FROM events)
+SELECT e.event_id AS seq, e.event_type AS ticker, e.value AS price, CASE WHEN e.ts - g.ts <= INTERVAL 1 HOUR THEN g.value END AS gauge
+FROM (SELECT * FROM events, w WHERE event_type <> 'error' AND ts < settled) e ASOF LEFT JOIN g ON e.ts >= g.ts""")
+def _(c):
+    gauge = _ticks(c).filter("ticker = 'error'").select(F.col("ts").alias("gauge_ts"), F.col("seq").alias("gauge_seq"), F.col("price").alias("gauge"))
+    d = sinks.materialise(gates.live_gauge(_ticks(c).filter("ticker <> 'error'"), gauge), "live_gauge", mode="append")
+    newest = [F.max(F.when(F.col("event_type") == "error" if own else F.col("event_type") != "error", F.col("ts").cast("timestamp"))) for own in (True, False)]
+    settled = c.table("events").agg(F.date_trunc("hour", F.least(*newest) - F.expr("INTERVAL 70 MINUTES"))).scalar()  # hours that both streams have closed
+    return d.filter(F.col("ts") < settled).select("seq", "ticker", "price", "gauge")
+
+
 @query("r10_late_rows", """WITH m AS (SELECT max(ts) FILTER (ts >= TIMESTAMP '2024-01-15') AS hi FROM events)
 SELECT CASE WHEN ts < TIMESTAMP '2024-01-15' AND ts < hi - INTERVAL 1 DAY THEN 'late' ELSE 'on_time' END AS arrival, count(*) AS n, round(sum(value), 2) AS total FROM events, m GROUP BY 1""")
 def _(c):

@@ -1,4 +1,4 @@
-"""Stream-static joins that put gates on live ticks."""
+"""Joins that put gates and gauges on live ticks."""
 
 from __future__ import annotations
 
@@ -36,3 +36,28 @@ def with_latest_gauge(batch: DataFrame, gauge: DataFrame, value: str = "gauge")
     near = gauge.filter(F.col("gauge_ts") <= F.lit(last)) if start is None else gauge.filter(F.col("gauge_ts").between(F.lit(start), F.lit(last)))
     b, g = batch.withColumn("_all", F.lit(1)), near.withColumn("_all", F.lit(1))
     return as_of(b, g, value, keys="_all", left_time="ts", right_time="gauge_ts").drop("_all")
+
+
+def live_gauge(ticks: DataFrame, gauge: DataFrame, max_age: int = 3600, watermark: str = "10 minutes", spread: int = 8) -> DataFrame:
+    """(ts, seq, ticker, price, gauge): each tick with the newest gauge value not older than ``max_age`` seconds, null without one.
+
+    ``gauge`` is a stream of its own (gauge_ts, gauge_seq, gauge); of equal
+    instants the greatest gauge_seq counts. A gauge that comes after its ticks,
+    but within the watermark, is still used. The outer join meets a tick with the
+    gauges of its age span only, a second aggregate keeps the newest of them, and
+    both states are cleaned by the watermark. All tickers share the gauge, so its
+    few rows are sent to ``spread`` parts of each span of ``max_age`` and ticks to
+    one of them. Append mode; ticks with one (ts, seq, ticker, price) count once,
+    and a tick is emitted when the watermark has passed it by ``max_age``.
+    """
+    def span(x: str):
+        return F.floor(F.unix_seconds(F.col(x)) / F.lit(max_age))
+
+    left = ticks.select("ts", "seq", "ticker", "price").withWatermark("ts", watermark)
+    left = left.withColumn("_span", span("ts")).withColumn("_part", F.pmod(F.xxhash64("seq"), F.lit(spread)).cast("int"))
+    right = gauge.select("gauge_ts", "gauge_seq", "gauge").withWatermark("gauge_ts", watermark)
+    right = right.withColumn("_gspan", F.explode(F.array(span("gauge_ts"), span("gauge_ts") + 1))).withColumn(
+        "_gpart", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    near = (F.col("gauge_ts") <= F.col("ts")) & (F.col("ts") <= F.col("gauge_ts") + F.expr(f"INTERVAL {max_age} SECONDS"))
+    j = left.join(right, (F.col("_span") == F.col("_gspan")) & (F.col("_part") == F.col("_gpart")) & near, "left_outer")
+    return j.groupBy("ts", "seq", "ticker", "price").agg(F.max_by("gauge", F.struct("gauge_ts", "gauge_seq")).alias("gauge"))

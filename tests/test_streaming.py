@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from sessionloom import schemas
 from sessionloom.session import scratch_path
-from sessionloom.streaming import bars, sinks, source, state, timers
+from sessionloom.streaming import bars, gates, sinks, source, state, timers
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -161,3 +161,18 @@ def test_timers_survive_a_restart(spark):
     timers.with_rocks(spark, both)
     got = spark.read.option("recursiveFileLookup", True).parquet(f"{base}/out")
     assert sorted((r["ticker"], r["fill_price"], r["outcome"]) for r in got.collect()) == [("a", 12.0, "FILLED"), ("b", None, "ABORTED"), ("c", None, "ABORTED")]
+
+
+def test_a_late_gauge_still_reaches_its_ticks(spark):
+    # files by rows: ticks of 10:00 to 10:20, then gauges that are older than those ticks, then the far end of both streams
+    t = [(600 + i, 0, "ab"[i % 2], float(i)) for i in range(20)]
+    g = [(590, 1, "g", 70.0), (605, 1, "g", 71.0), (605, 1, "g", 72.0), (400, 1, "g", 1.0)]
+    end = [(700, 0, "a", 99.0), (1500, 0, "a", 0.0), (1500, 1, "g", 0.0), (2900, 0, "a", 0.0), (2900, 1, "g", 0.0)]
+    base, _ = feed(spark, t + g + end, 3)
+    ticks = stream(spark, base).filter("ticker <> 'g'")
+    gauge = stream(spark, base).filter("ticker = 'g'").select(F.col("ts").alias("gauge_ts"), F.col("seq").alias("gauge_seq"), F.col("price").alias("gauge"))
+    got = sinks.materialise(gates.live_gauge(ticks, gauge, watermark="30 minutes"), "gauge", mode="append")
+    assert got.select("seq").distinct().count() == got.count()
+    by = {r["seq"]: r["gauge"] for r in got.collect()}
+    want = {i: 70.0 if i < 5 else 72.0 for i in range(20)} | {24: None, 25: 0.0}
+    assert {k: by.get(k, "missing") for k in want} == want
