@@ -154,19 +154,68 @@ def restrict(cands: DataFrame, held: DataFrame, barred: DataFrame, keys=("person
 
 
 def allocate(cands: DataFrame, keys=("persona", "date"), order=("neg_p", "ticker"), raw="raw", price="price",
-             cash="cash") -> DataFrame:
+             cash="cash", fold_rows: int = 2048) -> DataFrame:
     """Whole-unit purchases in order, each limited by the cash still left.
 
-    Needs one ``cash`` value per key. Instead of folding a whole group in one
-    task, every round takes the longest prefix the cash covers (a distributed
-    running sum), settles the first row it does not cover with what is left, and
-    repeats with the rows that can still buy a unit. The rounds go on until no
-    such row exists, so the result equals the sequential fold. Runs jobs.
+    Needs one ``cash`` value per key. Groups of up to ``fold_rows`` rows that can
+    buy at all are folded natively over one sorted array; larger ones are solved
+    in rounds of distributed running sums (:func:`allocate_rounds`). Both give the
+    sequential result. Runs jobs.
+    """
+    k, o = cols(keys), cols(order)
+    todo = pin(_affordable(cands, raw, price, cash))
+    many = todo.groupBy(*k).count().filter(F.col("count") > fold_rows).select(*k)
+    if many.isEmpty():
+        return _bought(fold_cash(todo, k, o, raw, price, cash), k, o, price)
+    few = _bought(fold_cash(todo.join(many, k, "left_anti"), k, o, raw, price, cash), k, o, price)
+    return few.unionByName(allocate_rounds(todo.join(many, k, "left_semi"), k, o, raw, price, cash))
+
+
+def _affordable(cands: DataFrame, raw: str, price: str, cash: str) -> DataFrame:
+    return cands.filter((F.col(price) > 0) & (F.col(raw) >= F.col(price)) & (F.col(cash) >= F.col(price)))
+
+
+def ordered_fold(rows: DataFrame, keys, order, fields: dict[str, Column], start: Column, step) -> DataFrame:
+    """(keys, rows, acc): ``step(acc, row)`` folded over each group's rows in order, from ``start`` (an aggregate or a literal).
+
+    A group is one sorted array of (order, fields): only for groups whose size is
+    bounded by what they stand for or by a check of the caller. Nulls come first.
+    """
+    k = cols(keys)
+    entry = F.struct(*cols(order), *[c.cast("double").alias(n) for n, c in fields.items()])
+    g = rows.groupBy(*k).agg(F.sort_array(F.collect_list(entry)).alias("rows"), start.alias("_start"))
+    return g.select(*k, "rows", F.aggregate("rows", F.col("_start"), step).alias("acc"))
+
+
+def fold_cash(todo: DataFrame, keys, order, raw="raw", price="price", cash="cash") -> DataFrame:
+    """(keys, rows, acc): acc.paid is what each row of ``rows`` costs in whole units, acc.left the cash that remains."""
+    start = F.struct(F.max(F.col(cash).cast("double")).alias("left"), F.array().cast("array<double>").alias("paid"))
+
+    def step(acc: Column, row: Column) -> Column:
+        pay = F.coalesce(F.floor(F.least(row["_raw"], acc["left"]) / row["_price"]) * row["_price"], F.lit(0.0))
+        return F.struct((acc["left"] - pay).alias("left"), F.array_append(acc["paid"], pay).alias("paid"))
+
+    return ordered_fold(todo, keys, order, {"_raw": F.col(raw), "_price": F.col(price)}, start, step)
+
+
+def _bought(folded: DataFrame, k: list[str], o: list[str], price: str) -> DataFrame:
+    each = folded.select(*k, F.explode(F.arrays_zip("rows", F.col("acc.paid").alias("paid"))).alias("z")).filter("z.paid > 0")
+    out = each.select(*k, *[F.col("z.rows")[c].alias(c) for c in o if c not in k], F.col("z.rows._price").alias(price), F.col("z.paid").alias("dollars"))
+    return out.withColumn("units", F.round(F.col("dollars") / F.col(price)))
+
+
+def allocate_rounds(cands: DataFrame, keys=("persona", "date"), order=("neg_p", "ticker"), raw="raw", price="price",
+                    cash="cash") -> DataFrame:
+    """:func:`allocate` for groups of any size.
+
+    Instead of folding a whole group in one task, every round takes the longest
+    prefix the cash covers (a distributed running sum), settles the first row it
+    does not cover with what is left, and repeats with the rows that can still buy
+    a unit. The rounds go on until no such row exists. Runs jobs.
     """
     k, o = cols(keys), cols(order)
     unit = F.floor(F.col(raw) / F.col(price)) * F.col(price)
-    todo = cands.filter((F.col(price) > 0) & (F.col(raw) >= F.col(price)) & (F.col(cash) >= F.col(price))).withColumn("_want", unit)
-    todo = pin(todo)
+    todo = pin(_affordable(cands, raw, price, cash).withColumn("_want", unit))
     done = []
     while True:
         run = ranged_running(todo, k, [F.col(c) for c in o], {"_cum": F.col("_want")}, stored=True)

@@ -142,6 +142,16 @@ def _(c):
     return d.select("persona", "date", "ticker", F.round("dollars", 4).alias("dollars"), "units")
 
 
+@query("x4_ordered_fold", sql("pred macro ledger", ALLOC + """, f AS (SELECT persona, date, CAST(0 AS BIGINT) AS rn, max(equity) AS cash, CAST(0 AS BIGINT) AS bought FROM cd GROUP BY 1, 2
+UNION ALL SELECT f.persona, f.date, c.rn, f.cash - floor(least(c.raw, f.cash) / c.price) * c.price, f.bought + CASE WHEN floor(least(c.raw, f.cash) / c.price) > 0 THEN 1 ELSE 0 END
+  FROM f JOIN cd c ON c.persona = f.persona AND c.date = f.date AND c.rn = f.rn + 1)
+SELECT persona, date, round(arg_max(cash, rn), 4) AS cash_left, max(bought) AS bought FROM f GROUP BY 1, 2""").replace("WITH", "WITH RECURSIVE", 1))
+def _(c):
+    """What the cash walk of each persona and session leaves; one row per ticker and session bounds a group."""
+    folded = sizing.fold_cash(_cands(c), ["persona", "date"], ["neg_p", "ticker"])
+    return folded.select("persona", "date", F.round("acc.left", 4).alias("cash_left"), F.size(F.filter("acc.paid", lambda x: x > 0)).cast("long").alias("bought"))
+
+
 _BARRED = """, hd AS (SELECT date, ticker, close * 10 AS v FROM pred WHERE ret < -0.3), fz AS (SELECT date, sum(v) AS f FROM hd GROUP BY 1),
 br AS (SELECT ticker, date FROM (SELECT *, count(*) FILTER (ret < 0) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS k FROM pred) WHERE k >= 4),
 cf AS (SELECT persona, date, ticker, price, pct, greatest(0, equity - coalesce(f, 0)) AS equity, row_number() OVER (PARTITION BY persona, date ORDER BY rn) AS rn FROM cd LEFT JOIN fz USING (date)

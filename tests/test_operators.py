@@ -80,8 +80,9 @@ def test_allocation_equals_sequential_fold(spark, seed):
             data.append((f"p{p}", -prob, t, price, raw, cash))
         want.update({(f"p{p}", t): u for t, u in fold([(t, price, raw) for _, t, price, raw in rows], cash).items()})
     d = spark.createDataFrame(data, "persona string, neg_p double, ticker string, price double, raw double, cash double")
-    got = {(r["persona"], r["ticker"]): int(r["units"]) for r in sizing.allocate(d, keys=["persona"]).collect()}
-    assert got == want
+    for fold_rows in (0, 5, 2048):  # rounds only, both ways by group size, folds only
+        got = {(r["persona"], r["ticker"]): int(r["units"]) for r in sizing.allocate(d, keys=["persona"], fold_rows=fold_rows).collect()}
+        assert got == want
 
 
 def test_as_of_against_merge_asof(spark):
