@@ -206,23 +206,44 @@ def members(f, size: int) -> list[Member]:
     return found
 
 
+def located(f, size: int, path: str = "") -> list[tuple[int, int]]:
+    """(offset, length) in the package of every record that its indexes list, by offset.
+
+    Indexes are the stored members ``indexes/*.cdxj`` and ``*.cdx``, plain or with
+    ``.gz``; each line names its archive member, with or without ``archive/``.
+    """
+    stored = {m.name: m for m in members(f, size)}
+    spots = []
+    for name, index in stored.items():
+        if not name.startswith("indexes/") or not name.removesuffix(".gz").endswith((".cdxj", ".cdx")):
+            continue
+        if index.method:
+            raise ValueError(f"{path}: {name} has to be stored")
+        body = _read(f, index.offset, index.size)
+        body = gzip.decompress(body) if name.endswith(".gz") else body
+        for line in body.split(b"\n"):
+            if not line.strip() or line.startswith(b"!"):  # header lines
+                continue
+            r = json.loads(line.split(b" ", 2)[2])
+            data = stored.get(r["filename"]) or stored.get(f"archive/{r['filename']}")
+            if data is None or data.method:
+                raise ValueError(f"{path}: {name} names {r['filename']}, which is no stored member")
+            spots.append((data.offset + int(r["offset"]), int(r["length"])))
+    return sorted(set(spots))
+
+
 def places(manifest: DataFrame) -> DataFrame:
-    """(path, offset, length) of every record in the packages of ``manifest`` (column path), from their indexes."""
+    """(path, offset, length) of every record in the packages of ``manifest`` (column path), from their indexes. Runs a count."""
     def locate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column("path").to_pylist():
                 fs, name = filesystem(path)
                 with fs.open_input_file(name) as f:
-                    by_name = {m.name: m for m in members(f, f.size())}
-                    data, index = by_name[WARC_MEMBER], by_name[INDEX_MEMBER]
-                    if data.method or index.method:
-                        raise ValueError(f"{path}: members have to be stored")
-                    rows = [json.loads(x.split(b" ", 2)[2]) for x in _read(f, index.offset, index.size).split(b"\n") if x]
-                rows.sort(key=lambda r: r["offset"])
+                    spots = located(f, f.size(), path)
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([path] * len(rows)), pa.array([data.offset + r["offset"] for r in rows], pa.int64()),
-                    pa.array([r["length"] for r in rows], pa.int64())], ["path", "offset", "length"])
-    many = max(1, manifest.count())
+                    pa.array([path] * len(spots), pa.string()), pa.array([o for o, _ in spots], pa.int64()),
+                    pa.array([n for _, n in spots], pa.int64())], ["path", "offset", "length"])
+    many = max(1, min(manifest.count(), 8 * manifest.sparkSession.sparkContext.defaultParallelism))
     return manifest.select("path").repartition(many, "path").mapInArrow(locate, PLACE)
 
 
@@ -241,25 +262,37 @@ def parse_record(data: bytes) -> dict:
             "intact": not whole or (digest == named and len(payload) == told)}
 
 
-def read_records(spots: DataFrame, with_payload: bool = True) -> DataFrame:
-    """A row per place: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits), intact."""
+def read_records(spots: DataFrame, with_payload: bool = True, task_bytes: int = 64 << 20) -> DataFrame:
+    """A row per place: page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload (null for revisits), intact.
+
+    The places are stored first; a task reads about ``task_bytes`` of packages.
+    """
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out, held, size, path, f = [], [], 0, None, None
-            for r in b.to_pylist():
-                if r["path"] != path:
-                    path = r["path"]
-                    fs, name = filesystem(path)
-                    f = fs.open_input_file(name)
-                row = parse_record(_read(f, r["offset"], r["length"]))
-                size += row["payload_bytes"]
-                held.append(row if with_payload else row | {"payload": None})
-                if size > 16 << 20:
-                    yield pa.RecordBatch.from_pylist(held, schema=shape)
-                    held, size = [], 0
+            held, size, path, f = [], 0, None, None
+            try:
+                for r in b.to_pylist():
+                    if r["path"] != path:
+                        if f is not None:
+                            f.close()
+                        path = r["path"]
+                        fs, name = filesystem(path)
+                        f = fs.open_input_file(name)
+                    row = parse_record(_read(f, r["offset"], r["length"]))
+                    size += row["payload_bytes"]
+                    held.append(row if with_payload else row | {"payload": None})
+                    if size > 16 << 20:
+                        yield pa.RecordBatch.from_pylist(held, schema=shape)
+                        held, size = [], 0
+            finally:
+                if f is not None:
+                    f.close()
             yield pa.RecordBatch.from_pylist(held, schema=shape)
     shape = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()),
                        ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("intact", pa.bool_())])
-    # An exchange of its own: no task runs two Python steps, and records spread over all tasks.
-    near = spots.repartition("path").sortWithinPartitions("path", "offset")
+    # An exchange of its own: no task runs two Python steps. Its size follows the packages' bytes, not those of the places.
+    spots = pin(spots)
+    total, packages = spots.agg(F.coalesce(F.sum("length"), F.lit(0)), F.approx_count_distinct("path")).first()
+    least = min(packages, spots.sparkSession.sparkContext.defaultParallelism)
+    near = spots.repartition(max(1, least, -(-total // task_bytes)), "path").sortWithinPartitions("path", "offset")
     return near.mapInArrow(fetch, RECORD)

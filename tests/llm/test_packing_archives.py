@@ -1,5 +1,6 @@
 """Packing, archives and license scans: exact round trips and brute force, with edge cases."""
 
+import gzip
 import hashlib
 import io
 import random
@@ -128,6 +129,24 @@ def test_directory_with_zip64_and_comment():
     assert data[m.offset: m.offset + m.size] == b"12345"
 
 
+def test_lines_find_their_own_member():
+    parts = {"archive/a.warc.gz": b"A" * 30, "archive/b.warc.gz": b"B" * 20}
+    lines = ['k1 20240101 {"filename": "b.warc.gz", "offset": "5", "length": "7"}', 'k2 20240101 {"filename": "archive/a.warc.gz", "offset": 10, "length": 4}']
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+        for name, body in parts.items():
+            z.writestr(name, body)
+        z.writestr("indexes/one.cdxj", lines[0] + "\n")
+        z.writestr("indexes/two.cdx.gz", gzip.compress(lines[1].encode()))
+        z.writestr("indexes/notes.txt", "{not an index")
+    whole = out.getvalue()
+    assert [whole[o: o + n] for o, n in warczip.located(io.BytesIO(whole), len(whole))] == [b"AAAA", b"BBBBBBB"]
+    with zipfile.ZipFile(out, "a", zipfile.ZIP_STORED) as z:
+        z.writestr("indexes/three.cdxj", 'k 1 {"filename": "gone.warc.gz", "offset": 0, "length": 1}')
+    with pytest.raises(ValueError, match="gone"):
+        warczip.located(io.BytesIO(out.getvalue()), len(out.getvalue()))
+
+
 def test_zip64_end_record():
     body = warczip.package([("k", b"abc")])
     k = body.rfind(warczip.EOCD)
