@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, quality as q
+from ..operators import cleaning, observed, quality as q
 from ..operators import sizing, windows
 from .cleaning import SCORES, scores
+from ..session import scratch_path
 from ..sources.tables import PERSONAS
 from .registry import query
 from .sqltext import sql
@@ -25,6 +26,16 @@ def _(c):
     return q.balance(c.ledger)
 
 
+@query("q1_observed_audit", sql("ledger", f""", g AS (SELECT *, date - lag(date) OVER (PARTITION BY persona ORDER BY date) AS gd FROM (SELECT persona, date, CASE WHEN month(date) <> 9 THEN cash END AS cash, held, total_equity, intraday_status FROM ledger WHERE month(date) <> 2)),
+f AS (SELECT count(*) AS "rows", count(*) FILTER (abs(cash + held - total_equity) > 0.05) AS unbalanced, count(*) FILTER (total_equity < 0.05) AS zero_equity, count(*) FILTER (cash IS NULL) AS null_cash,
+  count(*) FILTER (total_equity IS NULL) AS null_equity, count(*) FILTER (gd > 31) AS gaps, count(*) FILTER (intraday_status = 'CARRYOVER') AS carried FROM g)
+UNPIVOT f ON "rows", unbalanced, zero_equity, null_cash, null_equity, gaps, carried INTO NAME figure VALUE n"""))
+def _(c):
+    led = c.ledger.filter(F.month("date") != 2).withColumn("cash", F.when(F.month("date") != 9, F.col("cash")))
+    seen = observed.write_observed(observed.gap_days(led, "persona"), scratch_path(c.spark, "audited"), observed.ledger_figures(), drop=["gap_days"])
+    return c.spark.range(1).select(F.explode(F.map_from_arrays(F.array(*map(F.lit, seen)), F.array(*[F.lit(n) for n in seen.values()]))).alias("figure", "n"))
+
+
 @query("q2_missing_sessions", stage="gappy", oracle=sql("gappy", """, s AS (SELECT ticker, min(date) AS a, max(date) AS b FROM gappy GROUP BY 1), g AS (SELECT ticker, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS date FROM s)
 """ + v("missing_session", "g.ticker", "g.date", "FROM g WHERE isodow(date) < 6 AND date <> DATE '2024-01-15' AND NOT EXISTS (SELECT 1 FROM gappy x WHERE x.ticker = g.ticker AND x.date = g.date)")))
 def _(c):

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from ..functions import dates as fd
 from ..functions import scalars as s
+from ..functions import variants
+from ..session import scratch_path
 from .registry import query
 from .sqltext import closed_days, r, sql
 
@@ -177,6 +179,19 @@ def _(c):
         "persona", "date", "ticker", "h.dollars", "h.units")
 
 
+@query("f18_variant_values", sql("positions", """SELECT persona, date, ticker, round(dollars, 2) AS dollars, CASE WHEN ticker < 'F' THEN 0 ELSE units END AS units FROM positions"""))
+def _(c):
+    p = c.positions
+    obj = F.to_json(F.struct("dollars", "units", "price"))
+    entry = F.concat(F.lit('"'), F.col("ticker"), F.lit('":'), F.when(F.col("ticker") < "F", F.col("dollars").cast("decimal(18,2)").cast("string")).otherwise(obj))
+    text = p.groupBy("persona", "date").agg(F.concat(F.lit("{"), F.concat_ws(",", F.sort_array(F.collect_list(entry))), F.lit("}")).alias("t"))
+    held = text.select("persona", "date", variants.parsed(F.col("t")).alias("v"))
+    path = scratch_path(c.spark, "variants")
+    variants.write_shredded(held, path)
+    rows = variants.members(variants.read_shredded(c.spark, path, held.schema), "v", ["persona", "date"])
+    return rows.select("persona", "date", F.col("key").alias("ticker"), *variants.holding(F.col("value"))[:2])
+
+
 @query("f19_prefix_match", sql("ledger", "SELECT persona, date, persona LIKE 'etf\\_%' ESCAPE '\\' AS is_etf, CAST(date AS VARCHAR) LIKE '1996-%' AS in_1996 FROM ledger"))
 def _(c):
     return c.ledger.select("persona", "date", F.col("persona").startswith("etf_").alias("is_etf"), F.col("date").cast("string").startswith("1996-").alias("in_1996"))

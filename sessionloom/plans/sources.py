@@ -3,15 +3,18 @@
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..frames import by
+from ..functions import variants
 from ..functions.dates import session_calendar
 from ..operators.joins import densify
 from ..session import scratch_path
 from ..sources import maintain as m
-from ..sources import payloads, readers
+from ..sources import bucketed, payloads, readers
 from ..sources.tables import PERSONAS
 from .cleaning import SCORES, scores
 from .registry import query
 from .sqltext import closed_days, r, sql
+from .windows import W
 
 BARS6 = f"SELECT ticker, sector, date, {r('open', 'high', 'low', 'close')}, volume FROM panel"
 
@@ -67,6 +70,14 @@ def _(c):
     return payloads.parse_record_json(raw)
 
 
+@query("s5_variant_records", sql("gappy", "SELECT ticker, date, open, high, low, close, CASE WHEN ticker < 'U3' THEN volume END AS volume, close AS adj_close FROM gappy"))
+def _(c):
+    volume = F.when(F.col("ticker") < "U3", F.col("volume").cast("string")).otherwise("n/a")  # a number as text, or no number
+    rec = F.struct(F.concat(F.col("date").cast("string"), F.lit("T00:00:00.000Z")).alias("date"), "open", "high", "low", "close", volume.alias("volume"), F.col("close").alias("adjClose"))
+    raw = c.gappy.groupBy("ticker").agg(F.to_json(F.collect_list(rec)).alias("raw"))
+    return variants.records(raw.select("ticker", variants.parsed(F.col("raw")).alias("v")), "v")
+
+
 _LED = T.StructType([T.StructField("date", T.DateType()), T.StructField("cash", T.DoubleType()), T.StructField("total_equity", T.DoubleType())])
 
 
@@ -123,6 +134,16 @@ def _(c):
     return c.spark.read.schema(p.schema).parquet(path)
 
 
+@query("s11_bucketed_panel", sql("panel", f""", x AS (SELECT ticker, sector, date, close, close / lag(close) OVER ({W}) - 1 AS ret, avg(close) OVER ({W} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS mean5 FROM panel)
+SELECT ticker, sector, x.date, round(close, 6) AS close, round(ret, 6) + 0 AS ret, round(mean5, 6) AS mean5, round(peak, 6) AS peak FROM x JOIN (SELECT ticker, max(high) AS peak FROM panel GROUP BY 1) USING (ticker)"""))
+def _(c):
+    p = bucketed.write_bucketed(c.panel.select("ticker", "sector", "date", "high", "close"))
+    w = by()
+    peak = p.groupBy("ticker").agg(F.max("high").alias("peak"))
+    x = p.select("ticker", "sector", "date", "close", (F.try_divide("close", F.lag("close").over(w)) - 1).alias("ret"), F.avg("close").over(w.rowsBetween(-4, 0)).alias("mean5"))
+    return x.join(peak, "ticker")
+
+
 @query("s12_upsert", sql("ledger", """SELECT persona, date, CASE WHEN year(date) = 1997 AND persona <> 'neutral' THEN round(cash + 2, 2) ELSE cash END AS cash FROM ledger"""))
 def _(c):
     led = c.ledger.select("persona", "date", "cash")

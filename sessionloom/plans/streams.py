@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..frames import by
 from ..session import scratch_path
+from ..sources import replay
 from ..streaming import bars, gates, sinks, source, state, timers
 from .registry import query
 from .sqltext import sql
@@ -22,6 +24,15 @@ def _(c):
     return sinks.materialise(_ticks(c), "ticks", mode="append").select("ticker", "seq", "price", *_ntz("ts"))
 
 
+@query("r1_replayed_ticks", sql("ticks", "SELECT ticker, seq, price, ts FROM ticks"))
+def _(c):
+    path, base = f"{c.root}/events.parquet", scratch_path(c.spark, "replay")
+    rows = -(-max(1, c.table("events").count()) // 6)  # six batches at every size
+    d = source.as_ticks(replay.stream_replay(c.spark, path, rows, f"{base}/notes", schemas.TICKS))
+    sinks.run_until_idle(d, sinks.batch_folder_sink(f"{base}/data"), f"{base}/checkpoint", "append")
+    return c.spark.read.schema(d.schema).option("recursiveFileLookup", True).parquet(f"{base}/data").select("ticker", "seq", "price", *_ntz("ts"))
+
+
 @query("r2_tumbling_bars", """SELECT event_type AS ticker, time_bucket(INTERVAL 5 MINUTE, ts) AS start, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low,
   arg_max(value, row(ts, event_id)) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2""")
 def _(c):
@@ -162,6 +173,21 @@ def _(c):
     return d.groupBy("arrival").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
+@query("r10_dropped_rows", """WITH m AS (SELECT max(ts) FILTER (ts >= TIMESTAMP '2024-01-15') AS hi FROM events)
+SELECT CASE WHEN ts < TIMESTAMP '2024-01-15' AND ts <= hi - INTERVAL 1 DAY THEN 'late' ELSE 'on_time' END AS arrival, count(*) AS n FROM events, m GROUP BY 1""")
+def _(c):
+    base, e = scratch_path(c.spark, "dropped"), c.table("events")
+    late = 0
+    # the newer half is delivered first, the older half arrives afterwards; the second run goes on from the first one's checkpoint
+    for name, cond in (("a", "ts >= timestamp_ntz'2024-01-15'"), ("b", "ts < timestamp_ntz'2024-01-15'")):
+        e.filter(cond).write.parquet(f"{base}/in/{name}")
+        once = state.without_repeats(source.read_ticks(c.spark, f"{base}/in/*"), ["seq", "ts"], "1 day")
+        late += sinks.dropped_rows(sinks.run_available(once, sinks.batch_folder_sink(f"{base}/data"), f"{base}/checkpoint", "append"))
+    kept = c.spark.read.schema(once.schema).option("recursiveFileLookup", True).parquet(f"{base}/data")
+    n = kept.agg(F.count(F.lit(1)).alias("on_time"), F.lit(late).cast("bigint").alias("late"))
+    return n.unpivot([], ["on_time", "late"], "arrival", "n").filter("n > 0")
+
+
 @query("r11_idempotent_ledger", "SELECT event_type AS ticker, CAST(ts AS DATE) AS date, round(avg(value), 6) AS vwap, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2")
 def _(c):
     base = scratch_path(c.spark, "ledger")

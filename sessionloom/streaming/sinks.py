@@ -20,6 +20,26 @@ def run_available(stream: DataFrame, sink: Callable, checkpoint: str, mode: str
     return q
 
 
+def run_until_idle(stream: DataFrame, sink: Callable, checkpoint: str, mode: str = "append"):
+    """Batch after batch until the source has no newer offset, then stop; for sources that limit their batches themselves."""
+    q = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(sink).start()
+    try:
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    return q
+
+
+def dropped_rows(query) -> int:
+    """Rows that the stateful operators of a finished run dropped as later than the watermark, by the engine's own count.
+
+    Exact for operators that meet single rows (repeats, joins); an aggregate
+    counts the partial groups that reach it. Progress is kept for the newest
+    batches only (``spark.sql.streaming.numRecentProgressUpdates``).
+    """
+    return sum(o.numRowsDroppedByWatermark for p in query.recentProgress for o in p.stateOperators)
+
+
 def batch_folder_sink(path: str) -> Callable[[DataFrame, int], None]:
     """Each batch owns one folder and overwrites it, so a retried batch leaves no second copy."""
 
