@@ -78,12 +78,37 @@ def _(c):
     return m.screen_combos(data, combos)
 
 
-@query("m11_nested_probability")
+def _logistic_sql(rows: str, k: int, keys: str = "", sweeps: int = 60, free_intercept: bool = False) -> str:
+    """Recursive CTE ``fit`` of penalised logistic coefficients (penalty 1): one Newton step of one coefficient at a time.
+
+    ``rows`` has ``keys``, ``x`` (list of ``k`` values, the first one 1) and ``y`` (0 or 1).
+    """
+    same, named = (f"JOIN {rows} USING ({keys})", f"{keys}, ") if keys else (f"CROSS JOIN {rows}", "")
+    lam = f"CASE WHEN j = 1 THEN {0 if free_intercept else 1} ELSE 1 END"
+    return f""", fit AS (SELECT DISTINCT {named}0 AS step, list_transform(range({k}), lambda i: 0.0::DOUBLE) AS w FROM {rows} UNION ALL
+  SELECT {named}step + 1, list_transform(w, lambda v, i: CASE WHEN i = j THEN v - g / h ELSE v END) FROM (
+    SELECT {named}step, w, j, sum((p - y) * x[j]) + {lam} * w[j] AS g, sum(p * (1 - p) * x[j] * x[j]) + {lam} AS h FROM (
+      SELECT {named}step, w, x, y, step % {k} + 1 AS j, 1 / (1 + exp(-list_dot_product(x, w))) AS p FROM fit {same} WHERE step < {k * sweeps}) GROUP BY {named}step, w, j))
+"""
+
+
+def _recursive(text: str) -> str:
+    return text.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("m11_nested_probability", _recursive(sql("weekly", ", o AS (SELECT ticker, date, ret, " + ", ".join(f"lag(ret, {i}) OVER ({W}) AS l{i}" for i in range(1, 6)) + """ FROM weekly),
+q AS MATERIALIZED (SELECT ticker, date, [1.0::DOUBLE, l1, l2, l3, l4, l5] AS x, (ret > 0)::INT AS y FROM o WHERE ret IS NOT NULL AND l5 IS NOT NULL QUALIFY count(*) OVER (PARTITION BY ticker) > 100)
+""" + _logistic_sql("q", 6, "ticker") + "SELECT ticker, date, round(1 / (1 + exp(-list_dot_product(x, w))), 6) AS nested_p_up FROM q JOIN fit USING (ticker) WHERE step = 360")))
 def _(c):
     return m.nested_probability(m.own_lags(c.weekly))
 
 
-@query("m12_meta_priors")
+_META = ("rsi", "adx", "atr", "plus_di", "minus_di")
+
+
+@query("m12_meta_priors", _recursive(sql("bars", FEATURES + f""", mx AS (SELECT {", ".join(f"coalesce({n}, 0) AS {n}" for n in _META)}, nxt FROM (SELECT *, lead(ret) OVER ({W}) AS nxt FROM tr2) WHERE nxt IS NOT NULL),
+ms AS (SELECT {", ".join(f"avg({n}) AS m_{n}, stddev_samp({n}) AS s_{n}" for n in _META)} FROM mx), q AS MATERIALIZED (SELECT [1.0::DOUBLE, {", ".join(f"({n} - m_{n}) / s_{n}" for n in _META)}] AS x, (nxt > 0)::INT AS y FROM mx, ms)
+""" + _logistic_sql("q", 6, sweeps=100, free_intercept=True) + "SELECT unnest([" + ", ".join(f"'{n.upper()}'" for n in _META) + "]) AS suffix, round(unnest(w[2:6]), 4) + 0 AS alpha FROM fit WHERE step = 600")))
 def _(c):
     names = ["RSI", "ADX", "ATR", "PLUS_DI", "MINUS_DI"]
     f = c.features.groupBy("ticker", "date").agg(*[F.max(F.when(F.col("feature") == n, F.col("value"))).alias(n) for n in [*names, "RET"]])
@@ -239,7 +264,39 @@ def _(c):
     return m.regimes(d, ["RSI", "ADX", "RET"], "next_ret")[1]
 
 
-@query("m21_walk_forward", stage="bars")
+def _ridge_sql(k: int, penalty: float) -> str:
+    """Ridge per (ticker, fold) by a written-out factorisation of the normal equations of ``z`` (z1..zk, v, is_test): CTE ``sol`` with w1..wk."""
+    one = range(1, k + 1)
+    sums = [f"sum(z{i} * z{j}) + {penalty if i == j else 0} AS g{i}{j}" for i in one for j in range(1, i + 1)] + [f"sum(z{i} * v) AS c{i}" for i in one]
+    out = [f"e0 AS (SELECT ticker, fold, {', '.join(sums)} FROM z WHERE NOT is_test GROUP BY 1, 2)"]
+    for j in one:
+        less = "".join(f" - l{j}{m} * l{j}{m} * d{m}" for m in range(1, j))
+        out.append(f"f{j} AS (SELECT *, g{j}{j}{less} AS d{j} FROM e{j - 1})")
+        below = [f"(g{i}{j}" + "".join(f" - l{i}{m} * l{j}{m} * d{m}" for m in range(1, j)) + f") / d{j} AS l{i}{j}" for i in range(j + 1, k + 1)]
+        below.append(f"c{j}" + "".join(f" - l{j}{m} * u{m}" for m in range(1, j)) + f" AS u{j}")
+        out.append(f"e{j} AS (SELECT *, {', '.join(below)} FROM f{j})")
+    for j in reversed(one):
+        back = "".join(f" - l{m}{j} * w{m}" for m in range(j + 1, k + 1))
+        out.append(f"{'sol' if j == 1 else f'b{j}'} AS (SELECT *, u{j} / d{j}{back} AS w{j} FROM {f'e{k}' if j == k else f'b{j + 1}'})")
+    return ", ".join(out)
+
+
+_FIVE = range(1, 6)
+
+
+@query("m21_walk_forward", stage="bars", oracle=sql("bars", FEATURES + """, ds AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM bars)),
+bk AS (SELECT date, CASE WHEN i < n - 5 * (n // 6) THEN 0 ELSE (i - (n - 5 * (n // 6))) // (n // 6) + 1 END AS b FROM ds), ro AS (SELECT date, fold, fold = b AS is_test FROM (SELECT date, b, unnest(generate_series(greatest(b, 1), 5)) AS fold FROM bk)),
+fl AS (SELECT ticker || '_' || feature AS predictor, date, lag(value) OVER (PARTITION BY ticker, feature ORDER BY date) AS x FROM features), rr AS (SELECT ticker, fold, is_test, tr2.date, ret FROM tr2 JOIN ro ON ro.date = tr2.date WHERE ret IS NOT NULL),
+g AS (SELECT ticker, fold, predictor, corr(ret, x) AS c, count(*) AS n FROM rr JOIN fl ON fl.date = rr.date WHERE NOT is_test AND x IS NOT NULL GROUP BY 1, 2, 3),
+tk AS (SELECT ticker, fold, predictor, row_number() OVER (PARTITION BY ticker, fold ORDER BY predictor) AS j, count(*) OVER (PARTITION BY ticker, fold) AS width
+  FROM (SELECT * FROM g WHERE n >= 10 AND isfinite(c) QUALIFY row_number() OVER (PARTITION BY ticker, fold ORDER BY abs(c) DESC, predictor) <= 5)),
+dm AS (SELECT ticker, fold, date, any_value(width) AS width, """ + ", ".join(f"coalesce(max(x) FILTER (j = {j}), 0) AS x{j}" for j in _FIVE) + """ FROM tk JOIN fl USING (predictor) WHERE x IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) = any_value(width)),
+d AS (SELECT dm.*, is_test, ret AS y FROM dm JOIN rr USING (ticker, fold, date)), st AS (SELECT ticker, fold, avg(y) FILTER (NOT is_test) AS my, """ + ", ".join(f"avg(x{j}) FILTER (NOT is_test) AS m{j}, stddev_pop(x{j}) FILTER (NOT is_test) + 1e-8 AS s{j}" for j in _FIVE) + """
+  FROM d GROUP BY 1, 2 HAVING count(*) FILTER (NOT is_test) > any_value(width) + 2 AND count(*) FILTER (is_test) >= 2),
+z AS (SELECT ticker, fold, is_test, y, y - my AS v, my, """ + ", ".join(f"(x{j} - m{j}) / s{j} AS z{j}" for j in _FIVE) + " FROM d JOIN st USING (ticker, fold)), " + _ridge_sql(5, 5.0) + """,
+p AS (SELECT ticker, fold, y, my + """ + " + ".join(f"w{j} * z{j}" for j in _FIVE) + """ AS p FROM z JOIN sol USING (ticker, fold) WHERE is_test),
+ev AS (SELECT ticker, fold, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2, avg((sign(p) = sign(y))::INT) AS accuracy FROM p GROUP BY 1, 2)
+SELECT ticker, round(avg(r2), 6) + 0 AS mean_r2, round(stddev_samp(r2), 6) + 0 AS std_r2, round(avg(accuracy), 6) AS mean_accuracy, count(*) AS folds, CASE WHEN avg(r2) > 0 THEN 'GENERALISES' ELSE 'OVERFIT' END AS verdict FROM ev GROUP BY 1"""))
 def _(c):
     ret, lagged = _stage(c)
     roles = fold_rows(ret, 5).withColumn("series", F.concat_ws("|", "ticker", F.col("fold").cast("string")))

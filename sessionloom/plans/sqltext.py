@@ -65,6 +65,12 @@ pred AS (SELECT ticker, sector, date, open, high, low, close, volume, ret,
   round(stddev_samp(ret) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING), 6) AS exp_vol
   FROM pr)"""
 
+_WEEKLY = """wt AS (SELECT n_name AS ticker, r_name AS sector, CAST(date_trunc('week', l_shipdate) AS DATE) AS date, sqrt(l_extendedprice / l_quantity) AS price,
+  l_quantity AS size, row(l_shipdate, l_orderkey, l_linenumber, l_partkey) AS k
+  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+wb AS (SELECT ticker, sector, date, arg_min(price, k) AS open, max(price) AS high, min(price) AS low, arg_max(price, k) AS close, sum(size) AS volume FROM wt GROUP BY 1, 2, 3),
+weekly AS (SELECT *, close / lag(close) OVER (PARTITION BY ticker ORDER BY date) - 1 AS ret FROM wb)"""
+
 _POSITIONS = """pm AS (SELECT CASE o_orderpriority WHEN '1-URGENT' THEN 'aggressive' WHEN '2-HIGH' THEN 'dynamic'
   WHEN '3-MEDIUM' THEN 'neutral' WHEN '4-NOT SPECIFIED' THEN 'conservative' WHEN '5-LOW' THEN 'etf_neutral' END AS persona,
   CAST(date_trunc('month', o_orderdate) AS DATE) AS date, c_mktsegment AS ticker,
@@ -93,6 +99,7 @@ _PARTS = {
     "panel": (["bars", "sectors"], _PANEL),
     "macro": ([], _MACRO),
     "pred": (["panel"], _PRED),
+    "weekly": ([], _WEEKLY),
     "positions": ([], _POSITIONS),
     "ledger": (["positions"], _LEDGER),
     "weights": ([], _WEIGHTS),
