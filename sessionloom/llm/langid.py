@@ -78,9 +78,15 @@ class Model:
         return sums[ends[1:]] - sums[ends[:-1]] + self.bias
 
 
-def fit(found: list[np.ndarray], labels: list[str], landmarks: int = 64, ridge: float = 1e-2, seed: int = 7) -> Model:
-    """``landmarks`` texts of each language (all, if fewer) are landmarks; the order of the examples decides which."""
+def fit(found: list[np.ndarray], labels: list[str], landmarks: int = 64, ridge: float = 1e-2, seed: int = 7, in_all: int = 1024) -> Model:
+    """``landmarks`` texts of each language (all, if fewer) are landmarks; the order of the examples decides which.
+
+    With many languages each has fewer, ``in_all`` together, but at least one: the
+    landmark matrix on the driver has the larger of ``in_all`` and the number of
+    languages as rows.
+    """
     names = tuple(sorted(set(labels)))
+    landmarks = max(1, min(landmarks, in_all // len(names)))
     y = np.array([names.index(x) for x in labels])
     rng = np.random.default_rng(seed)
     marks = np.concatenate([rng.permutation(np.flatnonzero(y == k))[:landmarks] for k in range(len(names))])

@@ -171,11 +171,12 @@ def fingerprint_links(fps: DataFrame, radius: int = 2, bucket_rows: int = 4096,
         return by_tree
     flips = F.array(F.lit(0), *[F.lit((1 << i) - ((1 << 64) if i == 63 else 0)) for i in range(64)])
     hot = rows.join(full, "bucket", "left_semi").select("fp").distinct()
-    near = hot.select("fp", F.explode(flips).alias("f")).select("fp", F.col("fp").bitwiseXOR(F.col("f")).alias("k"))
+    near = hot.select("fp", F.explode(flips).alias("f")).select("fp", "f", F.col("fp").bitwiseXOR(F.col("f")).alias("k"))
+    if radius < 2:  # links by the value itself: two neighbours of one value are two bits apart
+        one_bit = near.filter(F.lit(radius == 1) & (F.col("f") != 0)).select(F.col("fp").alias("a"), F.col("k").alias("b"))
+        return by_tree.unionByName(one_bit.join(hot.select(F.col("fp").alias("b")), "b", "left_semi").select("a", "b"))
     met = near.groupBy("k").agg(F.collect_list("fp").alias("all")).filter(F.size("all") > 1)
     by_flip = met.select(F.array_min("all").alias("b"), F.explode("all").alias("a")).filter("a <> b").select("a", "b")
-    if radius < 2:
-        by_flip = by_flip.filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     return by_tree.unionByName(by_flip)
 
 

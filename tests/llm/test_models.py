@@ -188,3 +188,13 @@ def test_every_label_is_learned(spark):
     assert langid.train(docs, "doc_id", "text", "lang").labels == tuple(f"l{k:02}" for k in range(70))
     got = langid.identify(docs, docs["doc_id"] >= 0).join(docs, "doc_id")
     assert got.filter("lang_pred <> lang").count() == 0
+
+
+def test_landmarks_are_bounded_in_all():
+    labels = [f"l{i % 40}" for i in range(400)]
+    found = [np.concatenate([np.arange(50 * (i % 40), 50 * (i % 40) + 50), [2000 + i]]).astype(np.int32) for i in range(400)]  # the last one is the text's own
+    few, many = langid.fit(found, labels, in_all=90), langid.fit(found, labels, in_all=1024)
+    assert [int((m.column[2000:2400] >= 0).sum()) for m in (few, many)] == [80, 400]  # landmarks
+    hit = [few.labels[int((few.weights[few.column[f][few.column[f] >= 0]].sum(0) / np.sqrt(len(f)) + few.bias).argmax())] == x for f, x in zip(found, labels)]
+    assert np.mean(hit) > 0.95
+    assert int((langid.fit(found, labels, in_all=1).column[2000:2400] >= 0).sum()) == 40  # one of each at least

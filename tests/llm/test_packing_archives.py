@@ -61,6 +61,37 @@ def test_best_fit_keeps_every_constraint(score):
     assert len(packing.best_fit(np.array([], np.int64), (10, 10, 100))[0]) == 0
 
 
+def plain_best_fit(lengths, cap, weights, score):
+    """Vector best-fit as defined: every piece, longest first, over all open bins."""
+    left, bins = [], [None] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+        need = (lengths[i], 1, lengths[i] ** 2)
+        fits = [k for k, room in enumerate(left) if all(r >= v for r, v in zip(room, need))]
+        if score == "dot":
+            rate = {k: -sum(w * r * v / c**2 for w, r, v, c in zip(weights, left[k], need, cap)) for k in fits}
+        else:
+            rate = {k: sum(w * (r - v) ** 2 / c**2 for w, r, v, c in zip(weights, left[k], need, cap)) for k in fits}
+        if fits:
+            k = min(fits, key=lambda k: rate[k])
+        else:
+            k = len(left)
+            left.append(list(cap))
+        left[k] = [r - v for r, v in zip(left[k], need)]
+        bins[i] = k
+    return bins, left
+
+
+@pytest.mark.parametrize("score", ["norm", "dot"])
+@pytest.mark.parametrize("cap,weights", [((1000, 1000, 1e6), (1, 0, 0)), ((1000, 6, 200_000.0), (1, 1, 1)), ((500, 4, 60_000.0), (1, 3, 2)), ((300, 300, 90_000.0), (1, 1, 1))])
+def test_best_fit_chooses_the_bins_of_the_plain_form(score, cap, weights):
+    lengths = np.random.default_rng(5).integers(1, 240, 400)
+    bins, _ = packing.best_fit(lengths, cap, weights, score)
+    want, _ = plain_best_fit(lengths.tolist(), cap, weights, score)
+    # bins with equal room are interchangeable, and their contents with them: the loads of all bins are compared
+    loads = [sorted(np.bincount(b, weights=lengths).astype(int).tolist()) for b in (bins, np.array(want))]
+    assert loads[0] == loads[1]
+
+
 def test_ids_come_back_and_empty_table(spark):
     got = packing.pack(frame(spark, [(1, "hello sea"), (2, "x")]), queries.tokenizer_file(), with_ids=True).collect()
     assert all(len(r["ids"]) == r["length"] and zlib.crc32(np.array(r["ids"], "<u4").tobytes()) == r["ids_crc32"] for r in got)
@@ -204,6 +235,58 @@ def test_scan_spans_and_edge_rows(spark):
         licenses.build_index({"tiny": "two words"})
 
 
+def cell_by_cell(a, b, shift, band):
+    """The banded local alignment written out: (score, matched) of the best cell."""
+    score, best = {}, (0, 0)
+    for i, x in enumerate(a):
+        for j in range(max(0, i + shift - band), min(len(b), i + shift + band + 1)):
+            diagonal = score.get((i - 1, j - 1), (0, 0))
+            diagonal = diagonal if diagonal[0] > 0 else (0, 0)
+            options = [(diagonal[0] + (2 if b[j] == x else -1), diagonal[1] + (b[j] == x))]
+            options += [(s - 1, h) for s, h in (score.get((i - 1, j), (-9, 0)), score.get((i, j - 1), (-9, 0)))]
+            s, h = max(options, key=lambda o: o[0])
+            score[i, j] = (s, h) if s > 0 else (0, 0)
+            best = max(best, score[i, j], key=lambda o: o[0])
+    return best
+
+
+def test_alignment_equals_the_written_out_form():
+    rnd = random.Random(12)
+    for _ in range(300):
+        a = [rnd.randrange(4) for _ in range(rnd.randint(1, 14))]
+        b = [rnd.randrange(4) for _ in range(rnd.randint(0, 18))]
+        shift, band = rnd.randint(-6, 8), rnd.randint(0, 6)
+        matched, start, end = licenses.align(np.array(a), np.array(b, int), shift, band)
+        assert matched == cell_by_cell(a, b, shift, band)[1]
+        assert 0 <= start <= end <= len(b) and matched <= end - start
+
+
+def test_whole_licenses_are_found_with_edits(spark):
+    rnd = random.Random(9)
+    rows, want = [], []
+    for name, text in licenses.FULL_TEXTS.items():
+        w = text.split()
+        for edit in ("none", "drop", "insert", "spread"):
+            v = list(w)
+            if edit == "drop":
+                del v[30: 30 + len(w) // 8]
+            elif edit == "insert":
+                v[40:40] = ["of", "our", "company"] * 2
+            elif edit == "spread":
+                for k in range(5, len(v), 12):
+                    v[k] = "zzz"
+            want.append((len(rows), name))
+            rows.append((len(rows), " ".join(["sea"] * rnd.randint(0, 50) + ["Copyright", "2020"] + v + ["int", "main"])))
+    rows.append((len(rows), "permission is granted to anyone to use the software and the following conditions " * 40))
+    got = licenses.scan(frame(spark, rows)).collect()
+    found = {(r["doc_id"], r["license"]): r["coverage"] for r in got}
+    assert set(want) <= set(found) and not any(r["doc_id"] == len(rows) - 1 for r in got)
+    assert all(found[k] == 1.0 for k in want[::4])
+    for (doc, name), (_, text) in zip(want, [rows[d] for d, _ in want]):
+        a, b = licenses.words_of(licenses.FULL_TEXTS[name]).tolist(), licenses.words_of(text).tolist()
+        assert found[doc, name] <= lcs_matches(a, b) / len(a)
+
+
 def test_every_one_word_edit_is_found(spark):
     rows, want = [], set()
     for name, text in licenses.TEMPLATES.items():

@@ -110,6 +110,14 @@ def test_groups_match_brute_force(spark, bucket_rows):
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("bucket_rows", [4096, 1])
+def test_radius_one_keeps_links_of_hot_buckets(spark, bucket_rows):
+    df = spark.createDataFrame([(x,) for x in (6, 2, 7, 5, 1 << 62, 64)], "fp long")
+    got = {r["node"]: r["root"] for r in connected(simhash.fingerprint_links(df, 1, bucket_rows)).collect()}
+    assert len({got[x] for x in (6, 2, 7, 5)}) == 1 and 64 not in got and 1 << 62 not in got
+    assert connected(simhash.fingerprint_links(df, 0, bucket_rows)).count() == 0
+
+
 @pytest.mark.parametrize("radius,bucket_rows", [(1, 4096), (1, 2), (2, 4096), (2, 2), (3, 4096), (5, 8)])
 def test_links_of_dense_fingerprints(spark, radius, bucket_rows):
     rnd = random.Random(radius)
