@@ -19,14 +19,24 @@ from pyspark.sql import functions as F
 
 from ..session import pin
 from . import solvers
-from .correlate import BLOCK_BYTES, BLOCK_SERIES, pack
+from .correlate import BLOCK_SERIES, LARGE_BYTES, LARGE_SERIES, LEAST_BLOCKS, pack
 from .select import dense_lagged
 
 
-def _dealt(left: DataFrame, right: DataFrame, sessions: int, name: str, blocks: int | None):
-    """Both sides keyed by block pair; ``right`` has (series, values)."""
-    size = max(1, min(BLOCK_SERIES, BLOCK_BYTES // (8 * max(sessions, 1))))
-    na, nb = (blocks or max(1, -(-x.count() // size)) for x in (left, right))
+TILE, LEAST_ROOM = 64, 0.05
+
+
+def _dealt(left: DataFrame, right: DataFrame, sessions: int, name: str, blocks: int | None, width: int = 1):
+    """Both sides keyed by block pair; ``right`` has (series, values), a row of ``left`` holds ``width`` values per session.
+
+    Blocks are as large as leaves work for every core; tasks work on them in tiles.
+    """
+    def count(x: DataFrame, held: int) -> int:
+        n = x.count()
+        size = max(1, min(LARGE_SERIES, LARGE_BYTES // (8 * held * max(sessions, 1))))
+        return max(1, min(-(-n // BLOCK_SERIES), LEAST_BLOCKS), -(-n // size))
+
+    na, nb = (blocks or count(x, held) for x, held in ((left, width), (right, 1)))
 
     def home(c, n):
         return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -50,25 +60,54 @@ def _start(targets: DataFrame) -> DataFrame:
 
 
 def _best_candidates(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Each target's candidate of the largest gain, the first by name on ties.
+
+    Products of unit vectors in single precision give every gain up to a known
+    error; candidates that may be the best are computed in double precision.
+    """
     rows = []
     if len(left) and len(right):
         right = right.sort_values("feature", ignore_index=True)
         x = _stack(right["x"])
         x = x - x.mean(axis=1, keepdims=True)
         scale, names = (x**2).sum(axis=1), right["feature"].to_numpy()
-        for t in left.itertuples():
-            proj = x @ np.stack(t.q).T if len(t.q) else np.zeros((len(x), 0))
-            room = scale - (proj**2).sum(axis=1)
-            ok = (room > 1e-10 * np.maximum(scale, 1e-300)) & ~np.isin(names, [*t.chosen, t.target])
-            gain = np.where(ok, (x @ t.r) ** 2 / np.where(ok, room, 1.0), -1.0)
-            j = int(np.argmax(gain))
-            if ok[j]:
-                rows.append((t.target, names[j], gain[j]))
+        unit = (x / np.sqrt(np.where(scale > 0, scale, 1.0))[:, None]).astype(np.float32).T
+        slack = 8 * (2e-5 + 2e-7 * x.shape[1]) / LEAST_ROOM
+        targets = list(left.itertuples())
+        for lo in range(0, len(targets), TILE):
+            some = targets[lo: lo + TILE]
+            r = np.stack([t.r for t in some])
+            share = (r / np.sqrt(np.maximum((r**2).sum(axis=1), 1e-300))[:, None]).astype(np.float32) @ unit
+            share *= share
+            taken = np.zeros_like(share)
+            for k in range(max(len(t.q) for t in some)):
+                with_k = [i for i, t in enumerate(some) if len(t.q) > k]
+                part = np.stack([some[i].q[k] for i in with_k]).astype(np.float32) @ unit
+                part *= part
+                taken[with_k] += part
+            room = np.subtract(1, taken, out=taken)
+            unsure = room < LEAST_ROOM
+            share /= np.maximum(room, LEAST_ROOM)
+            share[unsure] = -1.0
+            for i, t in enumerate(some):
+                barred = [t.target, *t.chosen]
+                at = np.searchsorted(names, barred)
+                at = at[at < len(names)]
+                share[i, at[np.isin(names[at], barred)]] = -1.0
+                near = np.flatnonzero((share[i] >= max(share[i].max() - slack, 0.0)) | unsure[i])
+                some_x = x[near]
+                proj = some_x @ np.stack(t.q).T if len(t.q) else np.zeros((len(near), 0))
+                left_over = scale[near] - (proj**2).sum(axis=1)
+                ok = (left_over > 1e-10 * np.maximum(scale[near], 1e-300)) & ~np.isin(names[near], barred)
+                gain = np.where(ok, (some_x @ t.r) ** 2 / np.where(ok, left_over, 1.0), -1.0)
+                j = int(np.argmax(gain)) if len(near) else 0
+                if len(near) and ok[j]:
+                    rows.append((t.target, names[near[j]], gain[j]))
     return pd.DataFrame(rows, columns=["target", "feature", "gain"])
 
 
-def _one_best(state: DataFrame, predictors: DataFrame, sessions: int, blocks: int | None) -> DataFrame:
-    pairs = _dealt(state, predictors, sessions, "target", blocks).applyInPandas(_best_candidates, "target string, feature string, gain double")
+def _one_best(state: DataFrame, predictors: DataFrame, sessions: int, blocks: int | None, width: int = 1) -> DataFrame:
+    pairs = _dealt(state, predictors, sessions, "target", blocks, width).applyInPandas(_best_candidates, "target string, feature string, gain double")
     return pairs.groupBy("target").agg(F.min_by(F.struct("feature", "gain"), F.struct(-F.col("gain"), "feature")).alias("b")).select("target", "b.*")
 
 
@@ -113,7 +152,7 @@ def stepwise_pool(returns: DataFrame, lag: int = 1, enter: float = 0.05, cap: in
             yield pd.DataFrame(rows, columns=["target", "r", "q", "chosen", "p_value"])
 
     for step in range(1, cap + 1):
-        one = _one_best(state, predictors, top, blocks)
+        one = _one_best(state, predictors, top, blocks, step)
         ready = state.join(one, "target").join(predictors.select(F.col("series").alias("feature"), F.col("values").alias("x")), "feature")
         after = ready.select("target", "r", "q", "chosen", "feature", "gain", "x").mapInPandas(
             take, "target string, r array<double>, q array<array<double>>, chosen array<string>, p_value double")
@@ -240,11 +279,21 @@ def ridge_pool(returns: DataFrame, lag: int = 1, penalty: float = 1.0, train_sha
         rows = []
         if len(left) and len(right):
             right = right.sort_values("feature", ignore_index=True)
-            names = right["feature"].to_numpy()
-            w = _stack(left["alpha"]) @ _stack(right["x"])[:, :cut].T
-            for t, m, v in zip(left["target"], left["model"], w):
-                v = np.where(names == t, 0.0, v)
-                rows += [(t, m, names[j], abs(v[j])) for j in np.argsort(-np.abs(v), kind="stable")[:top]]
+            names, x = right["feature"].to_numpy(), _stack(right["x"])[:, :cut].T
+            keys, alpha = list(zip(left["target"], left["model"])), _stack(left["alpha"])
+            for lo in range(0, len(keys), TILE):
+                w = np.abs(alpha[lo: lo + TILE] @ x)
+                own = [t for t, _ in keys[lo: lo + TILE]]
+                at = np.minimum(np.searchsorted(names, own), len(names) - 1)
+                mine = np.flatnonzero(names[at] == own)
+                w[mine, at[mine]] = 0.0
+                few = w[:, : 32 * top]
+                floor = np.partition(few, -top, axis=1)[:, -top] if few.shape[1] > top else np.zeros(len(w))
+                i, j = np.nonzero(w >= floor[:, None])
+                order = np.lexsort((j, -w[i, j], i))
+                i, j = i[order], j[order]
+                best = np.arange(len(i)) - np.searchsorted(i, i) < top
+                rows += [(*keys[lo + a], names[b], w[a, b]) for a, b in zip(i[best], j[best])]
         return pd.DataFrame(rows, columns=["target", "model", "feature", "w"])
 
     near = _dealt(fits.select("target", "model", "alpha"), scaled, n, "target", blocks).applyInPandas(strongest, "target string, model string, feature string, w double")

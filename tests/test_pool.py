@@ -110,3 +110,37 @@ def test_more_predictors_than_sessions_and_no_rows(spark):
     assert pool.ridge_pool(df).count() == 80
     assert pool.stepwise_pool(df, cap=3).groupBy("target").count().filter("count > 3").count() == 0
     assert pool.stepwise_pool(df.limit(0)).count() == 0 and pool.ridge_pool(df.limit(0)).count() == 0
+
+
+def test_batched_search_takes_the_plain_best_candidate():
+    import pandas as pd
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(400, 60))
+    x[7] = x[6]  # a tie
+    x[9] = 2.0  # no spread
+    centred = x - x.mean(axis=1, keepdims=True)
+    names = np.array([f"T{i:03d}" for i in range(400)])
+    left = []
+    for t in range(90):
+        chosen, q, r = [], [], centred[t] + 0.3 * centred[6]
+        for c in rng.choice(np.arange(100, 400), t % 9, replace=False):
+            v = centred[c] - sum(((centred[c] @ u) * u for u in q), np.zeros(60))
+            v /= np.sqrt(v @ v)
+            q.append(v)
+            r = r - (r @ v) * v
+            chosen.append(names[c])
+        left.append((names[t], r, q, chosen))
+    got = pool._best_candidates(pd.DataFrame(left, columns=["target", "r", "q", "chosen"]), pd.DataFrame({"feature": names, "x": list(x)}))
+    for (t, r, q, chosen), (_, feature, gain) in zip(left, got.itertuples(index=False)):
+        room = (centred**2).sum(axis=1) - sum(((centred @ v) ** 2 for v in q), np.zeros(400))
+        ok = (room > 1e-9) & ~np.isin(names, [t, *chosen])
+        want = np.where(ok, (centred @ r) ** 2 / np.where(ok, room, 1), -1)
+        assert feature == names[int(np.argmax(want.round(12)))] and gain == pytest.approx(want.max(), abs=1e-9)
+
+
+def test_blocks_are_large(spark):
+    """40 blocks a side before, so that every series travelled 40 times."""
+    left = spark.range(40_000).selectExpr("concat('S', id) AS target")
+    right = spark.range(40_000).selectExpr("concat('S', id) AS series", "array(1D) AS values")
+    out = pool._dealt(left, right, 82, "target", None).applyInPandas(lambda a, b: a[["target"]].head(0), "target string")
+    assert "sequence(0, 7" in out._jdf.queryExecution().analyzed().toString()
