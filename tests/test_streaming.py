@@ -176,3 +176,18 @@ def test_a_late_gauge_still_reaches_its_ticks(spark):
     by = {r["seq"]: r["gauge"] for r in got.collect()}
     want = {i: 70.0 if i < 5 else 72.0 for i in range(20)} | {24: None, 25: 0.0}
     assert {k: by.get(k, "missing") for k in want} == want
+
+
+def test_a_busy_hour_of_gauges_is_not_multiplied(spark):
+    n = 6000  # one hour: all pairs within it would be about nine million
+    rows = [(i / 200, 0, "ga"[i % 2], float(i)) for i in range(n)] + [(85, 0, "a", -1.0), (95, 0, "a", -2.0)]
+    rows += [(m, 0, t, 0.0) for m in (1000, 2000) for t in "ag"]
+    base, d = feed(spark, rows, 1)
+    ticks = stream(spark, base).filter("ticker <> 'g'")
+    gauge = stream(spark, base).filter("ticker = 'g'").select(F.col("ts").alias("gauge_ts"), F.col("seq").alias("gauge_seq"), F.col("price").alias("gauge"))
+    out = gates.live_gauge(ticks.unionByName(ticks), gauge)
+    path = scratch_path(spark, "busy")
+    q = sinks.run_available(out, sinks.batch_folder_sink(f"{path}/data"), f"{path}/checkpoint", "append")
+    assert sum(o.numRowsTotal for o in q.recentProgress[0].stateOperators) < 100  # one row a cell, none a pair
+    got = {r["price"]: r["gauge"] for r in spark.read.option("recursiveFileLookup", True).parquet(f"{path}/data").filter("seq < 6002").collect()}
+    assert got == {float(i): float(i - 1) for i in range(1, n, 2)} | {-1.0: n - 2.0, -2.0: None}
