@@ -191,3 +191,19 @@ def test_a_busy_hour_of_gauges_is_not_multiplied(spark):
     assert sum(o.numRowsTotal for o in q.recentProgress[0].stateOperators) < 100  # one row a cell, none a pair
     got = {r["price"]: r["gauge"] for r in spark.read.option("recursiveFileLookup", True).parquet(f"{path}/data").filter("seq < 6002").collect()}
     assert got == {float(i): float(i - 1) for i in range(1, n, 2)} | {-1.0: n - 2.0, -2.0: None}
+
+
+def test_timers_hold_many_orders_to_a_state(spark):
+    n, day = 5000, dt.date(2024, 1, 1)  # one state row an order would be 5,000
+    base, path = scratch_path(spark, "many"), scratch_path(spark, "ended")
+    events(spark, [(9 * 60, u, "a", float(u % 3)) for u in range(0, n, 2)] + [(30 * 60, 0, "a", 0.0)]).write.parquet(f"{base}/events0.parquet")
+    spark.createDataFrame([(u, day) for u in [*range(n), None, 2**60 + 1]], "user long, session date").coalesce(1).write.parquet(f"{base}/orders0.parquet")
+    limits = spark.range(n).select(F.col("id").alias("user"), (F.col("id") * 0.0 + 1.0).alias("limit_price"))
+    placed = spark.readStream.schema("user long, session date").parquet(f"{base}/orders*.parquet")
+    d = timers.order_timeouts(placed, stream(spark, base), limits, ["user"])
+    q = timers.with_rocks(spark, lambda: sinks.run_available(d, sinks.batch_folder_sink(f"{path}/data"), f"{path}/checkpoint", "append"))
+    assert max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators) < 1000
+    got = spark.read.schema(d.schema).option("recursiveFileLookup", True).parquet(f"{path}/data")
+    want = {u: float(u % 3) if u % 2 == 0 and u % 3 else None for u in range(n)} | {None: None, 2**60 + 1: None}
+    assert {r["user"]: r["fill_price"] for r in got.collect()} == want and got.count() == n + 2
+    assert got.filter("(outcome = 'FILLED') <> (fill_ts is not null) or session <> '2024-01-01'").count() == 0
