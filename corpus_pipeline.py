@@ -33,7 +33,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by Jaccard similarity 0.8 or more of five-word shingles: the one with the smallest id.
 
-    64-bit fingerprints miss such pairs at any radius that can be searched (README), so all pairs are met exactly.
+    Texts meet by SimHash first. 64-bit fingerprints miss such pairs at any radius that can be searched (README), so a
+    prefix filter meets the rest; every pair that meets is compared exactly.
     """
     text_batches(spark)
     return jaccard.one_per_group(docs, shingle=5, least=0.8)

@@ -1,10 +1,12 @@
-"""Near-dedup by exact Jaccard similarity of word shingles.
+"""Near-dedup by SimHash and exact Jaccard similarity of word shingles.
 
 Texts link if the sets of their shingles have Jaccard similarity ``least`` or
-more; a group is what links connect. No pair is lost (prefix filter): with all
-shingles in one fixed order, two sets of n shingles that are this similar share
-one of their first n - ceil(least * n) + 1. Texts are therefore met by the
-shingles of that prefix, and every pair that meets is compared whole.
+more; a group is what links connect. Texts meet first by the SimHash of their
+sets: each is compared with one text of the fingerprints that BK-trees connect
+to its own. Fingerprints miss pairs, so texts also meet by a prefix filter, which
+loses none: with all shingles in one fixed order, two sets of n shingles that are
+this similar share one of their first n - ceil(least * n) + 1. Every pair that
+meets is compared whole.
 
 The order is by hash, with shingles common in about 2,000 sampled rows last; the
 sample decides how many pairs meet, never which are found. Where many texts
@@ -14,7 +16,9 @@ that these links have not joined.
 Two sizes and a similarity give the least number of shingles that two sets must
 share, hence how many of those before a place in the order. Pairs whose
 prefixes share fewer are dropped by 32 bits of each prefix shingle (equal bits
-of different shingles only keep a pair); texts move for what is left.
+of different shingles only keep a pair); texts move for what is left. On long
+lists that is done where the list is, with the prefixes of its texts beside it,
+so only pairs that stay become rows.
 """
 
 from __future__ import annotations
@@ -30,7 +34,8 @@ from xxhash import xxh64_digest, xxh64_intdigest
 
 from ..session import pin
 from .components import connected
-from .simhash import SEED, text_hash
+from .joins import lookup
+from .simhash import SEED, fingerprint_links, majority, text_hash
 
 SAMPLE_ROWS, SAMPLE_HITS, SMALL = 2000, 5, 4
 
@@ -66,20 +71,22 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, kind: str, shingle: int, least: float, common: np.ndarray) -> DataFrame:
-    """(id, th, key, n, early, prefix) per row: key is a hash of the set, n its size; the first ``early`` of the prefix are not common."""
+    """(id, th, key, n, fp, early, prefix) per row: key is a hash of the set, n its size, fp its SimHash; the first ``early`` of the prefix are not common."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, earlies, prefixes = [], [], [], []
+            keys, sizes, fps, earlies, prefixes = [], [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t, shingle)
                 late = _member(s, common)
                 keys.append(xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
+                fps.append(majority(s.astype(">u8").view(np.uint8).reshape(-1, 8)))
                 prefixes.append(np.concatenate([s[~late], s[late]])[: prefix_size(len(s), least)].view(np.int64))
                 earlies.append(min(int((~late).sum()), len(prefixes[-1])))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
-                                              pa.array(earlies, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))], ["id", "th", "key", "n", "early", "prefix"])
-    return docs.mapInArrow(scan, f"id {kind}, th long, key long, n int, early int, prefix array<long>")
+                                              pa.array(fps, pa.int64()), pa.array(earlies, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
+                                             ["id", "th", "key", "n", "fp", "early", "prefix"])
+    return docs.mapInArrow(scan, f"id {kind}, th long, key long, n int, fp long, early int, prefix array<long>")
 
 
 def prefix_size(n: int, least: float) -> int:
@@ -102,20 +109,20 @@ def _maybe(rows: DataFrame, wanted: DataFrame, col: str) -> DataFrame:
 
 
 def _pairs(lists: DataFrame, least: float, wanted: str) -> DataFrame:
-    """(a, b) keys of texts on one list whose sizes allow the similarity: ``all``, ``next`` by size, or ``apart`` (of two roots)."""
+    """(a, b) keys of texts on one list whose sizes allow the similarity: ``all`` or ``next`` by size."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
         for batch in batches:
             entries = batch.column("all")
             flat, at = entries.flatten(), np.concatenate([[0], np.cumsum(entries.value_lengths().to_numpy())])
-            keys, sizes, roots = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("key", "n", "root"))
+            keys, sizes = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("key", "n"))
             for lo, hi in zip(at[:-1], at[1:]):
-                key, n, root = keys[lo:hi], sizes[lo:hi], roots[lo:hi]
+                key, n = keys[lo:hi], sizes[lo:hi]
                 ends = np.searchsorted(n, n / least + 1e-6, "right")
                 if wanted == "next":  # a text with no such neighbour has no pair on the list at all
                     ends = np.minimum(ends, np.arange(len(key)) + 2)
                 for i in range(len(key) - 1):
-                    b = key[i + 1: ends[i]][root[i + 1: ends[i]] != root[i]]
+                    b = key[i + 1: ends[i]]
                     if len(b):
                         out.append((np.full(len(b), key[i]), b))
                         size += len(b)
@@ -128,6 +135,60 @@ def _pairs(lists: DataFrame, least: float, wanted: str) -> DataFrame:
     return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def list_pairs(n: np.ndarray, root: np.ndarray, flat: np.ndarray, at: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, those after i) of one list in order of size: texts of other roots that :func:`may_be_similar` would keep.
+
+    The ordered prefix of text i is ``flat[at[i]: at[i + 1]]``.
+    """
+    values, number = np.unique(flat, return_inverse=True)
+    last, mine = flat[at[1:] - 1], np.zeros(len(values), bool)
+    ends = np.searchsorted(n, n / least + 1e-6, "right")
+    for i in range(len(n) - 1):
+        j = np.arange(i + 1, ends[i])
+        j = j[root[j] != root[i]]
+        if not len(j):
+            continue
+        lo, hi = i + 1, j[-1] + 1
+        starts = at[lo:hi] - at[lo]
+        mine[number[at[i]: at[i + 1]]] = True
+        both = np.add.reduceat(mine[number[at[lo]: at[hi]]], starts, dtype=np.int64)[j - lo]
+        mine[number[at[i]: at[i + 1]]] = False
+        below = np.add.reduceat(flat[at[lo]: at[hi]] < last[i], starts, dtype=np.int64)[j - lo]  # of b, where a ends first
+        shared = np.ceil(least / (1 + least) * (n[i] + n[j]) - 1e-9).astype(np.int64)
+        of_a = np.searchsorted(flat[at[i]: at[i + 1]], np.minimum(last[i], last[j]))
+        of_b = np.where(last[j] <= last[i], at[j + 1] - at[j] - 1, below)
+        good = (shared <= np.minimum(n[i], n[j])) & (both >= np.maximum(of_a - (n[i] - shared), of_b - (n[j] - shared)))
+        if good.any():
+            yield i, j[good]
+
+
+def _apart(lists: DataFrame, least: float) -> DataFrame:
+    """(a, b) keys of texts on one list, of two roots, that the prefixes do not rule out."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                e = batch.column("all").slice(r, 1).flatten()
+                key, n, root, early = (e.field(f).to_numpy(zero_copy_only=False) for f in ("key", "n", "root", "early"))
+                prefix = e.field("prefix")
+                size = prefix.value_lengths().to_numpy().astype(np.int64)
+                at = np.concatenate([[0], np.cumsum(size)])
+                flat = prefix.flatten().to_numpy().view(np.uint32).astype(np.int64)
+                flat += (np.arange(len(flat)) - np.repeat(at[:-1], size) >= np.repeat(early, size)).astype(np.int64) << 32  # common ones come last
+                out = [(np.full(len(j), key[i]), key[j]) for i, j in list_pairs(n.astype(np.int64), root, flat, at, least)]
+                for lo in range(0, len(out), 1024):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out[lo: lo + 1024])], ["a", "b"])
+    made = lists.mapInArrow(scan, "a long, b long")
+    return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _by_fingerprint(sets: DataFrame, radius: int = 2) -> DataFrame:
+    """(a, b): every set with the smallest one among the fingerprints that links within ``radius`` connect to its own."""
+    root = connected(fingerprint_links(pin(sets.select("fp").distinct()), radius)).select(F.col("node").alias("fp"), F.col("root").alias("r"))
+    rooted = sets.select("key", "fp").join(root, "fp", "left").select("key", F.coalesce("r", "fp").alias("r"))
+    low = rooted.groupBy("r").agg(F.min("key").alias("a"))
+    return lookup(rooted, low, "r").filter("key <> a").select("a", F.col("key").alias("b"))
+
+
 def may_be_similar(na: int, nb: int, a: np.ndarray, b: np.ndarray, least: float) -> bool:
     """False only if two sets of na and nb shingles with these ordered prefixes cannot have the similarity."""
     shared = math.ceil(least / (1 + least) * (na + nb) - 1e-9)
@@ -191,22 +252,24 @@ def _held(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _links(rows: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """(a, b) links between set keys; their connected components are those of all similar pairs."""
-    sets = pin(rows.filter("n > 0").dropDuplicates(["key"]).select("key", "n", "early", "prefix"))
+    sets = pin(rows.filter("n > 0").dropDuplicates(["key"]).select("key", "n", "fp", "early", "prefix"))
     met = (sets.select("key", "n", F.explode("prefix").alias("s")).groupBy("s")
-           .agg(F.collect_list(F.struct("n", "key", F.col("key").alias("root"))).alias("all")).filter(F.size("all") > 1))
+           .agg(F.collect_list(F.struct("n", "key")).alias("all")).filter(F.size("all") > 1))
     met = pin(met.select(F.array_sort("all").alias("all")).distinct())
     few, many = met.filter(F.size("all") <= SMALL), met.filter(F.size("all") > SMALL)
-    first = pin(_pairs(few, least, "all").unionByName(_pairs(many, least, "next")).distinct())
+    first = pin(_by_fingerprint(sets).unionByName(_pairs(few, least, "all")).unionByName(_pairs(many, least, "next")).distinct())
     likely = _possible(first, sets, least)
     links = _verified(likely, _held(likely, rows, texts), shingle, least)
     if many.isEmpty():
         return links
     root = connected(links).select("node", F.col("root").alias("r"))
     lists = many.select(F.xxhash64("all").alias("list"), F.explode("all").alias("e")).select("list", "e.n", "e.key")
-    lists = lists.join(root, F.col("key") == F.col("node"), "left").groupBy("list").agg(
-        F.array_sort(F.collect_set(F.struct("n", "key", F.coalesce("r", "key").alias("root")))).alias("all"))
-    rest = _pairs(lists.filter(F.size(F.array_distinct("all.root")) > 1), least, "apart").join(first, ["a", "b"], "left_anti")
-    likely = _possible(rest, sets, least)
+    lists = lists.join(root, F.col("key") == F.col("node"), "left").select("list", "n", "key", F.coalesce("r", "key").alias("root"))
+    split = lists.groupBy("list").agg((F.min("root") < F.max("root")).alias("split")).filter("split").select("list")
+    lists = lists.join(split, "list", "left_semi").distinct()
+    short = sets.select("key", "early", F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int")).alias("prefix"))
+    lists = lists.join(short, "key").groupBy("list").agg(F.array_sort(F.collect_list(F.struct("n", "key", "root", "early", "prefix"))).alias("all"))
+    likely = pin(_apart(lists, least).join(likely, ["a", "b"], "left_anti"))
     return links.unionByName(_verified(likely, _held(likely, rows, texts), shingle, least))
 
 

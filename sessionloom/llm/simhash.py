@@ -46,7 +46,11 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     if not words:
         return 0
     parts = [words] if n < 1 else zip(*[words[i:] for i in range(shingle)])
-    codes = np.frombuffer(b"".join([xxh64_digest(b" ".join(p), SEED) for p in parts]), np.uint8).reshape(-1, 8)
+    return majority(np.frombuffer(b"".join([xxh64_digest(b" ".join(p), SEED) for p in parts]), np.uint8).reshape(-1, 8))
+
+
+def majority(codes: np.ndarray) -> int:
+    """The bits set in more than half of the 64-bit codes (rows of eight bytes, most significant first), as a signed number."""
     votes = np.zeros(64, np.int64)
     for i in range(0, len(codes), 65536):
         votes += np.unpackbits(codes[i: i + 65536], axis=1).sum(axis=0, dtype=np.int64)

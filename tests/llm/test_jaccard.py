@@ -85,3 +85,30 @@ def test_prefixes_never_rule_out_a_similar_pair():
         assert maybe or not similar
         kept, dropped = kept + maybe, dropped + (not maybe)
     assert dropped > 300 and kept > 500
+
+
+def test_long_lists_keep_what_prefixes_allow_and_no_more():
+    rng = np.random.default_rng(3)
+    common, base = rng.integers(0, 2**32, 12), rng.integers(0, 2**32, 400)
+    sets = [(np.unique(rng.choice(base, rng.integers(150, 260), replace=False)) if i % 3 else np.unique(np.concatenate([base[:190], rng.integers(0, 2**32, 10)]))) for i in range(60)]
+    sets = sorted([np.unique(np.concatenate([s, common[:6]])) for s in sets], key=len)
+    n, root = np.array([len(s) for s in sets]), np.arange(60) // 2
+    prefixes = []
+    for s in sets:  # common ones come last
+        late = np.isin(s, common)
+        whole = np.concatenate([s[~late], s[late] + (1 << 32)])
+        prefixes.append(whole[: jaccard.prefix_size(len(s), 0.8)])
+    flat, at = np.concatenate(prefixes), np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
+    got = {(i, int(k)) for i, j in jaccard.list_pairs(n, root, flat, at, 0.8) for k in j}
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if root[i] != root[j] and n[j] <= n[i] / 0.8 + 1e-6
+            and jaccard.may_be_similar(int(n[i]), int(n[j]), prefixes[i], prefixes[j], 0.8)}
+    assert got == want and 0 < len(want) < 60 * 59 / 4
+
+
+def test_copies_meet_by_fingerprint(spark):
+    words = [f"w{i}" for i in range(400)]
+    texts = [" ".join(words), " ".join(words[:-1] + ["end"]), " ".join(reversed(words))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").selectExpr("id", "xxhash64(text) AS th", "text")
+    sets = jaccard.shingle_sets(docs, "long", 5, 0.8, np.zeros(0, np.uint64)).cache()
+    near = {r["key"] for r in sets.filter("id < 2").collect()}
+    assert [{r["a"], r["b"]} for r in jaccard._by_fingerprint(sets).collect()] == [near]
