@@ -10,15 +10,19 @@ meets is compared whole.
 
 The order is by hash, with shingles common in about 2,000 sampled rows last; the
 sample decides how many pairs meet, never which are found. Where many texts
-share a shingle, neighbours by size are compared first, and then only pairs
-that these links have not joined.
+share a shingle, as few pairs as tie all that may be similar are compared first,
+and then every pair that these links have not joined.
 
 Two sizes and a similarity give the least number of shingles that two sets must
 share, hence how many of those before a place in the order. Pairs whose
 prefixes share fewer are dropped by 32 bits of each prefix shingle (equal bits
 of different shingles only keep a pair); texts move for what is left. On long
 lists that is done where the list is, with the prefixes of its texts beside it,
-so only pairs that stay become rows.
+so only pairs that stay become rows. A text also brings one bit per place of a
+bitmap: whether an odd number of its shingles fall there. What two sets share
+cancels out, so they differ in at least as many shingles as their bitmaps do in
+bits. Near copies that share most prefixes and still are less similar than asked
+for are told apart by that, without a row for each pair of them.
 """
 
 from __future__ import annotations
@@ -71,22 +75,62 @@ def _common(docs: DataFrame, shingle: int) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, kind: str, shingle: int, least: float, common: np.ndarray) -> DataFrame:
-    """(id, th, key, n, fp, early, prefix) per row: key is a hash of the set, n its size, fp its SimHash; the first ``early`` of the prefix are not common."""
+    """(id, th, key, n, fp, bits, early, prefix) per row: key is a hash of the set, n its size, fp its SimHash, bits its parities; the first ``early`` of the prefix are not common."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, sizes, fps, earlies, prefixes = [], [], [], [], []
+            keys, sizes, fps, bits, earlies, prefixes = [], [], [], [], [], []
             for t in b.column("text").to_pylist():
                 s = shingles(t, shingle)
                 late = _member(s, common)
                 keys.append(xxh64_intdigest(s.tobytes(), SEED))
                 sizes.append(len(s))
                 fps.append(majority(s.astype(">u8").view(np.uint8).reshape(-1, 8)))
+                bits.append(parity(s))
                 prefixes.append(np.concatenate([s[~late], s[late]])[: prefix_size(len(s), least)].view(np.int64))
                 earlies.append(min(int((~late).sum()), len(prefixes[-1])))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(sizes, pa.int32()),
-                                              pa.array(fps, pa.int64()), pa.array(earlies, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
-                                             ["id", "th", "key", "n", "fp", "early", "prefix"])
-    return docs.mapInArrow(scan, f"id {kind}, th long, key long, n int, fp long, early int, prefix array<long>")
+                                              pa.array(fps, pa.int64()), pa.array(bits, pa.binary()), pa.array(earlies, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
+                                             ["id", "th", "key", "n", "fp", "bits", "early", "prefix"])
+    return docs.mapInArrow(scan, f"id {kind}, th long, key long, n int, fp long, bits binary, early int, prefix array<long>")
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Bit p is set if an odd number of the hashes are p modulo the number of bits, a power of two of at least twice their number."""
+    size = max(64, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """Bitmaps of :func:`parity`, met pair by pair at the length of the shorter one."""
+
+    def __init__(self, bits: list[bytes]):
+        words = np.array([len(b) // 8 for b in bits])
+        self.words, self.row, self.at = words, np.zeros(len(bits), np.int64), {}
+        for w in np.unique(words):
+            mine = np.flatnonzero(words == w)
+            self.row[mine] = np.arange(len(mine))
+            self.at[int(w), int(w)] = np.frombuffer(b"".join(bits[k] for k in mine), np.uint64).reshape(len(mine), w)
+
+    def _folded(self, words: int, to: int) -> np.ndarray:
+        if (words, to) not in self.at:
+            longer = self._folded(words, 2 * to)
+            self.at[words, to] = longer[:, :to] ^ longer[:, to:]
+        return self.at[words, to]
+
+    def apart(self, i: int, j: np.ndarray) -> np.ndarray:
+        """In how many bits the bitmaps of ``j`` differ from that of ``i``."""
+        out = np.zeros(len(j), np.int64)
+        for w in np.unique(self.words[j]):
+            some, to = self.words[j] == w, int(min(w, self.words[i]))
+            mine = self._folded(int(self.words[i]), to)[self.row[i]]
+            out[some] = np.bitwise_count(self._folded(int(w), to)[self.row[j[some]]] ^ mine).sum(axis=1, dtype=np.int64)
+        return out
+
+
+def most_apart(na, nb, least: float):
+    """In how many shingles two sets of na and nb may differ and still have the similarity."""
+    return na + nb - 2 * np.ceil(least / (1 + least) * (na + nb) - 1e-9)
 
 
 def prefix_size(n: int, least: float) -> int:
@@ -108,8 +152,8 @@ def _maybe(rows: DataFrame, wanted: DataFrame, col: str) -> DataFrame:
     return at.join(bits, F.col("_in") == F.col("_bucket"), "left").select(*rows.columns, F.coalesce(hit, F.lit(False)).alias("maybe"))
 
 
-def _pairs(lists: DataFrame, least: float, wanted: str) -> DataFrame:
-    """(a, b) keys of texts on one list whose sizes allow the similarity: ``all`` or ``next`` by size."""
+def _pairs(lists: DataFrame, least: float) -> DataFrame:
+    """(a, b) keys of texts on one list whose sizes allow the similarity."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
         for batch in batches:
@@ -119,8 +163,6 @@ def _pairs(lists: DataFrame, least: float, wanted: str) -> DataFrame:
             for lo, hi in zip(at[:-1], at[1:]):
                 key, n = keys[lo:hi], sizes[lo:hi]
                 ends = np.searchsorted(n, n / least + 1e-6, "right")
-                if wanted == "next":  # a text with no such neighbour has no pair on the list at all
-                    ends = np.minimum(ends, np.arange(len(key)) + 2)
                 for i in range(len(key) - 1):
                     b = key[i + 1: ends[i]]
                     if len(b):
@@ -135,25 +177,29 @@ def _pairs(lists: DataFrame, least: float, wanted: str) -> DataFrame:
     return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def list_pairs(n: np.ndarray, root: np.ndarray, flat: np.ndarray, at: np.ndarray, least: float) -> Iterator[tuple[int, np.ndarray]]:
-    """(i, those after i) of one list in order of size: texts of other roots that :func:`may_be_similar` would keep.
+def list_pairs(n: np.ndarray, root: np.ndarray, flat: np.ndarray, at: np.ndarray, least: float, bits: list[bytes] | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, those after i) of one list in order of size: texts of other roots that :func:`may_be_similar` and their parities would keep.
 
     The ordered prefix of text i is ``flat[at[i]: at[i + 1]]``.
     """
+    odd = None if bits is None else Parities(bits)
     values, number = np.unique(flat, return_inverse=True)
     last, mine = flat[at[1:] - 1], np.zeros(len(values), bool)
     ends = np.searchsorted(n, n / least + 1e-6, "right")
     for i in range(len(n) - 1):
         j = np.arange(i + 1, ends[i])
         j = j[root[j] != root[i]]
+        if odd is not None and len(j):
+            j = j[odd.apart(i, j) <= most_apart(n[i], n[j], least)]
         if not len(j):
             continue
-        lo, hi = i + 1, j[-1] + 1
-        starts = at[lo:hi] - at[lo]
+        size = at[j + 1] - at[j]
+        starts = np.cumsum(size) - size
+        theirs = np.repeat(at[j] - starts, size) + np.arange(size.sum())
         mine[number[at[i]: at[i + 1]]] = True
-        both = np.add.reduceat(mine[number[at[lo]: at[hi]]], starts, dtype=np.int64)[j - lo]
+        both = np.add.reduceat(mine[number[theirs]], starts, dtype=np.int64)
         mine[number[at[i]: at[i + 1]]] = False
-        below = np.add.reduceat(flat[at[lo]: at[hi]] < last[i], starts, dtype=np.int64)[j - lo]  # of b, where a ends first
+        below = np.add.reduceat(flat[theirs] < last[i], starts, dtype=np.int64)  # of b, where a ends first
         shared = np.ceil(least / (1 + least) * (n[i] + n[j]) - 1e-9).astype(np.int64)
         of_a = np.searchsorted(flat[at[i]: at[i + 1]], np.minimum(last[i], last[j]))
         of_b = np.where(last[j] <= last[i], at[j + 1] - at[j] - 1, below)
@@ -162,6 +208,47 @@ def list_pairs(n: np.ndarray, root: np.ndarray, flat: np.ndarray, at: np.ndarray
             yield i, j[good]
 
 
+def list_forest(n: np.ndarray, bits: list[bytes], least: float) -> Iterator[tuple[int, int]]:
+    """Pairs of one list in order of size that tie whatever the parities allow to be similar: fewer than there are texts.
+
+    A tree grows by the text whose bitmap is nearest to one of its own, by the share of the bits in which they may differ.
+    """
+    odd, far, by = Parities(bits), np.full(len(n), np.inf), np.zeros(len(n), np.int64)
+    open_ = np.ones(len(n), bool)
+    starts, ends = np.searchsorted(n, n * least - 1e-6), np.searchsorted(n, n / least + 1e-6, "right")
+    for _ in range(len(n)):
+        i = int(np.argmin(far))
+        if np.isinf(far[i]):
+            i = int(np.argmax(open_))
+        else:
+            yield int(by[i]), i
+        open_[i], far[i] = False, np.inf
+        j = starts[i] + np.flatnonzero(open_[starts[i]: ends[i]])
+        allowed = most_apart(n[i], n[j], least)
+        share = odd.apart(i, j) / np.maximum(allowed, 0.5)
+        nearer = (share * np.maximum(allowed, 0.5) <= allowed + 1e-6) & (share < far[j])
+        far[j[nearer]], by[j[nearer]] = share[nearer], i
+
+
+def _listed(entries: DataFrame, fields: list[str]) -> DataFrame:
+    """(list, all) of entries ``fields`` in order; little data may be much work, so lists stay dealt to all tasks."""
+    parts = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return entries.repartition(parts, "list").groupBy("list").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("all"))
+
+
+def _tied(lists: DataFrame, least: float) -> DataFrame:
+    """(a, b) keys of :func:`list_forest` of each list."""
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                e = batch.column("all").slice(r, 1).flatten()
+                key, n = (e.field(f).to_numpy(zero_copy_only=False) for f in ("key", "n"))
+                ties = np.array(list(list_forest(n.astype(np.int64), e.field("bits").to_pylist(), least)), np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(key[ties[:, 0]]), pa.array(key[ties[:, 1]])], ["a", "b"])
+    made = lists.mapInArrow(scan, "a long, b long")
+    return made.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _apart(lists: DataFrame, least: float) -> DataFrame:
     """(a, b) keys of texts on one list, of two roots, that the prefixes do not rule out."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +261,7 @@ def _apart(lists: DataFrame, least: float) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(size)])
                 flat = prefix.flatten().to_numpy().view(np.uint32).astype(np.int64)
                 flat += (np.arange(len(flat)) - np.repeat(at[:-1], size) >= np.repeat(early, size)).astype(np.int64) << 32  # common ones come last
-                out = [(np.full(len(j), key[i]), key[j]) for i, j in list_pairs(n.astype(np.int64), root, flat, at, least)]
+                out = [(np.full(len(j), key[i]), key[j]) for i, j in list_pairs(n.astype(np.int64), root, flat, at, least, e.field("bits").to_pylist())]
                 for lo in range(0, len(out), 1024):
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out[lo: lo + 1024])], ["a", "b"])
     made = lists.mapInArrow(scan, "a long, b long")
@@ -252,23 +339,24 @@ def _held(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 def _links(rows: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
     """(a, b) links between set keys; their connected components are those of all similar pairs."""
-    sets = pin(rows.filter("n > 0").dropDuplicates(["key"]).select("key", "n", "fp", "early", "prefix"))
+    sets = pin(rows.filter("n > 0").dropDuplicates(["key"]).select("key", "n", "fp", "bits", "early", "prefix"))
     met = (sets.select("key", "n", F.explode("prefix").alias("s")).groupBy("s")
            .agg(F.collect_list(F.struct("n", "key")).alias("all")).filter(F.size("all") > 1))
     met = pin(met.select(F.array_sort("all").alias("all")).distinct())
     few, many = met.filter(F.size("all") <= SMALL), met.filter(F.size("all") > SMALL)
-    first = pin(_by_fingerprint(sets).unionByName(_pairs(few, least, "all")).unionByName(_pairs(many, least, "next")).distinct())
+    entries = pin(many.select(F.xxhash64("all").alias("list"), F.explode("all").alias("e")).select("list", "e.n", "e.key"))
+    tied = _tied(_listed(entries.distinct().join(sets.select("key", "bits"), "key"), ["n", "key", "bits"]), least)
+    first = pin(_by_fingerprint(sets).unionByName(_pairs(few, least)).unionByName(tied).distinct())
     likely = _possible(first, sets, least)
     links = _verified(likely, _held(likely, rows, texts), shingle, least)
     if many.isEmpty():
         return links
     root = connected(links).select("node", F.col("root").alias("r"))
-    lists = many.select(F.xxhash64("all").alias("list"), F.explode("all").alias("e")).select("list", "e.n", "e.key")
-    lists = lists.join(root, F.col("key") == F.col("node"), "left").select("list", "n", "key", F.coalesce("r", "key").alias("root"))
+    lists = entries.join(root, F.col("key") == F.col("node"), "left").select("list", "n", "key", F.coalesce("r", "key").alias("root"))
     split = lists.groupBy("list").agg((F.min("root") < F.max("root")).alias("split")).filter("split").select("list")
     lists = lists.join(split, "list", "left_semi").distinct()
-    short = sets.select("key", "early", F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int")).alias("prefix"))
-    lists = lists.join(short, "key").groupBy("list").agg(F.array_sort(F.collect_list(F.struct("n", "key", "root", "early", "prefix"))).alias("all"))
+    short = sets.select("key", "bits", "early", F.transform("prefix", lambda x: F.shiftright(x, 32).cast("int")).alias("prefix"))
+    lists = _listed(lists.join(short, "key"), ["n", "key", "root", "bits", "early", "prefix"])
     likely = pin(_apart(lists, least).join(likely, ["a", "b"], "left_anti"))
     return links.unionByName(_verified(likely, _held(likely, rows, texts), shingle, least))
 

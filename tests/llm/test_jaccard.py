@@ -112,3 +112,41 @@ def test_copies_meet_by_fingerprint(spark):
     sets = jaccard.shingle_sets(docs, "long", 5, 0.8, np.zeros(0, np.uint64)).cache()
     near = {r["key"] for r in sets.filter("id < 2").collect()}
     assert [{r["a"], r["b"]} for r in jaccard._by_fingerprint(sets).collect()] == [near]
+
+
+def test_parities_never_differ_in_more_bits_than_sets_in_shingles():
+    rnd = random.Random(4)
+    sets = [np.array(sorted(rnd.getrandbits(64) for _ in range(rnd.randint(1, 900))), np.uint64)]
+    while len(sets) < 60:
+        old = rnd.choice(sets)
+        new = set(old[np.array([rnd.random() < 0.9 for _ in old])].tolist()) | {rnd.getrandbits(64) for _ in range(rnd.randint(1, 60))}
+        sets.append(np.array(sorted(new), np.uint64))
+    odd, every = jaccard.Parities([jaccard.parity(s) for s in sets]), np.arange(len(sets))
+    for i, s in enumerate(sets):
+        apart = odd.apart(i, every)
+        real = np.array([len(np.setxor1d(s, x)) for x in sets])
+        assert (apart <= real).all() and apart[i] == 0
+        assert (apart[real > 100] > 40).all()
+
+
+def test_near_copies_below_the_similarity_become_few_pairs():
+    rnd = random.Random(6)
+    base = [f"w{k}" for k in range(240)]
+    sets = [jaccard.shingles(edited(rnd, base, 7 if k % 2 else 2), 5) for k in range(120)]
+    sets = sorted(sets, key=len)
+    n, root, bits = np.array([len(s) for s in sets]), np.arange(120), [jaccard.parity(s) for s in sets]
+    prefixes = [(s >> np.uint64(32)).astype(np.int64)[: jaccard.prefix_size(len(s), 0.8)] for s in sets]
+    flat, at = np.concatenate(prefixes), np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
+    links = set()
+    for a in range(120):
+        for b in range(a + 1, 120):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if both >= 0.8 * (n[a] + n[b] - both) - 1e-9:
+                links.add((a, b))
+    met = {(i, int(k)) for i, j in jaccard.list_pairs(n, root, flat, at, 0.8, bits) for k in j}
+    assert links <= met and len(met) <= 1.3 * len(links) + 20 < 120 * 119 / 4
+    ties = list(jaccard.list_forest(n, bits, 0.8))
+    group = list(range(120))
+    for a, b in ties:
+        group = [group[a] if g == group[b] else g for g in group]
+    assert len(ties) < 120 and all(group[a] == group[b] for a, b in links)
