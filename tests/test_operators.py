@@ -206,6 +206,25 @@ def test_triplet_bounds_lose_nothing_and_skip_pairs(seed, k):
     assert sum(p[1] for p in parts) < 0.5 * sum(p[2] for p in parts)
 
 
+def test_triplet_bounds_leave_few_pairs_among_weak_features():
+    rng = np.random.default_rng(7)
+    x, y = rng.normal(size=(300, 82)), rng.normal(size=82)
+    x, y = x - x.mean(axis=1, keepdims=True), y - y.mean()
+    x[299] = x[7]  # a copy ties with its original
+    c, g, yy = x @ y, x @ x.T, float(y @ y)
+    seeds = sorted((s for lo in range(0, 300, 30) for s in solvers.seed_triplets(x, c, yy, range(lo, lo + 30), 5)), reverse=True)
+    parts = [solvers.best_triplets(x, c, yy, range(lo, lo + 75), 5, bound=seeds[4][0]) for lo in range(0, 300, 75)]
+    found = sorted((s for p in parts for s in p[0]), key=lambda s: (-round(s[0], 12), *s[1:]))[:5]
+    norm, brute = (x**2).sum(axis=1), []
+    for i in range(298):
+        j, k = np.triu_indices(299 - i, 1)
+        j, k = j + i + 1, k + i + 1
+        r2 = (c[i] + c[j] + c[k]) ** 2 / (norm[i] + norm[j] + norm[k] + 2 * (g[i, j] + g[i, k] + g[j, k])) / yy
+        brute += [(-round(float(r2[b]), 12), i, int(j[b]), int(k[b])) for b in np.argsort(-r2)[:12]]
+    assert [s[1:] for s in found] == [s[1:] for s in sorted(brute)[:5]]
+    assert sum(p[1] for p in parts) < 0.05 * sum(p[2] for p in parts)
+
+
 def test_triplets_with_gaps_and_few_features(spark):
     d = days(40)
     long = [(f, d[i], float((i * p) % 7)) for f, p in (("a", 2), ("b", 3), ("c", 5)) for i in range(40) if (i + p) % 9]
