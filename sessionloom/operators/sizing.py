@@ -187,15 +187,20 @@ def ordered_fold(rows: DataFrame, keys, order, fields: dict[str, Column], start:
     return g.select(*k, "rows", F.aggregate("rows", F.col("_start"), step).alias("acc"))
 
 
-def fold_cash(todo: DataFrame, keys, order, raw="raw", price="price", cash="cash") -> DataFrame:
-    """(keys, rows, acc): acc.paid is what each row of ``rows`` costs in whole units, acc.left the cash that remains."""
-    start = F.struct(F.max(F.col(cash).cast("double")).alias("left"), F.array().cast("array<double>").alias("paid"))
+def fold_cash(todo: DataFrame, keys, order, raw="raw", price="price", cash="cash", each: bool = True) -> DataFrame:
+    """(keys, rows, acc): acc.paid is what each row of ``rows`` costs in whole units, acc.left the cash that remains.
+
+    Without ``each`` acc.bought counts the rows bought instead. A list that grows
+    row by row is copied at every step, which only short groups can bear.
+    """
+    start = {"left": F.max(F.col(cash).cast("double"))} | ({"paid": F.array().cast("array<double>")} if each else {"bought": F.lit(0).cast("long")})
 
     def step(acc: Column, row: Column) -> Column:
         pay = F.coalesce(F.floor(F.least(row["_raw"], acc["left"]) / row["_price"]) * row["_price"], F.lit(0.0))
-        return F.struct((acc["left"] - pay).alias("left"), F.array_append(acc["paid"], pay).alias("paid"))
+        after = F.array_append(acc["paid"], pay).alias("paid") if each else (acc["bought"] + (pay > 0).cast("long")).alias("bought")
+        return F.struct((acc["left"] - pay).alias("left"), after)
 
-    return ordered_fold(todo, keys, order, {"_raw": F.col(raw), "_price": F.col(price)}, start, step)
+    return ordered_fold(todo, keys, order, {"_raw": F.col(raw), "_price": F.col(price)}, F.struct(*[c.alias(n) for n, c in start.items()]), step)
 
 
 def _bought(folded: DataFrame, k: list[str], o: list[str], price: str) -> DataFrame:

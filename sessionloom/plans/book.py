@@ -148,8 +148,8 @@ UNION ALL SELECT f.persona, f.date, c.rn, f.cash - floor(least(c.raw, f.cash) /
 SELECT persona, date, round(arg_max(cash, rn), 4) AS cash_left, max(bought) AS bought FROM f GROUP BY 1, 2""").replace("WITH", "WITH RECURSIVE", 1))
 def _(c):
     """What the cash walk of each persona and session leaves; one row per ticker and session bounds a group."""
-    folded = sizing.fold_cash(_cands(c), ["persona", "date"], ["neg_p", "ticker"])
-    return folded.select("persona", "date", F.round("acc.left", 4).alias("cash_left"), F.size(F.filter("acc.paid", lambda x: x > 0)).cast("long").alias("bought"))
+    folded = sizing.fold_cash(_cands(c), ["persona", "date"], ["neg_p", "ticker"], each=False)
+    return folded.select("persona", "date", F.round("acc.left", 4).alias("cash_left"), F.col("acc.bought").alias("bought"))
 
 
 _BARRED = """, hd AS (SELECT date, ticker, close * 10 AS v FROM pred WHERE ret < -0.3), fz AS (SELECT date, sum(v) AS f FROM hd GROUP BY 1),

@@ -206,6 +206,20 @@ def test_triplet_bounds_lose_nothing_and_skip_pairs(seed, k):
     assert sum(p[1] for p in parts) < 0.5 * sum(p[2] for p in parts)
 
 
+def test_cash_fold_counts_purchases_without_a_list_that_grows(spark):
+    n, left, bought = 3000, 1e5, 0
+    for i in range(n):
+        price, raw = 1.0 + i % 13, 2.0 + i % 97
+        pay = math.floor(min(raw, left) / price) * price
+        left, bought = left - pay, bought + (pay > 0)
+    d = spark.range(n).selectExpr("'p' AS persona", "id AS neg_p", "1.0D + id % 13 AS price", "1e5D AS cash", "2.0D + id % 97 AS raw")
+    folded = sizing.fold_cash(d, ["persona"], ["neg_p"], each=False)
+    assert dict(folded.dtypes)["acc"] == "struct<left:double,bought:bigint>"
+    got, whole = folded.first(), sizing.fold_cash(d, ["persona"], ["neg_p"]).first()
+    assert (got["acc"]["left"], got["acc"]["bought"]) == (left, bought)
+    assert whole["acc"]["left"] == left and sum(x > 0 for x in whole["acc"]["paid"]) == bought and len(got["rows"]) == n
+
+
 def test_triplet_bounds_leave_few_pairs_among_weak_features():
     rng = np.random.default_rng(7)
     x, y = rng.normal(size=(300, 82)), rng.normal(size=82)
