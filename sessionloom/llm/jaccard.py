@@ -352,6 +352,7 @@ def _links(rows: DataFrame, texts: DataFrame, shingle: int, least: float) -> Dat
     if many.isEmpty():
         return links
     root = connected(links).select("node", F.col("root").alias("r"))
+    links = root.select(F.col("node").alias("a"), F.col("r").alias("b"))  # the same components, a link a node
     lists = entries.join(root, F.col("key") == F.col("node"), "left").select("list", "n", "key", F.coalesce("r", "key").alias("root"))
     split = lists.groupBy("list").agg((F.min("root") < F.max("root")).alias("split")).filter("split").select("list")
     lists = lists.join(split, "list", "left_semi").distinct()

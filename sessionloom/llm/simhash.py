@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_digest
 
 from ..session import pin
-from .components import connected
+from .components import connected, join_up
 from .joins import lookup
 
 SEED = 42
@@ -110,19 +110,6 @@ def search_trees(fp: np.ndarray, root: np.ndarray, child: np.ndarray, radius: in
         yield tuple(np.concatenate(x) for x in zip(*found))
 
 
-def _join_up(label: np.ndarray, u: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """Labels after linking rows u and v: the smallest row number of each local component."""
-    while True:
-        low = np.minimum(label[u], label[v])
-        new = label.copy()
-        np.minimum.at(new, label[u], low)
-        np.minimum.at(new, label[v], low)
-        new = new[new]
-        if np.array_equal(new, label):
-            return label
-        label = new
-
-
 def _shard_links(radius: int):
     def link(shard: pd.DataFrame) -> pd.DataFrame:
         bucket, fp = shard["bucket"].to_numpy(), shard["fp"].to_numpy()
@@ -136,7 +123,7 @@ def _shard_links(radius: int):
         root, child = build_trees(bucket, fp)
         label = np.arange(len(fp))
         for u, v in search_trees(fp, root, child, radius):
-            label = _join_up(label, u, v)
+            label = join_up(label, u, v)
         tied = np.flatnonzero(label != np.arange(len(fp)))
         return pd.DataFrame({"a": fp[tied].view(np.int64), "b": fp[label[tied]].view(np.int64)})
     return link

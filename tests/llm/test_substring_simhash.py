@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from sessionloom.llm import simhash, substring
+from sessionloom.llm import components, simhash, substring
 from sessionloom.llm.components import connected
 
 DOC = "doc_id long, text string, ord string, th int, id double, rest string, h long"
@@ -154,3 +154,36 @@ def test_components_of_a_long_chain(spark):
     links = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     got = connected(links).collect()
     assert len(got) == n and {r["root"] for r in got} == {0}
+
+
+def test_components_need_few_rounds(spark, monkeypatch):
+    """Every round is jobs, plans and memory of the driver: links of one task are joined there, and no round only confirms the last."""
+    rounds = []
+    monkeypatch.setattr(components, "pin", lambda df, plain=components.pin: rounds.append(1) or plain(df))
+    hub = spark.range(1, 300).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    assert {r["root"] for r in connected(hub).collect()} == {0} and len(rounds) <= 2
+    rounds.clear()
+    chain = spark.range(199).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["root"] for r in connected(chain).collect()} == {0} and len(rounds) <= 4
+
+
+@pytest.mark.parametrize("held", [1, 7, 1 << 20])
+def test_components_match_brute_force(spark, monkeypatch, held):
+    rnd = random.Random(held)
+    pairs = [(rnd.randrange(-300, 300), rnd.randrange(-300, 300)) for _ in range(260)]
+    low = {x: x for p in pairs for x in p if p[0] != p[1]}
+    while True:
+        new = dict(low)
+        for a, b in pairs:
+            if a != b:
+                new[a] = new[b] = min(new[a], new[b])
+        if new == low:
+            break
+        low = new
+    links = spark.createDataFrame(pairs, "a long, b long")
+    assert {r["node"]: r["root"] for r in connected(links.repartition(8)).collect()} == low
+    parts = [np.array(pairs[i: i + held + 1]) for i in range(0, len(pairs), held + 1)]
+    batches = [components.pa.RecordBatch.from_arrays([components.pa.array(p[:, 0]), components.pa.array(p[:, 1])], ["u", "v"]) for p in parts]
+    monkeypatch.setattr(components, "HELD", held)
+    left = spark.createDataFrame([tuple(r.values()) for b in components._contract(iter(batches)) for r in b.to_pylist()], "a long, b long")
+    assert {r["node"]: r["root"] for r in connected(left).collect()} == low
