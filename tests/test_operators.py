@@ -1,6 +1,7 @@
 """Operators against plain loops on seeded data, with hot keys and long histories."""
 
 import math
+import os
 import random
 
 import numpy as np
@@ -254,6 +255,37 @@ def test_triplets_with_gaps_and_few_features(spark):
     assert models.best_triplets(frame.filter("feature <> 'a'"), t, 3).count() == 0 and models.best_triplets(frame, t.limit(0), 3).count() == 0
 
 
+def test_triplets_never_hold_the_pool_in_one_row(spark, monkeypatch):
+    """One row of a target's whole pool went to sixteen tasks before; equal features tie by name across blocks."""
+    rng = np.random.default_rng(31)
+    n, d = 120, days(60)
+    x, y = rng.normal(size=(n, 60)), rng.normal(size=60)
+    x[60:] = x[:60]  # every feature has a copy
+    x[5] = x[65] = 3.0  # flat
+    names = [f"f{(i * 37) % n:03d}" for i in range(n)]
+    rows = spark.createDataFrame([(f, day, float(v)) for f, r in zip(names, x) for day, v in zip(d, r)], "feature string, date date, value double")
+    goal = spark.createDataFrame([("T", day, float(v)) for day, v in zip(d, y)], "target string, date date, y double")
+    monkeypatch.setattr(correlate, "BLOCK_BYTES", 12 * 60 * 20)
+    folder = os.path.join(spark.conf.get("spark.checkpoint.dir"), spark.sparkContext.applicationId)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = models.best_triplets(rows, goal, 5).orderBy("rank").collect()
+    for path in set(os.listdir(folder)) - before:
+        f = spark.read.parquet(f"{folder}/{path}")
+        held = [c for c, kind in f.dtypes if kind in ("array<string>", "array<int>")]
+        assert all((v or 0) < n * 60 / 2 for v in (f.agg(*[F.max(F.size(c)) for c in held]).first() if held else ()))
+        assert all((v or 0) < n for v in (f.agg(*[F.max(F.size(c)) for c, kind in f.dtypes if kind == "array<string>"]).first() if "array<string>" in dict(f.dtypes).values() else ()))
+    z, v, order = x - x.mean(axis=1, keepdims=True), y - y.mean(), np.argsort(names)
+    z, named = z[order], np.array(names)[order]
+    brute = []
+    for i in range(n - 2):
+        j, k = np.triu_indices(n - 1 - i, 1)
+        total = z[i] + z[j + i + 1] + z[k + i + 1]
+        size = (total**2).sum(axis=1)
+        r2 = np.where(size > 1e-9, (total @ v) ** 2 / np.maximum(size, 1e-9), -1) / (v @ v)
+        brute += [(-round(float(r2[b]), 12), named[i], named[j[b] + i + 1], named[k[b] + i + 1]) for b in np.argsort(-r2)[:40]]
+    assert [(r["first"], r["second"], r["third"]) for r in got] == [b[1:] for b in sorted(brute)[:5]]
+
+
 def test_combo_screen_against_single_fits(spark):
     rng = np.random.default_rng(10)
     n, names = 140, ["a", "b", "c", "d", "e"]
