@@ -10,6 +10,7 @@ driver.
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,13 +18,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import pin
+from ..session import pin, pin_by_row
 from . import solvers
-from .correlate import BLOCK_SERIES, LARGE_BYTES, LARGE_SERIES, LEAST_BLOCKS, pack
+from .correlate import BLOCK_SERIES, LARGE_BYTES, LARGE_SERIES, LEAST_BLOCKS, beside, pack, series_blocks
 from .select import dense_lagged
 
 
 TILE, LEAST_ROOM = 64, 0.05
+CANDIDATES, STATE_BYTES = 2048, 96 << 20
 
 
 def _dealt(left: DataFrame, right: DataFrame, sessions: int, name: str, blocks: int | None, width: int = 1):
@@ -120,48 +122,148 @@ def first_step(returns: DataFrame, lag: int = 1, blocks: int | None = None) -> D
     return one.join(state.select("target", total.alias("_t")), "target").filter("_t > 0").select("target", "feature", (F.col("gain") / F.col("_t")).alias("r2"))
 
 
-def stepwise_pool(returns: DataFrame, lag: int = 1, enter: float = 0.05, cap: int = 10, blocks: int | None = None) -> DataFrame:
-    """Forward stepwise least squares per target over all other tickers: target, step, feature, entry p-value.
+class _Candidates:
+    """All predictors in a temporary file: centred values, and unit vectors in single precision by tiles of columns.
 
-    A round finds each target's best candidate block by block. The target's
-    residual and an orthonormal basis of what it has chosen travel with it, so a
-    candidate's partial correlation is two products; targets whose best p-value
-    is not below ``enter`` drop out. At most ``cap`` rounds.
+    What stays in memory are names and scales; pages of the file go when memory is short.
     """
-    a, b = dense_lagged(returns, lag)
-    predictors, state = pack(b), _start(pack(a))
-    state = pin(state)
-    top = predictors.agg(F.max(F.size("values"))).first()[0] or 0
-    found = returns.sparkSession.createDataFrame([], "target string, step int, feature string, p_value double")
-
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            rows = []
-            for t in d.itertuples():
-                r, x, q = np.asarray(t.r), np.asarray(t.x, float), [np.asarray(v) for v in t.q]
-                df = len(r) - len(q) - 2
-                rss = float(r @ r) - t.gain
-                p = (0.0 if rss <= 0 else solvers.t_two_sided(math.sqrt(t.gain / (rss / df)), df)) if df > 0 else 1.0
-                if p < enter:
-                    x = x - x.mean()
-                    for _ in range(2):  # twice is enough
-                        for v in q:
-                            x = x - (x @ v) * v
-                    x = x / np.sqrt(x @ x)
-                    rows.append((t.target, (r - (r @ x) * x).tolist(), [v.tolist() for v in q] + [x.tolist()], [*t.chosen, t.feature], p))
-            yield pd.DataFrame(rows, columns=["target", "r", "q", "chosen", "p_value"])
 
+    def __init__(self, blocks: Iterator[tuple[np.ndarray, np.ndarray]]):
+        self.names, self.scale, exact, self.tiles, rest = [], [], tempfile.TemporaryFile(), [], None
+        units, sessions = tempfile.TemporaryFile(), 0
+        for names, x in blocks:
+            sessions = x.shape[1]
+            x = x - x.mean(axis=1, keepdims=True)
+            scale = (x**2).sum(axis=1)
+            exact.write(np.ascontiguousarray(x))
+            unit = (x / np.sqrt(np.where(scale > 0, scale, 1.0))[:, None]).astype(np.float32)
+            rest = unit if rest is None else np.concatenate([rest, unit])
+            while len(rest) >= CANDIDATES:
+                rest = self._tile(units, rest[:CANDIDATES]) or rest[CANDIDATES:]
+            self.names.append(names)
+            self.scale.append(scale)
+        if rest is not None and len(rest):
+            self._tile(units, rest)
+        self.names = np.concatenate(self.names) if self.names else np.zeros(0, object)
+        self.scale = np.concatenate(self.scale) if self.scale else np.zeros(0)
+        self.place = {f: i for i, f in enumerate(self.names)}
+        for f in (exact, units):
+            f.flush()
+        if len(self.names):
+            self.x = np.memmap(exact, float, "r", shape=(len(self.names), sessions))
+            self.unit = [np.memmap(units, np.float32, "r", at, (sessions, n)) for at, n in self.tiles]
+
+    def _tile(self, units, rows: np.ndarray) -> None:
+        self.tiles.append((units.tell(), len(rows)))
+        units.write(np.ascontiguousarray(rows.T))
+
+
+def _steps_of(names: np.ndarray, y: np.ndarray, all_of: _Candidates, enter: float, cap: int) -> list[tuple]:
+    """(target, step, feature, p-value) of some targets, all rounds at once.
+
+    A target keeps the products of its residual with every candidate and how much
+    of each candidate its choices leave over, in single precision. A round adds
+    the products with the newest basis vector only. Candidates that may be the
+    best, with all that have little left over, are computed in double precision.
+    """
+    rows, r = [], y - y.mean(axis=1, keepdims=True)
+    size = np.sqrt(np.maximum((r**2).sum(axis=1), 1e-300))
+    live, basis, fresh, fit = np.arange(len(names)), [[] for _ in names], r / size[:, None], np.ones(len(names))
+    share, room = ([np.full((len(names), u.shape[1]), v, np.float32) for u in all_of.unit] for v in (0, 1))  # one contiguous tile each
+    for i, t in enumerate(names):
+        if t in all_of.place:
+            room[all_of.place[t] // CANDIDATES][i, all_of.place[t] % CANDIDATES] = np.inf
+    loss = 2e-5 + 2e-7 * y.shape[1]
     for step in range(1, cap + 1):
-        one = _one_best(state, predictors, top, blocks, step)
-        ready = state.join(one, "target").join(predictors.select(F.col("series").alias("feature"), F.col("values").alias("x")), "feature")
-        after = ready.select("target", "r", "q", "chosen", "feature", "gain", "x").mapInPandas(
-            take, "target string, r array<double>, q array<array<double>>, chosen array<string>, p_value double")
-        after = pin(after)
-        found = found.unionByName(after.select("target", F.lit(step).alias("step"), F.element_at("chosen", -1).alias("feature"), "p_value"))
-        state = after.drop("p_value")
-        if after.isEmpty():
+        new, loss_of = fresh.astype(np.float32), fit.astype(np.float32)[:, None]
+        most, least = (np.empty((len(live), len(share)), np.float32) for _ in range(2))
+        spare = np.empty((2, len(live) * CANDIDATES), np.float32)
+        for c, (unit, s, w) in enumerate(zip(all_of.unit, share, room)):
+            g, h = (a[: s.size].reshape(s.shape) for a in spare)
+            np.matmul(new, unit, out=g)
+            if step == 1:
+                s[:] = g
+            else:
+                s -= np.multiply(g, loss_of, out=h)
+                w -= np.square(g, out=g)
+            np.divide(np.square(s, out=g), np.maximum(w, LEAST_ROOM, out=h), out=g)
+            g.max(axis=1, out=most[:, c])
+            w.min(axis=1, out=least[:, c])
+        kept, fresh, fit = [], [], []
+        for i, t in enumerate(live):
+            rel = r[t] / size[t]
+            have = float(rel @ rel)
+            slack = 4 * loss * (2 * math.sqrt(have) + loss + have) / LEAST_ROOM
+            floor, near = max(float(most[i].max()) - slack, 0.0), []
+            for c in np.flatnonzero((most[i] >= floor) | (least[i] < LEAST_ROOM)):
+                s, w = share[c][i], room[c][i]
+                near.append(c * CANDIDATES + np.flatnonzero((np.square(s) / np.maximum(w, LEAST_ROOM) >= floor) & np.isfinite(w) | (w < LEAST_ROOM)))
+            near = np.concatenate(near) if near else np.zeros(0, int)
+            x, q = np.asarray(all_of.x[near]), np.stack(basis[t]) if basis[t] else np.zeros((0, y.shape[1]))
+            left_over = all_of.scale[near] - ((x @ q.T) ** 2).sum(axis=1)
+            ok = left_over > 1e-10 * np.maximum(all_of.scale[near], 1e-300)
+            for k in near[~ok]:
+                room[k // CANDIDATES][i, k % CANDIDATES] = np.inf  # nothing is left over of it in later rounds either
+            near, x, left_over = near[ok], x[ok], left_over[ok]
+            if not len(near):
+                continue
+            gains = (x @ r[t]) ** 2 / left_over
+            best = np.flatnonzero(gains >= gains.max() * (1 - 1e-12))
+            j = min(best, key=lambda b: all_of.names[near[b]])
+            df = y.shape[1] - len(basis[t]) - 2
+            rss = float(r[t] @ r[t]) - float(gains[j])
+            p = (0.0 if rss <= 0 else solvers.t_two_sided(math.sqrt(float(gains[j]) / (rss / df)), df)) if df > 0 else 1.0
+            if p < enter:
+                v = x[j] - x[j].mean()
+                for _ in range(2):  # twice is enough
+                    for u in basis[t]:
+                        v = v - (v @ u) * u
+                v = v / np.sqrt(v @ v)
+                rows.append((names[t], step, all_of.names[near[j]], p))
+                room[near[j] // CANDIDATES][i, near[j] % CANDIDATES] = np.inf
+                kept.append(i)
+                fresh.append(v)
+                fit.append(float(rel @ v))
+                basis[t].append(v)
+                r[t] = r[t] - (r[t] @ v) * v
+        if not kept:
             break
-    return found
+        if len(kept) < len(live):
+            share, room, live = [a[kept] for a in share], [a[kept] for a in room], live[kept]
+        fresh, fit = np.stack(fresh), np.array(fit)
+    return rows
+
+
+def stepwise_pool(returns: DataFrame, lag: int = 1, enter: float = 0.05, cap: int = 10, blocks: int | None = None) -> DataFrame:
+    """Forward stepwise least squares per target over all other tickers: target, step, feature, entry p-value.
+
+    A task holds a block of targets and meets every predictor, so a target's
+    rounds need no exchange: see :func:`_steps_of`. Targets whose best p-value is
+    not below ``enter`` drop out. At most ``cap`` rounds.
+    """
+    a, b = dense_lagged(returns, lag)
+    targets = series_blocks(pack(a), TILE, 4 * LEAST_BLOCKS, blocks).drop("days", "sizes")
+    predictors = series_blocks(pack(b), blocks=blocks).drop("days", "sizes").coalesce(1)  # a task reads them all, one after the other
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mine = {}
+
+        def met():
+            seen = set()
+            for d in batches:
+                for row in d.itertuples():
+                    mine.setdefault(row.r_block, (np.asarray(row.r_names, object), np.asarray(row.r_values, float).reshape(len(row.r_names), -1)))
+                    if row.block not in seen:
+                        seen.add(row.block)
+                        yield np.asarray(row.names, object), np.asarray(row.values, float).reshape(len(row.names), -1)
+
+        all_of = _Candidates(met())
+        tile = max(1, min(TILE, STATE_BYTES // (8 * max(len(all_of.names), 1))))
+        for names, y in mine.values():
+            for lo in range(0, len(names), tile):
+                yield pd.DataFrame(_steps_of(names[lo: lo + tile], y[lo: lo + tile], all_of, enter, cap), columns=["target", "step", "feature", "p_value"])
+
+    return pin_by_row(beside(predictors, targets).mapInPandas(search, "target string, step int, feature string, p_value double"))
 
 
 def session_gram(packed: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Full-pool ridge and stepwise against the plain forms on one matrix."""
 
 import datetime as dt
+import os
 
 import numpy as np
 import pytest
@@ -138,6 +139,44 @@ def test_batched_search_takes_the_plain_best_candidate():
         assert feature == names[int(np.argmax(want.round(12)))] and gain == pytest.approx(want.max(), abs=1e-9)
 
 
+def test_rounds_store_nothing_and_copies_are_taken_once(spark):
+    """Each round stored its targets with residual and basis before, and sent them to every block again."""
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(60, 24))
+    x[1:, 0] += x[:-1, 5] - 0.8 * x[:-1, 9]
+    x[:, 17] = x[:, 5]  # a copy: the first by name is taken, the other has nothing left over
+    rows = [(f"T{j:02d}", dt.date(2024, 1, 1) + dt.timedelta(days=i), float(x[i, j])) for i in range(60) for j in range(24)]
+    folder = os.path.join(spark.conf.get("spark.checkpoint.dir"), spark.sparkContext.applicationId)
+    before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+    got = {}
+    for r in pool.stepwise_pool(spark.createDataFrame(rows, "ticker string, date date, value double"), enter=0.9, cap=8, blocks=3).orderBy("target", "step").collect():
+        got.setdefault(r["target"], []).append((r["feature"], r["p_value"]))
+    assert len(set(os.listdir(folder)) - before) < 8
+    for j in range(24):
+        names, a, y = others(x, j)
+        want = [(f"T{names[k]:02d}", p) for k, p in solvers.stepwise(a, y, 0.9, 8)]
+        assert len(want) == 8 and [f for f, _ in got[f"T{j:02d}"]] == [f for f, _ in want]
+        assert [p for _, p in got[f"T{j:02d}"]] == pytest.approx([p for _, p in want], abs=1e-9)
+
+
+def test_all_rounds_at_once_take_the_plain_best_candidates(monkeypatch):
+    rng = np.random.default_rng(15)
+    x, y = rng.normal(size=(500, 70)) * rng.uniform(0.01, 100, size=(500, 1)), rng.normal(size=(9, 70))
+    x[40] = 2.0  # no spread
+    x[20], x[30] = x[20] / np.std(x[20]), x[30] / np.std(x[30])
+    y[3] = x[20] + 0.1 * x[30] + 1e-2 * rng.normal(size=70)  # little is left over after two steps
+    names = np.array([f"T{i:03d}" for i in range(500)], object)
+    monkeypatch.setattr(pool, "CANDIDATES", 64)
+    of = pool._Candidates((names[lo: lo + 90], x[lo: lo + 90]) for lo in range(0, 500, 90))
+    got = pool._steps_of(names[:9], y, of, 0.05, 6)
+    for i in range(9):
+        rest = np.flatnonzero(np.arange(500) != i)
+        want = [(step, names[rest[k]], p) for step, (k, p) in enumerate(solvers.stepwise(x[rest].T, y[i], 0.05, 6), 1)]
+        mine = [(s, f, p) for t, s, f, p in sorted(got, key=lambda r: (r[0], r[1])) if t == names[i]]
+        assert [m[:2] for m in mine] == [w[:2] for w in want]
+        assert [m[2] for m in mine] == pytest.approx([w[2] for w in want], abs=1e-8)
+
+
 def test_blocks_are_large(spark):
     """40 blocks a side before, so that every series travelled 40 times."""
     left = spark.range(40_000).selectExpr("concat('S', id) AS target")
