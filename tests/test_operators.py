@@ -255,6 +255,28 @@ def test_triplets_with_gaps_and_few_features(spark):
     assert models.best_triplets(frame.filter("feature <> 'a'"), t, 3).count() == 0 and models.best_triplets(frame, t.limit(0), 3).count() == 0
 
 
+@pytest.mark.parametrize("model", ["ridge", "bayes"])
+def test_packed_groups_fit_as_single_ones(spark, model):
+    """One row a group in place of one row a session, many groups to a call."""
+    rng, d, long, goal = np.random.default_rng(33), days(50), [], []
+    for g in range(12):
+        for f in range(1 + g % 5):
+            long += [(f"g{g}", d[i], f"f{f}", float(rng.normal())) for i in range(g % 3, 50) if rng.random() > 0.03 * f]
+        goal += [(f"g{g}", d[i], None if rng.random() < 0.05 else 1.0 if g == 7 and i >= 40 else float(rng.normal()), i >= (49 if g == 5 else 40), g)
+                 for i in range(50 if g != 4 else 4)]
+    x = spark.createDataFrame(long, "target string, date date, feature string, value double")
+    y = spark.createDataFrame(goal, "target string, date date, value double, is_test boolean, fold int")
+    plain = models.linear_per_group(models.design(x, y.withColumnRenamed("value", "y"), "target").filter("fold is not null"), ["target", "fold"], model=model, penalty=5.0, top=3)
+    packed = select.gather(x, ["target", "feature"]).select("target", "feature", "days", "values")
+    rows = models.design(packed, select.gather(y, ["target", "fold"], "is_test").withColumnRenamed("values", "y"), "target")
+    got, want = (f.orderBy("target").collect() for f in (models.linear_per_group(rows, ["target", "fold"], model=model, penalty=5.0, top=3), plain))
+    assert len(want) == 10 and rows.count() == 12
+    for a, b in zip(got, want):
+        assert (a["target"], a["fold"], a["n"], a["features"], a["accuracy"]) == (b["target"], b["fold"], b["n"], b["features"], b["accuracy"])
+        assert a["weights"] == pytest.approx(b["weights"], abs=1e-6) and a["train_r2"] == pytest.approx(b["train_r2"], abs=1e-6)
+        assert a["test_r2"] == (None if b["test_r2"] is None else pytest.approx(b["test_r2"], abs=1e-6))
+
+
 def test_triplets_never_hold_the_pool_in_one_row(spark, monkeypatch):
     """One row of a target's whole pool went to sixteen tasks before; equal features tie by name across blocks."""
     rng = np.random.default_rng(31)

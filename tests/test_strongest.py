@@ -51,3 +51,21 @@ def test_large_inputs_make_few_blocks(spark):
     p = spark.range(40_000).selectExpr("concat('S', id) AS series", "array(1, 2) AS days", "array(1D, 2D) AS values")
     plan = correlate.packed_correlation(p, p, top=1)._jdf.queryExecution().analyzed().toString()
     assert "sequence(0, 7" in plan and "sequence(0, 39" not in plan
+
+
+def test_a_block_of_targets_meets_all_predictors_and_copies_none(spark):
+    """Before, both sides went to disk once for each block of the other, and every pair of blocks sent on its own lists."""
+    rng = np.random.default_rng(17)
+    left, right = series(rng, 70, 60, "T", 0.4), series(rng, 260, 60, "P", 0.4)
+    for i in range(0, 120, 2):  # ties across blocks go to the earlier name
+        right.at[i + 130, "days"], right.at[i + 130, "values"] = right.at[i, "days"], right.at[i, "values"].copy()
+    full = correlate._pair_stats(left, right, 0, None, 10)
+    full = full[full["corr"].notna()].assign(a=lambda d: -d["corr"].astype(float).abs().round(12))
+    want = full.sort_values(["target", "a", "predictor"]).groupby("target").head(5)
+    a, b = (spark.createDataFrame([(r.series, r.days.tolist(), r.values_.tolist()) for r in d.rename(columns={"values": "values_"}).itertuples()],
+                                  "series string, days array<int>, values array<double>") for d in (left, right))
+    got = correlate.strongest_packed(a, b, 5, min_obs=10, blocks=6).toPandas()
+    assert len(got) == 70 * 5
+    got = got.assign(a=-got["corr"].abs().round(12)).sort_values(["target", "a", "predictor"])
+    assert got[["target", "predictor", "n"]].to_numpy().tolist() == want[["target", "predictor", "n"]].to_numpy().tolist()
+    np.testing.assert_allclose(got[["corr", "slope", "intercept"]].astype(float), want[["corr", "slope", "intercept"]].astype(float), atol=1e-9)
