@@ -139,7 +139,8 @@ class _Candidates:
             unit = (x / np.sqrt(np.where(scale > 0, scale, 1.0))[:, None]).astype(np.float32)
             rest = unit if rest is None else np.concatenate([rest, unit])
             while len(rest) >= CANDIDATES:
-                rest = self._tile(units, rest[:CANDIDATES]) or rest[CANDIDATES:]
+                self._tile(units, rest[:CANDIDATES])
+                rest = rest[CANDIDATES:]
             self.names.append(names)
             self.scale.append(scale)
         if rest is not None and len(rest):
